@@ -1,0 +1 @@
+"""The same operators over file streams of new sheets."""
