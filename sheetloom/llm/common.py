@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,3 +145,62 @@ def word_hashes(norm: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
+
+
+# --- rows dealt out by bucket ---------------------------------------------------
+
+def by_bucket(rows: DataFrame, work: Callable[[list[bytes]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Applies work to all packed blobs of each bucket. rows: (bucket long, data binary); a task holds one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != at:
+                    if held and (out := work(held)) is not None:
+                        yield out
+                    at, held = b, []
+                held.append(data)
+        if held and (out := work(held)) is not None:
+            yield out
+
+    return rows.select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def pack_arrays(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays and byte strings as one compressed blob."""
+    parts = [a if isinstance(a, bytes) else a.dtype.str.encode().ljust(4) + a.tobytes() for a in arrays]
+    head = np.array([len(parts), *(2 * len(p) + isinstance(a, bytes) for p, a in zip(parts, arrays, strict=True))], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+
+
+def unpack_arrays(data: bytes) -> list:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    at, out = 8 * (n + 1), []
+    for size in np.frombuffer(raw, "<i8", n, 8).tolist():
+        part, plain = raw[at : at + size // 2], size % 2
+        out.append(part if plain else np.frombuffer(part, part[:4].decode().strip(), offset=4))
+        at += size // 2
+    return out
+
+
+def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(members: doc, row; texts: row, doc, text), one text for each group of exact copies.
+
+    row is the first half of the text's SHA-256; doc is the smallest id of the group. A
+    null text counts as empty; a null id ranks last.
+    """
+    body = F.coalesce(named(text).cast("string"), F.lit(""))
+    row = F.substring(F.unhex(F.sha2(body, 256)), 1, 16)
+    rank = F.coalesce(named(doc_id).cast("long"), F.lit(LAST))
+    members = docs.select(named(doc_id).cast("long").alias("doc"), row.alias("row"))
+    texts = docs.select(row.alias("row"), rank.alias("doc"), body.alias("text")).groupBy("row").agg(F.min("doc").alias("doc"), F.max("text").alias("text"))
+    return members, texts
+
+
+LAST = (1 << 63) - 1
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(named(text))), F.lit(0))).first()[0]

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetloom.llm import bpe, decontaminate, license_scan, secret_scan, topk_search, url_filter
+from sheetloom.llm import bpe, decontaminate, license_scan, quality, secret_scan, topk_search, unit_dedup, url_filter
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -44,13 +44,21 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.report(unit_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json", keep=["doc_id"], digests=True)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op2_decontaminate, op3_url_filter, op4_secret_scan, op5_license_scan, op9_bpe)}
+    return {f.__name__: f for f in (op1_topk_search, op2_decontaminate, op3_url_filter, op4_secret_scan, op5_license_scan, op8_quality, op9_bpe, op10_unit_dedup)}
 
 
 OP1 = """
