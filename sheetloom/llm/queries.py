@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetloom.llm import bpe, decontaminate, license_scan, minhash_dedup, quality, secret_scan, topk_search, unit_dedup, url_filter
+from sheetloom.llm import bpe, decontaminate, license_scan, minhash_dedup, quality, secret_scan, suffix_dedup, topk_search, unit_dedup, url_filter
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -44,6 +44,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op2_decontaminate, op3_url_filter, op4_secret_scan, op5_license_scan, op7_minhash_dedup, op8_quality, op9_bpe, op10_unit_dedup)}
+    return {f.__name__: f for f in (op1_topk_search, op2_decontaminate, op3_url_filter, op4_secret_scan, op5_license_scan, op6_suffix_dedup, op7_minhash_dedup, op8_quality, op9_bpe, op10_unit_dedup)}
 
 
 OP1 = """
