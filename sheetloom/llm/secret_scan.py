@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import named, written
+from sheetloom.llm.common import named, spare, written
 
 
 @dataclass(frozen=True)
@@ -62,8 +62,8 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     return F.when(text.rlike(rule.pattern), F.aggregate(rows, none, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPANS))
 
 
-def scan(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(versions with their blob's digest, new ledger rows). versions keeps its columns but the text, and gets `blob`."""
+def scan(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(versions with their blob's digest, new ledger rows). versions keeps its columns but the text, and gets `blob`; carry: new rows hold the text as well."""
     body = F.coalesce(named(text), F.lit(""))
     others = [c for c in versions.columns if c not in (text, "blob")]
     paths = versions.select(*(named(c) for c in others), F.sha2(body, 256).alias("blob"))
@@ -76,7 +76,7 @@ def scan(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules:
         unseen = contents.join(seen, "blob", "left").withColumn("todo", F.array_except(marks, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
     found = [F.when(F.array_contains("todo", f"{r.kind}:{r.version}"), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, i).alias("spans"))) for i, r in enumerate(rules)]
     # One pass per blob; rules that were seen give null and drop out.
-    new = unseen.select("blob", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("results"))
+    new = unseen.select("blob", *["text"] * carry, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("results"))
     return paths, new
 
 
@@ -110,6 +110,29 @@ def of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """The text with every run of overlapping spans replaced by mark; spans are ordered by start."""
+    none = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        piece = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.when(fresh, piece).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    return F.aggregate(spans, none, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs, with the secrets in their texts replaced by mark; each distinct text is scanned once."""
+    blob, safe = spare(docs.columns, "blob"), spare([*docs.columns, "blob"], "safe")
+    body = named(text).cast("string")
+    _, new = scan(docs.select(body.alias("text")), "text", None, rules, carry=True)
+    spans = F.array_sort(F.flatten(F.transform("results", lambda r: r["spans"])))
+    held = new.withColumn("spans", spans).where(F.size("spans") > 0).select(F.col("blob").alias(blob), redacted(F.col("text"), F.col("spans"), mark).alias(safe))
+    both = docs.withColumn(blob, F.sha2(F.coalesce(body, F.lit("")), 256)).join(held, blob, "left")
+    return both.select(*(F.coalesce(named(safe), named(c)).alias(c) if c == text else named(c) for c in docs.columns))
+
+
 def line(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
