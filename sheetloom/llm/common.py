@@ -167,6 +167,32 @@ def by_bucket(rows: DataFrame, work: Callable[[list[bytes]], pa.RecordBatch | No
     return rows.select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
+#: Schemas of packed rows on their way to a bucket, and of what buckets answer.
+OUT, ANSWER = "bucket long, data binary", "row binary, found binary"
+
+
+def blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], names=["bucket", "data"])
+
+
+def answers(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.binary()), pa.array([d for _, d in found], pa.binary())], names=["row", "found"]) if found else None
+
+
+def edges(values: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal neighbours, and the end."""
+    return np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)] if len(values) else np.zeros(1, np.int64)
+
+
+def settled(rows: list[bytes], own: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """(row, packed columns) for each text number in own."""
+    order = np.argsort(own, kind="stable")
+    own, cols = own[order], [c[order].astype("<u4") for c in cols]
+    e = edges(own)
+    for lo, hi in zip(e[:-1].tolist(), e[1:].tolist(), strict=True):
+        yield rows[own[lo]], b"".join(c[lo:hi].tobytes() for c in cols)
+
+
 def pack_arrays(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays and byte strings as one compressed blob."""
     parts = [a if isinstance(a, bytes) else a.dtype.str.encode().ljust(4) + a.tobytes() for a in arrays]

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import CHUNK, LAST, ODD, by_bucket, cuts, distinct_texts, mix, pack_arrays, text_bytes, unpack_arrays
+from sheetloom.llm.common import ANSWER, CHUNK, LAST, ODD, OUT, answers, blobs, by_bucket, cuts, distinct_texts, edges, mix, pack_arrays, settled, text_bytes, unpack_arrays
 
 SPAN, K = 50, 24
 #: Strings that one piece holds at most, and the depth in bytes at which blind tries take over.
 MOST, SHALLOW = 64, 32
 #: Bytes of text whose keys, and whose pieces, share a bucket; strings that are sorted at a time.
-KEY_BYTES, PIECE_BYTES, SORTED = 48 << 20, 24 << 20, 400_000
+KEY_BYTES, PIECE_BYTES, SORTED = 32 << 20, 16 << 20, 300_000
 
 
 # --- keys and pieces --------------------------------------------------------------
@@ -84,11 +84,6 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def edges(values: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal neighbours, and the end."""
-    return np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)] if len(values) else np.zeros(1, np.int64)
-
-
 def chunks(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple[int, int, list[bytes]]]:
     col = batch.column("text").cast(pa.binary())
     sizes, at = np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64), 0
@@ -97,32 +92,12 @@ def chunks(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple[int, int, list[b
         at = end
 
 
-def settled(rows: list[bytes], own: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """(row, packed columns) for each text number in own."""
-    order = np.argsort(own, kind="stable")
-    own, cols = own[order], [c[order].astype("<u4") for c in cols]
-    e = edges(own)
-    for lo, hi in zip(e[:-1].tolist(), e[1:].tolist(), strict=True):
-        yield rows[own[lo]], b"".join(c[lo:hi].tobytes() for c in cols)
-
-
-OUT = "bucket long, data binary"
-
-
-def blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], names=["bucket", "data"])
-
-
-def answers(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch | None:
-    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.binary()), pa.array([d for _, d in found], pa.binary())], names=["row", "found"]) if found else None
-
-
 def send_keys(buckets: int):
     """Keys of all pieces, by bucket. What a chunk settles itself goes along as an answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, texts in chunks(batch, 2 * CHUNK):
+            for at, end, texts in chunks(batch, CHUNK // 2):
                 rows, rank = batch.column("row").slice(at, end - at).to_pylist(), batch.column("doc").slice(at, end - at).to_numpy()
                 key, own, _, _ = pieces(texts)
                 nth = np.arange(len(own)) - np.searchsorted(own, own, side="left")
@@ -173,7 +148,7 @@ def send_pieces(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, texts in chunks(batch, 2 * CHUNK):
+            for at, end, texts in chunks(batch, CHUNK // 2):
                 rows, rank = batch.column("row").slice(at, end - at).to_pylist(), batch.column("doc").slice(at, end - at).to_numpy()
                 key, own, start, count = pieces(texts)
                 first = np.searchsorted(own, np.arange(len(texts)))
@@ -378,11 +353,10 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_texts(texts: DataFrame, total: int) -> DataFrame:
     """(row, doc, n_bytes, n_removed, n_spans, kept bytes) of each distinct text."""
-    answer = "row binary, found binary"
     keys = texts.select("row", "doc", "text").mapInArrow(send_keys(max(12, -(-total // KEY_BYTES))), OUT)
-    shared = by_bucket(keys, shared_keys, answer).groupBy("row").agg(F.collect_list("found").alias("found"))
+    shared = by_bucket(keys, shared_keys, ANSWER).groupBy("row").agg(F.collect_list("found").alias("found"))
     held = texts.join(shared, "row").select("row", "doc", "text", "found")
-    found = by_bucket(held.mapInArrow(send_pieces(max(24, -(-total // PIECE_BYTES))), OUT), repeats, answer).groupBy("row").agg(F.collect_list("found").alias("found"))
+    found = by_bucket(held.mapInArrow(send_pieces(max(24, -(-total // PIECE_BYTES))), OUT), repeats, ANSWER).groupBy("row").agg(F.collect_list("found").alias("found"))
     return texts.join(found, "row", "left").select("row", "doc", "text", "found").mapInArrow(cut, "row binary, doc long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
