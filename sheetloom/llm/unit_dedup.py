@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetloom.llm.common import CHUNK, LAST, TO_WORDS, by_bucket, cuts, named, pack_arrays, text_bytes, unpack_arrays
+from sheetloom.llm.common import ANSWER, CHUNK, LAST, OUT, TO_WORDS, answers, blobs, by_bucket, cuts, edges, named, pack_arrays, settled, text_bytes, unpack_arrays
 
 #: Least words of a line and of a sentence that is compared.
 LINE_WORDS, SENTENCE_WORDS = 5, 8
 #: A sentence ends after these marks, where white space follows.
 SENTENCE = re.compile(rb"[.!?]+\s+")
 #: Bytes of text whose units share a bucket.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())])
 
 
@@ -74,7 +74,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             ids, texts = batch.column(0).to_numpy(), batch.column(1)
             sizes = np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
-            for end in cuts(sizes, CHUNK * 4):
+            for end in cuts(sizes, CHUNK):
                 yield packed(ids[at:end], texts.slice(at, end - at).to_pylist())
                 at = end
 
@@ -92,57 +92,40 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         rank = ids[doc] if len(doc) else np.zeros(0, np.int64)
         order = np.lexsort((pos, rank, d[:, 1], d[:, 0]))
         d, doc, pos, unit, rank = d[order], doc[order], pos[order], unit[order], rank[order]
-        bucket = ((d[:, 0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        out_b, out_d = [], []
-        for b, lo, hi in runs(bucket):
+        first = np.r_[True, (d[1:] != d[:-1]).any(axis=1)] if len(d) else np.zeros(0, bool)
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        # What an earlier occurrence in the chunk removes is settled here; only the earliest ones travel on.
+        gone = (rank != rank[lead]) | (pos != pos[lead])
+        out = [(int.from_bytes(r[:4], "little") % buckets, pack_arrays(b"known", r, u)) for r, u in settled(keys, doc[gone], unit[gone])]
+        d, doc, pos, unit = d[~gone], doc[~gone], pos[~gone], unit[~gone]
+        e = edges(b := (((d[:, 0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64))
+        for lo, hi in zip(e[:-1].tolist(), e[1:].tolist(), strict=True):
             used, own = np.unique(doc[lo:hi], return_inverse=True)
-            # Occurrences after the chunk's first of a digest follow it as members; only their place is sent.
-            new = np.r_[True, (d[lo + 1 : hi] != d[lo : hi - 1]).any(axis=1)]
-            out_b.append(int(b))
-            out_d.append(pack_arrays(d[lo:hi][new].ravel(), np.packbits(new), ids[used], b"".join(keys[i] for i in used), own.astype("<u4"), pos[lo:hi].astype("<u4"), unit[lo:hi].astype("<u4")))
-        return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_d, pa.binary())], names=["bucket", "data"])
-
-    rows = src.mapInArrow(emit, "bucket long, data binary")
-    hits = by_bucket(rows, later, "row binary, units binary").groupBy("row").agg(F.collect_list("units").alias("units"))
-    return keep(src, hits, doc_id, named(doc_id))
-
+            out.append((int(b[lo]), pack_arrays(b"units", d[lo:hi].ravel(), b"".join(keys[i] for i in used), ids[used], own.astype("<u4"), pos[lo:hi].astype("<u4"), unit[lo:hi].astype("<u4"))))
+        return blobs(out)
 
-def runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, start, end) of each run of equal neighbours."""
-    if len(values):
-        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            yield values[lo], lo, hi
+    rows = src.mapInArrow(emit, OUT)
+    hits = by_bucket(rows, later, ANSWER).groupBy("row").agg(F.collect_list("found").alias("units"))
+    return keep(src, hits, doc_id, named(doc_id))
 
 
-def later(blobs: list[bytes]) -> pa.RecordBatch | None:
+def later(data: list[bytes]) -> pa.RecordBatch | None:
     """Of one bucket: the units that are not the earliest with their digest, by document row."""
-    parts = [unpack_arrays(b) for b in blobs]
-    dig = np.concatenate([p[0].reshape(-1, 2) for p in parts])
-    flags = [np.unpackbits(p[1], count=len(p[4])).astype(bool) for p in parts]
-    group = np.concatenate([np.cumsum(f) - 1 + base for f, base in zip(flags, np.cumsum([0, *(len(p[0]) // 2 for p in parts[:-1])]), strict=True)])
-    docs = np.concatenate([p[2] for p in parts])
-    keys = b"".join(p[3] for p in parts)
-    own = np.concatenate([p[4].astype(np.int64) + base for p, base in zip(parts, np.cumsum([0, *(len(p[2]) for p in parts[:-1])]), strict=True)])
-    pos, unit = np.concatenate([p[5] for p in parts]).astype(np.int64), np.concatenate([p[6] for p in parts])
-    # One class number per digest over all chunks.
-    order = np.lexsort((dig[:, 1], dig[:, 0]))
-    fresh = np.r_[True, (dig[order][1:] != dig[order][:-1]).any(axis=1)]
-    number = np.empty(len(dig), np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    cls, rank = number[group], docs[own]
-    order = np.lexsort((pos, rank, cls))
-    first = np.r_[True, cls[order][1:] != cls[order][:-1]]
-    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    removed = order[(rank[order] != rank[lead]) | (pos[order] != pos[lead])]
-    if not len(removed):
-        return None
-    removed = removed[np.argsort(own[removed], kind="stable")]
-    rows, lists = [], []
-    for r, lo, hi in runs(own[removed]):
-        rows.append(keys[16 * r : 16 * r + 16])
-        lists.append(unit[removed[lo:hi]].astype("<u4").tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(lists, pa.binary())], names=["row", "units"])
+    parts = [unpack_arrays(x) for x in data]
+    out = [(p[1], p[2]) for p in parts if p[0] == b"known"]
+    if parts := [p for p in parts if p[0] == b"units"]:
+        raw = b"".join(p[2] for p in parts)
+        keys, ids, base = [raw[i : i + 16] for i in range(0, len(raw), 16)], np.concatenate([p[3] for p in parts]), np.cumsum([0, *(len(p[3]) for p in parts)])
+        d = np.concatenate([p[1] for p in parts]).reshape(-1, 2)
+        own = np.concatenate([p[4].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
+        pos, unit = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (5, 6))
+        order = np.lexsort((pos, ids[own], d[:, 1], d[:, 0]))
+        d, own, pos, unit = d[order], own[order], pos[order], unit[order]
+        first = np.r_[True, (d[1:] != d[:-1]).any(axis=1)] if len(d) else np.zeros(0, bool)
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        gone = (ids[own] != ids[own[lead]]) | (pos != pos[lead])
+        out += settled(keys, own[gone], unit[gone])
+    return answers(out)
 
 
 def keep(src: DataFrame, hits: DataFrame, name: str, _id) -> DataFrame:
