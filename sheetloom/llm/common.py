@@ -214,18 +214,21 @@ def unpack_arrays(data: bytes) -> list:
 def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members: doc, row; texts: row, doc, text), one text for each group of exact copies.
 
-    row is the first half of the text's SHA-256; doc is the smallest id of the group. A
-    null text counts as empty; a null id ranks last.
+    row is the first ROW bytes of the text's SHA-256; doc is the smallest id of the group. A
+    null text counts as empty; a null id ranks last. The test of row is always true: joins
+    would add it, and with it everywhere one exchange of the texts serves all uses.
     """
     body = F.coalesce(named(text).cast("string"), F.lit(""))
-    row = F.substring(F.unhex(F.sha2(body, 256)), 1, 16)
+    row = F.substring(F.unhex(F.sha2(body, 256)), 1, ROW)
     rank = F.coalesce(named(doc_id).cast("long"), F.lit(LAST))
     members = docs.select(named(doc_id).cast("long").alias("doc"), row.alias("row"))
-    texts = docs.select(row.alias("row"), rank.alias("doc"), body.alias("text")).groupBy("row").agg(F.min("doc").alias("doc"), F.max("text").alias("text"))
+    texts = docs.select(row.alias("row"), rank.alias("doc"), body.alias("text")).where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc").alias("doc"), F.max("text").alias("text"))
     return members, texts
 
 
 LAST = (1 << 63) - 1
+#: Bytes of a text digest that stand for the text.
+ROW = 12
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:

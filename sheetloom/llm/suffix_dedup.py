@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import ANSWER, CHUNK, LAST, ODD, OUT, answers, blobs, by_bucket, cuts, distinct_texts, edges, mix, pack_arrays, settled, text_bytes, unpack_arrays
+from sheetloom.llm.common import ANSWER, CHUNK, LAST, ODD, OUT, ROW, answers, blobs, by_bucket, cuts, distinct_texts, edges, mix, pack_arrays, settled, text_bytes, unpack_arrays
 
 SPAN, K = 50, 24
 #: Strings that one piece holds at most, and the depth in bytes at which blind tries take over.
 MOST, SHALLOW = 64, 32
 #: Bytes of text whose keys, and whose pieces, share a bucket; strings that are sorted at a time.
-KEY_BYTES, PIECE_BYTES, SORTED = 32 << 20, 16 << 20, 300_000
+KEY_BYTES, PIECE_BYTES, SORTED = 48 << 20, 16 << 20, 300_000
 
 
 # --- keys and pieces --------------------------------------------------------------
@@ -92,14 +92,31 @@ def chunks(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple[int, int, list[b
         at = end
 
 
-def send_keys(buckets: int):
-    """Keys of all pieces, by bucket. What a chunk settles itself goes along as an answer."""
+def steps(key: np.ndarray) -> np.ndarray:
+    """Sorted keys as their differences, in 32 bits where they fit."""
+    d = np.diff(key, prepend=np.uint64(0))
+    return np.r_[key[:1] >> np.uint64(32), key[:1] & np.uint64(0xFFFFFFFF), d[1:]].astype("<u4") if (d[1:] < 2**32).all() else d
+
+
+def from_steps(d: np.ndarray) -> np.ndarray:
+    if d.dtype.itemsize == 8:
+        return np.cumsum(d)
+    d = d.astype(np.uint64)
+    return np.cumsum(np.r_[(d[0] << np.uint64(32)) | d[1], d[2:]])
+
+
+def send_keys(buckets: int, bits: int):
+    """Keys of all pieces, cut to bits, by bucket. What a chunk settles itself goes along as an answer.
+
+    Cut keys may agree by chance: some text travels in vain, nothing is missed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, texts in chunks(batch, CHUNK // 2):
                 rows, rank = batch.column("row").slice(at, end - at).to_pylist(), batch.column("doc").slice(at, end - at).to_numpy()
                 key, own, _, _ = pieces(texts)
+                key >>= np.uint64(64 - bits)
                 nth = np.arange(len(own)) - np.searchsorted(own, own, side="left")
                 order = np.lexsort((rank[own], key))
                 key, own, nth = key[order], own[order], nth[order]
@@ -112,10 +129,10 @@ def send_keys(buckets: int):
                 lead[e[:-1]] = True
                 sent = ~shared | lead
                 key, own, nth = key[sent], own[sent], nth[sent]
-                e = edges(b := bucket_of(key, buckets))
+                e = edges(b := bucket_of(key << np.uint64(64 - bits), buckets))
                 for lo, hi in zip(e[:-1].tolist(), e[1:].tolist(), strict=True):
                     used, place = np.unique(own[lo:hi], return_inverse=True)
-                    out.append((int(b[lo]), pack_arrays(b"keys", key[lo:hi], b"".join(rows[i] for i in used), rank[used], place.astype("<u4"), nth[lo:hi].astype("<u4"))))
+                    out.append((int(b[lo]), pack_arrays(b"keys", steps(key[lo:hi]), b"".join(rows[i] for i in used), rank[used], place.astype("<u4"), nth[lo:hi].astype("<u4"))))
                 yield blobs(out)
 
     return run
@@ -124,7 +141,7 @@ def send_keys(buckets: int):
 def gathered(parts: list[list]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Rows and ranks of several blobs one after another, and how far each blob's text numbers move up."""
     raw = b"".join(p[2] for p in parts)
-    return [raw[i : i + 16] for i in range(0, len(raw), 16)], np.concatenate([p[3] for p in parts]), np.cumsum([0, *(len(p[3]) for p in parts)])
+    return [raw[i : i + ROW] for i in range(0, len(raw), ROW)], np.concatenate([p[3] for p in parts]), np.cumsum([0, *(len(p[3]) for p in parts)])
 
 
 def shared_keys(data: list[bytes]) -> pa.RecordBatch | None:
@@ -133,7 +150,7 @@ def shared_keys(data: list[bytes]) -> pa.RecordBatch | None:
     out = [(p[1], p[2]) for p in parts if p[0] == b"known"]
     if parts := [p for p in parts if p[0] == b"keys"]:
         rows, rank, base = gathered(parts)
-        key, nth = np.concatenate([p[1] for p in parts]), np.concatenate([p[5] for p in parts])
+        key, nth = np.concatenate([from_steps(p[1]) for p in parts]), np.concatenate([p[5] for p in parts])
         own = np.concatenate([p[4].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
         order = np.lexsort((rank[own], key))
         key, own, nth = key[order], own[order], nth[order]
@@ -353,7 +370,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_texts(texts: DataFrame, total: int) -> DataFrame:
     """(row, doc, n_bytes, n_removed, n_spans, kept bytes) of each distinct text."""
-    keys = texts.select("row", "doc", "text").mapInArrow(send_keys(max(12, -(-total // KEY_BYTES))), OUT)
+    keys = texts.select("row", "doc", "text").mapInArrow(send_keys(max(12, -(-total // KEY_BYTES)), min(64, total.bit_length() + 14)), OUT)
     shared = by_bucket(keys, shared_keys, ANSWER).groupBy("row").agg(F.collect_list("found").alias("found"))
     held = texts.join(shared, "row").select("row", "doc", "text", "found")
     found = by_bucket(held.mapInArrow(send_pieces(max(24, -(-total // PIECE_BYTES))), OUT), repeats, ANSWER).groupBy("row").agg(F.collect_list("found").alias("found"))
