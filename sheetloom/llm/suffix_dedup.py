@@ -32,9 +32,9 @@ from sheetloom.llm.common import ANSWER, CHUNK, LAST, ODD, OUT, ROW, answers, bl
 
 SPAN, K = 50, 24
 #: Strings that one piece holds at most, and the depth in bytes at which blind tries take over.
-MOST, SHALLOW = 64, 32
+MOST, SHALLOW, PAD = 64, 32, 64
 #: Bytes of text whose keys, and whose pieces, share a bucket; strings that are sorted at a time.
-KEY_BYTES, PIECE_BYTES, SORTED = 48 << 20, 16 << 20, 300_000
+KEY_BYTES, PIECE_BYTES, SORTED = 32 << 20, 8 << 20, 200_000
 
 
 # --- keys and pieces --------------------------------------------------------------
@@ -234,9 +234,11 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
 
 
 def deep_shallow(buf: bytes, at: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Places of strings in the order of (group, string); equal strings share a place. Strings of one group have one size."""
-    padded = buf + bytes(SHALLOW + 16)
-    words = np.ndarray((len(buf) + SHALLOW + 8,), dtype=">u8", buffer=padded, strides=(1,))
+    """Places of strings in the order of (group, string); equal strings share a place.
+
+    Strings of one group have one size; buf ends with PAD spare bytes.
+    """
+    words = np.ndarray((len(buf) - 8,), dtype=">u8", buffer=buf, strides=(1,))
 
     def load(who: np.ndarray, depth: int) -> np.ndarray:
         spare = np.clip(8 - (size[who] - depth), 0, 7).astype(np.uint64) * np.uint64(8)
@@ -287,12 +289,13 @@ def repeats(data: list[bytes]) -> pa.RecordBatch | None:
     rows, rank_of, base = gathered(parts)
     key, start, count = (np.concatenate([p[i] for p in parts]) for i in (1, 5, 6))
     own = np.concatenate([p[4].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
-    buf = b"".join(p[7] for p in parts)
+    buf = b"".join([*(p[7] for p in parts), bytes(PAD)])
+    del parts, data
     start, count, rank = start.astype(np.int64), count.astype(np.int64), rank_of[own]
     size = count + SPAN - 1
     at = np.cumsum(size) - size
     # Equal pieces form classes; the smallest id of a class keeps the piece.
-    kinds = np.unique(np.stack([key, count.astype(np.uint64)], 1), axis=0, return_inverse=True)[1].ravel()
+    kinds = np.unique(mix(key) ^ count.astype(np.uint64), return_inverse=True)[1]
     place = deep_shallow(buf, at, size, kinds)
     order = np.lexsort((rank, place))
     e = edges(place[order])
