@@ -137,7 +137,7 @@ def match_labels(labels: DataFrame, polygons: DataFrame, grow: float = 0.15) ->
     taken = priority_matching(edges, "poly_idx", "block_idx", "rank", shared=False)
     full = polygons.select(*K, "poly_idx").join(taken, [*K, "poly_idx"], "left")
     nth = F.row_number().over(Window.partitionBy(*K).orderBy("poly_idx"))
-    level = F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), F.col("tier") + 1)
+    level = F.when(F.col("tier") == 0, "HIGH").when(F.col("tier") == 1, "MEDIUM").when(F.col("tier") == 2, "LOW")
     return full.select(*K, "poly_idx", "block_idx", F.coalesce("text", F.format_string("ROOM_%d", nth)).alias("room_name"), F.coalesce(level, F.lit("NONE")).alias("name_confidence"))
 
 
