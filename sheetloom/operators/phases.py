@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetloom.functions.greedy import leader_clusters
 from sheetloom.operators.segments import with_geometry
 from sheetloom.sources.views import K
 
@@ -77,6 +78,22 @@ def gray_regions(paths: DataFrame, area: float = 100.0, aspect: float = 3.0, lon
     return boxed.where((w * h >= area) & shaped).select(*K, F.col("path_idx").alias("region_idx"), "x0", "y0", "x1", "y1", F.lit("gray").alias("kind"), F.lit(0.85).alias("confidence"))
 
 
+def hatched_regions(segments: DataFrame, reach: float = 50.0, turn: float = 5.0, least: int = 5, area: float = 100.0) -> DataFrame:
+    """K, region_idx, x0, y0, x1, y1, kind, confidence: boxes of slanted unfilled lines, clustered around leaders in index order."""
+    slant = F.col("angle").between(40, 50) | F.col("angle").between(130, 140)
+    g = with_geometry(segments).where(F.col("fill").isNull() & (F.col("length") >= 5) & slant)
+    g = g.withColumn("n", F.count("*").over(Window.partitionBy(*K))).where(F.col("n") >= least).drop("n")
+    cell = lambda c: F.floor(F.col(c) / reach)
+    step = F.sequence(F.lit(-1), F.lit(1))
+    mine = g.select(*K, F.col("seg_idx").alias("u"), F.col("mid_x").alias("ux"), F.col("mid_y").alias("uy"), F.col("angle").alias("ua")).withColumns({"gx": cell("ux"), "gy": cell("uy")}).withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).withColumns({"gx": F.col("gx") + F.col("i"), "gy": F.col("gy") + F.col("j")})
+    theirs = g.select(*K, F.col("seg_idx").alias("v"), "mid_x", "mid_y", "angle").withColumns({"gx": cell("mid_x"), "gy": cell("mid_y")})
+    near = mine.join(theirs, [*K, "gx", "gy"]).where((F.col("u") != F.col("v")) & (F.abs(F.col("ua") - F.col("angle")) <= turn) & (F.hypot(F.col("ux") - F.col("mid_x"), F.col("uy") - F.col("mid_y")) < reach))
+    owned = g.join(leader_clusters(g, near, "seg_idx"), [*K, "seg_idx"])
+    boxes = owned.groupBy(*K, F.col("leader").alias("region_idx")).agg(F.count("*").alias("n"), F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("x1", "x2")).alias("x1"), F.max(F.greatest("y1", "y2")).alias("y1"))
+    large = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= area
+    return boxes.where((F.col("n") >= least) & large).select(*K, "region_idx", "x0", "y0", "x1", "y1", F.lit("hatched").alias("kind"), F.lit(0.75).alias("confidence"))
+
+
 def phase_at(points: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
     """key, phase, confidence: by the gray region that holds a point (px, py), else a hatched one, else NEW."""
     held = points.join(regions.select(*K, "x0", "y0", "x1", "y1", "kind", F.col("confidence").alias("c")), K).where(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))

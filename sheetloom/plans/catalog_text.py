@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheetloom.functions.lineage import written
 from sheetloom.operators import heights as H
 from sheetloom.operators import measure
 from sheetloom.operators import phases as P
@@ -238,6 +239,17 @@ def gray_regions(spark, d):
     return P.gray_regions(views.paths(spark, d)).select(*K, "region_idx", "x0", "y0", "x1", "y1")
 
 
+@query("hatched_regions", None)
+def hatched_regions(spark, d):
+    """Slanted lines moved together by place, so that hatches form."""
+    s = views.segments(spark, d)
+    slant = (F.col("x1") != F.col("x2")) & (F.col("y1") != F.col("y2"))
+    shift = F.when(slant, F.col("seg_idx") % 7 * 5.0).otherwise(0.0)
+    base = lambda c: F.when(slant, F.floor(F.col(c) / 480) * 480).otherwise(F.col(c))
+    moved = s.withColumns({"x1": base("x1") + shift, "x2": base("x1") + shift + F.when(slant, 40.0).otherwise(F.col("x2") - F.col("x1")), "y1": base("y1"), "y2": base("y1") + F.when(slant, 40.0).otherwise(F.col("y2") - F.col("y1"))})
+    return P.hatched_regions(written(moved)).select(*K, "region_idx", "x0", "y0", "x1", "y1")
+
+
 AT = """rk as (select s.doc_id, s.page_no, s.seg_idx, min(kind) as kind from v_segments s join regions r on r.doc_id = s.doc_id and r.page_no = s.page_no and (s.x1 + s.x2) / 2 between r.x0 and r.x1 and (s.y1 + s.y2) / 2 between r.y0 and r.y1 group by all),
 pt as (select s.*, case kind when 'gray' then 'EXISTING' when 'hatched' then 'NOT_IN_CONTRACT' else 'NEW' end as rp, case kind when 'gray' then 0.85 else 0.75 end as rc from v_segments s left join rk using (doc_id, page_no, seg_idx))"""
 CLASSED = f"""{GRAYS}, {AT}, cl as (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as len, fill_gray is not null and fill_type <> 's' and (fill_gray < 0.1 or fill_gray between 0.25 and 0.75) as bf from pt),

