@@ -1,15 +1,16 @@
 """Substring deduplication by line and sentence hashing.
 
-Texts are cut into lines, and lines into sentences; a unit is normalised (words only, in
-lower case), and units with enough words are hashed. Globally, the occurrence with the
+Texts are cut into lines, and lines into sentences, and these are normalised (words only,
+in lower case). A unit is a run of sentences, over line ends too, with enough words or
+bytes and no more sentences than that takes, or a line or paragraph that is a little shorter; units are hashed. Globally, the occurrence with the
 smallest (document id, offset) keeps its text, and every later one is removed; all spans
 refer to the original text. Digests travel packed by bucket: a task sends each digest
 once per chunk of documents, with its earliest occurrence there, so a line that is in a
 third of all documents adds one entry per chunk, not one per document.
 
 Defined results: a null text counts as empty; equal rows (same id and text) get equal
-results and do not remove from each other; short units are never removed; a document
-keeps the text between its units (line breaks, short sentences).
+results and do not remove from each other; what is part of no repeated unit is never
+removed (lone short sentences and lines). Each word that is removed stands in an earlier place too.
 """
 
 from __future__ import annotations
@@ -27,35 +28,67 @@ from pyspark.sql import types as T
 
 from sheetloom.llm.common import ANSWER, CHUNK, LAST, OUT, TO_WORDS, answers, blobs, by_bucket, cuts, edges, named, pack_arrays, settled, text_bytes, unpack_arrays
 
-#: Least words of a line and of a sentence that is compared.
+#: Least words of a line or paragraph, and of a run of sentences, that is compared; as many bytes of normal form are enough too, as some scripts have no spaces.
 LINE_WORDS, SENTENCE_WORDS = 5, 8
-#: A sentence ends after these marks, where white space follows.
-SENTENCE = re.compile(rb"[.!?]+\s+")
+LINE_BYTES, SENTENCE_BYTES = 6 * LINE_WORDS, 6 * SENTENCE_WORDS
+#: A sentence ends after these marks, where white space follows; full-width marks need none.
+SENTENCE = re.compile(rb"[.!?]+\s+|(?:\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]|\xef\xbd\xa1)+\s*")
+#: Marks and spaces beyond ASCII: general, CJK and full-width punctuation, in UTF-8.
+MARKS = re.compile(rb"\xc2[\xa0\xa1\xab\xb7\xbb\xbf]|\xe2\x80[\x80-\xbf]|\xe2\x81[\x80-\xaf]|\xe3\x80[\x80-\x83\x88-\x91\x94-\x9f]|\xe3\x83\xbb|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
 #: Bytes of text whose units share a bucket.
 BUCKET_BYTES = 16 << 20
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())])
 
 
-def units_of(text: bytes) -> tuple[list[tuple[int, int]], list[bytes]]:
-    """Byte spans of the compared units, with 16-byte digests of their normal forms (lines and sentences apart)."""
-    spans, digests = [], []
-    at = 0
+def sentences_of(text: bytes) -> tuple[list[tuple[int, int, bytes]], list[int], list[int]]:
+    """(start, end, normal form) of the sentences with words; where each line and each paragraph (lines without a blank one between) begins among them."""
+    found, lines, paragraphs = [], [], []
+    at, blank = 0, True
     for line in text.split(b"\n"):
-        norm = b" ".join(line.translate(TO_WORDS).split())
-        n = norm.count(b" ") + 1
-        if n >= LINE_WORDS:
-            spans.append((at, at + len(line)))
-            digests.append(xxhash.xxh3_128_digest(b"L" + norm))
-        if n >= SENTENCE_WORDS:
-            lo = 0
-            for hi in [*(m.end() for m in SENTENCE.finditer(line)), len(line)]:
-                part = line[lo:hi]
-                words = part.translate(TO_WORDS).split()
-                if len(words) >= SENTENCE_WORDS and hi - lo < len(line):
-                    spans.append((at + lo, at + hi))
-                    digests.append(xxhash.xxh3_128_digest(b"S" + b" ".join(words)))
-                lo = hi
+        lo, n, plain = 0, len(found), line.isascii()
+        for hi in [*(m.end() for m in SENTENCE.finditer(line)), len(line)]:
+            part = line[lo:hi]
+            if words := (part if plain else MARKS.sub(b" ", part)).translate(TO_WORDS).split():
+                found.append((at + lo, at + hi, b" ".join(words)))
+            lo = hi
+        if len(found) > n:
+            lines.append(n)
+            if blank:
+                paragraphs.append(n)
+        blank = not line.strip()
         at += len(line) + 1
+    return found, lines, paragraphs
+
+
+def units_of(text: bytes) -> tuple[list[tuple[int, int]], list[bytes]]:
+    """Byte spans of the compared units, with 16-byte digests of their normal forms (one kind of digest for all).
+
+    From each sentence on, and up to each sentence, the shortest run with enough words or
+    bytes is a unit: so these cover every longer run, whatever stands around it. Lines and
+    paragraphs that are shorter than that are units if they have enough for a line.
+    """
+    found, lines, paragraphs = sentences_of(text)
+    n = len(found)
+    words, size = [0], [0]
+    for _, _, norm in found:
+        words.append(words[-1] + norm.count(b" ") + 1)
+        size.append(size[-1] + len(norm) + 1)
+    enough = lambda i, j, w, b: words[j] - words[i] >= w or size[j] - size[i] > b
+    runs, i = set(), 0
+    for j in range(1, n + 1):
+        while enough(i, j, SENTENCE_WORDS, SENTENCE_BYTES):
+            runs.add((i, j))  # the shortest from i on
+            i += 1
+        if i:
+            runs.add((i - 1, j))  # the shortest up to j
+    for starts in (lines, paragraphs):
+        for i, j in zip(starts, [*starts, n][1:], strict=True):
+            if enough(i, j, LINE_WORDS, LINE_BYTES) and not enough(i, j, SENTENCE_WORDS, SENTENCE_BYTES):
+                runs.add((i, j))
+    spans, digests = [], []
+    for i, j in sorted(runs):
+        spans.append((found[i][0], found[j - 1][1]))
+        digests.append(xxhash.xxh3_128_digest(found[i][2] if j == i + 1 else b" ".join(f[2] for f in found[i:j])))
     return spans, digests
 
 

@@ -201,3 +201,30 @@ def test_unit_dedup(spark, empty):
     got = {r.doc_id: r for r in unit_dedup.dedup(spark.createDataFrame(rows, TEXTS)).collect()}
     assert got[1].kept == f"{line}\n\nshort" and got[2].kept == "start\n\nend" and got[2].removed[0].start == 6 and got[6].kept == ""
     assert got[3].n_bytes == 0 and got[5].kept == "short\nshort" and unit_dedup.dedup(empty).count() == 0
+
+
+def test_unit_dedup_judges_length_not_only_words(spark):
+    chinese, sentence = "今天的天气非常好我们一起去公园里散步吧", "one sentence that has as many as eight words"
+    verse = "\n".join(["milk", "two eggs", "old bread", "red wine", "salt", "tea"])
+    rows = [
+        (1, f"开始\n{chinese}。\n结束"), (2, f"别的\n“{chinese}”\n完了"), (3, f"另一个。{chinese}。走吧"), (4, f"To buy today:\n{verse}\nbye"), (5, f"Quite another list\n{verse}\nand an end"),
+        (6, f"{sentence}."), (7, f"Before it all. {sentence}. After."), (8, "Ann Lee\nMain 7\nUlm\n\nHello"), (9, "Dear all\n\nAnn Lee\nMain 7\nUlm\n\nBye"), (10, "so. so. so. so. so. so. so. so. so. so. so. so."),
+    ]
+    got = {r.doc_id: r.kept for r in unit_dedup.dedup(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "别的\n\n完了" and got[3] == "另一个。走吧" and got[4] == rows[3][1] and got[5] == "Quite another list\n\nand an end"
+    assert got[7] == "Before it all. After." and got[9] == "Dear all\n\n\n\nBye" and got[10] == "so. "
+
+
+def test_unit_dedup_takes_every_repeated_run_of_sentences():
+    random.seed(6)
+    make = lambda: [" ".join(random.choice("abcdefgh") * random.randint(1, 9) for _ in range(random.randint(1, 12))) + "." for _ in range(random.randint(1, 8))]
+    for _ in range(300):
+        passage, before = make(), "".join(x + random.choice(" \n") for x in make())
+        texts = [(start + "".join(x + random.choice(" \n") for x in [*passage, *make()])).encode() for start in ("First of all. ", before)]
+        first, (spans, digests) = set(unit_dedup.units_of(texts[0])[1]), unit_dedup.units_of(texts[1])
+        gone = np.zeros(len(texts[1]), bool)
+        for (lo, hi), d in zip(spans, digests, strict=True):
+            if d in first:
+                gone[lo:hi] = True
+        if len(words_of(" ".join(passage).encode())) >= unit_dedup.SENTENCE_WORDS:
+            assert all(gone[i] or chr(texts[1][i]).isspace() for i in range(len(before), len(before) + len(" ".join(passage))))
