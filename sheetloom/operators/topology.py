@@ -69,8 +69,8 @@ def dangling_endpoints(segments: DataFrame, cell: float = 2.0) -> DataFrame:
     return endpoints(segments).withColumn("n", F.count("*").over(by)).where("n = 1").drop("n")
 
 
-def bridge_gaps(segments: DataFrame, tolerance: float = 36.0, least: float = 18.0, most: float = 288.0) -> DataFrame:
-    """Bridges K, x1, y1, x2, y2 between dangling ends: nearest first per end in order, none across a segment."""
+def bridge_gaps(segments: DataFrame, tolerance: float = 36.0, least: float = 18.0, most: float = 288.0, beside: float = 2.0, cell: float = 128.0) -> DataFrame:
+    """Bridges K, x1, y1, x2, y2 between dangling ends: nearest first per end in order, none across a segment or with its midpoint under `beside` from one."""
     reach = min(max(tolerance, least), most)
     key = lambda x, y: F.format_string("%.1f/%.1f", x, y)
     d = dangling_endpoints(segments).withColumn("nth", F.row_number().over(Window.partitionBy(*K).orderBy("seg_idx", "side"))).withColumn("node", key(F.col("x"), F.col("y")))
@@ -82,7 +82,13 @@ def bridge_gaps(segments: DataFrame, tolerance: float = 36.0, least: float = 18.
     side = lambda px, py, qx, qy, rx, ry: (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
     cuts = (side("x", "y", "ox", "oy", "sx1", "sy1") * side("x", "y", "ox", "oy", "sx2", "sy2") < -EPS) & (side("sx1", "sy1", "sx2", "sy2", "x", "y") * side("sx1", "sy1", "sx2", "sy2", "ox", "oy") < -EPS)
     box = (F.least("sx1", "sx2") <= F.greatest("x", "ox")) & (F.greatest("sx1", "sx2") >= F.least("x", "ox")) & (F.least("sy1", "sy2") <= F.greatest("y", "oy")) & (F.greatest("sy1", "sy2") >= F.least("y", "oy"))
-    blocked = pair.join(s, K).where(box & cuts).select(*K, "nth", "o_nth").distinct()
+    # What is near the midpoint is as near to the bridge.
+    mx, my, dx, dy = (F.col("x") + F.col("ox")) / 2, (F.col("y") + F.col("oy")) / 2, F.col("sx2") - F.col("sx1"), F.col("sy2") - F.col("sy1")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(ratio((mx - F.col("sx1")) * dx + (my - F.col("sy1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    along = F.hypot(mx - F.col("sx1") - t * dx, my - F.col("sy1") - t * dy) < beside
+    left = covered(pair, cell, F.least("x", "ox") - beside, F.least("y", "oy") - beside, F.greatest("x", "ox") + beside, F.greatest("y", "oy") + beside)
+    right = covered(s, cell, F.least("sx1", "sx2"), F.least("sy1", "sy2"), F.greatest("sx1", "sx2"), F.greatest("sy1", "sy2"))
+    blocked = left.join(right, [*K, "gx", "gy"]).where((box & cuts) | along).select(*K, "nth", "o_nth").distinct()
     free = pair.join(blocked, [*K, "nth", "o_nth"], "left_anti").withColumn("rank", F.format_string("%06d-%012.6f-%06d", "nth", "far", "o_nth"))
     taken = priority_matching(free, "node", "o_node")
     return taken.select(*K, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("ox").alias("x2"), F.col("oy").alias("y2"))

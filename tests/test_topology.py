@@ -1,5 +1,6 @@
 """Greedy and graph operators against sequential loops and counts that must hold."""
 
+import math
 import random
 
 
@@ -25,6 +26,48 @@ def test_bridges(spark):
     assert topology.bridge_gaps(segs(spark, [(0, 0, 100, 0), (130, 0, 230, 0), (115, -50, 115, 50)])).count() == 0
 
 
+def plain_bridges(lines, tolerance):
+    """The reference's loop over dangling ends."""
+    points = [p for a, b, c, d in lines for p in ((a, b), (c, d))]
+    key = lambda p: (round(p[0] / 2), round(p[1] / 2))
+    loose = [(p, n // 2) for n, p in enumerate(points) if sum(key(p) == key(q) for q in points) == 1]
+
+    def off(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0, min(1, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy or 1)))
+        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+    def bad(p, q, a, b):
+        side = lambda o, u, v: (u[0] - o[0]) * (v[1] - o[1]) - (u[1] - o[1]) * (v[0] - o[0])
+        cross = side(p, q, a) * side(p, q, b) < -1e-9 and side(a, b, p) * side(a, b, q) < -1e-9
+        return cross or off(((p[0] + q[0]) / 2, (p[1] + q[1]) / 2), a, b) < 2
+
+    used, out = set(), set()
+    for p, s in loose:
+        free = [(math.dist(p, q), n, q) for n, (q, t) in enumerate(loose) if s != t and q not in used and 18 <= math.dist(p, q) <= tolerance and not any(bad(p, q, (a, b), (c, d)) for a, b, c, d in lines)]
+        if p not in used and free:
+            q = min(free)[2]
+            used |= {p, q}
+            out.add((*p, *q))
+    return out
+
+
+def test_no_bridge_beside_a_wall(spark):
+    got = topology.bridge_gaps(segs(spark, [(0, 0, 100, 0), (130, 0, 230, 0), (70, 1, 160, 1)])).collect()
+    assert not [r for r in got if {r.x1, r.x2} == {100.0, 130.0}]
+    # Over a whole wall from end to end, with a free partner further off.
+    lines = [(0, 0, 100, 0), (130, 0, 230, 0), (105, 0, 125, 0), (100, 34, 0, 80)]
+    assert {(r.x1, r.y1, r.x2, r.y2) for r in topology.bridge_gaps(segs(spark, lines)).collect()} == plain_bridges(lines, 36) != set()
+
+
+def test_bridges_equal_the_loop(spark):
+    random.seed(11)
+    end = lambda v: round(v + random.uniform(-60, 60), 1)
+    lines = [(x := round(random.uniform(0, 500), 1), y := round(random.uniform(0, 500), 1), end(x), y if random.random() < 0.5 else end(y)) for _ in range(90)]
+    lines += [(a + 1, b + 1, c + 1, d + 1) for a, b, c, d in lines[:15]] + [(0.0, 250.0, 500.0, 251.0)]
+    assert {(r.x1, r.y1, r.x2, r.y2) for r in topology.bridge_gaps(segs(spark, lines), 60.0).collect()} == plain_bridges(lines, 60)
+
+
 def test_square_and_cross(spark):
     square = [(0, 0, 100, 0), (100, 0, 100, 100), (100, 100, 0, 100), (0, 100, 0, 0)]
     one = topology.faces(topology.node_segments(segs(spark, square))).collect()
