@@ -151,11 +151,12 @@ def hatching_groups(segments: DataFrame) -> DataFrame:
     return with_layers(with_geometry(segments), hatching(F.lit(True))).select(*ID, "is_hatching")
 
 
-def ends(segments: DataFrame, cell: float) -> DataFrame:
-    """Two rows per segment: ID, side, x, y and the end's cell (truncated towards zero)."""
+def ends(segments: DataFrame, cell: float, nearest: bool = False) -> DataFrame:
+    """Two rows per segment: ID, side, x, y and the end's cell (truncated towards zero, or rounded half to even)."""
     both = F.array(F.struct(F.lit(0).alias("side"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(1).alias("side"), F.col("x2").alias("x"), F.col("y2").alias("y")))
     at = segments.withColumn("e", F.explode(both)).select("*", "e.*").drop("e")
-    return at.withColumns({"cx": (F.col("x") / cell).cast("long"), "cy": (F.col("y") / cell).cast("long")})
+    whole = F.rint if nearest else lambda v: v
+    return at.withColumns({"cx": whole(F.col("x") / cell).cast("long"), "cy": whole(F.col("y") / cell).cast("long")})
 
 
 def around(df: DataFrame, reach: int = 1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -206,7 +207,7 @@ def room_polygons(segments: DataFrame, sheets: DataFrame, tolerance: float = 36.
 
 def linked(segments: DataFrame, cell: float) -> DataFrame:
     """K, u, v: segments with ends in equal or neighbouring cells, through the smallest one of each cell pair."""
-    e = ends(segments.select(*ID, "x1", "y1", "x2", "y2"), cell).select(*ID, "cx", "cy")
+    e = ends(segments.select(*ID, "x1", "y1", "x2", "y2"), cell, nearest=True).select(*ID, "cx", "cy")
     lead = e.groupBy(*K, "cx", "cy").agg(F.min("seg_idx").alias("v"))
     return around(e).join(lead, [*K, "cx", "cy"]).where(F.col("seg_idx") != F.col("v")).select(*K, F.col("seg_idx").alias("u"), "v").distinct()
 
@@ -226,11 +227,12 @@ def door_swings(segments: DataFrame, longest: float = 100.0, cell: float = 15.0)
 
 def curved_segments(segments: DataFrame, longest: float = 60.0, cell: float = 5.0) -> DataFrame:
     """ID of short segments that meet another at a junction under a small turn, as chords of an arc do."""
-    e = ends(with_geometry(segments).where(F.col("length") <= longest).select(*ID, "x1", "y1", "x2", "y2"), cell)
+    e = ends(with_geometry(segments).where(F.col("length") <= longest).select(*ID, "x1", "y1", "x2", "y2"), cell, nearest=True)
     away = F.atan2(F.when(F.col("side") == 0, F.col("y2") - F.col("y1")).otherwise(F.col("y1") - F.col("y2")), F.when(F.col("side") == 0, F.col("x2") - F.col("x1")).otherwise(F.col("x1") - F.col("x2")))
     by = Window.partitionBy(*K, "cx", "cy").orderBy("turn", "seg_idx")
     j = e.withColumn("turn", F.round(away, 9))
-    next_ = j.withColumns({f"p{i}": F.struct(F.lead("seg_idx", i).over(by).alias("o"), (F.lead("turn", i).over(by) - F.col("turn")).alias("d")) for i in (1, 2, 3)})
+    fold = lambda d: F.least(d, 2 * math.pi - d)
+    next_ = j.withColumns({f"p{i}": F.struct(F.lead("seg_idx", i).over(by).alias("o"), fold(F.lead("turn", i).over(by) - F.col("turn")).alias("d")) for i in (1, 2, 3)})
     hit = next_.withColumn("p", F.explode(F.array("p1", "p2", "p3"))).where((F.col("p.d") > 0.05) & (F.col("p.d") < 0.6))
     return hit.select(*K, F.explode(F.array(F.col("seg_idx"), F.col("p.o"))).alias("seg_idx")).distinct()
 

@@ -68,6 +68,59 @@ def test_bridges_equal_the_loop(spark):
     assert {(r.x1, r.y1, r.x2, r.y2) for r in topology.bridge_gaps(segs(spark, lines), 60.0).collect()} == plain_bridges(lines, 60)
 
 
+def plain_curves(lines):
+    """The reference's loop over junctions."""
+    at, hit = {}, set()
+    for i, (a, b, c, d) in enumerate(lines):
+        if math.hypot(c - a, d - b) <= 60:
+            at.setdefault((round(a / 5), round(b / 5)), []).append((i, math.atan2(d - b, c - a)))
+            at.setdefault((round(c / 5), round(d / 5)), []).append((i, math.atan2(b - d, a - c)))
+    for found in at.values():
+        found.sort(key=lambda x: x[1])
+        for n, (i, p) in enumerate(found):
+            for j, q in found[n + 1 : n + 4]:
+                if 0.05 < min(q - p, 2 * math.pi - (q - p)) < 0.6:
+                    hit |= {i, j}
+    return hit
+
+
+def test_curves(spark):
+    # Two chords leave to the left of (100, 100), on either side of 180 degrees; two others meet over a border between truncated cells.
+    lines = [(100, 100, 60, 102), (100, 100, 60, 98), (299, 300, 340, 303), (301, 301, 340, 310)]
+    assert {r.seg_idx for r in topology.curved_segments(segs(spark, lines)).collect()} == {0, 1, 2, 3} == plain_curves(lines)
+    random.seed(13)
+    near = lambda v, by: v + random.uniform(-by, by)
+    lines = [(near(x := random.choice((-40, 0, 40)), 4), near(y := random.choice((-40, 0, 40)), 4), near(x, 50), near(y, 50)) for _ in range(150)]
+    assert {r.seg_idx for r in topology.curved_segments(segs(spark, lines)).collect()} == plain_curves(lines)
+
+
+def plain_groups(lines, cell):
+    """Sizes of the groups of segments with ends in equal or neighbouring cells."""
+    at = [{(round(x / cell), round(y / cell)) for x, y in ((a, b), (c, d))} for a, b, c, d in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if any(abs(x - u) <= 1 and abs(y - v) <= 1 for x, y in at[i] for u, v in at[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    return [root.count(r) for r in root]
+
+
+def test_groups_of_segments(spark):
+    random.seed(14)
+    lines = [(x := random.uniform(0, 900), y := random.uniform(0, 900), x + random.uniform(-90, 90), y + random.uniform(-90, 90)) for _ in range(150)]
+    s = segs(spark, lines)
+    assert {r.seg_idx: (r["size"], r.kept) for r in topology.isolated_components(s).collect()} == {i: (n, n >= 3) for i, n in enumerate(plain_groups(lines, 5))}
+    short = [p for p in lines if math.dist(p[:2], p[2:]) <= 100]
+    want = {p for p, n in zip(short, plain_groups(short, 15), strict=True) if n >= 3}
+    assert {lines[r.seg_idx] for r in topology.door_swings(s).collect()} == want
+
+
+def test_label_box(spark):
+    box = [(0, 0, 40, 0), (0, 20, 40, 20), (0, 0, 0, 20), (40, 0, 40, 20)]
+    assert {r.seg_idx for r in topology.label_boxes(segs(spark, [*box, (200, 0, 240, 0), (200, 0, 200, 20)])).collect()} == {0, 1, 2, 3}
+    assert topology.label_boxes(segs(spark, box[:3])).count() == 0
+
+
 def test_square_and_cross(spark):
     square = [(0, 0, 100, 0), (100, 0, 100, 100), (100, 100, 0, 100), (0, 100, 0, 0)]
     one = topology.faces(topology.node_segments(segs(spark, square))).collect()
