@@ -211,6 +211,11 @@ def unpack_arrays(data: bytes) -> list:
     return out
 
 
+def text_row(text: str) -> Column:
+    """The first ROW bytes of a text's SHA-256; a null text counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(named(text).cast("string"), F.lit("")), 256)), 1, ROW)
+
+
 def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members: doc, row; texts: row, doc, text), one text for each group of exact copies.
 
@@ -219,7 +224,7 @@ def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame,
     would add it, and with it everywhere one exchange of the texts serves all uses.
     """
     body = F.coalesce(named(text).cast("string"), F.lit(""))
-    row = F.substring(F.unhex(F.sha2(body, 256)), 1, ROW)
+    row = text_row(text)
     rank = F.coalesce(named(doc_id).cast("long"), F.lit(LAST))
     members = docs.select(named(doc_id).cast("long").alias("doc"), row.alias("row"))
     texts = docs.select(row.alias("row"), rank.alias("doc"), body.alias("text")).where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc").alias("doc"), F.max("text").alias("text"))

@@ -170,6 +170,18 @@ def test_near_duplicates(spark, empty):
     assert minhash_dedup.report(empty).count() == 0
 
 
+def test_one_of_each_class_where_ids_repeat(spark):
+    random.seed(8)
+    a, b, c, d = (" ".join(random.choice("abcdefgh") * random.randint(1, 9) for _ in range(40)) for _ in range(4))
+    copy = f"{b} z"
+    rows = [(3, b), (7, a), (7, copy), (7, b), (9, c), (9, d), (9, d), (10, d), (11, f"{c} z"), (11, c), (12, f"{a} y"), (12, f"{a} x"), (13, None), (13, ""), (None, a)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in minhash_dedup.one_each(spark.createDataFrame(rows, TEXTS)).collect())
+    assert got == sorted([(3, b), (7, a), (9, c), (9, d), (13, ""), (0, a)])
+    # Of two texts of one id in one class, one.
+    twice = spark.createDataFrame([(1, f"{a} x"), (1, f"{a} y"), (2, a)], TEXTS)
+    assert [r.doc_id for r in minhash_dedup.one_each(twice).collect()] == [1] and minhash_dedup.report(twice).where("keep").count() == 1
+
+
 def test_quality_separates_junk(spark, sf_dir, empty):
     docs, gold = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs.select("doc_id", "text"), keep=["doc_id"]).join(gold, "doc_id").collect()
