@@ -44,6 +44,14 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def integer_id(df: DataFrame, name: str) -> Column:
+    """The id column as long; ids that are no integers are refused."""
+    kind = df.select(named(name)).schema[0].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{name} must be an integer column, not {kind.simpleString()}")
+    return named(name).cast("long")
+
+
 def map_texts(df: DataFrame, text: str, made: T.StructType, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], keep: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Adds columns that are worked out from each row's whole text.
 
@@ -219,15 +227,14 @@ def text_row(text: str) -> Column:
 def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members: doc, row; texts: row, doc, text), one text for each group of exact copies.
 
-    row is the first ROW bytes of the text's SHA-256; doc is the smallest id of the group. A
-    null text counts as empty; a null id ranks last. The test of row is always true: joins
+    row is the first ROW bytes of the text's SHA-256; doc is the smallest id of the group, null
+    where none has an id. A null text counts as empty. The test of row is always true: joins
     would add it, and with it everywhere one exchange of the texts serves all uses.
     """
     body = F.coalesce(named(text).cast("string"), F.lit(""))
     row = text_row(text)
-    rank = F.coalesce(named(doc_id).cast("long"), F.lit(LAST))
-    members = docs.select(named(doc_id).cast("long").alias("doc"), row.alias("row"))
-    texts = docs.select(row.alias("row"), rank.alias("doc"), body.alias("text")).where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc").alias("doc"), F.max("text").alias("text"))
+    members = docs.select(named(doc_id).alias("doc"), row.alias("row"))
+    texts = docs.select(row.alias("row"), named(doc_id).alias("doc"), body.alias("text")).where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc").alias("doc"), F.max("text").alias("text"))
     return members, texts
 
 

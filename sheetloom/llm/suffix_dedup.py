@@ -15,7 +15,8 @@ one text from the start: copies of at least SPAN bytes go entirely, the smallest
 
 Defined results: a null text counts as empty; a null id ranks last; equal rows get equal
 results and remove nothing from each other; rows with one id and different texts do not
-remove from each other; an empty table gives no rows.
+remove from each other; an empty table gives no rows; further columns are not read. Ids are
+integers: another type is refused with a TypeError.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import ANSWER, CHUNK, LAST, ODD, OUT, ROW, answers, blobs, by_bucket, cuts, distinct_texts, edges, mix, pack_arrays, settled, text_bytes, unpack_arrays
+from sheetloom.llm.common import ANSWER, CHUNK, LAST, ODD, OUT, ROW, answers, blobs, by_bucket, cuts, distinct_texts, edges, integer_id, mix, named, pack_arrays, settled, text_bytes, unpack_arrays
 
 SPAN, K = 50, 24
 #: Strings that one piece holds at most, and the depth in bytes at which blind tries take over.
@@ -382,7 +383,8 @@ def dedup_texts(texts: DataFrame, total: int) -> DataFrame:
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans and kept_sha256."""
-    members, texts = distinct_texts(docs, doc_id, text)
+    members, texts = distinct_texts(docs.select(integer_id(docs, doc_id).alias(doc_id), named(text)), doc_id, text)
+    texts = texts.withColumn("doc", F.coalesce("doc", F.lit(LAST)))
     done = dedup_texts(texts, text_bytes(docs, text)).select("row", F.col("doc").alias("least"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     both = members.join(done, "row")
     copy = (F.coalesce("doc", F.lit(LAST)) > F.col("least")) & (F.col("n_bytes") >= SPAN)

@@ -10,7 +10,8 @@ third of all documents adds one entry per chunk, not one per document.
 
 Defined results: a null text counts as empty; equal rows (same id and text) get equal
 results and do not remove from each other; what is part of no repeated unit is never
-removed (lone short sentences and lines). Each word that is removed stands in an earlier place too.
+removed (lone short sentences and lines); a null id ranks last; an empty table gives no rows;
+further columns are not read. Ids are integers: another type is refused with a TypeError. Each word that is removed stands in an earlier place too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetloom.llm.common import ANSWER, CHUNK, LAST, OUT, TO_WORDS, answers, blobs, by_bucket, cuts, edges, named, pack_arrays, settled, text_bytes, unpack_arrays
+from sheetloom.llm.common import ANSWER, CHUNK, LAST, OUT, TO_WORDS, answers, blobs, by_bucket, cuts, edges, integer_id, named, pack_arrays, settled, text_bytes, unpack_arrays
 
 #: Least words of a line or paragraph, and of a run of sentences, that is compared; as many bytes of normal form are enough too, as some scripts have no spaces.
 LINE_WORDS, SENTENCE_WORDS = 5, 8
@@ -99,7 +100,7 @@ def row_key(doc: int, text: bytes) -> bytes:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_units, n_removed, removed spans, kept text) of every document."""
     buckets = max(12, -(-text_bytes(docs, text) // BUCKET_BYTES))
-    rank = F.coalesce(named(doc_id).cast("long"), F.lit(LAST))
+    rank = F.coalesce(integer_id(docs, doc_id), F.lit(LAST))
     src = docs.select(rank.alias("doc"), F.coalesce(named(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

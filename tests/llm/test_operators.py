@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -145,6 +146,39 @@ def test_blind_trie_orders_and_groups():
     assert [s[g[0]] for g in got] == sorted(set(s)) and sorted(i for g in got for i in g) == list(range(200))
 
 
+def shingle_counts(text):
+    w = words_of((text or "").encode())
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def brute_links(texts, similarity=0.8):
+    """Pairs of text numbers at the similarity or more, by inverted lists over all shingles."""
+    bags, holders, shared = [shingle_counts(t) for t in texts], {}, Counter()
+    for i, bag in enumerate(bags):
+        for s, n in bag.items():
+            for j, m in holders.setdefault(s, []):
+                shared[j, i] += min(n, m)
+            holders[s].append((i, n))
+    size = [sum(b.values()) for b in bags]
+    return [(i, j) for (i, j), n in shared.items() if n >= similarity * (size[i] + size[j] - n) - 1e-9]
+
+
+def brute_classes(rows):
+    ids, root = [i for i, _ in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in brute_links([t for _, t in rows]):
+        root[find(i)] = find(j)
+    least = {}
+    for n, i in enumerate(ids):
+        least[find(n)] = min(i, least.get(find(n), i))
+    return {i: least[find(n)] for n, i in enumerate(ids)}
+
+
 def test_near_duplicates(spark, empty):
     random.seed(5)
     words = [f"w{i}" for i in range(60)]
@@ -156,18 +190,44 @@ def test_near_duplicates(spark, empty):
             t[random.randrange(len(t))] = random.choice(words)
         rows.append((i, " ".join(t)))
     rows += [(90 + i, " ".join(random.choice(words) for _ in range(random.randint(1, 40)))) for i in range(20)] + [(200, None), (201, ""), (202, "a b"), (203, "A, b!"), (203, "A, b!")]
-    elem = {i: minhash_dedup.elements((t or "").encode()) for i, t in rows}
-    root = {i: i for i in elem}
-    find = lambda x: x if root[x] == x else find(root[x])
-    for a in elem:
-        for b in elem:
-            n = len(np.intersect1d(elem[a], elem[b]))
-            if a < b and n >= 0.8 * (len(elem[a]) + len(elem[b]) - n) - 1e-9 and find(a) != find(b):
-                root[max(find(a), find(b))] = min(find(a), find(b))
-    d = spark.createDataFrame(rows, TEXTS)
+    rows += [(300, "la " * 20000), (301, "la " * 19000 + "li"), (302, "la " * 9000)]
+    d = spark.createDataFrame(rows, TEXTS).withColumn("class_id", F.lit("clash")).withColumn("row", F.lit("clash"))
     got = minhash_dedup.report(d).collect()
-    assert len(got) == len(rows) and {r.doc_id: r.class_id for r in got} == {i: find(i) for i in elem}
-    assert minhash_dedup.report(empty).count() == 0
+    assert len(got) == len(rows) and {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+    assert minhash_dedup.report(empty).count() == 0 and minhash_dedup.one_each(empty).count() == 0
+    named = minhash_dedup.report(spark.createDataFrame([("b", "x y z"), ("a", "X y z"), (None, "x Y z"), ("c", "other")], "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.class_id) for r in named) == [("", "a"), ("a", "a"), ("b", "a"), ("c", "c")]
+
+
+def test_near_duplicates_recall(spark, sf_dir):
+    """Links of the sf0.01 documents that are found, against all pairs."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    found = {r.doc_id: r.class_id for r in minhash_dedup.report(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    links = [(rows[i].doc_id, rows[j].doc_id) for i, j in brute_links([r.text for r in rows])]
+    assert len(links) > 100 and sum(found[a] == found[b] for a, b in links) >= 0.99 * len(links)
+    exact = brute_classes([(r.doc_id, r.text) for r in rows])
+    assert all(exact[d] == exact[c] for d, c in found.items())
+
+
+def test_a_hot_group_of_variants(spark):
+    """A third of the texts are variants of one; many are too far from it, and near each other only in small families."""
+    random.seed(11)
+    words = [f"w{i}" for i in range(3000)]
+    base, rows = [random.choice(words) for _ in range(100)], []
+    for family in range(120):
+        mine = list(base)
+        for k in random.sample(range(100), 9):
+            mine[k] = random.choice(words)
+        for _ in range(random.choice([1, 1, 2, 3])):
+            t = list(mine)
+            t[random.randrange(100)] = random.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    rows += [(1000 + i, " ".join(random.choices(words, k=100))) for i in range(400)]
+    links = brute_links([t for _, t in rows])
+    found = {r.doc_id: r.class_id for r in minhash_dedup.report(spark.createDataFrame(rows, TEXTS)).collect()}
+    hit = [found[rows[i][0]] == found[rows[j][0]] for i, j in links]
+    assert len(links) > 50 and sum(hit) >= 0.95 * len(links)
 
 
 def test_one_of_each_class_where_ids_repeat(spark):
