@@ -89,8 +89,10 @@ def cuts(sizes: np.ndarray, chunk: int) -> list[int]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names; a temporary one only where none is named."""
+    """A new folder in the shared folder that the cluster names. A session on one machine may name none: then a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -7,7 +7,8 @@ to test, and the bytes are compared before an occurrence counts. Patterns are se
 in classes of similar length, so that a short item does not shorten every skip.
 
 Defined results: a null text has no words; rows keep their other columns; items without
-words have no window; null item ids hit but are not listed; repeated items count once.
+words have no window; null item ids hit but are not listed; repeated items count once; an
+empty table gives no rows; input columns named as the results are replaced by them.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     src = items.select(named(item_id).cast("string").alias("name"), named(item_text).cast("string").alias("body")).where(F.col("body").isNotNull())
     total = src.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     passes = max(1, -(-2 * total // most_bytes)) if total > most_bytes else 1
-    spark, keep = docs.sparkSession, docs.columns if keep is None else keep
+    spark, keep = docs.sparkSession, [c for c in (docs.columns if keep is None else keep) if c not in FOUND.names]
 
     def one(df: DataFrame, part: int, kept: list[str]) -> DataFrame:
         own = src if passes == 1 else src.where(F.pmod(F.xxhash64("body"), F.lit(passes)) == part)
@@ -157,19 +158,19 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     if passes == 1:
         return one(docs, 0, keep)
     # Rows that agree in everything have the same words, so they may share a key.
-    key = spare(docs.columns, "row_key")
+    key, runs = spare(docs.columns, "row_key"), spare(docs.columns, "spans")
     keyed = docs.withColumn(key, F.sha2(F.to_json(F.struct(*(named(c) for c in docs.columns))), 256))
     found = None
     for part in range(passes):
-        hits = one(keyed, part, [key]).where(F.size("hit_from") > 0).dropDuplicates([key]).select(key, F.arrays_zip("hit_from", "hit_to").alias("spans"), "items")
+        hits = one(keyed, part, [key]).where(F.size("hit_from") > 0).dropDuplicates([key]).select(key, F.arrays_zip("hit_from", "hit_to").alias(runs), "items")
         found = hits if found is None else found.unionByName(hits)
-    merged = found.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = found.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(runs))).alias(runs), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     span = "struct<hit_from:bigint,hit_to:bigint>"
-    joined = F.expr(f"aggregate(spans, cast(array() as array<{span}>), (acc, s) -> if(size(acc) > 0 and s.hit_from <= acc[size(acc) - 1].hit_to, concat(slice(acc, 1, size(acc) - 1), array(named_struct('hit_from', acc[size(acc) - 1].hit_from, 'hit_to', greatest(acc[size(acc) - 1].hit_to, s.hit_to)))), concat(acc, array(s))))")
+    joined = F.expr(f"aggregate({runs}, cast(array() as array<{span}>), (acc, s) -> if(size(acc) > 0 and s.hit_from <= acc[size(acc) - 1].hit_to, concat(slice(acc, 1, size(acc) - 1), array(named_struct('hit_from', acc[size(acc) - 1].hit_from, 'hit_to', greatest(acc[size(acc) - 1].hit_to, s.hit_to)))), concat(acc, array(s))))")
     none = F.array().cast("array<bigint>")
     counted = map_texts(keyed, text, T.StructType([FOUND["n_words"]]), word_counter, [*dict.fromkeys([*keep, key])])
-    full = counted.join(merged.withColumn("spans", joined), key, "left")
-    return full.select(*(named(c) for c in keep if c not in FOUND.names), "n_words", F.coalesce("spans.hit_from", none).alias("hit_from"), F.coalesce("spans.hit_to", none).alias("hit_to"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    full = counted.join(merged.withColumn(runs, joined), key, "left")
+    return full.select(*(named(c) for c in keep), "n_words", F.coalesce(f"{runs}.hit_from", none).alias("hit_from"), F.coalesce(f"{runs}.hit_to", none).alias("hit_to"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def word_counter():

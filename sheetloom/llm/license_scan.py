@@ -8,7 +8,8 @@ missing words make them, are merged into one span, and a span is accepted when i
 enough of the template. The template table is fixed in size and is the broadcast side.
 
 Defined results: a null text has no words; texts shorter than k words have no grams;
-every row keeps its own result when ids repeat.
+every row keeps its own result when ids repeat; an empty table gives no rows; input columns
+named as the results are replaced, all others (maps too) are handed on.
 """
 
 from __future__ import annotations
@@ -94,34 +95,39 @@ def votes(docs: DataFrame, text: str, notices, k: int, keep: list[str]) -> DataF
     return at.join(own, (F.col("hash") == F.col("own_hash")) & same).select(*(named(c) for c in keep), "n_words", "template", "label", "total", "pos", "tpos")
 
 
-def spans(hits: DataFrame, key: list[str], drift: int = DRIFT) -> DataFrame:
+def spans(hits: DataFrame, key: list[str], carry: list[str] | None = None, drift: int = DRIFT) -> DataFrame:
     """Votes per diagonal, then neighbouring diagonals merged: one row per key, template and span.
 
     A span goes on while the next diagonal is at most drift away and its first word at
-    most drift + 1 after the last one. places: starts of diagonals with every vote.
+    most drift + 1 after the last one. places: starts of diagonals with every vote. carry
+    names columns that rows of one key agree in.
     """
+    carried = [F.first(c).alias(c) for c in carry or ()]
     cols = [named(c) for c in key]
-    diag = hits.groupBy(*cols, "n_words", "template", "label", "total", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.collect_set("tpos").alias("held"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("votes"))
+    diag = hits.groupBy(*cols, "n_words", "template", "label", "total", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.collect_set("tpos").alias("held"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("votes"), *carried)
     by = Window.partitionBy(*cols, "template").orderBy("first", "diag")
     far = (F.col("first") - F.lag("last").over(by) > drift + 1) | (F.abs(F.col("diag") - F.lag("diag").over(by)) > drift)
     marked = diag.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(by))
     place = F.when(F.size("held") == F.col("total"), F.col("diag"))
-    merged = marked.groupBy(*cols, "n_words", "template", "label", "total", "span").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.count(place).alias("places"), F.min(place).alias("first_place"), F.max(place).alias("last_place"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("votes").alias("votes"))
+    merged = marked.groupBy(*cols, "n_words", "template", "label", "total", "span").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.count(place).alias("places"), F.min(place).alias("first_place"), F.max(place).alias("last_place"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("votes").alias("votes"), *carried)
     return merged.withColumn("share", F.size("held") / F.col("total"))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per document: keep's columns, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     keep = docs.columns if keep is None else keep
-    cols = [c for c in keep if c not in RESULT and c not in GRAMS.names]
-    row, digest = spare(cols, "row"), "digest"
-    packed = docs.select(F.struct(*(named(c) for c in cols)).alias(row), F.md5(F.coalesce(named(text), F.lit("")).cast("binary")).alias(digest), named(text).alias("body"))
-    found = spans(votes(packed, "body", (*PHRASES, *NOTICES), K, [row, digest]), [row, digest])
+    cols = [c for c in keep if c not in RESULT]
+    # Rows count by a digest of their columns and text: a map among the columns can be no key.
+    row = F.struct(*(named(c) for c in cols))
+    digest = F.sha2(F.concat_ws("\n", F.to_json(row) if cols else F.lit(""), F.sha2(F.coalesce(named(text), F.lit("")), 256)), 256)
+    packed = docs.select(row.alias("row"), digest.alias("digest"), named(text).alias("body")) if cols else docs.select(digest.alias("digest"), named(text).alias("body"))
+    found = spans(votes(packed, "body", (*PHRASES, *NOTICES), K, ["row", "digest"] if cols else ["digest"]), ["digest"], ["row"] if cols else [])
     base, end = F.col("template").between(0, len(PHRASES) - 1), F.col("template") == -1
     phrase = base & (F.col("places") > 0)
     notice = (F.col("template") >= len(PHRASES)) & (F.col("share") >= ACCEPT)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    out = found.groupBy(row, digest, "n_words").agg(
+    out = found.groupBy("digest", "n_words").agg(
+        *([F.first("row").alias("row")] if cols else []),
         F.coalesce(F.sum(F.when(base, F.col("places"))), F.lit(0)).cast("long").alias("n_base"),
         F.min(F.when(base, F.col("first_place"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("last_place"))).cast("long").alias("last_word"),
@@ -131,4 +137,4 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         F.max(F.when(end, F.col("votes"))).alias("copies"),
     )
     # Rows that agree in everything were counted together; each gets its result.
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(f"{row}.*", *RESULT) if cols else out.select(*RESULT)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(["row.*"] if cols else []), *RESULT)

@@ -186,8 +186,8 @@ def sampler():
 def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> tuple[LabelModel, np.ndarray]:
     """The label model over all documents, and the scorer's weights from a sample of about train_docs of them.
 
-    The sample holds the documents whose text hash falls under a bound set from their
-    number; at most twice train_docs rows reach the driver.
+    The sample holds the distinct texts whose hash falls under a bound set from the number
+    of documents; at most twice train_docs rows, by hash, reach the driver.
     """
     voted = map_texts(docs, text, VOTES, voter, [])
     counts = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
@@ -195,8 +195,8 @@ def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> tu
     total = max(sum(counts.values()), 1)
     bound = int(min(1.0, train_docs / total) * (1 << 30))
     body = F.coalesce(named(text).cast("string"), F.lit(""))
-    some = docs.select(body.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < bound)
-    rows = sorted(map(tuple, map_texts(some, "text", SAMPLE, sampler, []).limit(2 * train_docs).collect()))
+    some = docs.select(body.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < bound).distinct().orderBy(F.xxhash64("text"), "text").limit(2 * train_docs)
+    rows = sorted(map(tuple, map_texts(some, "text", SAMPLE, sampler, []).collect()))
     x, y = np.zeros((len(rows), WIDTH)), np.zeros(len(rows))
     for i, (votes, buckets, shares) in enumerate(rows):
         x[i, buckets] = shares

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm import bpe, decontaminate, license_scan, minhash_dedup, quality, secret_scan, suffix_dedup, topk_search, unit_dedup, url_filter
 
-#: Where the public vocabulary files lie.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary file lies; TOKENIZER_DIR names another folder."""
+    own = os.environ.get("TOKENIZER_DIR")
+    return os.path.join(own, name) if own else public_tokenizers.path(name)
+
 
 #: The rules that op3 judges by: host, path, verdict.
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block"))
@@ -37,7 +42,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_scan.report(secret_scan.findings(*secret_scan.scan(docs, "text")), "doc_id")
+    # The base rules' run leaves a ledger; the run with all rules scans what that ledger lacks.
+    _, ledger = secret_scan.advance(docs, "text", None, secret_scan.BASE)
+    found, _ = secret_scan.advance(docs, "text", ledger, secret_scan.RULES)
+    return secret_scan.report(found, "doc_id")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json", keep=["doc_id"], digests=True)
+    return bpe.encode_decode(docs, vocabulary(), keep=["doc_id"], digests=True)
 
 
 def queries() -> dict:

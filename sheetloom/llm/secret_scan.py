@@ -6,11 +6,13 @@ blobs with an unseen triple move on, each once however many paths hold it, and o
 unseen rules run. Findings are joined back to all paths by digest.
 
 Defined results: a null text counts as empty; rows with equal content share findings; an
-empty table gives no rows. Offsets are code points, the end exclusive.
+empty table gives no rows; input columns named blob or spans are replaced. Offsets are code
+points, the end exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
 )
 SPANS = "array<struct<start:bigint,place:int,kind:string,end:bigint>>"
+#: Matches of one text that are gathered at a time.
+BLOCK = 128
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
 
 
@@ -51,21 +55,49 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     pieces = F.split(text, rule.pattern, -1)
     rows = F.arrays_zip(whole.alias("whole"), judged.alias("judged"), F.slice(pieces, 1, F.size(whole)).alias("before"))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["before"])
+    def step(at: Column, row: Column) -> tuple[Column, Column]:
+        start = at + F.length(row["before"])
         end = start + F.length(row["whole"])
         span = F.struct(start.cast("long").alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.cast("long").alias("end"))
-        return F.struct(end.cast("long").alias("at"), F.when(F.length(row["judged"]) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return end.cast("long"), F.when(F.length(row["judged"]) >= rule.least, F.array(span)).otherwise(F.array().cast(SPANS))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(rows, none, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.pattern), folded(rows, step, SPANS)[1]).otherwise(F.array().cast(SPANS))
+
+
+def folded(rows: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> tuple[Column, Column]:
+    """Runs step from an offset and a row to the next offset and an array, over all rows: (last offset, all arrays in one).
+
+    An array that grows is copied with every row, so rows are folded in blocks of BLOCK and
+    the blocks' arrays are put together at the end.
+    """
+    none = F.array().cast(kind)
+
+    def within(acc: Column, row: Column) -> Column:
+        at, more = step(acc["at"], row)
+        return F.struct(at.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        last = F.aggregate(part, F.struct(acc["last"]["at"].alias("at"), none.alias("out")), within)
+        return F.struct(last.alias("last"), F.concat(acc["done"], F.array(acc["last"]["out"])).alias("done"))
+
+    count = F.ceil(F.size(rows) / BLOCK).cast("int")
+    parts = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(rows, i * BLOCK + 1, BLOCK))
+    start = F.struct(F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")).alias("last"), F.array().cast(f"array<{kind}>").alias("done"))
+    end = F.aggregate(parts, start, block)
+    return end["last"]["at"], F.flatten(F.concat(end["done"], F.array(end["last"]["out"])))
+
+
+def placed(spans: Column, rules: tuple[Rule, ...]) -> Column:
+    """Spans from a ledger, with the places that their kinds have among today's rules."""
+    places = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(places, s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def scan(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, carry: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(versions with their blob's digest, new ledger rows). versions keeps its columns but the text, and gets `blob`; carry: new rows hold the text as well."""
+    """(versions with their blob's digest, new ledger rows). versions keeps its columns but the text and any named `spans`, and gets `blob`; carry: new rows hold the text as well."""
     body = F.coalesce(named(text), F.lit(""))
-    others = [c for c in versions.columns if c not in (text, "blob")]
+    others = [c for c in versions.columns if c not in (text, "blob", "spans")]
     paths = versions.select(*(named(c) for c in others), F.sha2(body, 256).alias("blob"))
     contents = versions.select(F.sha2(body, 256).alias("blob"), body.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     marks = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
@@ -90,7 +122,7 @@ def findings(paths: DataFrame, new: DataFrame, ledger: DataFrame | None = None,
     blobs = new.select("blob", F.flatten(F.transform("results", lambda r: r["spans"])).alias("spans"))
     if ledger is not None:
         current = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
-        old = ledger.where(F.array_contains(current, F.concat_ws(":", "rule", "version"))).select("blob", "rule", "version", "spans").dropDuplicates(["blob", "rule", "version"])
+        old = ledger.where(F.array_contains(current, F.concat_ws(":", "rule", "version"))).select("blob", "rule", "version", placed(F.col("spans"), rules).alias("spans")).dropDuplicates(["blob", "rule", "version"])
         fresh = entries(new)
         blobs = old.unionByName(fresh).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     # Blobs without findings need not meet their paths.
@@ -112,14 +144,12 @@ def of_kind(kind: str):
 
 def redacted(text: Column, spans: Column, mark: str) -> Column:
     """The text with every run of overlapping spans replaced by mark; spans are ordered by start."""
-    none = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.when(fresh, piece).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.array(F.substr(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit(mark))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, piece).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(spans, none, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    at, pieces = folded(spans, step, "array<string>")
+    return F.concat(F.array_join(pieces, ""), F.substr(text, (at + 1).cast("int")))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -3,14 +3,18 @@
 Each block of vectors carries one sorted list per dimension. For a query, every list is
 read from the end that the query's component favours; each vector met is scored in full
 by random access, and the walk stops once the threshold (the score of a vector standing
-where each list was last read) cannot reach the k-th score found. Blocks of vectors meet
-blocks of queries in an equi-join on the query block, so neither side is ever gathered,
-and only k rows per query and block go to the final ranking.
+where each list was last read) cannot reach the k-th score found. Blocks of vectors are dealt
+into slices by a hash of their first id, and so are blocks of queries; every pair of
+slices is a join key and a task of its own, so neither side is ever gathered. A task hands
+on k rows per query at most for each of its blocks, and only those that its earlier blocks
+do not beat.
 
 Defined results: rows with a null id, a null or empty vector, or a null, NaN or infinite
 component take no part; a query is compared with vectors of its own length; candidates
 that bear the query's id are left out; repeated rows with other ids each count; of
-several queries with one id, the smallest vector is used; an empty table gives no rows.
+several queries with one id, the smallest vector is used; an empty table gives no rows;
+further columns are not read. Vectors so large that a score could pass 64 bits are refused
+with an OverflowError.
 """
 
 from __future__ import annotations
@@ -99,11 +103,18 @@ def walk(q: np.ndarray, own: int, ids: np.ndarray, mat: np.ndarray, order: np.nd
     return got_i, got_s, scored
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, scale: float = 1024.0, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, scale: float = 1024.0, block_rows: int = 4096, query_rows: int = 1024, slice_rows: int = 65536, slice_queries: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the highest inner product, ties to the smaller id."""
     own = integer_vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    qb = blocks(own, query_rows, lists=False).select("dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    vb = blocks(integer_vectors(vectors, id_col, vec_col, scale), block_rows, lists=True)
+    rows, asked = (df.agg(F.count("*")).first()[0] for df in (vectors, queries))
+    # A slice holds slice_rows vectors; smaller tables are cut further, to have work for every core.
+    v_slices = max(-(-rows // slice_rows), min(-(-rows // block_rows), vectors.sparkSession.sparkContext.defaultParallelism), 1)
+    q_slices = max(-(-asked // slice_queries), 1)
+    dealt = lambda ids, n: F.pmod(F.xxhash64(F.substring(ids, 1, 8)), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys, tasks = ["dims", "v_slice", "q_slice"], 2 * v_slices * q_slices
+    qb = blocks(own, query_rows, lists=False).select("dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), dealt("ids", q_slices).alias("q_slice"), all_of(v_slices).alias("v_slice"))
+    vb = blocks(integer_vectors(vectors, id_col, vec_col, scale), block_rows, lists=True).withColumn("v_slice", dealt("ids", v_slices)).withColumn("q_slice", all_of(q_slices))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -112,6 +123,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
                 d, ids = row["dims"], np.frombuffer(row["ids"], "<i8")
                 mat, order = np.frombuffer(row["rows"], "<i8").reshape(-1, d), np.frombuffer(row["lists"], "<i4").reshape(d, -1)
                 q_ids, q_mat = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_rows"], "<i8").reshape(-1, d)
+                if float(np.abs(mat.astype(float)).max(initial=0)) * float(np.abs(q_mat.astype(float)).max(initial=0)) * d >= 2.0**63:
+                    raise OverflowError("a score could pass 64 bits")
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for own_id, q in zip(q_ids.tolist(), q_mat, strict=True):
                     before = known.get(own_id, np.zeros(0, np.int64))
@@ -123,6 +136,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
                     out.append((np.full(len(got_i), own_id), got_i, got_s))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]).astype(np.int64)) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-    hits = vb.join(qb, "dims").mapInArrow(search, HIT)
+    # Both sides are dealt alike beforehand, so that no small slice is merged with others.
+    met = vb.repartition(tasks, *keys).join(qb.repartition(tasks, *keys), keys).select("dims", "ids", "rows", "lists", "q_ids", "q_rows")
+    hits = met.mapInArrow(search, HIT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
