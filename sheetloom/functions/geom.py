@@ -19,9 +19,7 @@ def length(x1="x1", y1="y1", x2="x2", y2="y2") -> Column:
 
 def angle(x1="x1", y1="y1", x2="x2", y2="y2") -> Column:
     """Degrees in [0, 180), whichever way the segment is drawn."""
-    a = F.degrees(F.atan2(F.col(y2) - F.col(y1), F.col(x2) - F.col(x1)))
-    up = F.when(a < 0, a + 180).otherwise(a)
-    return F.when(up >= 180, up - 180).otherwise(up)
+    return F.pmod(F.degrees(F.atan2(F.col(y2) - F.col(y1), F.col(x2) - F.col(x1))), F.lit(180.0))
 
 
 def angle_between(a: Column, b: Column) -> Column:

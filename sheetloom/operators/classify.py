@@ -34,7 +34,7 @@ def in_title_block(x="x0", y="y0") -> Column:
 
 def sheet_text(blocks: DataFrame, sheets: DataFrame) -> DataFrame:
     """K, title_text and all_text: block texts joined by spaces in block order."""
-    placed = blocks.join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K)
+    placed = blocks.join(sheets.select(*K, "page_width", "page_height"), K)
     item = F.struct("block_idx", "text")
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["text"]), " ")
     return placed.groupBy(*K).agg(joined(F.when(in_title_block(), item)).alias("title_text"), joined(item).alias("all_text"))
@@ -83,7 +83,7 @@ def page_range(specs: DataFrame, sheets: DataFrame) -> DataFrame:
     lo = F.trim(ends[0]).try_cast("int")
     hi = F.trim(F.element_at(ends, -1)).try_cast("int")
     want = part.withColumn("lo", F.when(F.col("part") == "all", 1).otherwise(lo)).withColumn("hi", F.when(F.col("part") == "all", F.lit(2**31 - 1)).otherwise(hi))
-    picked = pages.join(F.broadcast(want.where("lo <= hi").select("doc_id", "lo", "hi")), "doc_id").where((F.col("nth") + 1).between(F.col("lo"), F.col("hi")))
+    picked = pages.join(want.where("lo <= hi").select("doc_id", "lo", "hi"), "doc_id").where((F.col("nth") + 1).between(F.col("lo"), F.col("hi")))
     return picked.select("doc_id", "page_no", "nth").distinct()
 
 

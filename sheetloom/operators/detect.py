@@ -25,33 +25,31 @@ def ray_hits(labels: DataFrame, walls: DataFrame, sheets: DataFrame, edge: float
     """
     step = 2 * math.pi / RAYS
     own = labels.select(*CLUSTER, "cx", "cy")
-    seen = own.join(walls.select(*K, "x1", "y1", "x2", "y2"), K)
-    a, b = F.atan2(F.col("y1") - F.col("cy"), F.col("x1") - F.col("cx")), F.atan2(F.col("y2") - F.col("cy"), F.col("x2") - F.col("cx"))
-    turn = F.pmod(b - a + math.pi, F.lit(2 * math.pi)) - math.pi
-    lo, hi = F.least(a, a + turn), F.greatest(a, a + turn)
-    rays = F.sequence(F.floor(lo / step - 1e-6).cast("int"), F.ceil(hi / step + 1e-6).cast("int"))
-    each = seen.withColumn("ray", F.explode(rays)).withColumn("ray", F.pmod("ray", F.lit(RAYS)))
-    dx, dy = F.cos(F.col("ray") * step), F.sin(F.col("ray") * step)
-    ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    det = dx * ey - dy * ex
-    qx, qy = F.col("x1") - F.col("cx"), F.col("y1") - F.col("cy")
-    det = F.when(F.abs(det) > EPS, det)
-    t, u = (qx * ey - qy * ex) / det, (qx * dy - qy * dx) / det
-    met = each.withColumns({"t": t, "u": u}).where(F.col("u").between(-EPS, 1 + EPS) & (F.col("t") > LEAST_HIT) & (F.col("t") <= REACH))
+    # Layers of columns: what several others need is worked out once, and the generated code stays small.
+    seen = own.join(walls.select(*K, "x1", "y1", "x2", "y2"), K).withColumns({"qx": F.col("x1") - F.col("cx"), "qy": F.col("y1") - F.col("cy"), "ex": F.col("x2") - F.col("x1"), "ey": F.col("y2") - F.col("y1")})
+    turned = seen.withColumns({"a": F.atan2("qy", "qx"), "b": F.atan2(F.col("y2") - F.col("cy"), F.col("x2") - F.col("cx"))}).withColumn("turn", F.pmod(F.col("b") - F.col("a") + math.pi, F.lit(2 * math.pi)) - math.pi)
+    rays = F.sequence(F.floor((F.col("a") + F.least("turn", F.lit(0.0))) / step - 1e-6).cast("int"), F.ceil((F.col("a") + F.greatest("turn", F.lit(0.0))) / step + 1e-6).cast("int"))
+    each = turned.select(*CLUSTER, "qx", "qy", "ex", "ey", F.explode(rays).alias("ray")).withColumn("ray", F.pmod("ray", F.lit(RAYS)))
+    toward = {"dx": F.cos(F.col("ray") * step), "dy": F.sin(F.col("ray") * step)}
+    dx, dy = F.col("dx"), F.col("dy")
+    t, u = (F.col("qx") * F.col("ey") - F.col("qy") * F.col("ex")) / F.col("det"), (F.col("qx") * dy - F.col("qy") * dx) / F.col("det")
+    crossed = each.withColumns(toward).withColumn("det", dx * F.col("ey") - dy * F.col("ex")).where(F.abs("det") > EPS)
+    met = crossed.withColumns({"t": t, "u": u}).where(F.col("u").between(-EPS, 1 + EPS) & (F.col("t") > LEAST_HIT) & (F.col("t") <= REACH))
     wall = met.groupBy(*CLUSTER, "ray").agg(F.min("t").alias("wall"))
     other = own.select(*K, F.col("cluster_idx").alias("o"), ((F.col("cx")) / 2).alias("ox"), (F.col("cy") / 2).alias("oy"))
-    mid = own.join(other, K).where(F.col("o") != F.col("cluster_idx")).withColumns({"mx": F.col("cx") / 2 + F.col("ox"), "my": F.col("cy") / 2 + F.col("oy")}).withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1))))
+    mid = own.join(other, K).where(F.col("o") != F.col("cluster_idx")).withColumns({"mx": F.col("cx") / 2 + F.col("ox"), "my": F.col("cy") / 2 + F.col("oy")}).withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).withColumns(toward)
     along = (F.col("mx") - F.col("cx")) * dx + (F.col("my") - F.col("cy")) * dy
     aside = F.abs((F.col("mx") - F.col("cx")) * dy - (F.col("my") - F.col("cy")) * dx)
     far = F.hypot(F.col("mx") - F.col("cx"), F.col("my") - F.col("cy"))
     half = mid.withColumns({"far": far, "along": along, "aside": aside}).where((F.col("far") > LEAST_HIT) & (F.col("along") > 0) & (F.col("aside") <= 50)).groupBy(*CLUSTER, "ray").agg(F.min_by(F.struct("far", "mx", "my"), F.struct(F.round("far", 6), "mx", "my")).alias("half"))
-    full = own.join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K).withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).join(wall, [*CLUSTER, "ray"], "left").join(half, [*CLUSTER, "ray"], "left")
+    full = own.join(sheets.select(*K, "page_width", "page_height"), K).withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).join(wall, [*CLUSTER, "ray"], "left").join(half, [*CLUSTER, "ray"], "left").withColumns(toward)
     side = lambda d, c, hi_: F.when(d > EPS, (hi_ - c) / F.when(d > EPS, d)).when(d < -EPS, c / F.when(d < -EPS, -d))
     out = F.least(side(dx, F.col("cx"), F.col("page_width") * edge), side(dy, F.col("cy"), F.col("page_height")))
     end = F.least(F.greatest(F.coalesce(out, F.lit(REACH)), F.lit(0.0)), F.lit(REACH))
-    distance = F.coalesce("wall", "half.far", end)
+    distance = F.col("distance")
+    full = full.withColumn("end", end).withColumn("distance", F.coalesce("wall", "half.far", "end"))
     point = lambda c, d, m: F.when(F.col("wall").isNull() & F.col("half").isNotNull(), F.col(m)).otherwise(F.col(c) + d * distance)
-    return full.select(*CLUSTER, "cx", "cy", "ray", distance.alias("distance"), point("cx", dx, "half.mx").alias("hx"), point("cy", dy, "half.my").alias("hy"), F.col("wall").isNotNull().alias("is_wall"))
+    return full.select(*CLUSTER, "cx", "cy", "ray", "distance", point("cx", dx, "half.mx").alias("hx"), point("cy", dy, "half.my").alias("hy"), F.col("wall").isNotNull().alias("is_wall"))
 
 
 def label_boundaries(hits: DataFrame, least: float = 0.5) -> DataFrame:

@@ -21,10 +21,11 @@ ROOM_TOKEN = r"(?:^|\s)(\d{2,4}[A-Z]?|[A-Z]-?\d{2,4})(?:\s|$)"
 def height_of(text: Column) -> Column:
     """Feet, from the first pattern whose value is plausible; else null."""
     t = F.upper(F.trim(text))
-    fits = lambda hit, v: F.when(hit & v.between(LOWEST, HIGHEST), v)
-    imperial = [fits(t.rlike(p), number(F.regexp_extract(t, p, 1)) + number(F.regexp_extract(t, p, 2)) / 12) for p in IMPERIAL]
-    metric = [fits(t.rlike(p), number(F.regexp_extract(t, p, 1)) * (unit * 3.28084)) for p, unit in METRIC]
-    return F.coalesce(*imperial, *metric)
+    hit = lambda p, feet, inches: F.struct(F.regexp_extract(t, p, 1).alias("a"), inches.alias("b"), F.lit(feet).alias("feet"))
+    # Each pattern is tried once: what it found is bound before it is judged. No match leaves a empty.
+    found = [hit(p, 1.0, F.regexp_extract(t, p, 2)) for p in IMPERIAL] + [hit(p, unit * 3.28084, F.lit("")) for p, unit in METRIC]
+    values = F.transform(F.filter(F.array(*found), lambda h: h["a"] != ""), lambda h: number(h["a"]) * h["feet"] + number(h["b"]) / 12)
+    return F.get(F.filter(values, lambda v: v.between(LOWEST, HIGHEST)), F.lit(0))
 
 
 def height_mentions(blocks: DataFrame) -> DataFrame:
@@ -46,25 +47,27 @@ def match_heights(rooms: DataFrame, heights: DataFrame, share: float = 0.1) -> D
     """rooms + height, height_confidence, height_source. rooms: doc_id, page_no, poly_idx, name, cx, cy, page_width.
 
     A document's notes are matched by name (HIGH), by number (MEDIUM; the last note of a
-    key counts), or by the nearest one within a share of the sheet's width (LOW).
+    key counts), or by the nearest one within a share of the sheet's width (LOW). The
+    nearest is sought in cells as wide as the farthest reach in the document.
     """
     last = lambda key: heights.where(key.isNotNull()).groupBy("doc_id", key.alias("key")).agg(F.max_by("height", F.struct("page_no", "block_idx")).alias("h"))
     by_name, by_number = last(name_key(F.col("room"))), last(number_key(F.col("room")))
     keyed = rooms.withColumns({"k1": name_key(F.col("name")), "k2": number_key(F.col("name"))})
     one = keyed.join(by_name.select("doc_id", F.col("key").alias("k1"), F.col("h").alias("h1")), ["doc_id", "k1"], "left")
     two = one.join(by_number.select("doc_id", F.col("key").alias("k2"), F.col("h").alias("h2")), ["doc_id", "k2"], "left")
-    open_ = two.where("h1 is null and h2 is null").select("doc_id", "page_no", "poly_idx", "cx", "cy", "page_width")
-    at = heights.select("doc_id", F.col("page_no").alias("note_page"), "block_idx", F.col("height").alias("h3"), "hx", "hy")
+    reach = rooms.groupBy("doc_id").agg((share * F.max("page_width")).alias("cell")).where("cell > 0")
+    open_ = two.where("h1 is null and h2 is null").select("doc_id", "page_no", "poly_idx", "cx", "cy", "page_width").join(reach, "doc_id")
+    at = heights.join(reach, "doc_id").select("doc_id", "cell", F.col("page_no").alias("note_page"), "block_idx", F.col("height").alias("h3"), "hx", "hy")
     far = F.hypot(F.col("hx") - F.col("cx"), F.col("hy") - F.col("cy"))
-    cell = lambda x: F.floor(F.col(x) / (share * 1000.0))
+    cell = lambda x: F.floor(F.col(x) / F.col("cell"))
     step = F.sequence(F.lit(-1), F.lit(1))
     near = open_.withColumns({"gx": cell("cx"), "gy": cell("cy")}).withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).withColumns({"gx": F.col("gx") + F.col("i"), "gy": F.col("gy") + F.col("j")})
-    met = near.join(at.withColumns({"gx": cell("hx"), "gy": cell("hy")}), ["doc_id", "gx", "gy"]).withColumn("far", far).where(F.col("far") <= share * F.least("page_width", F.lit(1000.0)))
+    met = near.drop("cell").join(at.withColumns({"gx": cell("hx"), "gy": cell("hy")}), ["doc_id", "gx", "gy"]).withColumn("far", far).where(F.col("far") < share * F.col("page_width"))
     best = met.groupBy("doc_id", "page_no", "poly_idx").agg(F.min_by("h3", F.struct(F.round("far", 6), "note_page", "block_idx")).alias("h3"))
     full = two.join(best, ["doc_id", "page_no", "poly_idx"], "left")
     pick = lambda *v: reduce(lambda c, x: c.when(F.col(x[0]).isNotNull(), x[1]), v[1:-1], F.when(F.col(v[0][0]).isNotNull(), v[0][1])).otherwise(v[-1])
     level = pick(("h1", "HIGH"), ("h2", "MEDIUM"), ("h3", "LOW"), "NONE")
-    source = pick(("h1", "rcp_exact_match"), ("h2", "rcp_number_match"), ("h3", "rcp_proximity"), "default")
+    source = pick(("h1", "rcp_name_match"), ("h2", "rcp_number_match"), ("h3", "rcp_location"), "default")
     return full.select(*rooms.columns, F.coalesce("h1", "h2", "h3", F.lit(DEFAULT_HEIGHT)).alias("height"), level.alias("height_confidence"), source.alias("height_source"))
 
 

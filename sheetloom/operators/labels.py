@@ -79,7 +79,7 @@ def classify_labels(blocks: DataFrame, sheets: DataFrame, least: float = 0.5, st
     made = lambda k, c: F.struct(F.lit(k).alias("label_type"), F.lit(c).alias("sure"))
     hit = reduce(lambda w, k: w.when(norm.rlike(k[0]), made(*k[1:])), kinds[1:], F.when(norm.rlike(kinds[0][0]), made(*kinds[0][1:])))
     out = (*EXCLUDED, *(STRICT if strict_exclusions else ()))
-    got = with_center(blocks.where(sized & ~any_of(t, out))).withColumn("hit", hit).where("hit is not null").join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K)
+    got = with_center(blocks.where(sized & ~any_of(t, out))).withColumn("hit", hit).where("hit is not null").join(sheets.select(*K, "page_width", "page_height"), K)
     inside = F.col("cx") < F.col("page_width") * right
     base = (F.when(F.col("source") == "embedded", 0.95).otherwise(F.col("confidence")) + F.col("hit.sure")) / 2
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(inside, base).otherwise(base * 0.5)))
@@ -122,7 +122,7 @@ def match_labels(labels: DataFrame, polygons: DataFrame, grow: float = 0.15) ->
     """K, poly_idx, block_idx, room_name, name_confidence: in polygon order, each label once.
 
     A label inside the ring is HIGH, one inside the grown box MEDIUM, the nearest within
-    half the box's diagonal LOW; polygons without one are named ROOM_n, NONE.
+    half the box's diagonal LOW; the nth polygon without one is named ROOM_n, NONE.
     """
     p = polygons.withColumns({"bx": box(F.col("vertices")), "c": centroid(F.col("vertices"))})
     w, h = F.col("bx.x1") - F.col("bx.x0"), F.col("bx.y1") - F.col("bx.y0")
@@ -130,13 +130,13 @@ def match_labels(labels: DataFrame, polygons: DataFrame, grow: float = 0.15) ->
     far = F.hypot(F.col("lx") - F.col("c.x"), F.col("ly") - F.col("c.y"))
     inside = in_ring(F.col("lx"), F.col("ly"), F.col("vertices"))
     near = F.col("lx").between(F.col("bx.x0") - grow * w, F.col("bx.x1") + grow * w) & F.col("ly").between(F.col("bx.y0") - grow * h, F.col("bx.y1") + grow * h)
-    tier = F.when(inside, 0).when(near, 1).when(far <= F.hypot(w, h) / 2, 2)
+    tier = F.when(inside, 0).when(near, 1).when(far < F.hypot(w, h) / 2, 2)
     # Tiers 0 and 1 take the first label in block order, tier 2 the nearest.
     rank = F.format_string("%06d-%d-%014.6f-%06d", F.col("poly_idx"), F.col("tier"), F.when(F.col("tier") == 2, F.col("far")).otherwise(0.0), F.col("block_idx"))
     edges = pair.withColumns({"tier": tier, "far": far}).where("tier is not null").select(*K, "poly_idx", "block_idx", "text", "tier", rank.alias("rank"))
     taken = priority_matching(edges, "poly_idx", "block_idx", "rank", shared=False)
     full = polygons.select(*K, "poly_idx").join(taken, [*K, "poly_idx"], "left")
-    nth = F.row_number().over(Window.partitionBy(*K).orderBy("poly_idx"))
+    nth = F.row_number().over(Window.partitionBy(*K, F.col("tier").isNull()).orderBy("poly_idx"))
     level = F.when(F.col("tier") == 0, "HIGH").when(F.col("tier") == 1, "MEDIUM").when(F.col("tier") == 2, "LOW")
     return full.select(*K, "poly_idx", "block_idx", F.coalesce("text", F.format_string("ROOM_%d", nth)).alias("room_name"), F.coalesce(level, F.lit("NONE")).alias("name_confidence"))
 

@@ -106,7 +106,7 @@ def legend_region(blocks: DataFrame, sheets: DataFrame) -> DataFrame:
     """K, lx0, ly0, lx1, ly1, keyword: the area around the best legend heading."""
     upper = F.upper("text")
     place = F.coalesce(*(F.when(upper.contains(w), F.lit(i)) for i, w in enumerate(LEGEND_WORDS)))
-    heads = blocks.withColumn("place", place).where("place is not null").join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K)
+    heads = blocks.withColumn("place", place).where("place is not null").join(sheets.select(*K, "page_width", "page_height"), K)
     best = heads.withColumn("left", (F.col("x0") < 0.7 * F.col("page_width")).cast("int")).withColumn("nth", F.row_number().over(Window.partitionBy(*K).orderBy("place", "left", "block_idx"))).where("nth = 1")
     word = F.element_at(F.array(*map(F.lit, LEGEND_WORDS)), F.col("place") + 1)
     clamp = lambda v, hi: F.greatest(F.lit(0.0), F.least(v, F.col(hi)))
@@ -116,7 +116,7 @@ def legend_region(blocks: DataFrame, sheets: DataFrame) -> DataFrame:
 def legend_entries(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """K, phase, label, block_idx, confidence: the first block of each phase in a sheet's legend."""
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    inside = blocks.join(F.broadcast(regions), K).where(cx.between(F.col("lx0"), F.col("lx1")) & cy.between(F.col("ly0"), F.col("ly1")))
+    inside = blocks.join(regions, K).where(cx.between(F.col("lx0"), F.col("lx1")) & cy.between(F.col("ly0"), F.col("ly1")))
     phases = F.array_compact(F.array(*(F.when(F.upper("text").rlike("|".join(f"(?:{p})" for p in ps)), F.lit(k)) for k, ps in ENTRY_PATTERNS.items())))
     hits = inside.where(~F.upper("text").contains("LEGEND")).withColumn("phase", F.explode(phases))
     return hits.groupBy(*K, "phase").agg(F.min_by("text", "block_idx").alias("label"), F.min("block_idx").alias("block_idx"), F.lit(0.85).alias("confidence"))
@@ -136,11 +136,18 @@ def legend_or_default(entries: DataFrame, sheets: DataFrame) -> DataFrame:
     return own.unionByName(rest)
 
 
-def legend_fill_match(fills: DataFrame, key: list[str], tolerance: float = 0.1) -> DataFrame:
-    """key, phase of the trade's legend entries that a fill agrees with."""
-    fits = lambda p, gray: F.when(F.col("fill").isNull(), F.lit(p == "NONE")).otherwise(F.lit(False) if gray is None else F.coalesce(F.forall(F.slice("fill", 1, 3), lambda v: F.abs(v - gray) <= tolerance), F.lit(False)))
-    hits = F.array_compact(F.array(*(F.when(fits(p, g), F.lit(ph)) for _, ph, p, g, *_ in DEFAULT_LEGEND)))
-    return fills.select(*key, F.explode(hits).alias("phase"))
+def legend_fill_match(fills: DataFrame, entries: DataFrame, *key: str, tolerance: float = 0.1) -> DataFrame:
+    """K, key, phase of those of a sheet's legend entries (its own, or the trade's) that a fill agrees with.
+
+    An entry's fill follows from its phase. No fill agrees with entries drawn without one;
+    a fill agrees with an entry's color if each of its first three channels is near it.
+    """
+    drawn = F.create_map(*(F.lit(x) for _, phase, pattern, *_ in DEFAULT_LEGEND for x in (phase, pattern)))
+    gray = {phase: v for _, phase, _, v, *_ in DEFAULT_LEGEND if v is not None}
+    color = F.element_at(F.create_map(*(F.lit(x) for kv in gray.items() for x in kv)), F.col("phase"))
+    near = (F.size("fill") >= 3) & F.forall(F.slice("fill", 1, 3), lambda v: F.abs(v - color) < tolerance)
+    fits = F.when(F.col("fill").isNull(), F.element_at(drawn, F.col("phase")) == "NONE").otherwise(color.isNotNull() & near)
+    return fills.select(*K, *key, "fill").join(entries.select(*K, "phase"), K).where(fits).select(*K, *key, "phase")
 
 
 def classify(segments: DataFrame, regions: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def wall_reason(strict: bool = False) -> Column:
 
 
 def judged_walls(segments: DataFrame, sheets: DataFrame, strict: bool = False) -> DataFrame:
-    placed = with_geometry(segments).join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K)
+    placed = with_geometry(segments).join(sheets.select(*K, "page_width", "page_height"), K)
     return placed.withColumn("reason", wall_reason(strict))
 
 
@@ -63,7 +63,7 @@ def border_bounds(segments: DataFrame, sheets: DataFrame) -> DataFrame:
         F.min(F.least("x1", "x2")).alias("bx0"), F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("x1", "x2")).alias("bx1"), F.max(F.greatest("y1", "y2")).alias("by1"), F.count("*").alias("n"))
     w, h = F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")
     ok = (F.col("n") >= 4) & (w >= 0.5 * F.col("page_width")) & (h >= 0.5 * F.col("page_height")) & ~((w > 0.98 * F.col("page_width")) & (h > 0.98 * F.col("page_height")))
-    return heavy.join(F.broadcast(sheets), K).where(ok).select(*K, F.col("bx0").alias("x0"), F.col("by0").alias("y0"), F.col("bx1").alias("x1"), F.col("by1").alias("y1"))
+    return heavy.join(sheets, K).where(ok).select(*K, F.col("bx0").alias("x0"), F.col("by0").alias("y0"), F.col("bx1").alias("x1"), F.col("by1").alias("y1"))
 
 
 def clip_midpoint(segments: DataFrame, bounds: DataFrame, margin: float = 50.0) -> DataFrame:
@@ -71,15 +71,15 @@ def clip_midpoint(segments: DataFrame, bounds: DataFrame, margin: float = 50.0)
     b = bounds.select(*K, *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
     mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     inside = mx.between(F.col("b_x0") + margin, F.col("b_x1") - margin) & my.between(F.col("b_y0") + margin, F.col("b_y1") - margin)
-    return segments.join(F.broadcast(b), K, "left").where(F.col("b_x0").isNull() | inside).select(segments.columns)
+    return segments.join(b, K, "left").where(F.col("b_x0").isNull() | inside).select(segments.columns)
 
 
 def with_doc_bounds(df: DataFrame, sheets: DataFrame, bounds: DataFrame | None) -> DataFrame:
     """+ left, top, right, bottom of the drawing area in points; without bounds, all but the right 15 %."""
     cols = ["x_min", "x_max", "y_min", "y_max"]
-    placed = df.join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K)
+    placed = df.join(sheets.select(*K, "page_width", "page_height"), K)
     if bounds is not None:
-        placed = placed.join(F.broadcast(bounds.select("doc_id", *cols)), "doc_id", "left")
+        placed = placed.join(bounds.select("doc_id", *cols), "doc_id", "left")
     else:
         placed = placed.withColumns(dict.fromkeys(cols, F.lit(None).cast("double")))
     default = dict(zip(cols, (0.0, 0.85, 0.0, 1.0), strict=True))
@@ -224,11 +224,9 @@ def cascade_stats(cascaded: DataFrame) -> DataFrame:
 
 
 def wall_color() -> Column:
-    """Whether a colour can be a wall's: none, gray, or nearly black."""
+    """Whether a colour can be a wall's: none, or dark in its gray value or in all of red, green and blue. Two channels are no known format and pass."""
     c = F.col("color")
-    channel = lambda i: F.get(c, F.lit(i))
-    gray = (F.size(c) < 3) | ((F.abs(channel(0) - channel(1)) < 0.1) & (F.abs(channel(1) - channel(2)) < 0.1) & (F.abs(channel(0) - channel(2)) < 0.1))
-    return c.isNull() | (F.size(c) == 0) | F.coalesce(gray | F.forall(F.slice(c, 1, 3), lambda v: v < 0.2), F.lit(True))
+    return c.isNull() | F.size(c).isin(0, 2) | F.forall(F.slice(c, 1, 3), lambda v: v < 0.2)
 
 
 def axis(slope: float) -> Column:
@@ -244,7 +242,7 @@ def by_position(segments: DataFrame, sheets: DataFrame, least: float, cell: floa
     pos = F.rint(F.when(F.col("axis") == "H", F.col("mid_y")).otherwise(F.col("mid_x")) / cell) * cell
     placed = g.withColumn("pos", pos)
     groups = placed.groupBy(*K, "axis", "pos").agg(F.count("*").alias("n"), F.sum("length").alias("total"), (along(F.max) - along(F.min)).alias("span"))
-    page = F.broadcast(sheets.select(*K, "page_width", "page_height"))
+    page = sheets.select(*K, "page_width", "page_height")
     return placed.select(*ID, "axis", "pos", F.col("length")).join(groups, [*K, "axis", "pos"]).join(page, K)
 
 
@@ -276,7 +274,7 @@ def cluster_positions(positions: DataFrame, gap: float = 10.0) -> DataFrame:
 
 def walls_only(segments: DataFrame, sheets: DataFrame, grid: DataFrame, edge: float = 0.78) -> DataFrame:
     """segments + reason: the first of ten rules that rejects each (null: kept). grid: K, axis, pos."""
-    g = with_geometry(segments).join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K)
+    g = with_geometry(segments).join(sheets.select(*K, "page_width", "page_height"), K)
     places = grid.groupBy(*K).agg(*(F.collect_set(F.when(F.col("axis") == a, F.col("pos"))).alias(f"grid_{a}") for a in "HV"))
     g = g.join(places, K, "left").withColumn("axis", axis(0.1))
     w = F.coalesce("width", F.lit(0.0))
@@ -316,7 +314,7 @@ def zone_reason() -> Column:
 
 
 def zone_filter(segments: DataFrame, sheets: DataFrame) -> DataFrame:
-    return with_geometry(segments).join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K).withColumn("reason", zone_reason())
+    return with_geometry(segments).join(sheets.select(*K, "page_width", "page_height"), K).withColumn("reason", zone_reason())
 
 
 def title_block_line(segments: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -328,7 +326,7 @@ def title_block_line(segments: DataFrame, sheets: DataFrame) -> DataFrame:
     """
     pages = sheets.withColumns({"nth": F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")), "pages": F.count("*").over(Window.partitionBy("doc_id"))})
     first = pages.where(F.col("nth") <= F.when(F.col("pages") < 5, 3).otherwise(5))
-    g = with_geometry(segments).join(F.broadcast(first.select(*K, "page_width", "page_height")), K)
+    g = with_geometry(segments).join(first.select(*K, "page_width", "page_height"), K)
     at = g.withColumn("at", F.col("mid_x") / F.col("page_width")).where((F.abs(F.col("angle") - 90) <= 5) & F.col("at").between(0.6, 0.98) & (F.col("length") >= 0.3 * F.col("page_height")))
     by = Window.partitionBy(*K).orderBy("at", "seg_idx")
     new = F.coalesce((F.col("at") - F.lag("at").over(by) > 0.02).cast("int"), F.lit(1))

@@ -180,7 +180,7 @@ def faces(edges: DataFrame) -> DataFrame:
 def filter_polygons(polygons: DataFrame, sheets: DataFrame, least: float = 10000.0, share: float = 0.85, corners: int = 4) -> DataFrame:
     """Polygons that can be rooms: large enough, not most of the sheet, with enough corners."""
     a = area(F.col("vertices"))
-    return polygons.join(F.broadcast(sheets.select(*K, "page_width", "page_height")), K).where((a >= least) & (a <= share * F.col("page_width") * F.col("page_height")) & (F.size("vertices") >= corners)).select(polygons.columns)
+    return polygons.join(sheets.select(*K, "page_width", "page_height"), K).where((a >= least) & (a <= share * F.col("page_width") * F.col("page_height")) & (F.size("vertices") >= corners)).select(polygons.columns)
 
 
 def suppress_overlaps(polygons: DataFrame, most: float = 0.9) -> DataFrame:

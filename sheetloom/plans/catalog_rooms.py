@@ -47,7 +47,7 @@ def merge_text(spark, d):
 
 @query("image_to_page", "select doc_id, page_no, block_idx, round(x0 * page_width / 2000, 4) as x0, round(page_height - y1 * page_height / 1500, 4) as y0, round(x1 * page_width / 2000, 4) as x1, round(page_height - y0 * page_height / 1500, 4) as y1 from v_blocks join v_sheets using (doc_id, page_no)", "v_sheets", "v_text_blocks")
 def image_to_page(spark, d):
-    b = views.text_blocks(spark, d).join(F.broadcast(views.sheets(spark, d).select(*K, "page_width", "page_height")), K)
+    b = views.text_blocks(spark, d).join(views.sheets(spark, d).select(*K, "page_width", "page_height"), K)
     p = L.image_to_page(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), F.lit(2000.0), F.lit(1500.0), F.col("page_width"), F.col("page_height"))
     return b.withColumn("p", p).select(*K, "block_idx", *(F.round(f"p.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
@@ -209,7 +209,8 @@ def boundary_methods(spark, d):
 @query("detected_rooms", None)
 def detected_rooms(spark, d):
     """The flagship: clustered labels, rays, boundaries and measured rooms."""
-    c = written(clusters(spark, d))
+    # A room goes by its cluster's primary label.
+    c = written(clusters(spark, d).withColumn("label_text", F.col("primary_label")))
     rooms = D.finalize_detected(D.detected_rooms(c, keyed(spark, d, c)[1], F.lit(9.0)))
     return rooms.select(*K, "room_id", "name", "method", "level", F.round("area_sqft", 2).alias("area_sqft"))
 

@@ -135,7 +135,7 @@ def stretched(segments):
  case when seg_idx % 50 = 0 and x1 = x2 then 10.0 else y1 end as y1, case when seg_idx % 50 = 0 and x1 = x2 then 830.0 else y2 end as y2) from gp) select doc_id, page_no, seg_idx from st where {GRID}""")
 def grid_lines(spark, d):
     s, p = both(spark, d)
-    g = S.with_geometry(stretched(s)).join(F.broadcast(p.select(*K, "page_width", "page_height")), K)
+    g = S.with_geometry(stretched(s)).join(p.select(*K, "page_width", "page_height"), K)
     return g.where(S.grid_lines()).select(*ID)
 
 
@@ -206,7 +206,7 @@ def filter_stats(spark, d):
     return S.cascade_stats(cascaded(spark, d)).withColumn("removal_rate", F.round("removal_rate", 4))
 
 
-COLOR = "(fill_gray is null or (abs(fill_gray - fill_gray * 0.5) < 0.1 and fill_gray * 0.5 < 0.1 and fill_gray < 0.1) or fill_gray < 0.2)"
+COLOR = "(fill_gray is null or (fill_gray < 0.2 and fill_gray * 0.5 < 0.2))"
 
 
 @query("wall_color", f"select doc_id, page_no, seg_idx, {COLOR} as is_wall_color from geo")

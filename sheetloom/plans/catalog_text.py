@@ -171,19 +171,21 @@ def room_keys(spark, d):
     return views.text_blocks(spark, d).select(*K, "block_idx", H.name_key(F.col("text")).alias("name_key"), H.number_key(F.col("text")).alias("number_key"))
 
 
+#: Sheets of three sizes: letter, the views' own, and D.
+WIDTHS = "cast(case page_no % 3 when 0 then 612 when 1 then 1000 else 2592 end as double)"
 ROOMH = f"""{HEIGHTS}, notes as (select * from heights where page_no % 4 = 3),
-rm as (select doc_id, page_no, poly_idx, 'OFFICE ' || (100 + poly_idx) as name, case when notch = 1 then (x0 + w / 2) * 4 / 3 - (x0 + w * 0.75) / 3 else x0 + w / 2 end as cx, case when notch = 1 then (y0 + h / 2) * 4 / 3 - (y0 + h * 0.75) / 3 else y0 + h / 2 end as cy, 1000.0 as page_width,
+rm as (select doc_id, page_no, poly_idx, 'OFFICE ' || (100 + poly_idx) as name, case when notch = 1 then (x0 + w / 2) * 4 / 3 - (x0 + w * 0.75) / 3 else x0 + w / 2 end as cx, case when notch = 1 then (y0 + h / 2) * 4 / 3 - (y0 + h * 0.75) / 3 else y0 + h / 2 end as cy, {WIDTHS} as page_width,
   case when notch = 1 then w * h * 0.75 else w * h end / 81 as floor_area, 2 * (w + h) / 9 as perimeter from v_polygons),
 bn as (select doc_id, regexp_extract(room, '(\\d{{2,4}})', 1) as k, arg_max(height, [page_no, block_idx]) as h2 from notes where room is not null group by all),
-nn as (select rm.doc_id, rm.page_no, rm.poly_idx, arg_min(height, [round(sqrt((hx - cx) * (hx - cx) + (hy - cy) * (hy - cy)), 6), notes.page_no, block_idx]) as h3 from rm join notes using (doc_id) where (hx - cx) * (hx - cx) + (hy - cy) * (hy - cy) <= 10000 group by rm.doc_id, rm.page_no, rm.poly_idx),
-mh as (select rm.*, coalesce(h2, h3, 10) as height, case when h2 is not null then 'MEDIUM' when h3 is not null then 'LOW' else 'NONE' end as height_confidence, case when h2 is not null then 'rcp_number_match' when h3 is not null then 'rcp_proximity' else 'default' end as height_source
+nn as (select rm.doc_id, rm.page_no, rm.poly_idx, arg_min(height, [round(sqrt((hx - cx) * (hx - cx) + (hy - cy) * (hy - cy)), 6), notes.page_no, block_idx]) as h3 from rm join notes using (doc_id) where sqrt((hx - cx) * (hx - cx) + (hy - cy) * (hy - cy)) < 0.1 * page_width group by rm.doc_id, rm.page_no, rm.poly_idx),
+mh as (select rm.*, coalesce(h2, h3, 10) as height, case when h2 is not null then 'MEDIUM' when h3 is not null then 'LOW' else 'NONE' end as height_confidence, case when h2 is not null then 'rcp_number_match' when h3 is not null then 'rcp_location' else 'default' end as height_source
   from rm left join bn on bn.doc_id = rm.doc_id and bn.k = cast(100 + poly_idx as varchar) left join nn on nn.doc_id = rm.doc_id and nn.page_no = rm.page_no and nn.poly_idx = rm.poly_idx)"""
 
 
 def matched_rooms(spark, d):
     notes = H.height_mentions(views.text_blocks(spark, d)).where("page_no % 4 = 3")
     r = measure.measured(measure.centroids(views.polygons(spark, d)), F.lit(9.0), F.lit(10.0))
-    rooms = r.select(*K, "poly_idx", F.concat(F.lit("OFFICE "), (100 + F.col("poly_idx")).cast("string")).alias("name"), F.col("centroid.x").alias("cx"), F.col("centroid.y").alias("cy"), F.lit(1000.0).alias("page_width"), "floor_area", "perimeter")
+    rooms = r.select(*K, "poly_idx", F.concat(F.lit("OFFICE "), (100 + F.col("poly_idx")).cast("string")).alias("name"), F.col("centroid.x").alias("cx"), F.col("centroid.y").alias("cy"), F.expr(WIDTHS).alias("page_width"), "floor_area", "perimeter")
     return H.match_heights(rooms, notes)
 
 
@@ -296,9 +298,10 @@ def legend_or_default(spark, d):
     return P.legend_or_default(*legend(spark, d))
 
 
-@query("legend_fill_match", "select doc_id, page_no, seg_idx, phase from v_segments join (values ('NEW', 0), ('EXISTING', 1), ('DEMO', 0)) t(phase, gray) on (fill_gray is null and gray = 0) or (gray = 1 and abs(fill_gray - 0.5) <= 0.1)", "v_segments")
+@query("legend_fill_match", f"""with {LEGEND}, en as (select doc_id, page_no, phase from le union all select doc_id, page_no, phase from v_sheets anti join (select distinct doc_id, page_no from le) using (doc_id, page_no), (values ('NEW'), ('EXISTING'), ('NOT_IN_CONTRACT'), ('DEMO')) t(phase))
+select doc_id, page_no, seg_idx, phase from v_segments join en using (doc_id, page_no) where (fill_gray is null and phase in ('NEW', 'DEMO')) or (phase = 'EXISTING' and abs(fill_gray - 0.5) < 0.1)""", *BLK, "v_segments")
 def legend_fill_match(spark, d):
-    return P.legend_fill_match(views.segments(spark, d), [*K, "seg_idx"])
+    return P.legend_fill_match(views.segments(spark, d), P.legend_or_default(*legend(spark, d)), "seg_idx")
 
 
 @query("classify_phases", f"with {CLASSED} select doc_id, page_no, seg_idx, phase, confidence, method from classed", *SP)

@@ -188,4 +188,4 @@ def test_label_matches(spark):
     polys = spark.sql(" union all ".join(f"select 0L as doc_id, 0L as page_no, {i}L as poly_idx, {sq.format(x=x, x2=x + 100)} as vertices" for i, x in enumerate((100, 300, 500))))
     labs = spark.createDataFrame([(0, 0, 0, "A", 160.0, 150.0), (0, 0, 1, "B", 300.5, 150.0)], "doc_id long, page_no long, block_idx long, text string, cx double, cy double")
     got = labels.match_labels(labs, polys).orderBy("poly_idx").collect()
-    assert [(r.room_name, r.name_confidence) for r in got] == [("A", "HIGH"), ("B", "HIGH"), ("ROOM_3", "NONE")]
+    assert [(r.room_name, r.name_confidence) for r in got] == [("A", "HIGH"), ("B", "HIGH"), ("ROOM_1", "NONE")]
