@@ -106,13 +106,15 @@ def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The rows, written to the shared folder in as many buckets by key as shuffles have partitions: joins on key leave them where they are.
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows, written to the shared folder in as many buckets by keys as shuffles have partitions: joins on keys leave them where they are.
 
     The table's name serves to read it once and is given up again; the files stay.
     """
     spark, name = df.sparkSession, f"kept_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", shared_dir(spark)).saveAsTable(name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket is a task's, so that each makes one file.
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).option("path", shared_dir(spark)).saveAsTable(name)
     rows = spark.table(name)
     spark.sql(f"drop table {name}")
     return rows
