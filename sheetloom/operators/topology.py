@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions.geom import angle_between, area, line_distance, ratio
 from sheetloom.functions.greedy import components, priority_matching
+from sheetloom.functions.lineage import written
 from sheetloom.operators.detect import overlaps
-from sheetloom.operators.segments import around, ends, with_geometry
+from sheetloom.operators.segments import around, ends, grid_chains, walls_only, with_geometry
 from sheetloom.sources.views import K
 
 ID = [*K, "seg_idx"]
@@ -121,7 +122,34 @@ def node_segments(segments: DataFrame, cell: float = 256.0, snap: float = 1e-6)
 
 
 def faces(edges: DataFrame) -> DataFrame:
-    """K, poly_idx, vertices, area, dangles, cuts: bounded faces of each sheet's noded graph, with what was pruned."""
+    """K, poly_idx, vertices, area, hole_area, dangles, cuts: bounded faces of each sheet's noded graph, with what was pruned.
+
+    vertices is the outer ring, hole_area that of the holes (whole parts of the graph that lie in the face, or touch its ring
+    from within at one point), and area is without them.
+    """
+
+    def simple(walk: list[int]) -> list[list[int]]:
+        """A closed walk over nodes as rings that meet no node twice."""
+        rings, path, at = [], [], {}
+        for x in walk:
+            if x in at:
+                rings.append(path[at[x] :])
+                for y in path[at[x] :]:
+                    del at[y]
+                path = path[: len(path) - len(rings[-1])]
+            at[x] = len(path)
+            path.append(x)
+        return [*rings, path]
+
+    def surface(ring: np.ndarray) -> float:
+        nx = np.roll(ring, -1, 0)
+        return float((ring[:, 0] * nx[:, 1] - nx[:, 0] * ring[:, 1]).sum() / 2)
+
+    def holds(ring: np.ndarray, x: float, y: float) -> bool:
+        nx = np.roll(ring, -1, 0)
+        over = (ring[:, 1] > y) != (nx[:, 1] > y)
+        r, n = ring[over], nx[over]
+        return bool((r[:, 0] + (y - r[:, 1]) * (n[:, 0] - r[:, 0]) / (n[:, 1] - r[:, 1]) > x).sum() % 2)
 
     def sheet(pdf: pd.DataFrame) -> pd.DataFrame:
         pts, node = np.unique(np.concatenate([pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()]), axis=0, return_inverse=True)
@@ -161,26 +189,41 @@ def faces(edges: DataFrame) -> DataFrame:
                 break
             cuts += int(bridge.sum())
             u, v = u[~bridge], v[~bridge]
-        rows = []
+        rows, outer = [], []
         for walk in walks:
-            ring = pts[a[walk]]
-            nx = np.roll(ring, -1, 0)
-            signed = float((ring[:, 0] * nx[:, 1] - nx[:, 0] * ring[:, 1]).sum() / 2)
-            if signed > 0:
-                low = int(np.lexsort((ring[:, 1], ring[:, 0]))[0])
-                rows.append((signed, [{"x": float(x), "y": float(y)} for x, y in np.roll(ring, -low, 0)]))
+            nodes = a[walk]
+            if surface(pts[nodes]) <= 0:
+                outer.append(nodes)
+                continue
+            rings = [pts[r] for r in simple(nodes.tolist())]
+            sizes = [surface(r) for r in rings]
+            shell = int(np.argmax(sizes))
+            low = int(np.lexsort((rings[shell][:, 1], rings[shell][:, 0]))[0])
+            rows.append([sizes[shell], np.roll(rings[shell], -low, 0), -sum(v for v in sizes if v < 0), set(nodes.tolist())])
+        if rows:
+            low, high = np.array([r[1].min(0) for r in rows]), np.array([r[1].max(0) for r in rows])
+            size = np.array([r[0] for r in rows])
+            for nodes in outer:
+                (x0, y0), (x1, y1) = pts[nodes].min(0), pts[nodes].max(0)
+                near = np.flatnonzero((low[:, 0] < x0) & (low[:, 1] < y0) & (high[:, 0] > x1) & (high[:, 1] > y1))
+                for i in near[np.argsort(size[near], kind="stable")]:
+                    if int(nodes[0]) not in rows[i][3] and holds(rows[i][1], *pts[nodes[0]]):
+                        rows[i][2] -= surface(pts[nodes])
+                        break
+        rows = [(v - hole, [{"x": float(x), "y": float(y)} for x, y in ring], hole) for v, ring, hole, _ in rows]
         rows.sort(key=lambda r: (r[1][0]["x"], r[1][0]["y"], r[0]))
         k = pdf.iloc[0]
-        out = [(int(k.doc_id), int(k.page_no), i, ring, s, dangles, cuts) for i, (s, ring) in enumerate(rows)]
-        return pd.DataFrame(out or None, columns=["doc_id", "page_no", "poly_idx", "vertices", "area", "dangles", "cuts"])
+        out = [(int(k.doc_id), int(k.page_no), i, ring, s, hole, dangles, cuts) for i, (s, ring, hole) in enumerate(rows)]
+        return pd.DataFrame(out or None, columns=["doc_id", "page_no", "poly_idx", "vertices", "area", "hole_area", "dangles", "cuts"])
 
-    return edges.groupBy(*K).applyInPandas(sheet, "doc_id long, page_no long, poly_idx long, vertices array<struct<x:double,y:double>>, area double, dangles long, cuts long")
+    return edges.groupBy(*K).applyInPandas(sheet, "doc_id long, page_no long, poly_idx long, vertices array<struct<x:double,y:double>>, area double, hole_area double, dangles long, cuts long")
 
 
-def filter_polygons(polygons: DataFrame, sheets: DataFrame, least: float = 10000.0, share: float = 0.85, corners: int = 4) -> DataFrame:
-    """Polygons that can be rooms: large enough, not most of the sheet, with enough corners."""
-    a = area(F.col("vertices"))
-    return polygons.join(sheets.select(*K, "page_width", "page_height"), K).where((a >= least) & (a <= share * F.col("page_width") * F.col("page_height")) & (F.size("vertices") >= corners)).select(polygons.columns)
+def filter_polygons(polygons: DataFrame, sheets: DataFrame, least: float = 10000.0, share: float = 0.85, corners: int = 4, holes: float = 0.5) -> DataFrame:
+    """Polygons that can be rooms: large enough without their holes, not most of the sheet, with enough corners and holes of half their area at most."""
+    hole = F.col("hole_area") if "hole_area" in polygons.columns else F.lit(0.0)
+    a = area(F.col("vertices")) - hole
+    return polygons.join(sheets.select(*K, "page_width", "page_height"), K).where((a >= least) & (a <= share * F.col("page_width") * F.col("page_height")) & (F.size("vertices") >= corners) & (hole <= holes * a)).select(polygons.columns)
 
 
 def suppress_overlaps(polygons: DataFrame, most: float = 0.9) -> DataFrame:
@@ -205,24 +248,41 @@ def room_polygons(segments: DataFrame, sheets: DataFrame, tolerance: float = 36.
 # --- graph filters --------------------------------------------------------------------
 
 
-def linked(segments: DataFrame, cell: float) -> DataFrame:
-    """K, u, v: segments with ends in equal or neighbouring cells, through the smallest one of each cell pair."""
+def linked(segments: DataFrame, cell: float, reach: int = 1) -> DataFrame:
+    """K, u, v: segments with ends in cells at most reach apart, through the smallest one of each cell pair."""
     e = ends(segments.select(*ID, "x1", "y1", "x2", "y2"), cell, nearest=True).select(*ID, "cx", "cy")
     lead = e.groupBy(*K, "cx", "cy").agg(F.min("seg_idx").alias("v"))
-    return around(e).join(lead, [*K, "cx", "cy"]).where(F.col("seg_idx") != F.col("v")).select(*K, F.col("seg_idx").alias("u"), "v").distinct()
+    return around(e, reach).join(lead, [*K, "cx", "cy"]).where(F.col("seg_idx") != F.col("v")).select(*K, F.col("seg_idx").alias("u"), "v").distinct()
 
 
-def isolated_components(segments: DataFrame, cell: float = 5.0, least: int = 3) -> DataFrame:
+def isolated_components(segments: DataFrame, cell: float = 5.0, least: int = 3, reach: int = 1) -> DataFrame:
     """ID, root, size, kept: connected groups of segments; groups under least are isolated, sheets under it pass."""
-    c = components(segments, linked(segments, cell), "seg_idx")
+    c = components(segments, linked(segments, cell, reach), "seg_idx")
     by = Window.partitionBy(*K, "root")
     return c.withColumn("size", F.count("*").over(by)).withColumn("kept", (F.col("size") >= least) | (F.count("*").over(Window.partitionBy(*K)) < least))
 
 
 def door_swings(segments: DataFrame, longest: float = 100.0, cell: float = 15.0) -> DataFrame:
-    """ID of short segments chained by their ends in groups of three or more."""
-    short = with_geometry(segments).where(F.col("length") <= longest).select(*ID, "x1", "y1", "x2", "y2")
-    return isolated_components(short, cell, 3).where("size >= 3").select(*ID)
+    """ID of segments on door arcs: short ones chained in threes or more by ends in one cell, or placed about a pivot."""
+    short = with_geometry(segments).where(F.col("length") <= longest)
+    chained = isolated_components(short.select(*ID, "x1", "y1", "x2", "y2"), cell, 3, reach=0).where("size >= 3").select(*ID)
+    return chained.unionByName(about_pivots(short)).distinct()
+
+
+def about_pivots(short: DataFrame, shortest: float = 5.0, cell: float = 50.0, least: int = 3, spread: float = 100.0) -> DataFrame:
+    """ID of segments of one cell whose midpoints lie 20 to 120 points from an end of one of them at an even distance, and of that one.
+
+    Candidates are the segments with their midpoint in the same cell; their distances are summed up per end, not gathered.
+    """
+    g = short.where(F.col("length") >= shortest).withColumns({"gx": (F.col("mid_x") / cell).cast("long"), "gy": (F.col("mid_y") / cell).cast("long")})
+    full = g.withColumn("n", F.count("*").over(Window.partitionBy(*K, "gx", "gy"))).where(F.col("n") > least)
+    pivots = full.select(*ID, "gx", "gy", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.lit(1).alias("side"), F.col("x2").alias("px"), F.col("y2").alias("py")))))
+    others = full.select(*K, "gx", "gy", F.col("seg_idx").alias("o"), F.col("mid_x").alias("mx"), F.col("mid_y").alias("my"))
+    far = F.hypot(F.col("mx") - F.col("px"), F.col("my") - F.col("py"))
+    around_ = pivots.join(others, [*K, "gx", "gy"]).where(F.col("seg_idx") != F.col("o")).withColumn("far", far).where((F.col("far") > 20) & (F.col("far") < 120)).select(*ID, "side", "o", "far")
+    even = around_.groupBy(*ID, "side").agg(F.count("*").alias("n"), F.var_pop("far").alias("v")).where((F.col("n") >= least) & (F.col("v") < spread)).select(*ID, "side")
+    hit = around_.join(even, [*ID, "side"], "left_semi")
+    return hit.select(*K, F.explode(F.array("seg_idx", "o")).alias("seg_idx")).distinct()
 
 
 def curved_segments(segments: DataFrame, longest: float = 60.0, cell: float = 5.0) -> DataFrame:
@@ -242,11 +302,27 @@ def label_boxes(segments: DataFrame, least: float = 15.0, most: float = 80.0, ce
     g = with_geometry(segments).where(F.col("length").between(least, most))
     h = g.where(F.abs(F.col("y2") - F.col("y1")) < 1).select(*K, F.col("seg_idx").alias("a"), F.least("x1", "x2").alias("l"), F.greatest("x1", "x2").alias("r"), F.col("mid_y").alias("y"))
     o = h.select(*K, F.col("a").alias("b"), F.col("l").alias("ol"), F.col("r").alias("o_r"), F.col("y").alias("oy"))
+    # Cells of the largest box: level ones meet by their spans, uprights by the middle of a box's side.
+    above = covered(h, most, F.col("l"), F.col("y"), F.col("r"), F.col("y"))
+    below = covered(o, most, F.col("ol"), F.col("oy") - most, F.col("o_r"), F.col("oy"))
     lap = F.least("r", "o_r") - F.greatest("l", "ol")
-    pair = h.join(o, K).where((F.col("oy") > F.col("y")) & (F.col("oy") - F.col("y")).between(5, most) & (lap >= 0.5 * F.least(F.col("r") - F.col("l"), F.col("o_r") - F.col("ol"))))
+    pair = above.join(below, [*K, "gx", "gy"]).where((F.col("oy") > F.col("y")) & (F.col("oy") - F.col("y")).between(5, most) & (lap >= 0.5 * F.least(F.col("r") - F.col("l"), F.col("o_r") - F.col("ol"))))
+    both = F.array(F.struct(F.lit(True).alias("left"), F.col("l").alias("px")), F.struct(F.lit(False).alias("left"), F.col("r").alias("px")))
+    sides = pair.select(*K, "a", "b", "l", "r", "y", "oy").distinct().select(*K, "a", "b", "y", "oy", F.inline(both)).withColumns({"gx": F.floor(F.col("px") / most), "gy": F.floor((F.col("y") + F.col("oy")) / 2 / most)})
     v = g.where(F.abs(F.col("x2") - F.col("x1")) < 1).select(*K, F.col("seg_idx").alias("s"), F.col("mid_x").alias("x"), F.least("y1", "y2").alias("t"), F.greatest("y1", "y2").alias("u"))
-    side = pair.join(v, K).where((F.col("t") <= F.col("y") + cell) & (F.col("u") >= F.col("oy") - cell)).withColumns({"left": F.abs(F.col("x") - F.col("l")) <= cell, "right": F.abs(F.col("x") - F.col("r")) <= cell}).where(F.col("left") | F.col("right"))
-    found = side.groupBy(*K, "a", "b").agg(F.collect_set(F.when(F.col("left"), F.col("s"))).alias("ls"), F.collect_set(F.when(F.col("right"), F.col("s"))).alias("rs")).where((F.size("ls") > 0) & (F.size("rs") > 0))
+    uprights = covered(v, most, F.col("x") - cell, F.col("t") - cell, F.col("x") + cell, F.col("u") + cell)
+    side = sides.join(uprights, [*K, "gx", "gy"]).where((F.col("t") <= F.col("y") + cell) & (F.col("u") >= F.col("oy") - cell) & (F.abs(F.col("x") - F.col("px")) <= cell))
+    found = side.groupBy(*K, "a", "b").agg(F.collect_set(F.when(F.col("left"), F.col("s"))).alias("ls"), F.collect_set(F.when(~F.col("left"), F.col("s"))).alias("rs")).where((F.size("ls") > 0) & (F.size("rs") > 0))
     return found.select(*K, F.explode(F.concat(F.array("a", "b"), "ls", "rs")).alias("seg_idx")).distinct()
 
 
+def wall_network(segments: DataFrame, sheets: DataFrame, grid: DataFrame) -> DataFrame:
+    """segments + reason: the ten rules of walls_only, then `chain`, `box` and `isolated`, each judged on what is left by then (null: kept)."""
+    judged = written(walls_only(segments, sheets, grid))
+    left = judged.where("reason is null").drop("reason")
+    late = None
+    for reason, find in (("chain", lambda s: grid_chains(s, sheets)), ("box", lambda s: label_boxes(s, 10.0, 50.0)), ("isolated", lambda s: isolated_components(s, 8.0, 5).where("not kept"))):
+        gone = written(find(left).select(*ID, F.lit(reason).alias("late")))
+        left = left.join(gone, ID, "left_anti")
+        late = gone if late is None else late.unionByName(gone)
+    return judged.join(late, ID, "left").withColumn("reason", F.coalesce("reason", "late")).drop("late")

@@ -62,7 +62,7 @@ def node_segments(spark, d):
 
 @query("polygonize")
 def polygonize(spark, d):
-    return T.faces(T.node_segments(walls(spark, d))).select(*K, "poly_idx", F.round("area", 4).alias("area"), F.size("vertices").alias("corners"), "dangles", "cuts")
+    return T.faces(T.node_segments(walls(spark, d))).select(*K, "poly_idx", F.round("area", 4).alias("area"), F.round("hole_area", 4).alias("hole_area"), F.size("vertices").alias("corners"), "dangles", "cuts")
 
 
 @query("filter_polygons", "select doc_id, page_no, poly_idx from v_polygons where case when notch = 1 then w * h * 0.75 else w * h end between 10000 and 0.85 * 840000", "v_polygons")
@@ -85,6 +85,13 @@ def isolated_components(spark, d):
     return T.isolated_components(walls(spark, d))
 
 
+@query("wall_network")
+def wall_network(spark, d):
+    s, p = views.segments(spark, d), views.sheets(spark, d)
+    judged = T.wall_network(s, p, S.grid_positions(s, p))
+    return judged.groupBy(*K, F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("door_swings")
 def door_swings(spark, d):
     return T.door_swings(views.segments(spark, d))

@@ -94,25 +94,44 @@ def test_curves(spark):
     assert {r.seg_idx for r in topology.curved_segments(segs(spark, lines)).collect()} == plain_curves(lines)
 
 
-def plain_groups(lines, cell):
-    """Sizes of the groups of segments with ends in equal or neighbouring cells."""
+def plain_groups(lines, cell, reach=1):
+    """Sizes of the groups of segments with ends in cells at most reach apart."""
     at = [{(round(x / cell), round(y / cell)) for x, y in ((a, b), (c, d))} for a, b, c, d in lines]
     root = list(range(len(lines)))
     for i in range(len(lines)):
         for j in range(i):
-            if any(abs(x - u) <= 1 and abs(y - v) <= 1 for x, y in at[i] for u, v in at[j]):
+            if any(abs(x - u) <= reach and abs(y - v) <= reach for x, y in at[i] for u, v in at[j]):
                 root = [root[j] if r == root[i] else r for r in root]
     return [root.count(r) for r in root]
 
 
+def plain_pivots(lines):
+    """Segments about a pivot, by a loop over the 50-point cells."""
+    cells, hit = {}, set()
+    for a, b, c, d in lines:
+        if 5 <= math.hypot(c - a, d - b) <= 100:
+            cells.setdefault((int((a + c) / 2 / 50), int((b + d) / 2 / 50)), []).append((a, b, c, d))
+    for cell in cells.values():
+        for p in cell if len(cell) >= 4 else ():
+            for end in (p[:2], p[2:]):
+                far = [(math.dist(end, ((q[0] + q[2]) / 2, (q[1] + q[3]) / 2)), q) for q in cell if q != p]
+                far = [f for f in far if 20 < f[0] < 120]
+                mean = sum(f[0] for f in far) / max(len(far), 1)
+                if len(far) >= 3 and sum((f[0] - mean) ** 2 for f in far) / len(far) < 100:
+                    hit |= {p, *(f[1] for f in far)}
+    return hit
+
+
 def test_groups_of_segments(spark):
     random.seed(14)
     lines = [(x := random.uniform(0, 900), y := random.uniform(0, 900), x + random.uniform(-90, 90), y + random.uniform(-90, 90)) for _ in range(150)]
     s = segs(spark, lines)
     assert {r.seg_idx: (r["size"], r.kept) for r in topology.isolated_components(s).collect()} == {i: (n, n >= 3) for i, n in enumerate(plain_groups(lines, 5))}
-    short = [p for p in lines if math.dist(p[:2], p[2:]) <= 100]
-    want = {p for p, n in zip(short, plain_groups(short, 15), strict=True) if n >= 3}
-    assert {lines[r.seg_idx] for r in topology.door_swings(s).collect()} == want
+    lines = [(x := random.uniform(0, 320), y := random.uniform(0, 320), x + random.uniform(-90, 90), y + random.uniform(-90, 90)) for _ in range(110)]
+    s, short = segs(spark, lines), [p for p in lines if math.dist(p[:2], p[2:]) <= 100]
+    want = {p for p, n in zip(short, plain_groups(short, 15, 0), strict=True) if n >= 3}
+    about = plain_pivots(lines)
+    assert {lines[r.seg_idx] for r in topology.door_swings(s).collect()} == want | about and about - want and want - about
 
 
 def test_label_box(spark):
@@ -121,6 +140,59 @@ def test_label_box(spark):
     assert topology.label_boxes(segs(spark, box[:3])).count() == 0
 
 
+def plain_boxes(lines, least, most):
+    """Boxes by a loop over pairs of level segments."""
+    size = lambda p: math.dist(p[:2], p[2:])
+    fit = [(i, p) for i, p in enumerate(lines) if least <= size(p) <= most]
+    level = [(i, min(p[0], p[2]), max(p[0], p[2]), (p[1] + p[3]) / 2) for i, p in fit if abs(p[3] - p[1]) < 1]
+    up = [(i, (p[0] + p[2]) / 2, min(p[1], p[3]), max(p[1], p[3])) for i, p in fit if abs(p[2] - p[0]) < 1]
+    hit = set()
+    for i, l, r, y in level:
+        for j, ol, o_r, oy in level:
+            if oy > y and 5 <= oy - y <= most and min(r, o_r) - max(l, ol) >= 0.5 * min(r - l, o_r - ol):
+                at = [(k, x) for k, x, t, u in up if t <= y + 5 and u >= oy - 5]
+                left, right = {k for k, x in at if abs(x - l) <= 5}, {k for k, x in at if abs(x - r) <= 5}
+                if left and right:
+                    hit |= {i, j} | left | right
+    return hit
+
+
+def test_label_boxes_equal_the_loop(spark):
+    random.seed(15)
+    at = lambda: random.randrange(-30, 300, 6) + random.uniform(-1, 1)
+    lines = [(x := at(), y := at(), x + n * h, y + n * (not h)) for n, h in ((random.choice((18, 30, 42, 66)), random.random() < 0.5) for _ in range(240))]
+    want = plain_boxes(lines, 15, 80)
+    assert {r.seg_idx for r in topology.label_boxes(segs(spark, lines)).collect()} == want and 10 < len(want) < 240
+
+
+def test_wall_network(spark):
+    """A room of five pieces stays; a chain over the sheet, a small box and a loose piece go, each for its reason."""
+    room = [(100, 100, 300, 100), (300, 100, 300, 300), (300, 300, 200, 300), (200, 300, 100, 300), (100, 300, 100, 100)]
+    box = [(400, 400, 430, 400), (400, 420, 430, 420), (400, 400, 400, 420), (430, 400, 430, 420)]
+    lines = [*room, (20, 600, 440, 600), *box, (500, 500, 560, 500), (500, 100, 560, 140)]
+    sheets = spark.createDataFrame([(0, 0, 1000.0, 800.0)], "doc_id long, page_no long, page_width double, page_height double")
+    grid = spark.createDataFrame([], "doc_id long, page_no long, axis string, pos double")
+    s = segs(spark, lines).selectExpr("*", "cast(null as array<double>) as color")
+    got = {r.seg_idx: r.reason for r in topology.wall_network(s, sheets, grid).collect()}
+    assert got == {**dict.fromkeys(range(5)), 5: "chain", **dict.fromkeys(range(6, 10), "box"), 10: "isolated", 11: "angled"}
+
+
+def ring(x, y, w):
+    return [(x, y, x + w, y), (x + w, y, x + w, y + w), (x + w, y + w, x, y + w), (x, y + w, x, y)]
+
+
+def test_holes(spark):
+    """A ring in a ring in a ring, and one that touches its outer ring from within at a corner."""
+    nested = [*ring(0, 0, 200), *ring(50, 50, 100), *ring(80, 80, 20)]
+    touching = [(400, 0, 600, 0), (600, 0, 600, 200), (600, 200, 400, 200), (400, 200, 400, 0), (400, 0, 500, 50), (500, 50, 450, 100), (450, 100, 400, 0)]
+    polygons = topology.faces(topology.node_segments(segs(spark, [*nested, *touching])))
+    got = sorted((r.area, r.hole_area, len(r.vertices)) for r in polygons.collect())
+    assert got == [(400, 0, 4), (3750, 0, 3), (9600, 400, 4), (30000, 10000, 4), (36250, 3750, 4)]
+    sheets = spark.createDataFrame([(0, 0, 1000.0, 800.0)], "doc_id long, page_no long, page_width double, page_height double")
+    assert sorted(r.area for r in topology.filter_polygons(polygons, sheets, 500.0).collect()) == [9600, 30000, 36250]
+    assert sorted(r.area for r in topology.filter_polygons(polygons, sheets, 500.0, holes=0.2).collect()) == [9600, 36250]
+
+
 def test_square_and_cross(spark):
     square = [(0, 0, 100, 0), (100, 0, 100, 100), (100, 100, 0, 100), (0, 100, 0, 0)]
     one = topology.faces(topology.node_segments(segs(spark, square))).collect()
