@@ -315,11 +315,11 @@ def classify_phases_simple(spark, d):
 
 
 @query("phase_stats", f"""with {CLASSED}, m as (select doc_id, page_no, method, count(*) as n from classed group by all), mm as (select doc_id, page_no, string_agg(method || '=' || n, ',' order by method) as methods from m group by all)
-select doc_id, page_no, count(*) as total, count(*) filter (phase = 'NEW') as new, count(*) filter (phase = 'EXISTING') as existing, count(*) filter (phase = 'NOT_IN_CONTRACT') as not_in_contract, round(avg(confidence), 8) as avg_confidence, min(confidence) as min_confidence, any_value(methods) as methods from classed join mm using (doc_id, page_no) group by doc_id, page_no""", *SP)
+select doc_id, page_no, count(*) as total, count(*) filter (phase = 'NEW') as new, count(*) filter (phase = 'EXISTING') as existing, count(*) filter (phase = 'NOT_IN_CONTRACT') as not_in_contract, round(avg(confidence), 12) as avg_confidence, min(confidence) as min_confidence, any_value(methods) as methods from classed join mm using (doc_id, page_no) group by doc_id, page_no""", *SP)
 def phase_stats(spark, d):
     s = P.phase_stats(P.classify(views.segments(spark, d), regions(spark, d)))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("methods")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return s.select(*K, "total", "new", "existing", "not_in_contract", F.round("avg_confidence", 8).alias("avg_confidence"), "min_confidence", text.alias("methods"))
+    return s.select(*K, "total", "new", "existing", "not_in_contract", F.round("avg_confidence", 12).alias("avg_confidence"), "min_confidence", text.alias("methods"))
 
 
 @query("segments_by_phase", f"with {CLASSED} select doc_id, page_no, seg_idx from classed where phase = 'EXISTING'", *SP)
