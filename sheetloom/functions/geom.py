@@ -1,8 +1,8 @@
-"""Plane geometry as column expressions: lengths, angles, rings, points in rings, rays."""
+"""Plane geometry as column expressions: lengths, angles, rings, points in rings, rays, grid cells."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
@@ -89,3 +89,19 @@ def ring_distance(px: Column, py: Column, ring: Column) -> Column:
         return F.hypot(px - p["x"] - t * dx, py - p["y"] - t * dy)
 
     return F.array_min(F.zip_with(ring, following(ring), to_edge))
+
+
+def covered(df: DataFrame, cell: float, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """One row per grid cell (gx, gy) that a box meets."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor(b / cell)))
+    return df.withColumn("gx", span(x0, x1)).withColumn("gy", span(y0, y1))
+
+
+def celled(df: DataFrame, cell: float, x: Column, y: Column) -> DataFrame:
+    """The one grid cell (gx, gy) that a point lies in."""
+    return df.withColumns({"gx": F.floor(x / cell), "gy": F.floor(y / cell)})
+
+
+def common_corner(cell: float, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Whether (gx, gy) is the cell of the low corner that two boxes share; true in one of the cells they share."""
+    return (F.col("gx") == F.floor(F.greatest(ax, bx) / cell)) & (F.col("gy") == F.floor(F.greatest(ay, by) / cell))

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.functions.geom import area, box, centroid, in_ring, ratio, ring_distance
+from sheetloom.functions.geom import area, box, celled, centroid, common_corner, covered, in_ring, ratio, ring_distance
 from sheetloom.sources.views import K
 
 RAYS, REACH, LEAST_HIT, EPS = 16, 2000.0, 10.0, 1e-9
 CLUSTER = [*K, "cluster_idx"]
+#: Points in a side of the grid cells that labels and rings meet by.
+CELL = 128.0
 
 
 def ray_hits(labels: DataFrame, walls: DataFrame, sheets: DataFrame, edge: float = 0.85) -> DataFrame:
@@ -75,7 +77,9 @@ def boundaries_by_text(boundaries: DataFrame, clusters: DataFrame) -> DataFrame:
 def containing_polygon(clusters: DataFrame, polygons: DataFrame, least: float = 50000.0, near: float = 5.0) -> DataFrame:
     """CLUSTER, poly_idx, area, method, confidence: the largest polygon that holds the label, else the closest within reach."""
     big = polygons.withColumns({"area": area(F.col("vertices")), "c": centroid(F.col("vertices"))}).where(F.col("area") >= least)
-    pair = clusters.select(*CLUSTER, "cx", "cy").join(big, K).withColumns({"inside": in_ring(F.col("cx"), F.col("cy"), F.col("vertices")), "off": ring_distance(F.col("cx"), F.col("cy"), F.col("vertices")), "far": F.hypot(F.col("cx") - F.col("c.x"), F.col("cy") - F.col("c.y"))})
+    reach = max(near, 0.0)
+    spread = covered(big.withColumn("bx", box(F.col("vertices"))), CELL, F.col("bx.x0") - reach, F.col("bx.y0") - reach, F.col("bx.x1") + reach, F.col("bx.y1") + reach)
+    pair = celled(clusters.select(*CLUSTER, "cx", "cy"), CELL, F.col("cx"), F.col("cy")).join(spread, [*K, "gx", "gy"]).withColumns({"inside": in_ring(F.col("cx"), F.col("cy"), F.col("vertices")), "off": ring_distance(F.col("cx"), F.col("cy"), F.col("vertices")), "far": F.hypot(F.col("cx") - F.col("c.x"), F.col("cy") - F.col("c.y"))})
     some = pair.where(F.col("inside") | (F.col("off") <= near))
     best = some.groupBy(*CLUSTER).agg(F.min_by(F.struct("poly_idx", "area"), F.struct(~F.col("inside"), F.when(F.col("inside"), -F.col("area")).otherwise(F.round("far", 6)), "poly_idx")).alias("best"))
     full = clusters.select(*CLUSTER).join(best, CLUSTER, "left")
@@ -123,10 +127,14 @@ def overlaps(shapes: DataFrame, idx: str) -> DataFrame:
         return pd.Series([common_area(x, y) for x, y in zip(p, q, strict=True)])
 
     s = shapes.withColumns({"bx": box(F.col("vertices")), "ar": area(F.col("vertices"))})
-    left = s.select(*K, F.col(idx).alias("a"), F.col("vertices").alias("va"), F.col("bx").alias("ba"), F.col("ar").alias("area_a"))
-    right = s.select(*K, F.col(idx).alias("b"), F.col("vertices").alias("vb"), F.col("bx").alias("bb"), F.col("ar").alias("area_b"))
+    # Boxes meet by grid cells; the rings themselves follow only for the pairs that are left.
+    spread = covered(s.select(*K, F.col(idx).alias("a"), F.col("bx").alias("ba")), CELL, *(F.col(f"ba.{c}") for c in ("x0", "y0", "x1", "y1")))
+    other = spread.select(*K, "gx", "gy", F.col("a").alias("b"), F.col("ba").alias("bb"))
+    once = common_corner(CELL, F.col("ba.x0"), F.col("ba.y0"), F.col("bb.x0"), F.col("bb.y0"))
+    rings = lambda n: s.select(*K, F.col(idx).alias(n), F.col("vertices").alias(f"v{n}"), F.col("ar").alias(f"area_{n}"))
     touch = (F.col("ba.x0") < F.col("bb.x1")) & (F.col("bb.x0") < F.col("ba.x1")) & (F.col("ba.y0") < F.col("bb.y1")) & (F.col("bb.y0") < F.col("ba.y1"))
-    return left.join(right, K).where((F.col("a") < F.col("b")) & touch).select(*K, "a", "b", "area_a", "area_b", shared("va", "vb").alias("shared"))
+    pair = spread.join(other, [*K, "gx", "gy"]).where((F.col("a") < F.col("b")) & once & touch).select(*K, "a", "b")
+    return pair.join(rings("a"), [*K, "a"]).join(rings("b"), [*K, "b"]).select(*K, "a", "b", "area_a", "area_b", shared("va", "vb").alias("shared"))
 
 
 def boundary_overlaps(boundaries: DataFrame, most: float = 0.3) -> DataFrame:

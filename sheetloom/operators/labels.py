@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.functions.geom import box, centroid, in_ring
+from sheetloom.functions.geom import box, celled, centroid, covered, in_ring
 from sheetloom.functions.greedy import leader_clusters, priority_matching
 from sheetloom.sources.views import K
 
@@ -126,7 +126,13 @@ def match_labels(labels: DataFrame, polygons: DataFrame, grow: float = 0.15) ->
     """
     p = polygons.withColumns({"bx": box(F.col("vertices")), "c": centroid(F.col("vertices"))})
     w, h = F.col("bx.x1") - F.col("bx.x0"), F.col("bx.y1") - F.col("bx.y0")
-    pair = p.join(labels.select(*K, "block_idx", "text", F.col("cx").alias("lx"), F.col("cy").alias("ly")), K)
+    # Cells that a ring's grown box or the circle about its center meets; a label lies in one.
+    cell, half = 128.0, F.hypot(w, h) / 2
+    low = lambda c, side: F.least(F.col(f"bx.{c}0") - grow * side, F.col(f"c.{c}") - half)
+    high = lambda c, side: F.greatest(F.col(f"bx.{c}1") + grow * side, F.col(f"c.{c}") + half)
+    spread = covered(p, cell, low("x", w), low("y", h), high("x", w), high("y", h))
+    placed = celled(labels.select(*K, "block_idx", "text", F.col("cx").alias("lx"), F.col("cy").alias("ly")), cell, F.col("lx"), F.col("ly"))
+    pair = spread.join(placed, [*K, "gx", "gy"])
     far = F.hypot(F.col("lx") - F.col("c.x"), F.col("ly") - F.col("c.y"))
     inside = in_ring(F.col("lx"), F.col("ly"), F.col("vertices"))
     near = F.col("lx").between(F.col("bx.x0") - grow * w, F.col("bx.x1") + grow * w) & F.col("ly").between(F.col("bx.y0") - grow * h, F.col("bx.y1") + grow * h)

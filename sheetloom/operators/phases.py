@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetloom.functions.geom import celled, common_corner, covered
 from sheetloom.functions.greedy import leader_clusters
 from sheetloom.operators.segments import with_geometry
 from sheetloom.sources.views import K
 
+#: Points in a side of the grid cells that points and regions meet by.
+CELL = 128.0
 NAMES = ("NEW", "EXISTING", "NOT_IN_CONTRACT", "DEMO", "UNKNOWN")
 #: Legend headings in order of priority.
 LEGEND_WORDS = ("CONSTRUCTION PLAN LEGEND", "LEGEND - CONSTRUCTION", "WALL LEGEND", "SYMBOL LEGEND", "LEGEND")
@@ -96,7 +99,9 @@ def hatched_regions(segments: DataFrame, reach: float = 50.0, turn: float = 5.0,
 
 def phase_at(points: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
     """key, phase, confidence: by the gray region that holds a point (px, py), else a hatched one, else NEW."""
-    held = points.join(regions.select(*K, "x0", "y0", "x1", "y1", "kind", F.col("confidence").alias("c")), K).where(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
+    placed = celled(points, CELL, F.col("px"), F.col("py"))
+    spread = covered(regions.select(*K, "x0", "y0", "x1", "y1", "kind", F.col("confidence").alias("c")), CELL, *map(F.col, ("x0", "y0", "x1", "y1")))
+    held = placed.join(spread, [*K, "gx", "gy"]).where(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
     best = held.groupBy(*key).agg(F.min("kind").alias("kind"), F.min_by("c", "kind").alias("c"))
     full = points.select(*key).join(best, key, "left")
     return full.select(*key, F.when(F.col("kind") == "gray", "EXISTING").when(F.col("kind") == "hatched", "NOT_IN_CONTRACT").otherwise("NEW").alias("phase"), F.coalesce("c", F.lit(0.75)).alias("confidence"))
@@ -176,9 +181,11 @@ def phase_stats(classified: DataFrame) -> DataFrame:
 
 def region_overlaps(regions: DataFrame) -> DataFrame:
     """K, a, b: pairs of regions whose boxes touch."""
-    o = regions.select(*K, F.col("region_idx").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")))
+    spread = covered(regions.select(*K, "region_idx", "x0", "y0", "x1", "y1"), CELL, *map(F.col, ("x0", "y0", "x1", "y1")))
+    o = spread.select(*K, "gx", "gy", F.col("region_idx").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")))
+    once = common_corner(CELL, F.col("x0"), F.col("y0"), F.col("o_x0"), F.col("o_y0"))
     touch = (F.col("x0") <= F.col("o_x1")) & (F.col("o_x0") <= F.col("x1")) & (F.col("y0") <= F.col("o_y1")) & (F.col("o_y0") <= F.col("y1"))
-    return regions.withColumnRenamed("region_idx", "a").join(o, K).where((F.col("a") < F.col("b")) & touch).select(*K, "a", "b")
+    return spread.withColumnRenamed("region_idx", "a").join(o, [*K, "gx", "gy"]).where((F.col("a") < F.col("b")) & once & touch).select(*K, "a", "b")
 
 
 def phase_quantities(classified: DataFrame, scale: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.functions.geom import angle_between, line_distance, ratio
+from sheetloom.functions.geom import angle_between, celled, covered, line_distance, ratio
 from sheetloom.operators.classify import sheet_text
 from sheetloom.operators.segments import with_geometry
 from sheetloom.sources.views import K
@@ -149,8 +149,11 @@ def dimension_segments(dimensions: DataFrame, ticks: DataFrame, segments: DataFr
     """
     g = with_geometry(segments).select(*K, "seg_idx", "x1", "y1", "x2", "y2", "length", "angle")
     enough = ticks.withColumn("n", F.count("*").over(Window.partitionBy(*K, "block_idx"))).where("n >= 2")
-    at_end = lambda x, y: F.hypot(F.col(x) - F.col("tx"), F.col(y) - F.col("ty")) < near_tick
-    span = enough.drop("seg_idx").join(g, K).withColumns({"a": at_end("x1", "y1"), "b": at_end("x2", "y2")}).where(F.col("a") | F.col("b"))
+    # Ticks and ends of segments meet by grid cells.
+    cell = 64.0
+    ends = celled(g.select(*K, "seg_idx", "length", F.inline(F.array(*(F.struct(F.col(f"x{i}").alias("ex"), F.col(f"y{i}").alias("ey"), F.lit(i == 1).alias("a"), F.lit(i == 2).alias("b")) for i in (1, 2))))), cell, F.col("ex"), F.col("ey"))
+    around = covered(enough.drop("seg_idx"), cell, F.col("tx") - near_tick, F.col("ty") - near_tick, F.col("tx") + near_tick, F.col("ty") + near_tick)
+    span = around.join(ends, [*K, "gx", "gy"]).where(F.hypot(F.col("ex") - F.col("tx"), F.col("ey") - F.col("ty")) < near_tick)
     high = span.groupBy(*K, "block_idx", "seg_idx", "length").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("a and b").groupBy(*K, "block_idx").agg(F.min_by(F.struct("seg_idx", "length"), "seg_idx").alias("high"))
     far = line_distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     side = dimensions.join(g, K).where(angle_between(F.col("angle"), F.col("turn")) <= tolerance).withColumn("far", far).where(F.col("far") < reach)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.functions.geom import angle_between, area, line_distance, ratio
+from sheetloom.functions.geom import angle_between, area, covered, line_distance, ratio
 from sheetloom.functions.greedy import components, priority_matching
 from sheetloom.functions.lineage import written
 from sheetloom.operators.detect import overlaps
@@ -20,12 +20,6 @@ ID = [*K, "seg_idx"]
 EPS = 1e-9
 
 
-def covered(df: DataFrame, cell: float, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
-    """Each row once per grid cell (gx, gy) of its box."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor(b / cell)))
-    return df.withColumn("gx", span(x0, x1)).withColumn("gy", span(y0, y1))
-
-
 def boxed(df: DataFrame, cell: float, grow: Column | float = 0.0) -> DataFrame:
     g = grow if isinstance(grow, Column) else F.lit(grow)
     return covered(df, cell, F.least("x1", "x2") - g, F.least("y1", "y2") - g, F.greatest("x1", "x2") + g, F.greatest("y1", "y2") + g)
