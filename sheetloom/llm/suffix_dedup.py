@@ -234,6 +234,41 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return out
 
 
+def multikey_quicksort(load, size: np.ndarray, active: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sorts the strings of each place by their characters (eight bytes each) down to the shallow depth.
+
+    Every round parts all open groups in three by a median of three characters: less,
+    equal, greater. The middle part goes on with its next character. Places are set;
+    what comes back are the strings, group after group, that agree down to the depth
+    and are longer than that.
+    """
+    deep, depth = [active[:0]], np.zeros(len(active), np.int64)
+    while len(active):
+        e = edges(place[active])
+        many = np.diff(e)
+        group = np.repeat(np.arange(len(many)), many)
+        word = load(active, depth)
+        first, mid, last = word[e[:-1]], word[e[:-1] + many // 2], word[e[1:] - 1]
+        pivot = np.maximum(np.minimum(first, mid), np.minimum(np.maximum(first, mid), last))[group]
+        third = (word >= pivot).astype(np.int64) + (word > pivot)
+        # Where each string goes: its group's start, the smaller thirds, and those of its own third before it.
+        goes, start = np.empty(len(active), np.int64), e[:-1].copy()
+        for t in range(3):
+            own = third == t
+            seen = np.r_[0, np.cumsum(own)]
+            goes[own] = (start[group] + seen[:-1] - seen[e[:-1]][group])[own]
+            start += seen[e[1:]] - seen[e[:-1]]
+        moved, part, down = np.empty_like(active), np.empty_like(goes), np.empty_like(depth)
+        moved[goes], part[goes], down[goes] = active, 3 * group + third, depth + 8 * (third == 1)
+        cut = edges(part)
+        place[moved] += np.repeat(cut[:-1], np.diff(cut)) - e[:-1][group]
+        left = np.repeat(np.diff(cut) > 1, np.diff(cut)) & (down < size[moved])
+        deep.append(moved[left & (down >= SHALLOW)])
+        left &= down < SHALLOW
+        active, depth = moved[left], down[left]
+    return np.concatenate(deep)
+
+
 def deep_shallow(buf: bytes, at: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Places of strings in the order of (group, string); equal strings share a place.
 
@@ -241,27 +276,15 @@ def deep_shallow(buf: bytes, at: np.ndarray, size: np.ndarray, group: np.ndarray
     """
     words = np.ndarray((len(buf) - 8,), dtype=">u8", buffer=buf, strides=(1,))
 
-    def load(who: np.ndarray, depth: int) -> np.ndarray:
+    def load(who: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
         spare = np.clip(8 - (size[who] - depth), 0, 7).astype(np.uint64) * np.uint64(8)
         return (words[at[who] + depth].astype(np.uint64) >> spare) << spare
 
+    place = np.empty(len(at), np.int64)
     order = np.argsort(group, kind="stable")
     e = edges(group[order])
-    place = np.empty(len(at), np.int64)
     place[order] = np.repeat(e[:-1], np.diff(e))
-    active = order[np.repeat(np.diff(e) > 1, np.diff(e))]
-    for depth in range(0, SHALLOW, 8):
-        if not len(active):
-            return place
-        word = load(active, depth)
-        o = np.lexsort((word, place[active]))
-        active, word = active[o], word[o]
-        p, idx = place[active], np.arange(len(active))
-        group_new = np.r_[True, p[1:] != p[:-1]]
-        new = group_new | np.r_[True, word[1:] != word[:-1]]
-        place[active] = p + np.maximum.accumulate(np.where(new, idx, 0)) - np.maximum.accumulate(np.where(group_new, idx, 0))
-        many = np.diff(np.r_[np.flatnonzero(new), len(active)])
-        active = active[np.repeat(many > 1, many) & (size[active] > depth + 8)]
+    active = multikey_quicksort(load, size, order[np.repeat(np.diff(e) > 1, np.diff(e))], place)
     if not len(active):
         return place
     # Deep part. Groups whose members all agree need no order; blind tries order the others.
