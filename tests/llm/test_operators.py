@@ -139,6 +139,28 @@ def test_suffix_dedup(spark, empty):
     assert suffix_dedup.report(empty).count() == 0
 
 
+def test_deep_shallow_equals_plain_sorting():
+    random.seed(5)
+    for _ in range(60):
+        strings = []
+        for g in range(random.randint(1, 6)):
+            letters, base = random.choice((b"a", b"ab", b"abcdefgh", b"\x00\xff")), random.choice((1, 7, 8, 9, 31, 32, 33, 40, 50, 113))
+            stem = random.choices(letters, k=base)
+            for _ in range(random.randint(1, 30)):
+                s = list(stem)
+                for _ in range(random.randint(0, 3)):
+                    s[random.randrange(base)] = random.choice(letters)
+                strings.append((g, bytes(s)))
+        random.shuffle(strings)
+        size = np.array([len(s) for _, s in strings])
+        buf = b"".join(s for _, s in strings) + bytes(suffix_dedup.PAD)
+        place = suffix_dedup.deep_shallow(buf, np.cumsum(size) - size, size, np.array([g for g, _ in strings]))
+        first = {}
+        for i, s in enumerate(sorted(strings)):
+            first.setdefault(s, i)
+        assert place.tolist() == [first[s] for s in strings]
+
+
 def test_blind_trie_orders_and_groups():
     random.seed(2)
     s = [bytes(random.choice(b"ab") for _ in range(12)) for _ in range(200)]
