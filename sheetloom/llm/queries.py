@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import zlib
+from collections.abc import Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetloom.llm import bpe, decontaminate, license_scan, minhash_dedup, quality, secret_scan, suffix_dedup, topk_search, unit_dedup, url_filter
+from sheetloom.llm import bpe, decontaminate, filter_audit, license_scan, minhash_dedup, periodic_runs, quality, secret_scan, suffix_dedup, token_counts, topk_search, unit_dedup, url_filter
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -73,8 +76,44 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, vocabulary(), keep=["doc_id"], digests=True)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+def cycled(doc_id: int | None, text: bytes) -> bytes:
+    """The text in which the query looks for runs: of every tenth id or so, the words from one place on become a cycle."""
+    h = zlib.crc32(str(doc_id).encode())
+    words = text.split() if doc_id is not None and h % 10 == 0 else []
+    if not words:
+        return text
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return b" ".join([*words[:a], *(words[a + (i - a) % p] for i in range(a, n))])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in ((b.column(0), b.column(1)) for b in batches):
+            made = [cycled(i.as_py(), t.as_py()) for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], names=["doc_id", "text"])
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return periodic_runs.find_runs(docs.mapInArrow(run, "doc_id long, text binary"), keep=["doc_id"], digests=True)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op2_decontaminate, op3_url_filter, op4_secret_scan, op5_license_scan, op6_suffix_dedup, op7_minhash_dedup, op8_quality, op9_bpe, op10_unit_dedup)}
+    each = (
+        op1_topk_search, op2_decontaminate, op3_url_filter, op4_secret_scan, op5_license_scan, op6_suffix_dedup, op7_minhash_dedup, op8_quality, op9_bpe, op10_unit_dedup,
+        op11_token_counts, op12_filter_audit, op13_periodic_runs,
+    )
+    return {f.__name__: f for f in each}
 
 
 OP1 = """
@@ -170,5 +209,33 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as
 """
 
 
+#: Masks counted by part, then all orders and steps over them.
+OP12 = r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    min(doc_id) over (partition by coalesce(text, '')) as lead from documents),
+l as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels where doc_id is not null group by doc_id),
+m as (
+  select part, len(w) < 200 as fa, 100 * len(list_distinct(w)) < 50 * len(w) as fb, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) as fc,
+    regexp_matches(t, '[#$%&*|]') as fd, coalesce(doc_id > lead, false) as fe, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from d left join l using (doc_id)),
+c as (select part, [fa, fb, fc, fd, fe] as f, good, toxic, count(*) as n from m group by all),
+x (k) as (select unnest(range(1, 6))),
+o as (
+  select [a.k, b.k, c.k, d.k, e.k] as o from x a, x b, x c, x d, x e
+  where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s as (select part, o, k as step, o[k] as own, list_bool_or(list_transform(o[1 : k - 1], lambda i: f[i])) as gone, f, good, toxic, n from c, o, x),
+r as (
+  select part, list_aggregate(list_transform(o, lambda i: substr('ABCDE', i, 1)), 'string_agg', '') as filter_order, step, own,
+    coalesce(sum(n) filter (not coalesce(gone, false) and not f[own]), 0) as kept, coalesce(sum(n) filter (not coalesce(gone, false) and f[own]), 0) as removed,
+    coalesce(sum(n) filter (coalesce(gone, false) and f[own]), 0) as redundant, coalesce(sum(n) filter (f[own] and len(list_filter(f, lambda b: b)) = 1), 0) as unique_fails,
+    coalesce(sum(n) filter (not coalesce(gone, false) and f[own] and good), 0) as good_lost, coalesce(sum(n) filter (not coalesce(gone, false) and f[own] and toxic), 0) as toxic_lost
+  from s group by part, o, step, own)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1, "op2_decontaminate": OP2, "op3_url_filter": OP3, "op4_secret_scan": _op4(), "op5_license_scan": _op5()}
+    return {"op1_topk_search": OP1, "op2_decontaminate": OP2, "op3_url_filter": OP3, "op4_secret_scan": _op4(), "op5_license_scan": _op5(), "op12_filter_audit": OP12}
