@@ -68,6 +68,12 @@ def centroid(ring: Column) -> Column:
     return F.struct(*(F.coalesce(ratio(part(c), six), mean(c), F.lit(0.0)).alias(c) for c in ("x", "y")))
 
 
+def vertex_mean(ring: Column) -> Column:
+    """The mean of a ring's points."""
+    mean = lambda c: ratio(total(F.transform(ring, lambda p: p[c])), F.size(ring).cast("double"))
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+
 def box(ring: Column) -> Column:
     """(x0, y0, x1, y1) of a ring."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
@@ -97,6 +103,20 @@ def covered(df: DataFrame, cell: float, x0: Column, y0: Column, x1: Column, y1:
     return df.withColumn("gx", span(x0, x1)).withColumn("gy", span(y0, y1))
 
 
+def walked(df: DataFrame, cell: float, x1: Column, y1: Column, x2: Column, y2: Column, slack: float = 1e-4) -> DataFrame:
+    """One row per grid cell (gx, gy) that a segment meets or comes within slack of: column by column, the rows it crosses there."""
+    ahead = x1 <= x2
+    ends = {"a": F.when(ahead, F.struct(x1.alias("x"), y1.alias("y"))).otherwise(F.struct(x2.alias("x"), y2.alias("y"))), "b": F.when(ahead, F.struct(x2.alias("x"), y2.alias("y"))).otherwise(F.struct(x1.alias("x"), y1.alias("y")))}
+    between = lambda low, high: F.explode(F.sequence(F.floor((low - slack) / cell), F.floor((high + slack) / cell)))
+    columns = df.withColumns({f"w{k}": v for k, v in ends.items()}).withColumn("gx", between(F.col("wa.x"), F.col("wb.x")))
+    slope = ratio(F.col("wb.y") - F.col("wa.y"), F.col("wb.x") - F.col("wa.x"))
+    at = lambda x: F.col("wa.y") + slope * (x - F.col("wa.x"))
+    enter = F.coalesce(at(F.greatest(F.col("wa.x"), F.col("gx") * cell - slack)), F.col("wa.y"))
+    leave = F.coalesce(at(F.least(F.col("wb.x"), (F.col("gx") + 1) * cell + slack)), F.col("wb.y"))
+    rows = columns.withColumns({"we": enter, "wl": leave})
+    return rows.withColumn("gy", between(F.least("we", "wl"), F.greatest("we", "wl"))).drop("wa", "wb", "we", "wl")
+
+
 def celled(df: DataFrame, cell: float, x: Column, y: Column) -> DataFrame:
     """The one grid cell (gx, gy) that a point lies in."""
     return df.withColumns({"gx": F.floor(x / cell), "gy": F.floor(y / cell)})

@@ -9,63 +9,150 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.functions.geom import area, box, celled, centroid, common_corner, covered, in_ring, ratio, ring_distance
+from sheetloom.functions.geom import area, box, celled, centroid, common_corner, covered, following, in_ring, ratio, ring_distance, walked
+from sheetloom.functions.lineage import written
 from sheetloom.sources.views import K
 
 RAYS, REACH, LEAST_HIT, EPS = 16, 2000.0, 10.0, 1e-9
 CLUSTER = [*K, "cluster_idx"]
 #: Points in a side of the grid cells that labels and rings meet by.
 CELL = 128.0
+#: Points in a side of the cells that rays walk through to walls, and to other labels.
+WALK, STRIP = 128.0, 256.0
+#: Distances at which a walk pauses.
+BANDS = (0.0, 256.0, REACH)
+
+
+def direction(ray: Column, axis: str) -> Column:
+    """A ray's unit vector along x or y, from a table of all of them."""
+    turn = [2 * math.pi * i / RAYS for i in range(RAYS)]
+    table = F.array(*(F.lit(math.cos(t) if axis == "x" else math.sin(t)) for t in turn))
+    return F.element_at(table, ray.cast("int") + 1)
+
+
+def rays_of(labels: DataFrame) -> DataFrame:
+    """CLUSTER, cx, cy, ray, dx, dy: all rays of all labels."""
+    each = labels.select(*CLUSTER, "cx", "cy", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1))).alias("ray"))
+    return each.withColumns({"dx": direction(F.col("ray"), "x"), "dy": direction(F.col("ray"), "y")})
+
+
+def within(low_x: Column, low_y: Column, high_x: Column, high_y: Column) -> tuple[Column, Column]:
+    """Where a ray enters and leaves a box, as distances from its label."""
+
+    def pair(c: Column, d: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        a, b = ratio(low - c, d), ratio(high - c, d)
+        beside = (c < low) | (c > high)
+        flat = F.abs(d) <= EPS
+        return F.when(flat, F.when(beside, REACH).otherwise(0.0)).otherwise(F.least(a, b)), F.when(flat, REACH).otherwise(F.greatest(a, b))
+
+    (ax, bx), (ay, by) = pair(F.col("cx"), F.col("dx"), low_x, high_x), pair(F.col("cy"), F.col("dy"), low_y, high_y)
+    return F.greatest(ax, ay, F.lit(0.0)), F.least(bx, by, F.lit(REACH))
+
+
+def wall_hits(labels: DataFrame, walls: DataFrame) -> DataFrame:
+    """CLUSTER, ray, wall: distance to the nearest wall farther than 10 points, for the rays that meet one.
+
+    Rays walk through grid cells and stop at the first hit. All rays walk the cells of one
+    band at a time; those that hit a wall within the band are done, the others go on to the
+    next, up to where the walls of their sheet end. Bands grow, so there are few of them.
+    """
+    w = written(walls.select(*K, "x1", "y1", "x2", "y2"))
+    slack = 1.0
+    bounds = w.groupBy(*K).agg((F.min(F.least("x1", "x2")) - slack).alias("x0"), (F.min(F.least("y1", "y2")) - slack).alias("y0"), (F.max(F.greatest("x1", "x2")) + slack).alias("x9"), (F.max(F.greatest("y1", "y2")) + slack).alias("y9"))
+    enter, leave = within(*(F.col(c) for c in ("x0", "y0", "x9", "y9")))
+    rays = rays_of(labels).join(bounds, K).withColumns({"enter": enter, "leave": leave}).where("enter <= leave").drop("x0", "y0", "x9", "y9")
+    placed = walked(w, WALK, *(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    done = None
+    for near, far in zip(BANDS, BANDS[1:], strict=False):
+        left = rays if done is None else rays.join(done, [*CLUSTER, "ray"], "left_anti")
+        step = left.withColumns({"from": F.greatest(F.col("enter"), F.lit(near)), "to": F.least(F.col("leave"), F.lit(far))}).where("from <= to")
+        on = lambda c, t: F.col(f"c{c}") + F.col(f"d{c}") * F.col(t)
+        cells = walked(step, WALK, on("x", "from"), on("y", "from"), on("x", "to"), on("y", "to"))
+        met = crossings(cells.select(*CLUSTER, "ray", "cx", "cy", "dx", "dy", "gx", "gy").join(placed, [*K, "gx", "gy"]))
+        # A wall that is met behind the band can have others before it.
+        found = written(met.groupBy(*CLUSTER, "ray").agg(F.min("t").alias("wall")).where(F.col("wall") <= far))
+        done = found if done is None else done.unionByName(found)
+    return done
+
+
+def crossings(pairs: DataFrame) -> DataFrame:
+    """The pairs of a ray and a wall that meet, with the distance t along the ray."""
+    e = pairs.withColumns({"qx": F.col("x1") - F.col("cx"), "qy": F.col("y1") - F.col("cy"), "ex": F.col("x2") - F.col("x1"), "ey": F.col("y2") - F.col("y1")})
+    det = e.withColumn("det", F.col("dx") * F.col("ey") - F.col("dy") * F.col("ex")).where(F.abs("det") > EPS)
+    t = ratio(F.col("qx") * F.col("ey") - F.col("qy") * F.col("ex"), F.col("det"))
+    u = ratio(F.col("qx") * F.col("dy") - F.col("qy") * F.col("dx"), F.col("det"))
+    return det.withColumns({"t": t, "u": u}).where(F.col("u").between(-EPS, 1 + EPS) & (F.col("t") > LEAST_HIT) & (F.col("t") <= REACH))
+
+
+def midpoint_hits(rays: DataFrame, labels: DataFrame, beside: float = 50.0) -> DataFrame:
+    """CLUSTER, ray, far, mx, my: of each ray the nearest midpoint to another label ahead, farther than 10 points and at most `beside` from the ray.
+
+    A midpoint lies so when its label lies within twice that of the ray; labels meet the strip about a ray by grid cells.
+    """
+    own = labels.select(*K, F.col("cluster_idx").alias("o"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    wide = 2 * beside
+    bounds = own.groupBy(*K).agg((F.min("ox") - wide).alias("x0"), (F.min("oy") - wide).alias("y0"), (F.max("ox") + wide).alias("x9"), (F.max("oy") + wide).alias("y9"))
+    enter, leave = within(*(F.col(c) for c in ("x0", "y0", "x9", "y9")))
+    # Labels are far apart compared with a strip, and a sheet has few.
+    strip = rays.join(bounds, K).withColumns({"enter": enter, "leave": leave}).where("enter <= leave")
+    on = lambda c, t: F.col(f"c{c}") + F.col(f"d{c}") * F.col(t)
+    cells = walked(strip, STRIP, on("x", "enter"), on("y", "enter"), on("x", "leave"), on("y", "leave"), slack=wide)
+    once = cells.select(*CLUSTER, "ray", "cx", "cy", "dx", "dy", "gx", "gy").distinct()
+    pair = once.join(celled(own, STRIP, F.col("ox"), F.col("oy")), [*K, "gx", "gy"]).where(F.col("o") != F.col("cluster_idx"))
+    at = pair.withColumns({"mx": F.col("cx") / 2 + F.col("ox") / 2, "my": F.col("cy") / 2 + F.col("oy") / 2}).withColumns({"ax": F.col("mx") - F.col("cx"), "ay": F.col("my") - F.col("cy")})
+    along, aside = F.col("ax") * F.col("dx") + F.col("ay") * F.col("dy"), F.abs(F.col("ax") * F.col("dy") - F.col("ay") * F.col("dx"))
+    near = at.withColumn("far", F.hypot("ax", "ay")).where((F.col("far") > LEAST_HIT) & (along > 0) & (aside <= beside))
+    return near.groupBy(*CLUSTER, "ray").agg(F.min_by(F.struct("far", "mx", "my"), F.struct(F.round("far", 6), "mx", "my")).alias("half")).select(*CLUSTER, "ray", "half.*")
 
 
 def ray_hits(labels: DataFrame, walls: DataFrame, sheets: DataFrame, edge: float = 0.85) -> DataFrame:
     """CLUSTER, cx, cy, ray, distance, hx, hy, is_wall: what each of a label's rays meets first.
 
     The nearest wall farther than 10 points; else the nearest midpoint to another label
-    within 50 points of the ray; else the drawing area's edge. A wall only meets the rays
-    in the angle under which the label sees it, so few of the 16 are worked out for each.
+    within 50 points of the ray; else the drawing area's edge.
     """
-    step = 2 * math.pi / RAYS
     own = labels.select(*CLUSTER, "cx", "cy")
-    # Layers of columns: what several others need is worked out once, and the generated code stays small.
-    seen = own.join(walls.select(*K, "x1", "y1", "x2", "y2"), K).withColumns({"qx": F.col("x1") - F.col("cx"), "qy": F.col("y1") - F.col("cy"), "ex": F.col("x2") - F.col("x1"), "ey": F.col("y2") - F.col("y1")})
-    turned = seen.withColumns({"a": F.atan2("qy", "qx"), "b": F.atan2(F.col("y2") - F.col("cy"), F.col("x2") - F.col("cx"))}).withColumn("turn", F.pmod(F.col("b") - F.col("a") + math.pi, F.lit(2 * math.pi)) - math.pi)
-    rays = F.sequence(F.floor((F.col("a") + F.least("turn", F.lit(0.0))) / step - 1e-6).cast("int"), F.ceil((F.col("a") + F.greatest("turn", F.lit(0.0))) / step + 1e-6).cast("int"))
-    each = turned.select(*CLUSTER, "qx", "qy", "ex", "ey", F.explode(rays).alias("ray")).withColumn("ray", F.pmod("ray", F.lit(RAYS)))
-    toward = {"dx": F.cos(F.col("ray") * step), "dy": F.sin(F.col("ray") * step)}
-    dx, dy = F.col("dx"), F.col("dy")
-    t, u = (F.col("qx") * F.col("ey") - F.col("qy") * F.col("ex")) / F.col("det"), (F.col("qx") * dy - F.col("qy") * dx) / F.col("det")
-    crossed = each.withColumns(toward).withColumn("det", dx * F.col("ey") - dy * F.col("ex")).where(F.abs("det") > EPS)
-    met = crossed.withColumns({"t": t, "u": u}).where(F.col("u").between(-EPS, 1 + EPS) & (F.col("t") > LEAST_HIT) & (F.col("t") <= REACH))
-    wall = met.groupBy(*CLUSTER, "ray").agg(F.min("t").alias("wall"))
-    other = own.select(*K, F.col("cluster_idx").alias("o"), ((F.col("cx")) / 2).alias("ox"), (F.col("cy") / 2).alias("oy"))
-    mid = own.join(other, K).where(F.col("o") != F.col("cluster_idx")).withColumns({"mx": F.col("cx") / 2 + F.col("ox"), "my": F.col("cy") / 2 + F.col("oy")}).withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).withColumns(toward)
-    along = (F.col("mx") - F.col("cx")) * dx + (F.col("my") - F.col("cy")) * dy
-    aside = F.abs((F.col("mx") - F.col("cx")) * dy - (F.col("my") - F.col("cy")) * dx)
-    far = F.hypot(F.col("mx") - F.col("cx"), F.col("my") - F.col("cy"))
-    half = mid.withColumns({"far": far, "along": along, "aside": aside}).where((F.col("far") > LEAST_HIT) & (F.col("along") > 0) & (F.col("aside") <= 50)).groupBy(*CLUSTER, "ray").agg(F.min_by(F.struct("far", "mx", "my"), F.struct(F.round("far", 6), "mx", "my")).alias("half"))
-    full = own.join(sheets.select(*K, "page_width", "page_height"), K).withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).join(wall, [*CLUSTER, "ray"], "left").join(half, [*CLUSTER, "ray"], "left").withColumns(toward)
-    side = lambda d, c, hi_: F.when(d > EPS, (hi_ - c) / F.when(d > EPS, d)).when(d < -EPS, c / F.when(d < -EPS, -d))
-    out = F.least(side(dx, F.col("cx"), F.col("page_width") * edge), side(dy, F.col("cy"), F.col("page_height")))
-    end = F.least(F.greatest(F.coalesce(out, F.lit(REACH)), F.lit(0.0)), F.lit(REACH))
-    distance = F.col("distance")
-    full = full.withColumn("end", end).withColumn("distance", F.coalesce("wall", "half.far", "end"))
-    point = lambda c, d, m: F.when(F.col("wall").isNull() & F.col("half").isNotNull(), F.col(m)).otherwise(F.col(c) + d * distance)
-    return full.select(*CLUSTER, "cx", "cy", "ray", "distance", point("cx", dx, "half.mx").alias("hx"), point("cy", dy, "half.my").alias("hy"), F.col("wall").isNotNull().alias("is_wall"))
+    wall = wall_hits(own, walls)
+    rays = rays_of(own)
+    half = midpoint_hits(rays.join(wall, [*CLUSTER, "ray"], "left_anti"), own)
+    full = rays.join(sheets.select(*K, "page_width", "page_height"), K).join(wall, [*CLUSTER, "ray"], "left").join(half, [*CLUSTER, "ray"], "left")
+    _, out = within(F.lit(0.0), F.lit(0.0), F.col("page_width") * edge, F.col("page_height"))
+    end = F.greatest(out, F.lit(0.0))
+    at = full.withColumn("distance", F.coalesce("wall", "far", end))
+    point = lambda c: F.coalesce(F.when(F.col("wall").isNull(), F.col(f"m{c}")), F.col(f"c{c}") + F.col(f"d{c}") * F.col("distance"))
+    return at.select(*CLUSTER, "cx", "cy", "ray", "distance", point("x").alias("hx"), point("y").alias("hy"), F.col("wall").isNotNull().alias("is_wall"))
+
+
+def crossed(ring: Column) -> Column:
+    """Whether two edges of a ring cross each other in their middles."""
+    sides = F.zip_with(ring, following(ring), lambda p, q: F.struct(p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
+
+    def turn(s: Column, x: Column, y: Column) -> Column:
+        return (s["qx"] - s["px"]) * (y - s["py"]) - (s["qy"] - s["py"]) * (x - s["px"])
+
+    def cross(s: Column, o: Column) -> Column:
+        return (turn(s, o["px"], o["py"]) * turn(s, o["qx"], o["qy"]) < -EPS) & (turn(o, s["px"], s["py"]) * turn(o, s["qx"], s["qy"]) < -EPS)
+
+    return F.exists(sides, lambda s: F.exists(sides, lambda o: cross(s, o)))
 
 
 def label_boundaries(hits: DataFrame, least: float = 0.5) -> DataFrame:
-    """CLUSTER, vertices, wall_hits, completeness, area, method, confidence of the ring of a label's hits.
+    """CLUSTER, vertices, wall_hits, completeness, area, repaired, method, confidence of the ring of a label's hits.
 
-    Rings that a midpoint has bent are put in the order of the points' angles.
+    The ring takes the hits in the order of the rays. A midpoint lies off its ray, and can make the ring
+    cross itself: then its points are put in the order of their angles, and repaired says so.
     """
     turn = F.round(F.pmod(F.atan2(F.col("hy") - F.col("cy"), F.col("hx") - F.col("cx")), F.lit(2 * math.pi)), 9)
-    got = hits.withColumn("turn", turn).groupBy(*CLUSTER).agg(F.array_sort(F.collect_list(F.struct("turn", "ray", F.col("hx").alias("x"), F.col("hy").alias("y")))).alias("p"), F.count_if("is_wall").alias("wall_hits"))
-    ring = got.withColumn("vertices", F.transform("p", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))).withColumns({"completeness": F.col("wall_hits") / RAYS, "area": area(F.col("vertices"))})
+    point = F.struct("ray", F.col("hx").alias("x"), F.col("hy").alias("y"), turn.alias("turn"))
+    got = hits.groupBy(*CLUSTER).agg(F.array_sort(F.collect_list(point)).alias("p"), F.count_if("is_wall").alias("wall_hits"))
+    xy = lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))
+    drawn = got.withColumn("ring", F.transform("p", xy)).withColumn("repaired", crossed(F.col("ring")))
+    by_angle = F.transform(F.array_sort(F.transform("p", lambda s: F.struct(s["turn"].alias("turn"), s["ray"].alias("ray"), s["x"].alias("x"), s["y"].alias("y")))), xy)
+    ring = drawn.withColumn("vertices", F.when(F.col("repaired"), by_angle).otherwise(F.col("ring"))).withColumns({"completeness": F.col("wall_hits") / RAYS, "area": area(F.col("vertices"))})
     c, has = F.col("completeness"), F.col("area") >= 100
     method = F.when(~has, "ESTIMATED").when(c >= 0.9, "CLOSED").when(c >= least, "PARTIAL").otherwise("RAY_CAST")
     sure = F.when(~has, 0.2).when(c >= 0.9, 0.95).when(c >= least, 0.6 + (c - least) * 0.5).otherwise(0.3 + 0.4 * c)
-    return ring.select(*CLUSTER, "vertices", "wall_hits", "completeness", "area", method.alias("method"), sure.alias("confidence"))
+    return ring.select(*CLUSTER, "vertices", "wall_hits", "completeness", "area", "repaired", method.alias("method"), sure.alias("confidence"))
 
 
 def boundaries_by_text(boundaries: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def number_key(name: Column) -> Column:
 
 
 def match_heights(rooms: DataFrame, heights: DataFrame, share: float = 0.1) -> DataFrame:
-    """rooms + height, height_confidence, height_source. rooms: doc_id, page_no, poly_idx, name, cx, cy, page_width.
+    """rooms + height, height_confidence, height_source. rooms: doc_id, page_no, poly_idx, name, cx, cy (the mean of its vertices), page_width.
 
     A document's notes are matched by name (HIGH), by number (MEDIUM; the last note of a
     key counts), or by the nearest one within a share of the sheet's width (LOW). The

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,25 +11,154 @@ from sheetloom.sources.views import K
 
 #: Words that make a room label, and shapes of room numbers.
 ROOM_WORDS = (
-    r"OFFICE|OFF|CONF|CONFERENCE|MEETING|KITCHEN|BREAK\s*ROOM|BREAK|KITCHENETTE|RESTROOM|TOILET|MEN|WOMEN|UNISEX|RR|STORAGE|STOR|CLOSET|JANITOR|LOBBY|RECEPTION|VESTIBULE|ENTRY|CORRIDOR|CORR|HALL|HALLWAY"
-    r"|MECHANICAL|MECH|ELECTRICAL|ELEC|TELECOM|IDF|MDF|WAREHOUSE|LOADING|DOCK|STAIR|STAIRWELL|ELEVATOR|ELEV|BEDROOM|LIVING|DINING|BATHROOM|BATH"
+    r"\bOFFICE\b",
+    r"\bOFF\b",
+    r"\bCONF\b",
+    r"\bCONFERENCE\b",
+    r"\bMEETING\b",
+    r"\bKITCHEN\b",
+    r"\bBREAK\s*ROOM\b",
+    r"\bBREAK\b",
+    r"\bKITCHENETTE\b",
+    r"\bRESTROOM\b",
+    r"\bTOILET\b",
+    r"\bMEN\b",
+    r"\bWOMEN\b",
+    r"\bUNISEX\b",
+    r"\bRR\b",
+    r"\bSTORAGE\b",
+    r"\bSTOR\b",
+    r"\bCLOSET\b",
+    r"\bJANITOR\b",
+    r"\bLOBBY\b",
+    r"\bRECEPTION\b",
+    r"\bVESTIBULE\b",
+    r"\bENTRY\b",
+    r"\bCORRIDOR\b",
+    r"\bCORR\b",
+    r"\bHALL\b",
+    r"\bHALLWAY\b",
+    r"\bMECHANICAL\b",
+    r"\bMECH\b",
+    r"\bELECTRICAL\b",
+    r"\bELEC\b",
+    r"\bTELECOM\b",
+    r"\bIDF\b",
+    r"\bMDF\b",
+    r"\bWAREHOUSE\b",
+    r"\bLOADING\b",
+    r"\bDOCK\b",
+    r"\bSTAIR\b",
+    r"\bSTAIRWELL\b",
+    r"\bELEVATOR\b",
+    r"\bELEV\b",
+    r"\bBEDROOM\b",
+    r"\bLIVING\b",
+    r"\bDINING\b",
+    r"\bBATHROOM\b",
+    r"\bBATH\b",
+)
+#: Numbers of rooms.
+ROOM_NUMBERS = (
+    r"^\d{2,4}$",
+    r"^[A-Z]\d{2,4}$",
+    r"^\d{2,4}[A-Z]$",
+    r"^\d+-\d{2,4}$",
+    r"^[A-Z]-\d{2,4}$",
+)
+#: Texts that name no room.
+NOT_ROOMS = (
+    r"['\"]",
+    r"\d+\s*(ft|feet|inch|in|mm|cm|m)\b",
+    r"=",
+    r":",
+    r"^NOTE\b",
+    r"^SEE\b",
+    r"^REF\b",
+    r"^TYP\b",
+    r"^[ASMEP]\d+\.\d+",
+    r"^\d+/\d+",
 )
-ROOM_NUMBERS = (r"^\d{2,4}$", r"^[A-Z]\d{2,4}$", r"^\d{2,4}[A-Z]$", r"^\d+-\d{2,4}$", r"^[A-Z]-\d{2,4}$")
-NOT_ROOMS = (r"['\"]", r"\d+\s*(ft|feet|inch|in|mm|cm|m)\b", r"=", r":", r"^NOTE\b", r"^SEE\b", r"^REF\b", r"^TYP\b", r"^[ASMEP]\d+\.\d+", r"^\d+/\d+")
 #: Kinds of labels with patterns and their confidence, tried in order.
-NUMBER_PATTERNS = ((r"^(\d{3})$", 0.95), (r"^(\d{3}[A-Z])$", 0.95), (r"^([A-Z])(\d{3})$", 0.90), (r"^(\d{2,3})-(\d{2,3})$", 0.85), (r"^([A-Z])-(\d{2,3})$", 0.90), (r"^(\d{4})$", 0.85), (r"^(\d{2})$", 0.70))
-TAG_PATTERNS = ((r"^P(\d+)$", 0.90), (r"^C-?(\d+)$", 0.90), (r"^[ABCD]-(\d{2})$", 0.85), (r"^(ST|STAIR)-?(\d*)$", 0.90), (r"^(EL|ELEV)-?(\d*)$", 0.90))
+NUMBER_PATTERNS = (
+    (r"^(\d{3})$", 0.95),
+    (r"^(\d{3}[A-Z])$", 0.95),
+    (r"^([A-Z])(\d{3})$", 0.90),
+    (r"^(\d{2,3})-(\d{2,3})$", 0.85),
+    (r"^([A-Z])-(\d{2,3})$", 0.90),
+    (r"^(\d{4})$", 0.85),
+    (r"^(\d{2})$", 0.70),
+)
+TAG_PATTERNS = (
+    (r"^P(\d+)$", 0.90),
+    (r"^C-?(\d+)$", 0.90),
+    (r"^[ABCD]-(\d{2})$", 0.85),
+    (r"^(ST|STAIR)-?(\d*)$", 0.90),
+    (r"^(EL|ELEV)-?(\d*)$", 0.90),
+)
 NAME_PATTERNS = (
-    (r"^(OFFICE|LOBBY|RESTROOM|STORAGE|MECHANICAL|ELECTRICAL|CONFERENCE|BREAK\s*ROOM|KITCHEN|ELEVATOR|STAIR(WELL)?|VESTIBULE|RECEPTION|WAREHOUSE)$", 0.90),
-    (r"^(CORRIDOR|MEN|WOMEN|UNISEX|ENTRY|HALL(WAY)?|JANITOR|CLOSET|TELECOM|IDF|MDF|LOADING|DOCK)$", 0.85),
-    (r"^(CORR|STOR|MECH|ELEC|CONF)\.?$", 0.80),
+    (r"^OFFICE$", 0.90),
+    (r"^LOBBY$", 0.90),
+    (r"^RESTROOM$", 0.90),
+    (r"^CORRIDOR$", 0.85),
+    (r"^CORR\.?$", 0.80),
+    (r"^STORAGE$", 0.90),
+    (r"^STOR\.?$", 0.80),
+    (r"^MECHANICAL$", 0.90),
+    (r"^MECH\.?$", 0.80),
+    (r"^ELECTRICAL$", 0.90),
+    (r"^ELEC\.?$", 0.80),
+    (r"^CONFERENCE$", 0.90),
+    (r"^CONF\.?$", 0.80),
+    (r"^BREAK\s*ROOM$", 0.90),
+    (r"^KITCHEN$", 0.90),
+    (r"^(MEN|WOMEN|UNISEX)$", 0.85),
+    (r"^ELEVATOR$", 0.90),
+    (r"^STAIR(WELL)?$", 0.90),
+    (r"^VESTIBULE$", 0.90),
+    (r"^RECEPTION$", 0.90),
+    (r"^ENTRY$", 0.85),
+    (r"^HALL(WAY)?$", 0.85),
+    (r"^JANITOR$", 0.85),
+    (r"^CLOSET$", 0.85),
+    (r"^TELECOM$", 0.85),
+    (r"^(IDF|MDF)$", 0.85),
+    (r"^WAREHOUSE$", 0.90),
+    (r"^LOADING$", 0.85),
+    (r"^DOCK$", 0.85),
 )
-#: Texts that are no labels; the last two reject most names and dashed numbers and can be left out.
+#: Texts that are no labels.
 EXCLUDED = (
-    r"\d+\s*['\"]", r"\d+\s*(ft|feet|in|inch|mm|cm|m)\b", r"^[\d\.]+\s*['\"]", r"[=:]", r"^NOTE[S]?\b", r"^SEE\s", r"^REF\.?\b", r"^TYP\.?\b", r"^[ASMEP]\d+\.\d+", r"^\d+/\d+", r"^@", r"^\(.*\)$", r"^\d+\s*SF$",
-    r"^[+-]?\d+\.\d{2,}$", r"^SCALE\b", r"^NORTH$", r"^N\.T\.S\.$", r"^EXIST", r"^NEW\b", r"^DEMO", r"^\d+\s*X\s*\d+", r"^[ASMEP]\d{3}$", r"^[ASMEP]\d{2}$", r"^[ASMEP]-\d+$",
-)
-STRICT = (r"^[A-Z]{2,}\d*$", r"['\"\-]\s*\d+")
+    r"\d+\s*['\"]",
+    r"\d+\s*(ft|feet|in|inch|mm|cm|m)\b",
+    r"^[\d\.]+\s*['\"]",
+    r"[=:]",
+    r"^NOTE[S]?\b",
+    r"^SEE\s",
+    r"^REF\.?\b",
+    r"^TYP\.?\b",
+    r"^[ASMEP]\d+\.\d+",
+    r"^\d+/\d+",
+    r"^@",
+    r"^\(.*\)$",
+    r"^\d+\s*SF$",
+    r"^[+-]?\d+\.\d{2,}$",
+    r"^SCALE\b",
+    r"^NORTH$",
+    r"^N\.T\.S\.$",
+    r"^EXIST",
+    r"^NEW\b",
+    r"^DEMO",
+    r"^\d+\s*X\s*\d+",
+    r"^[ASMEP]\d{3}$",
+    r"^[ASMEP]\d{2}$",
+    r"^[ASMEP]-\d+$",
+)
+#: Two further ones, which reject most names and dashed numbers and can be left out.
+STRICT = (
+    r"['\"\-]\s*\d+",
+    r"^[A-Z]{2,}\d*$",
+)
 
 
 def any_of(text: Column, patterns, flags: str = "(?i)") -> Column:
@@ -66,24 +193,30 @@ def room_labels(blocks: DataFrame) -> DataFrame:
     t = F.trim("text")
     sized = F.length(t).between(2, 50) & (F.col("font_size").isNull() | F.col("font_size").between(5, 36)) & ((F.col("source") != "ocr") | (F.col("confidence") >= 0.6))
     shout = (F.upper(t) == t) & (F.length(t) > 20) & t.rlike(r"^\p{L}+$")
-    named = F.upper(t).rlike(rf"\b(?:{ROOM_WORDS})\b") | any_of(F.upper(t), ROOM_NUMBERS, "")
+    named = any_of(F.upper(t), ROOM_WORDS, "") | any_of(F.upper(t), ROOM_NUMBERS, "")
     return with_center(blocks.where(sized & ~any_of(t, NOT_ROOMS) & ~shout & named).withColumn("text", t))
 
 
 def classify_labels(blocks: DataFrame, sheets: DataFrame, least: float = 0.5, strict_exclusions: bool = True, right: float = 0.80) -> DataFrame:
     """K, block_idx, label, label_type, confidence, cx, cy, font_size, in_area of the blocks that are labels."""
     t = F.trim("text")
-    norm = F.upper(F.regexp_replace(t, r"\s+", " "))
+    # Bound by a generator, so that not every pattern trims the text anew.
+    bound = F.explode(F.array(F.upper(F.regexp_replace(t, r"\s+", " "))))
+    norm = F.col("label")
     sized = F.length(t).between(1, 30) & (F.col("font_size").isNull() | F.col("font_size").between(4, 24)) & ((F.col("source") != "ocr") | (F.col("confidence") >= 0.5))
-    kinds = [(p, "ROOM_NUMBER", c) for p, c in NUMBER_PATTERNS] + [(p, "AREA_TAG", c) for p, c in TAG_PATTERNS] + [(p, "ROOM_NAME", c) for p, c in NAME_PATTERNS]
     made = lambda k, c: F.struct(F.lit(k).alias("label_type"), F.lit(c).alias("sure"))
-    hit = reduce(lambda w, k: w.when(norm.rlike(k[0]), made(*k[1:])), kinds[1:], F.when(norm.rlike(kinds[0][0]), made(*kinds[0][1:])))
+    hit = None
+    for kind, patterns in (("ROOM_NUMBER", NUMBER_PATTERNS), ("AREA_TAG", TAG_PATTERNS), ("ROOM_NAME", NAME_PATTERNS)):
+        # Patterns of one confidence are tried together; a text that fits two kinds of patterns gets the first.
+        for sure in dict.fromkeys(c for _, c in patterns):
+            fits, value = any_of(norm, [p for p, c in patterns if c == sure], ""), made(kind, sure)
+            hit = F.when(fits, value) if hit is None else hit.when(fits, value)
     out = (*EXCLUDED, *(STRICT if strict_exclusions else ()))
-    got = with_center(blocks.where(sized & ~any_of(t, out))).withColumn("hit", hit).where("hit is not null").join(sheets.select(*K, "page_width", "page_height"), K)
+    got = with_center(blocks.where(sized & ~any_of(t, out)).withColumn("label", bound)).withColumn("hit", hit).where("hit is not null").join(sheets.select(*K, "page_width", "page_height"), K)
     inside = F.col("cx") < F.col("page_width") * right
     base = (F.when(F.col("source") == "embedded", 0.95).otherwise(F.col("confidence")) + F.col("hit.sure")) / 2
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(inside, base).otherwise(base * 0.5)))
-    return got.select(*K, "block_idx", norm.alias("label"), "hit.label_type", score.alias("confidence"), "cx", "cy", "font_size", inside.alias("in_area"), "page_width", "page_height").where(F.col("confidence") >= least)
+    return got.select(*K, "block_idx", "label", "hit.label_type", score.alias("confidence"), "cx", "cy", "font_size", inside.alias("in_area"), "page_width", "page_height").where(F.col("confidence") >= least)
 
 
 def dedupe_labels(labels: DataFrame, cell: float = 50.0) -> DataFrame:

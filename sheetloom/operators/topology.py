@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from sheetloom.functions.geom import angle_between, area, covered, line_distance
 from sheetloom.functions.greedy import components, priority_matching
 from sheetloom.functions.lineage import written
 from sheetloom.operators.detect import overlaps
+from sheetloom.operators.planar import faces
 from sheetloom.operators.segments import around, ends, grid_chains, walls_only, with_geometry
 from sheetloom.sources.views import K
 
@@ -115,104 +114,6 @@ def node_segments(segments: DataFrame, cell: float = 256.0, snap: float = 1e-6)
     return both.select(*K, *(F.col("e")[i][c].alias(f"{c}{i + 1}") for i in (0, 1) for c in ("x", "y"))).where("x1 <> x2 or y1 <> y2").distinct()
 
 
-def faces(edges: DataFrame) -> DataFrame:
-    """K, poly_idx, vertices, area, hole_area, dangles, cuts: bounded faces of each sheet's noded graph, with what was pruned.
-
-    vertices is the outer ring, hole_area that of the holes (whole parts of the graph that lie in the face, or touch its ring
-    from within at one point), and area is without them.
-    """
-
-    def simple(walk: list[int]) -> list[list[int]]:
-        """A closed walk over nodes as rings that meet no node twice."""
-        rings, path, at = [], [], {}
-        for x in walk:
-            if x in at:
-                rings.append(path[at[x] :])
-                for y in path[at[x] :]:
-                    del at[y]
-                path = path[: len(path) - len(rings[-1])]
-            at[x] = len(path)
-            path.append(x)
-        return [*rings, path]
-
-    def surface(ring: np.ndarray) -> float:
-        nx = np.roll(ring, -1, 0)
-        return float((ring[:, 0] * nx[:, 1] - nx[:, 0] * ring[:, 1]).sum() / 2)
-
-    def holds(ring: np.ndarray, x: float, y: float) -> bool:
-        nx = np.roll(ring, -1, 0)
-        over = (ring[:, 1] > y) != (nx[:, 1] > y)
-        r, n = ring[over], nx[over]
-        return bool((r[:, 0] + (y - r[:, 1]) * (n[:, 0] - r[:, 0]) / (n[:, 1] - r[:, 1]) > x).sum() % 2)
-
-    def sheet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts, node = np.unique(np.concatenate([pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()]), axis=0, return_inverse=True)
-        node = node.ravel()
-        u, v = node[: len(pdf)], node[len(pdf) :]
-        dangles = cuts = 0
-        while True:
-            while len(u):
-                lone = np.bincount(np.concatenate([u, v]), minlength=len(pts)) == 1
-                bad = lone[u] | lone[v]
-                if not bad.any():
-                    break
-                dangles += int(bad.sum())
-                u, v = u[~bad], v[~bad]
-            m = len(u)
-            a, b = np.concatenate([u, v]), np.concatenate([v, u])
-            turn = np.arctan2(pts[b, 1] - pts[a, 1], pts[b, 0] - pts[a, 0])
-            order = np.lexsort((turn, a))
-            place = np.empty(2 * m, np.int64)
-            place[order] = np.arange(2 * m)
-            first = np.searchsorted(a[order], np.arange(len(pts)))
-            last = np.searchsorted(a[order], np.arange(len(pts)), "right") - 1
-            twin = (np.arange(2 * m) + m) % (2 * m) if m else np.zeros(0, np.int64)
-            before = np.where(place[twin] == first[a[twin]], last[a[twin]], place[twin] - 1) if m else twin
-            nxt = order[before] if m else twin
-            face, walks = np.full(2 * m, -1), []
-            for h in range(2 * m):
-                if face[h] < 0:
-                    walk, at = [], h
-                    while face[at] < 0:
-                        face[at] = len(walks)
-                        walk.append(at)
-                        at = nxt[at]
-                    walks.append(walk)
-            bridge = face[:m] == face[m:] if m else np.zeros(0, bool)
-            if not bridge.any():
-                break
-            cuts += int(bridge.sum())
-            u, v = u[~bridge], v[~bridge]
-        rows, outer = [], []
-        for walk in walks:
-            nodes = a[walk]
-            if surface(pts[nodes]) <= 0:
-                outer.append(nodes)
-                continue
-            rings = [pts[r] for r in simple(nodes.tolist())]
-            sizes = [surface(r) for r in rings]
-            shell = int(np.argmax(sizes))
-            low = int(np.lexsort((rings[shell][:, 1], rings[shell][:, 0]))[0])
-            rows.append([sizes[shell], np.roll(rings[shell], -low, 0), -sum(v for v in sizes if v < 0), set(nodes.tolist())])
-        if rows:
-            low, high = np.array([r[1].min(0) for r in rows]), np.array([r[1].max(0) for r in rows])
-            size = np.array([r[0] for r in rows])
-            for nodes in outer:
-                (x0, y0), (x1, y1) = pts[nodes].min(0), pts[nodes].max(0)
-                near = np.flatnonzero((low[:, 0] < x0) & (low[:, 1] < y0) & (high[:, 0] > x1) & (high[:, 1] > y1))
-                for i in near[np.argsort(size[near], kind="stable")]:
-                    if int(nodes[0]) not in rows[i][3] and holds(rows[i][1], *pts[nodes[0]]):
-                        rows[i][2] -= surface(pts[nodes])
-                        break
-        rows = [(v - hole, [{"x": float(x), "y": float(y)} for x, y in ring], hole) for v, ring, hole, _ in rows]
-        rows.sort(key=lambda r: (r[1][0]["x"], r[1][0]["y"], r[0]))
-        k = pdf.iloc[0]
-        out = [(int(k.doc_id), int(k.page_no), i, ring, s, hole, dangles, cuts) for i, (s, ring, hole) in enumerate(rows)]
-        return pd.DataFrame(out or None, columns=["doc_id", "page_no", "poly_idx", "vertices", "area", "hole_area", "dangles", "cuts"])
-
-    return edges.groupBy(*K).applyInPandas(sheet, "doc_id long, page_no long, poly_idx long, vertices array<struct<x:double,y:double>>, area double, hole_area double, dangles long, cuts long")
-
-
 def filter_polygons(polygons: DataFrame, sheets: DataFrame, least: float = 10000.0, share: float = 0.85, corners: int = 4, holes: float = 0.5) -> DataFrame:
     """Polygons that can be rooms: large enough without their holes, not most of the sheet, with enough corners and holes of half their area at most."""
     hole = F.col("hole_area") if "hole_area" in polygons.columns else F.lit(0.0)

@@ -53,7 +53,7 @@ def image_to_page(spark, d):
 
 
 @query("room_labels", f"""select doc_id, page_no, block_idx, trim(text) as text from v_blocks where length(trim(text)) between 2 and 50 and font_size between 5 and 36 and (source <> 'ocr' or confidence >= 0.6) and not regexp_matches(trim(text), '(?i){ored(L.NOT_ROOMS)}')
- and not (upper(trim(text)) = trim(text) and length(trim(text)) > 20 and regexp_matches(trim(text), '^\\pL+$')) and (regexp_matches(upper(trim(text)), '\\b(?:{L.ROOM_WORDS})\\b') or regexp_matches(upper(trim(text)), '{ored(L.ROOM_NUMBERS)}'))""", "v_text_blocks")
+ and not (upper(trim(text)) = trim(text) and length(trim(text)) > 20 and regexp_matches(trim(text), '^\\pL+$')) and (regexp_matches(upper(trim(text)), '{ored(L.ROOM_WORDS)}') or regexp_matches(upper(trim(text)), '{ored(L.ROOM_NUMBERS)}'))""", "v_text_blocks")
 def room_labels(spark, d):
     return L.room_labels(views.text_blocks(spark, d)).select(*K, "block_idx", "text")
 
@@ -161,14 +161,32 @@ def ray_hits(spark, d):
     return cast(spark, d, singles(spark, d)).select(*K, "cluster_idx", "ray", F.round("distance", 4).alias("distance"), "is_wall")
 
 
-BOUNDS = f"""{HITS}, pts as (select *, round((atan2(hy - cy, hx - cx) + 2 * pi()) % (2 * pi()), 9) as turn from hits), nx as (select *, coalesce(lead(hx) over w, first_value(hx) over w) as nhx, coalesce(lead(hy) over w, first_value(hy) over w) as nhy from pts window w as (partition by doc_id, page_no, block_idx order by turn, ray)),
-bd as (select doc_id, page_no, block_idx, any_value(label) as label, any_value(confidence) as l, count(*) filter (wall is not null) as wall_hits, count(*) filter (wall is not null) / 16 as completeness, abs(sum(hx * nhy - nhx * hy)) / 2 as area from nx group by doc_id, page_no, block_idx),
-bounds as (select *, case when area < 100 then 'ESTIMATED' when completeness >= 0.9 then 'CLOSED' when completeness >= 0.5 then 'PARTIAL' else 'RAY_CAST' end as method, case when area < 100 then 0.2 when completeness >= 0.9 then 0.95 when completeness >= 0.5 then 0.6 + (completeness - 0.5) * 0.5 else 0.3 + 0.4 * completeness end as b from bd)"""
-
-
-@query("label_boundaries", f"with {BOUNDS} select doc_id, page_no, block_idx as cluster_idx, wall_hits, round(area, 1) as area, method, round(b, 4) as confidence from bounds", *LW)
+BOUNDS = f"""{HITS},
+pts as (select *, round((atan2(hy - cy, hx - cx) + 2 * pi()) % (2 * pi()), 9) as turn from hits),
+nx as (
+  select *, coalesce(lead(hx) over w, first_value(hx) over w) as nhx, coalesce(lead(hy) over w, first_value(hy) over w) as nhy,
+    coalesce(lead(hx) over r, first_value(hx) over r) as rhx, coalesce(lead(hy) over r, first_value(hy) over r) as rhy
+  from pts window w as (partition by doc_id, page_no, block_idx order by turn, ray), r as (partition by doc_id, page_no, block_idx order by ray)),
+cr as (
+  select distinct doc_id, page_no, block_idx from nx a join (select doc_id, page_no, block_idx, hx as px, hy as py, rhx as qx, rhy as qy from nx) b using (doc_id, page_no, block_idx)
+  where ((rhx - hx) * (py - hy) - (rhy - hy) * (px - hx)) * ((rhx - hx) * (qy - hy) - (rhy - hy) * (qx - hx)) < -1e-9
+    and ((qx - px) * (hy - py) - (qy - py) * (hx - px)) * ((qx - px) * (rhy - py) - (qy - py) * (rhx - px)) < -1e-9),
+ar as (
+  select doc_id, page_no, block_idx, any_value(label) as label, any_value(confidence) as l, count(*) filter (wall is not null) as wall_hits,
+    count(*) filter (wall is not null) / 16 as completeness, abs(sum(hx * nhy - nhx * hy)) / 2 as by_turn, abs(sum(hx * rhy - rhx * hy)) / 2 as by_ray
+  from nx group by doc_id, page_no, block_idx),
+bd as (
+  select ar.*, cr.block_idx is not null as repaired, case when cr.block_idx is not null then by_turn else by_ray end as area
+  from ar left join cr using (doc_id, page_no, block_idx)),
+bounds as (
+  select *, case when area < 100 then 'ESTIMATED' when completeness >= 0.9 then 'CLOSED' when completeness >= 0.5 then 'PARTIAL' else 'RAY_CAST' end as method,
+    case when area < 100 then 0.2 when completeness >= 0.9 then 0.95 when completeness >= 0.5 then 0.6 + (completeness - 0.5) * 0.5 else 0.3 + 0.4 * completeness end as b
+  from bd)"""
+
+
+@query("label_boundaries", f"with {BOUNDS} select doc_id, page_no, block_idx as cluster_idx, wall_hits, round(area, 1) as area, repaired, method, round(b, 4) as confidence from bounds", *LW)
 def label_boundaries(spark, d):
-    return D.label_boundaries(cast(spark, d, singles(spark, d))).select(*K, "cluster_idx", "wall_hits", F.round("area", 1).alias("area"), "method", F.round("confidence", 4).alias("confidence"))
+    return D.label_boundaries(cast(spark, d, singles(spark, d))).select(*K, "cluster_idx", "wall_hits", F.round("area", 1).alias("area"), "repaired", "method", F.round("confidence", 4).alias("confidence"))
 
 
 def keyed(spark, d, c):

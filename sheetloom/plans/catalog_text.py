@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheetloom.functions.geom import vertex_mean
 from sheetloom.functions.lineage import written
 from sheetloom.operators import heights as H
 from sheetloom.operators import measure
@@ -174,18 +175,24 @@ def room_keys(spark, d):
 #: Sheets of three sizes: letter, the views' own, and D.
 WIDTHS = "cast(case page_no % 3 when 0 then 612 when 1 then 1000 else 2592 end as double)"
 ROOMH = f"""{HEIGHTS}, notes as (select * from heights where page_no % 4 = 3),
-rm as (select doc_id, page_no, poly_idx, 'OFFICE ' || (100 + poly_idx) as name, case when notch = 1 then (x0 + w / 2) * 4 / 3 - (x0 + w * 0.75) / 3 else x0 + w / 2 end as cx, case when notch = 1 then (y0 + h / 2) * 4 / 3 - (y0 + h * 0.75) / 3 else y0 + h / 2 end as cy, {WIDTHS} as page_width,
+rm as (select doc_id, page_no, poly_idx, case when poly_idx % 2 = 1 then '' else 'OFFICE ' end || (100 + poly_idx) as name, x0 + w / 2 as cx, y0 + h / 2 as cy, {WIDTHS} as page_width,
   case when notch = 1 then w * h * 0.75 else w * h end / 81 as floor_area, 2 * (w + h) / 9 as perimeter from v_polygons),
+bk as (select doc_id, regexp_replace(room, '[\\s_-]+', '', 'g') as k, arg_max(height, [page_no, block_idx]) as h1 from notes where room is not null group by all),
 bn as (select doc_id, regexp_extract(room, '(\\d{{2,4}})', 1) as k, arg_max(height, [page_no, block_idx]) as h2 from notes where room is not null group by all),
 nn as (select rm.doc_id, rm.page_no, rm.poly_idx, arg_min(height, [round(sqrt((hx - cx) * (hx - cx) + (hy - cy) * (hy - cy)), 6), notes.page_no, block_idx]) as h3 from rm join notes using (doc_id) where sqrt((hx - cx) * (hx - cx) + (hy - cy) * (hy - cy)) < 0.1 * page_width group by rm.doc_id, rm.page_no, rm.poly_idx),
-mh as (select rm.*, coalesce(h2, h3, 10) as height, case when h2 is not null then 'MEDIUM' when h3 is not null then 'LOW' else 'NONE' end as height_confidence, case when h2 is not null then 'rcp_number_match' when h3 is not null then 'rcp_location' else 'default' end as height_source
-  from rm left join bn on bn.doc_id = rm.doc_id and bn.k = cast(100 + poly_idx as varchar) left join nn on nn.doc_id = rm.doc_id and nn.page_no = rm.page_no and nn.poly_idx = rm.poly_idx)"""
+mh as (
+  select rm.*, coalesce(h1, h2, h3, 10) as height,
+    case when h1 is not null then 'HIGH' when h2 is not null then 'MEDIUM' when h3 is not null then 'LOW' else 'NONE' end as height_confidence,
+    case when h1 is not null then 'rcp_name_match' when h2 is not null then 'rcp_number_match' when h3 is not null then 'rcp_location' else 'default' end as height_source
+  from rm left join bk on bk.doc_id = rm.doc_id and bk.k = upper(replace(name, ' ', '')) left join bn on bn.doc_id = rm.doc_id and bn.k = cast(100 + poly_idx as varchar) left join nn on nn.doc_id = rm.doc_id and nn.page_no = rm.page_no and nn.poly_idx = rm.poly_idx)"""
 
 
 def matched_rooms(spark, d):
+    """Rooms named by their number alone, as notes name them, and others; a room lies at the mean of its vertices."""
     notes = H.height_mentions(views.text_blocks(spark, d)).where("page_no % 4 = 3")
-    r = measure.measured(measure.centroids(views.polygons(spark, d)), F.lit(9.0), F.lit(10.0))
-    rooms = r.select(*K, "poly_idx", F.concat(F.lit("OFFICE "), (100 + F.col("poly_idx")).cast("string")).alias("name"), F.col("centroid.x").alias("cx"), F.col("centroid.y").alias("cy"), F.expr(WIDTHS).alias("page_width"), "floor_area", "perimeter")
+    r = measure.measured(views.polygons(spark, d), F.lit(9.0), F.lit(10.0)).withColumn("at", vertex_mean(F.col("vertices")))
+    name = F.concat(F.when(F.col("poly_idx") % 2 == 1, "").otherwise("OFFICE "), (100 + F.col("poly_idx")).cast("string"))
+    rooms = r.select(*K, "poly_idx", name.alias("name"), F.col("at.x").alias("cx"), F.col("at.y").alias("cy"), F.expr(WIDTHS).alias("page_width"), "floor_area", "perimeter")
     return H.match_heights(rooms, notes)
 
 

@@ -103,7 +103,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _view(spark, sf_dir, TEXT_BLOCKS, "orders")
+    # The text is worked out once a row: a generator keeps it from being copied into every filter on it.
+    v = _view(spark, sf_dir, TEXT_BLOCKS, "orders").withColumn("text", F.explode(F.array("text")))
     return v.withColumn("x1", F.col("x0") + 5 * F.length("text")).withColumn("y1", F.col("y0") + 10)
 
 
