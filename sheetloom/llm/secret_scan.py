@@ -46,15 +46,25 @@ RULES = (
 SPANS = "array<struct<start:bigint,place:int,kind:string,end:bigint>>"
 #: Matches of one text that are gathered at a time.
 BLOCK = 128
+#: Code points of the pieces that a text is cut into for marks.
+PIECE = 4096
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
 
 
-def spans_of(text: Column, rule: Rule, place: int) -> Column:
-    """The rule's leftmost non-overlapping matches. The pieces between matches give their offsets."""
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column of its own that is worked out once a row: projections aren't merged across a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def matches(text: Column, rule: Rule) -> Column:
+    """Rows (whole, judged, before) of the rule's leftmost non-overlapping matches, and a last one without a match for the text after them."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    pieces = F.split(text, rule.pattern, -1)
-    rows = F.arrays_zip(whole.alias("whole"), judged.alias("judged"), F.slice(pieces, 1, F.size(whole)).alias("before"))
+    return F.when(text.rlike(rule.pattern), F.arrays_zip(whole.alias("whole"), judged.alias("judged"), F.split(text, rule.pattern, -1).alias("before")))
+
+
+def spans_of(rows: Column, rule: Rule, place: int) -> Column:
+    """The spans of a rule's matches that are long enough; the pieces between matches give their offsets. rows: a bound column."""
 
     def step(at: Column, row: Column) -> tuple[Column, Column]:
         start = at + F.length(row["before"])
@@ -62,14 +72,14 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
         span = F.struct(start.cast("long").alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.cast("long").alias("end"))
         return end.cast("long"), F.when(F.length(row["judged"]) >= rule.least, F.array(span)).otherwise(F.array().cast(SPANS))
 
-    return F.when(text.rlike(rule.pattern), folded(rows, step, SPANS)[1]).otherwise(F.array().cast(SPANS))
+    return F.coalesce(folded(rows, F.size(rows) - 1, step, SPANS)[1], F.array().cast(SPANS))
 
 
-def folded(rows: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> tuple[Column, Column]:
-    """Runs step from an offset and a row to the next offset and an array, over all rows: (last offset, all arrays in one).
+def folded(rows: Column, n: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> tuple[Column, Column]:
+    """Runs step from an offset and a row to the next offset and an array, over the first n rows: (last offset, all arrays in one).
 
     An array that grows is copied with every row, so rows are folded in blocks of BLOCK and
-    the blocks' arrays are put together at the end.
+    the blocks' arrays are put together at the end. rows must be a column, not an expression: it is sliced once a block.
     """
     none = F.array().cast(kind)
 
@@ -81,8 +91,8 @@ def folded(rows: Column, step: Callable[[Column, Column], tuple[Column, Column]]
         last = F.aggregate(part, F.struct(acc["last"]["at"].alias("at"), none.alias("out")), within)
         return F.struct(last.alias("last"), F.concat(acc["done"], F.array(acc["last"]["out"])).alias("done"))
 
-    count = F.ceil(F.size(rows) / BLOCK).cast("int")
-    parts = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(rows, i * BLOCK + 1, BLOCK))
+    count = F.ceil(n / BLOCK).cast("int")
+    parts = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(rows, i * BLOCK + 1, F.least(F.lit(BLOCK), n - i * BLOCK)))
     start = F.struct(F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")).alias("last"), F.array().cast(f"array<{kind}>").alias("done"))
     end = F.aggregate(parts, start, block)
     return end["last"]["at"], F.flatten(F.concat(end["done"], F.array(end["last"]["out"])))
@@ -106,9 +116,11 @@ def scan(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules:
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
         unseen = contents.join(seen, "blob", "left").withColumn("todo", F.array_except(marks, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
-    found = [F.when(F.array_contains("todo", f"{r.kind}:{r.version}"), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, i).alias("spans"))) for i, r in enumerate(rules)]
+    asked = [F.array_contains("todo", f"{r.kind}:{r.version}") for r in rules]
     # One pass per blob; rules that were seen give null and drop out.
-    new = unseen.select("blob", *["text"] * carry, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("results"))
+    matched = bound(unseen, "m", F.struct(*(F.when(ask, matches(F.col("text"), r)).alias(f"r{i}") for i, (r, ask) in enumerate(zip(rules, asked, strict=True)))))
+    found = [F.when(ask, F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col(f"m.r{i}"), r, i).alias("spans"))) for i, (r, ask) in enumerate(zip(rules, asked, strict=True))]
+    new = matched.select("blob", *["text"] * carry, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("results"))
     return paths, new
 
 
@@ -142,14 +154,27 @@ def of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def redacted(text: Column, spans: Column, mark: str) -> Column:
-    """The text with every run of overlapping spans replaced by mark; spans are ordered by start."""
+def redacted(pieces: Column, spans: Column, mark: str) -> Column:
+    """The text with every run of overlapping spans replaced by mark. pieces: the text in pieces of PIECE code points; spans are ordered by start; both are bound columns.
+
+    A stretch of text is cut from the pieces that hold it: in the whole text, finding its start takes all characters before it.
+    """
+
+    def cut(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+        low, high = (start - first * PIECE).cast("int"), (end - last * PIECE).cast("int")
+        within = F.substr(piece(first), low + 1, high - low)
+        across = F.concat(F.substr(piece(first), low + 1), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substr(piece(last), F.lit(1), high))
+        return F.when(first == last, within).otherwise(across)
+
     def step(at: Column, s: Column) -> tuple[Column, Column]:
-        piece = F.array(F.substr(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit(mark))
-        return F.greatest(at, s["end"]), F.when(s["start"] >= at, piece).otherwise(F.array().cast("array<string>"))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.array(cut(at, s["start"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
 
-    at, pieces = folded(spans, step, "array<string>")
-    return F.concat(F.array_join(pieces, ""), F.substr(text, (at + 1).cast("int")))
+    at, out = folded(spans, F.size(spans), step, "array<string>")
+    first = F.floor(at / PIECE).cast("int")
+    rest = F.concat(F.substr(F.coalesce(F.get(pieces, first), F.lit("")), (at - first * PIECE + 1).cast("int")), F.array_join(F.slice(pieces, first + 2, F.greatest(F.size(pieces) - first - 1, F.lit(0))), ""))
+    return F.concat(F.array_join(out, ""), rest)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -158,7 +183,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: t
     body = named(text).cast("string")
     _, new = scan(docs.select(body.alias("text")), "text", None, rules, carry=True)
     spans = F.array_sort(F.flatten(F.transform("results", lambda r: r["spans"])))
-    held = new.withColumn("spans", spans).where(F.size("spans") > 0).select(F.col("blob").alias(blob), redacted(F.col("text"), F.col("spans"), mark).alias(safe))
+    some = bound(new, "spans", spans).where(F.size("spans") > 0)
+    cut = bound(some, "pieces", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    held = cut.select(F.col("blob").alias(blob), redacted(F.col("pieces"), F.col("spans"), mark).alias(safe))
     both = docs.withColumn(blob, F.sha2(F.coalesce(body, F.lit("")), 256)).join(held, blob, "left")
     return both.select(*(F.coalesce(named(safe), named(c)).alias(c) if c == text else named(c) for c in docs.columns))
 

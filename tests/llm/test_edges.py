@@ -1,5 +1,6 @@
 """Clashing names, odd types and both paths of the corpus operators."""
 
+import time
 import json
 
 import numpy as np
@@ -157,3 +158,31 @@ def test_unit_dedup_against_brute_force(spark):
     rows = [(i, "\n".join(rng.choice(lines, rng.integers(0, 12)))) for i in range(60)] + [(99, "")]
     got = {r.doc_id: r.kept for r in unit_dedup.dedup(spark.createDataFrame(rows, TEXTS)).collect()}
     assert got == brute_units(rows)
+
+
+def test_secrets_grow_with_their_number(spark):
+    """Ten times the matches of one text take at most 15 times as long, to find and to replace."""
+
+    def seconds(n):
+        text = " ".join(f"token=a{i:06d}b and" for i in range(n))
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        (r,) = secret_scan.report(secret_scan.findings(*secret_scan.scan(d, "text")), "doc_id").collect()
+        scanned = time.perf_counter()
+        (safe,) = secret_scan.redact(d).collect()
+        done = time.perf_counter()
+        assert r.n_assign == n and safe.text == " ".join(["[SECRET] and"] * n)
+        return scanned - began, done - scanned
+
+    seconds(1000)
+    few, many = seconds(5000), seconds(50_000)
+    assert many[0] <= 15 * few[0] and many[1] <= 15 * few[1], (few, many)
+
+
+def test_marks_at_the_borders_of_pieces(spark):
+    secret, texts = "token=abcdef", []
+    for at in (secret_scan.PIECE - 20, secret_scan.PIECE - 6, secret_scan.PIECE - 12, secret_scan.PIECE, 3 * secret_scan.PIECE - 1):
+        texts += ["é" * (at - 1) + " " + secret + " " + "🙂" * (2 * secret_scan.PIECE), " " * at + secret, secret + " " + "x" * at + " " + secret + "\n" + "AKIA" + "B" * 20]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    safe = {r.doc_id: r.text for r in secret_scan.redact(d).collect()}
+    assert safe == {i: t.replace(secret, "[SECRET]").replace("AKIA" + "B" * 20, "[SECRET]") for i, t in enumerate(texts)}
