@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -181,52 +182,60 @@ def boundaries_combined(contained: DataFrame, cast: DataFrame) -> DataFrame:
     return both.select(*CLUSTER, F.when(hit, F.col("area")).otherwise(F.col("r_area")).alias("area"), F.when(hit, F.col("method")).otherwise(F.coalesce("r_method", "method")).alias("method"), F.when(hit, F.col("confidence")).otherwise(F.coalesce("r_conf", "confidence")).alias("confidence"))
 
 
-def common_area(p: list, q: list) -> float:
-    """Area that two rings share: horizontal slabs between all corners and crossings, exact for straight edges."""
-    a, b = (np.array([[v["x"], v["y"]] for v in r], float) for r in (p, q))
-    ys = [*a[:, 1], *b[:, 1]]
-    for (x1, y1), (x2, y2) in zip(a, np.roll(a, -1, 0), strict=True):
-        for (x3, y3), (x4, y4) in zip(b, np.roll(b, -1, 0), strict=True):
-            det = (x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3)
-            if abs(det) > EPS:
-                t = ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / det
-                if 0 < t < 1:
-                    ys.append(y1 + t * (y2 - y1))
-    ys, total = sorted(set(ys)), 0.0
-
-    def spans(r: np.ndarray, y: float) -> list[float]:
-        n = np.roll(r, -1, 0)
-        cut = (r[:, 1] > y) != (n[:, 1] > y)
-        s, e = r[cut], n[cut]
-        return sorted(s[:, 0] + (y - s[:, 1]) * (e[:, 0] - s[:, 0]) / (e[:, 1] - s[:, 1]))
-
-    for lo, hi in zip(ys, ys[1:], strict=False):
-        y = (lo + hi) / 2
-        sa, sb = spans(a, y), spans(b, y)
-        total += (hi - lo) * sum(max(0.0, min(a1, b1) - max(a0, b0)) for a0, a1 in zip(sa[::2], sa[1::2], strict=False) for b0, b1 in zip(sb[::2], sb[1::2], strict=False))
-    return total
-
-
-def overlaps(shapes: DataFrame, idx: str) -> DataFrame:
-    """K, a, b, area_a, area_b, shared: pairs of rings (a < b) of a sheet whose boxes overlap."""
-    @F.pandas_udf("double")
-    def shared(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([common_area(x, y) for x, y in zip(p, q, strict=True)])
-
-    s = shapes.withColumns({"bx": box(F.col("vertices")), "ar": area(F.col("vertices"))})
+def common_area(p: np.ndarray, q: np.ndarray) -> float:
+    """Area that two rings (x, y, x, y, ...) share: horizontal slabs between all corners and crossings, exact for straight edges."""
+    a, b = (np.asarray(r, float).reshape(-1, 2) for r in (p, q))
+    an, bn = np.roll(a, -1, 0), np.roll(b, -1, 0)
+    d, e = (an - a)[:, None], (bn - b)[None]
+    gap = b[None] - a[:, None]
+    det = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
+    t = (gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / np.where(np.abs(det) > EPS, det, np.nan)
+    met = (t > 0) & (t < 1)
+    ys = np.unique(np.concatenate([a[:, 1], b[:, 1], (a[:, None, 1] + t * d[..., 1])[met]]))
+    mid, high = (ys[1:] + ys[:-1]) / 2, np.diff(ys)
+
+    def spans(r: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a ring begins and ends in each slab, slabs by stretches; those that are missing are infinite."""
+        cut = (r[:, 1] > mid[:, None]) != (n[:, 1] > mid[:, None])
+        rise = np.where(cut, n[:, 1] - r[:, 1], 1.0)
+        x = np.sort(np.where(cut, r[:, 0] + (mid[:, None] - r[:, 1]) * (n[:, 0] - r[:, 0]) / rise, np.inf), axis=1)
+        x = x[:, : x.shape[1] // 2 * 2]
+        return x[:, ::2], x[:, 1::2]
+
+    (a0, a1), (b0, b1) = spans(a, an), spans(b, bn)
+    with np.errstate(invalid="ignore"):
+        wide = np.minimum(a1[:, :, None], b1[:, None]) - np.maximum(a0[:, :, None], b0[:, None])
+    return float((np.fmax(wide, 0).sum(axis=(1, 2)) * high).sum())
+
+
+def overlaps(shapes: DataFrame, idx: str, enough: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """K, a, b, area_a, area_b, shared: pairs of rings (a < b) of a sheet whose boxes overlap.
+
+    enough(area_a, area_b): the least shared area of interest; pairs whose boxes share no more than that are left out before rings are compared.
+    """
+
+    def shared_of(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([common_area(x, y) for x, y in zip(p, q, strict=True)], dtype=float)
+
+    shared = F.pandas_udf(shared_of, "double")
+    flat = F.flatten(F.transform("vertices", lambda v: F.array(v["x"], v["y"])))
+    s = shapes.select(*K, F.col(idx).alias("id"), box(F.col("vertices")).alias("box"), area(F.col("vertices")).alias("area"), flat.alias("flat"))
     # Boxes meet by grid cells; the rings themselves follow only for the pairs that are left.
-    spread = covered(s.select(*K, F.col(idx).alias("a"), F.col("bx").alias("ba")), CELL, *(F.col(f"ba.{c}") for c in ("x0", "y0", "x1", "y1")))
-    other = spread.select(*K, "gx", "gy", F.col("a").alias("b"), F.col("ba").alias("bb"))
+    named = lambda n: (F.col("id").alias(n), F.col("box").alias(f"b{n}"), F.col("area").alias(f"area_{n}"))
+    sides = ("x0", "y0", "x1", "y1")
+    spread = covered(s.select(*K, *named("a")), CELL, *(F.col(f"ba.{c}") for c in sides))
+    other = covered(s.select(*K, *named("b")), CELL, *(F.col(f"bb.{c}") for c in sides))
     once = common_corner(CELL, F.col("ba.x0"), F.col("ba.y0"), F.col("bb.x0"), F.col("bb.y0"))
-    rings = lambda n: s.select(*K, F.col(idx).alias(n), F.col("vertices").alias(f"v{n}"), F.col("ar").alias(f"area_{n}"))
-    touch = (F.col("ba.x0") < F.col("bb.x1")) & (F.col("bb.x0") < F.col("ba.x1")) & (F.col("ba.y0") < F.col("bb.y1")) & (F.col("bb.y0") < F.col("ba.y1"))
-    pair = spread.join(other, [*K, "gx", "gy"]).where((F.col("a") < F.col("b")) & once & touch).select(*K, "a", "b")
+    wide, high = (F.least(f"ba.{c}1", f"bb.{c}1") - F.greatest(f"ba.{c}0", f"bb.{c}0") for c in "xy")
+    least = F.lit(0.0) if enough is None else enough(F.col("area_a"), F.col("area_b"))
+    pair = spread.join(other, [*K, "gx", "gy"]).where((F.col("a") < F.col("b")) & once & (wide > 0) & (high > 0) & (wide * high * (1 + EPS) > least)).select(*K, "a", "b", "area_a", "area_b")
+    rings = lambda n: s.select(*K, F.col("id").alias(n), F.col("flat").alias(f"v{n}"))
     return pair.join(rings("a"), [*K, "a"]).join(rings("b"), [*K, "b"]).select(*K, "a", "b", "area_a", "area_b", shared("va", "vb").alias("shared"))
 
 
 def boundary_overlaps(boundaries: DataFrame, most: float = 0.3) -> DataFrame:
     """CLUSTER, warnings: what overlaps a boundary by more than a share of the smaller one, noted on the earlier."""
-    bad = overlaps(boundaries.where("method <> 'ESTIMATED'"), "cluster_idx").where(F.col("shared") > most * F.least("area_a", "area_b"))
+    bad = overlaps(boundaries.where("method <> 'ESTIMATED'"), "cluster_idx", lambda a, b: most * F.least(a, b)).where(F.col("shared") > most * F.least("area_a", "area_b"))
     return bad.groupBy(*K, F.col("a").alias("cluster_idx")).agg(F.array_sort(F.collect_list(F.format_string("Overlaps boundary %d", F.col("b")))).alias("warnings"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +142,25 @@ def cell_pairs(dimensions: DataFrame, midpoints: DataFrame, reach: float) -> Dat
     return mine.join(theirs, [*K, "cx", "cy"]).drop("cx", "cy")
 
 
+def beside_lines(points: DataFrame, lines: DataFrame, reach: float, tolerance: float, wide: float = 3.0) -> DataFrame:
+    """Points (px, py, turn) with the segments whose line, taken as infinite, passes within reach under about their angle.
+
+    A line is known by its angle and its distance from the origin, so each has one cell of these
+    two; a point meets the cells of the angles that it asks for, at the distances where lines of such an angle pass near it.
+    """
+    way = F.radians(F.col("angle"))
+    off = F.col("y1") * F.cos(way) - F.col("x1") * F.sin(way)
+    placed = lines.withColumns({"turn_cell": F.floor(F.col("angle") / wide), "off_cell": F.floor(off / reach)})
+    asked = points.withColumn("a", F.explode(F.sequence(F.floor((F.col("turn") - tolerance) / wide), F.floor((F.col("turn") + tolerance) / wide))))
+    turned = asked.withColumn("turn_cell", F.pmod("a", F.lit(round(180 / wide)))).withColumn("way", F.radians((F.col("turn_cell") + 0.5) * wide))
+    # Within a cell of angles, the distance changes by the point's own distance from the origin times half the cell.
+    near = turned.withColumns({"off": F.col("py") * F.cos("way") - F.col("px") * F.sin("way"), "half": F.hypot("px", "py") * math.radians(wide) / 2 + reach + 1e-6})
+    cells = near.withColumn("off_cell", F.explode(F.sequence(F.floor((F.col("off") - F.col("half")) / reach), F.floor((F.col("off") + F.col("half")) / reach))))
+    pair = cells.drop("a", "way", "off", "half").join(placed, [*K, "turn_cell", "off_cell"]).drop("turn_cell", "off_cell")
+    far = line_distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return pair.where(angle_between(F.col("angle"), F.col("turn")) <= tolerance).withColumn("far", far).where(F.col("far") < reach)
+
+
 def dimension_segments(dimensions: DataFrame, ticks: DataFrame, segments: DataFrame, near_tick: float = 5.0, reach: float = 50.0, tolerance: float = 15.0) -> DataFrame:
     """K, block_idx, seg_idx, confidence, scale: the segment that a dimension measures.
 
@@ -155,8 +176,7 @@ def dimension_segments(dimensions: DataFrame, ticks: DataFrame, segments: DataFr
     around = covered(enough.drop("seg_idx"), cell, F.col("tx") - near_tick, F.col("ty") - near_tick, F.col("tx") + near_tick, F.col("ty") + near_tick)
     span = around.join(ends, [*K, "gx", "gy"]).where(F.hypot(F.col("ex") - F.col("tx"), F.col("ey") - F.col("ty")) < near_tick)
     high = span.groupBy(*K, "block_idx", "seg_idx", "length").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("a and b").groupBy(*K, "block_idx").agg(F.min_by(F.struct("seg_idx", "length"), "seg_idx").alias("high"))
-    far = line_distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    side = dimensions.join(g, K).where(angle_between(F.col("angle"), F.col("turn")) <= tolerance).withColumn("far", far).where(F.col("far") < reach)
+    side = beside_lines(dimensions, g, reach, tolerance)
     near = side.groupBy(*K, "block_idx").agg(F.count("*").alias("n"), F.min_by(F.struct("seg_idx", "length"), F.struct(F.round("far", 6), "seg_idx")).alias("near"))
     full = dimensions.join(high, [*K, "block_idx"], "left").join(near, [*K, "block_idx"], "left").withColumn("hit", F.coalesce("high", "near"))
     level = F.when(F.col("high").isNotNull(), "HIGH").when(F.col("n") == 1, "MEDIUM").when(F.col("n") > 1, "LOW").otherwise("NONE")

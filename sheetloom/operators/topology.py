@@ -123,7 +123,7 @@ def filter_polygons(polygons: DataFrame, sheets: DataFrame, least: float = 10000
 
 def suppress_overlaps(polygons: DataFrame, most: float = 0.9) -> DataFrame:
     """Polygons without those that overlap a smaller one (or an earlier one of the same area) by more than most of both."""
-    bad = overlaps(polygons, "poly_idx").where((F.col("shared") > most * F.col("area_a")) & (F.col("shared") > most * F.col("area_b")))
+    bad = overlaps(polygons, "poly_idx", lambda a, b: most * F.greatest(a, b)).where((F.col("shared") > most * F.col("area_a")) & (F.col("shared") > most * F.col("area_b")))
     loser = F.when(F.col("area_a") > F.col("area_b"), F.col("a")).otherwise(F.col("b"))
     return polygons.join(bad.select(*K, loser.alias("poly_idx")).distinct(), [*K, "poly_idx"], "left_anti")
 

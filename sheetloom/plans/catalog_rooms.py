@@ -10,7 +10,7 @@ from sheetloom.operators import labels as L
 
 from sheetloom.operators import segments as S
 from sheetloom.sources import views
-from sheetloom.sources.views import K, sql
+from sheetloom.sources.views import K, led, matched, sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -52,8 +52,14 @@ def image_to_page(spark, d):
     return b.withColumn("p", p).select(*K, "block_idx", *(F.round(f"p.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
-@query("room_labels", f"""select doc_id, page_no, block_idx, trim(text) as text from v_blocks where length(trim(text)) between 2 and 50 and font_size between 5 and 36 and (source <> 'ocr' or confidence >= 0.6) and not regexp_matches(trim(text), '(?i){ored(L.NOT_ROOMS)}')
- and not (upper(trim(text)) = trim(text) and length(trim(text)) > 20 and regexp_matches(trim(text), '^\\pL+$')) and (regexp_matches(upper(trim(text)), '{ored(L.ROOM_WORDS)}') or regexp_matches(upper(trim(text)), '{ored(L.ROOM_NUMBERS)}'))""", "v_text_blocks")
+ROOM_LABELS = f"""rl as (
+  select doc_id, page_no, block_idx, trim(text) as text, (x0 + x1) / 2 as lx, (y0 + y1) / 2 as ly from v_blocks
+  where length(trim(text)) between 2 and 50 and font_size between 5 and 36 and (source <> 'ocr' or confidence >= 0.6) and not regexp_matches(trim(text), '(?i){ored(L.NOT_ROOMS)}')
+    and not (upper(trim(text)) = trim(text) and length(trim(text)) > 20 and regexp_matches(trim(text), '^\\pL+$'))
+    and (regexp_matches(upper(trim(text)), '{ored(L.ROOM_WORDS)}') or regexp_matches(upper(trim(text)), '{ored(L.ROOM_NUMBERS)}')))"""
+
+
+@query("room_labels", f"with {ROOM_LABELS} select doc_id, page_no, block_idx, text from rl", "v_text_blocks")
 def room_labels(spark, d):
     return L.room_labels(views.text_blocks(spark, d)).select(*K, "block_idx", "text")
 
@@ -102,12 +108,21 @@ def label_stats(spark, d):
     return L.label_stats(labels(spark, d))
 
 
+#: Labels in the drawing's midst: no grid markers.
+LB = f"""{LOOSE},
+lb as (select * from dd where not (regexp_matches(label, '^(\\d{{1,2}}|[A-Z])$') and (cx < 300 or cx > page_width - 300 or cy < 300 or cy > page_height - 300)))"""
+
+
 def clusters(spark, d):
     kept = L.dedupe_labels(labels(spark, d)).where(~L.grid_marker())
     return L.label_clusters(kept)
 
 
-@query("label_clusters", None)
+@query("label_clusters", f"""with {LB}, {led("lb", "block_idx", "abs(x.cx - y.cx) <= 50 and abs(x.cy - y.cy) <= 50")},
+ow as (select lb.*, leader from lb join led on led.doc_id = lb.doc_id and led.page_no = lb.page_no and led.node = lb.block_idx),
+rk as (select *, row_number() over (partition by doc_id, page_no, leader order by case label_type when 'ROOM_NUMBER' then 0 when 'AREA_TAG' then 1 else 2 end, -confidence, block_idx) as nth from ow)
+select doc_id, page_no, leader as cluster_idx, max(label) filter (nth = 1) as primary_label, string_agg(label, ' ' order by cy, cx, block_idx) as label_text, max(label_type) filter (nth = 1) as label_type,
+  round(max(confidence) filter (nth = 1), 4) as confidence, round(avg(cx), 4) as cx, round(avg(cy), 4) as cy, count(*) as n from rk group by doc_id, page_no, leader""", *TB)
 def label_clusters(spark, d):
     return clusters(spark, d).withColumns({c: F.round(c, 4) for c in ("cx", "cy", "confidence")})
 
@@ -117,12 +132,29 @@ def matches(spark, d):
     return L.match_labels(L.room_labels(views.text_blocks(spark, d)), polys), polys
 
 
-@query("match_labels", None)
+#: Labels of polygons: inside the ring, within the grown box, or near the center of area; each once, in polygon order.
+MATCHES = f"""{ROOM_LABELS},
+pg as (
+  select *, case when notch = 1 then (x0 + w / 2) * 4 / 3 - (x0 + w * 0.75) / 3 else x0 + w / 2 end as gx, case when notch = 1 then (y0 + h / 2) * 4 / 3 - (y0 + h * 0.75) / 3 else y0 + h / 2 end as gy from v_polygons),
+fa as (select pg.*, block_idx, text, lx, ly, sqrt((lx - gx) * (lx - gx) + (ly - gy) * (ly - gy)) as far from pg join rl using (doc_id, page_no)),
+ti as (
+  select *, case when lx >= x0 and lx < x0 + w and ly >= y0 and ly < y0 + h and not (notch = 1 and lx >= x0 + w / 2 and ly >= y0 + h / 2) then 0
+    when lx between x0 - 0.15 * w and x0 + w + 0.15 * w and ly between y0 - 0.15 * h and y0 + h + 0.15 * h then 1 when far < sqrt(w * w + h * h) / 2 then 2 end as tier from fa),
+ce as (select * from ti where tier is not null),
+{matched("ce", "poly_idx", "block_idx", "poly_idx, tier, round(case when tier = 2 then far else 0 end, 6), block_idx", shared=False)},
+ml as (
+  select p.doc_id, p.page_no, p.poly_idx, block_idx, coalesce(text, 'ROOM_' || row_number() over (partition by p.doc_id, p.page_no, tier is null order by p.poly_idx)) as room_name,
+    case tier when 0 then 'HIGH' when 1 then 'MEDIUM' when 2 then 'LOW' else 'NONE' end as name_confidence
+  from v_polygons p left join taken using (doc_id, page_no, poly_idx))"""
+
+
+@query("match_labels", f"with {MATCHES} select doc_id, page_no, poly_idx, block_idx, room_name, name_confidence from ml", "v_text_blocks", "v_polygons")
 def match_labels(spark, d):
     return matches(spark, d)[0]
 
 
-@query("apply_labels", None)
+@query("apply_labels", f"""with {MATCHES}
+select doc_id, page_no, poly_idx, case when name_confidence = 'NONE' then 'ROOM_UNKNOWN' else room_name end as room_name, name_confidence from ml""", "v_text_blocks", "v_polygons")
 def apply_labels(spark, d):
     m, polys = matches(spark, d)
     return L.apply_labels(polys, m.where("name_confidence <> 'NONE'")).select(*K, "poly_idx", "room_name", "name_confidence")
@@ -143,7 +175,7 @@ def cast(spark, d, c):
 
 
 WALLS = "walls as (select s.* from (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as len from v_segments) s where len >= 5 and len <= 0.9 * sqrt(1000.0 * 1000 + 840 * 840) and (width = 0 or (width >= 0.25 and width < 2)))"
-HITS = f"""{LOOSE}, lb as (select * from dd where not (regexp_matches(label, '^(\\d{{1,2}}|[A-Z])$') and (cx < 300 or cx > page_width - 300 or cy < 300 or cy > page_height - 300))), {WALLS},
+HITS = f"""{LB}, {WALLS},
 rays as (select n as ray, cos(n * pi() / 8) as dx, sin(n * pi() / 8) as dy from range(16) t(n)),
 lr as (select lb.*, ray, dx, dy from lb, rays),
 tu as (select lr.doc_id, lr.page_no, lr.block_idx, ray, ((x1 - cx) * (y2 - y1) - (y1 - cy) * (x2 - x1)) / det as t, ((x1 - cx) * dy - (y1 - cy) * dx) / det as u from (select *, dx * (y2 - y1) - dy * (x2 - x1) as det0, case when abs(dx * (y2 - y1) - dy * (x2 - x1)) > 1e-9 then dx * (y2 - y1) - dy * (x2 - x1) end as det from lr join walls using (doc_id, page_no)) lr),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheetloom.functions.lineage import new_folder
 from sheetloom.operators import classify, measure
 from sheetloom.sources import sinks, tables, views
 from sheetloom.sources.views import K, sql
@@ -32,6 +33,29 @@ def scan_tables(spark, d):
     return tables.with_text(views.text_blocks(spark, d)).groupBy(*K).agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("scan_files", """with s as (select doc_id, count(*) as sheets from v_sheets group by all),
+p as (select doc_id, count(distinct (page_no, seg_idx // 4)) as paths from v_segments group by all),
+b as (select doc_id, count(*) filter (block_idx <> 7 and trim(text) <> '') as blocks, coalesce(sum(length(text)) filter (block_idx <> 7 and trim(text) <> ''), 0) as chars, count(*) filter (block_idx = 7) as bad from v_text_blocks group by all)
+select doc_id, sheets, coalesce(paths, 0) as paths, coalesce(blocks, 0) as blocks, coalesce(cast(chars as bigint), 0) as chars, coalesce(bad, 0) as bad from s left join p using (doc_id) left join b using (doc_id)""", "v_sheets", "v_segments", "v_text_blocks")
+def scan_files(spark, d):
+    """The drawing tables as files of JSON lines, some cut short, and what a scan of the folder finds."""
+    root = new_folder(spark)
+    own = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    own(views.sheets(spark, d)).write.json(f"{root}/sheets")
+    own(views.paths(spark, d)).write.json(f"{root}/paths")
+    blocks = own(views.text_blocks(spark, d))
+    line = F.to_json(F.struct(*blocks.columns))
+    blocks.select(F.when(F.col("block_idx") == 7, F.substr(line, F.lit(1), F.length(line) - 5)).otherwise(line)).write.text(f"{root}/text_blocks")
+    t = tables.scan(spark, root, "json")
+    count = lambda df, name: df.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias(name))
+    bad = t["bad_rows"].withColumn("doc_id", F.coalesce("doc_id", F.regexp_extract(tables.BAD, '"doc_id":"([0-9]+)"', 1)))
+    chars = t["text_blocks"].groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(F.length("text")).alias("chars"))
+    out = count(t["sheets"], "sheets")
+    for part in (count(t["paths"], "paths"), count(t["text_blocks"], "blocks"), chars, count(bad, "bad")):
+        out = out.join(part, "doc_id", "left")
+    return out.na.fill(0)
+
+
 PATH_SQL = """
 with i as (select *, seg_idx // 4 as path_idx, seg_idx % 4 as kind from v_segments),
 heads as (select doc_id, page_no, path_idx, min_by(x1, seg_idx) as hx, min_by(y1, seg_idx) as hy from i group by all),
@@ -197,6 +221,31 @@ def rooms_json(spark, d):
     return found.select("doc_id", "total_rooms", "total_area", "warning_count", (F.get_json_object("document", "$.metadata.total_rooms").cast("long") == F.col("total_rooms")).alias("closed"))
 
 
+@query("rooms_csv_files", f"""with {ROOMS} select room_id, concat('ROOM ', cast(poly_idx + 1 as varchar)) as room_name, doc_id as document, page_no as sheet_number,
+ round(floor_area, 2) as floor_area_sqft, round(perimeter, 2) as perimeter_ft, round(wall_area, 2) as wall_area_sqft, round(ceiling_area, 2) as ceiling_area_sqft, cast(ht as double) as ceiling_height_ft,
+ vertex_count, cast(len({WARN}) as int) as warning_count, array_to_string({WARN}, '; ') as warnings from rooms""", "v_polygons")
+def rooms_csv_files(spark, d):
+    """The CSV report as it is read again from its files."""
+    path = new_folder(spark)
+    sinks.write_csv(measure.room_rows(rooms(spark, d)), path)
+    return spark.read.schema(sinks.CSV).option("header", True).csv(path).na.fill("", ["warnings"])
+
+
+@query("rooms_json_files", f"""with {ROOMS},
+each as (
+  select doc_id, room_id, round(floor_area, 2) as area, {WARN} as warned, concat('{{"room_id":"', room_id, '","room_name":"ROOM ', poly_idx + 1, '","floor_area_sqft":', round(floor_area, 2), ',"perimeter_ft":', round(perimeter, 2),
+    ',"geometry":{{"type":"polygon","vertex_count":', vertex_count, '}},"warnings":[', array_to_string(list_transform({WARN}, lambda w: '"' || w || '"'), ','), ']}}') as room from rooms),
+docs as (
+  select doc_id, count(*) as n, round(sum(area), 2) as total, flatten(list(warned order by room_id)) as warned, string_agg(room, ',' order by room_id) as rooms from each group by doc_id)
+select concat('{{"metadata":{{"input_file":', doc_id, ',"pipeline_version":"1.0","total_rooms":', n, ',"total_floor_area_sqft":', total, ',"warnings":[',
+  array_to_string(list_transform(warned, lambda w: '"' || w || '"'), ','), ']}},"rooms":[', rooms, ']}}') as document from docs""", "v_polygons")
+def rooms_json_files(spark, d):
+    """The JSON documents as they are read again from their files."""
+    path = new_folder(spark)
+    sinks.write_json(measure.room_rows(rooms(spark, d)), path)
+    return spark.read.text(path).withColumnRenamed("value", "document")
+
+
 @query("quality_grade", """
 with p as (select doc_id, page_no, case when notch = 1 then w * h * 0.75 else w * h end as a from v_polygons where page_no % 3 <> 0 or poly_idx < 2),
 g as (select doc_id, page_no, list_sort(list(a)) as areas from p group by all)

@@ -12,7 +12,7 @@ from sheetloom.operators import phases as P
 from sheetloom.operators import scale as C
 
 from sheetloom.sources import views
-from sheetloom.sources.views import K, sql
+from sheetloom.sources.views import K, led, sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -248,7 +248,14 @@ def gray_regions(spark, d):
     return P.gray_regions(views.paths(spark, d)).select(*K, "region_idx", "x0", "y0", "x1", "y1")
 
 
-@query("hatched_regions", None)
+@query("hatched_regions", f"""with mv as (
+  select doc_id, page_no, seg_idx, floor(x1 / 480) * 480 + seg_idx % 7 * 5 as x0, floor(y1 / 480) * 480 as y0 from v_segments where x1 <> x2 and y1 <> y2 and fill_gray is null),
+sl as (select * from (select *, count(*) over (partition by doc_id, page_no) as m from mv) where m >= 5),
+{led("sl", "seg_idx", "sqrt((x.x0 - y.x0) * (x.x0 - y.x0) + (x.y0 - y.y0) * (x.y0 - y.y0)) < 50")},
+bx as (
+  select sl.doc_id, sl.page_no, leader as region_idx, count(*) as m, min(x0) as x0, min(y0) as y0, max(x0 + 40) as x1, max(y0 + 40) as y1
+  from sl join led on led.doc_id = sl.doc_id and led.page_no = sl.page_no and led.node = sl.seg_idx group by all)
+select doc_id, page_no, region_idx, x0, y0, x1, y1 from bx where m >= 5 and (x1 - x0) * (y1 - y0) >= 100""", "v_segments")
 def hatched_regions(spark, d):
     """Slanted lines moved together by place, so that hatches form."""
     s = views.segments(spark, d)

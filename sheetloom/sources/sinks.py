@@ -15,6 +15,10 @@ def csv_rows(rooms: DataFrame) -> DataFrame:
     )
 
 
+#: The CSV report's columns, as it is read again.
+CSV = "room_id string, room_name string, document long, sheet_number long, floor_area_sqft double, perimeter_ft double, wall_area_sqft double, ceiling_area_sqft double, ceiling_height_ft double, vertex_count int, warning_count int, warnings string"
+
+
 def write_csv(rooms: DataFrame, path: str) -> None:
     csv_rows(rooms).write.option("header", True).csv(path)
 

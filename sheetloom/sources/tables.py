@@ -12,10 +12,28 @@ SHEETS = "doc_id string, page_no int, page_width double, page_height double, she
 TEXT_BLOCKS = "doc_id string, page_no int, block_idx long, text string, x0 double, y0 double, x1 double, y1 double, confidence double, font_size double, font_name string, source string"
 
 
+#: Column of the lines that do not parse.
+BAD = "bad_row"
+
+
 def scan(spark: SparkSession, root: str, kind: str = "parquet") -> dict[str, DataFrame]:
-    """sheets, paths and text_blocks of a folder with one sub-folder each."""
-    read = lambda name, schema: spark.read.schema(schema).format(kind).load(f"{root}/{name}")
-    return {"sheets": read("sheets", SHEETS), "paths": read("paths", PATHS), "text_blocks": with_text(read("text_blocks", TEXT_BLOCKS))}
+    """sheets, paths and text_blocks of a folder with one sub-folder each, by their declared schemas, and bad_rows.
+
+    Of JSON lines, those that do not parse are no rows of a table; bad_rows has them whole, with the table's name and the document, where that could be read.
+    """
+
+    def read(name: str, schema: str) -> DataFrame:
+        if kind != "json":
+            return spark.read.schema(schema).format(kind).load(f"{root}/{name}")
+        return spark.read.schema(f"{schema}, {BAD} string").option("columnNameOfCorruptRecord", BAD).json(f"{root}/{name}")
+
+    found = {name: read(name, schema) for name, schema in (("sheets", SHEETS), ("paths", PATHS), ("text_blocks", TEXT_BLOCKS))}
+    bad = spark.createDataFrame([], f"table string, doc_id string, {BAD} string")
+    if kind == "json":
+        for name, df in found.items():
+            bad = bad.unionByName(df.where(F.col(BAD).isNotNull()).select(F.lit(name).alias("table"), "doc_id", BAD))
+        found = {name: df.where(F.col(BAD).isNull()).drop(BAD) for name, df in found.items()}
+    return found | {"text_blocks": with_text(found["text_blocks"]), "bad_rows": bad}
 
 
 def with_text(blocks: DataFrame) -> DataFrame:

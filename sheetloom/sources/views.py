@@ -72,11 +72,36 @@ BOXES = "select *, x0 + 5 * length(text) as x1, y0 + 10 as y1 from v_text_blocks
 
 
 def sql(body: str, *names: str) -> str:
-    """body in DuckDB's dialect, with the named views in front."""
+    """body in DuckDB's dialect, with the named views in front. A part named fold is recursive."""
     views = ",\n".join(f"{n} as ({ALL[n].replace(' as string)', ' as varchar)')})" for n in names)
     views += ",\nv_blocks as (" + BOXES + ")" if "v_text_blocks" in names else ""
-    body = body.strip()
-    return f"with {views}, {body[5:]}" if body.lower().startswith("with ") else f"with {views}\n{body}"
+    body, start = body.strip(), "with recursive" if " fold " in body else "with"
+    return f"{start} {views}, {body[5:]}" if body.lower().startswith("with ") else f"{start} {views}\n{body}"
+
+
+def matched(edges: str, left: str, right: str, rank: str, shared: bool = True) -> str:
+    """SQL: `taken` holds the edges that are taken one after another by rank, each node once."""
+    return f"""em as (
+  select *, row_number() over (partition by doc_id, page_no order by {rank}) as n, 'a' || {left} as na, '{"a" if shared else "b"}' || {right} as nb from {edges}),
+ fold as (
+  select distinct doc_id, page_no, cast(0 as bigint) as n, cast([] as varchar[]) as used, false as ok from em
+  union all select em.doc_id, em.page_no, em.n, case when list_contains(used, na) or list_contains(used, nb) then used else list_concat(used, [na, nb]) end,
+    not (list_contains(used, na) or list_contains(used, nb)) from fold join em on em.doc_id = fold.doc_id and em.page_no = fold.page_no and em.n = fold.n + 1),
+taken as (select em.* from em join fold using (doc_id, page_no, n) where ok)"""
+
+
+def led(nodes: str, node: str, near: str) -> str:
+    """SQL: `led` gives each of nodes its leader, where nodes lead in the order of their ids unless a smaller leader is near (a condition on x and y)."""
+    return f"""nn as (
+  select x.doc_id, x.page_no, x.{node} as node, list(y.{node}) filter (y.{node} is not null) as around, row_number() over (partition by x.doc_id, x.page_no order by x.{node}) as n
+  from {nodes} x left join {nodes} y on x.doc_id = y.doc_id and x.page_no = y.page_no and x.{node} < y.{node} and {near} group by x.doc_id, x.page_no, x.{node}),
+ fold as (
+  select distinct doc_id, page_no, cast(0 as bigint) as n, cast(-1 as bigint) as node, cast([] as bigint[]) as covered, false as leads, cast([] as bigint[]) as around from nn
+  union all select nn.doc_id, nn.page_no, nn.n, nn.node, case when list_contains(covered, nn.node) or nn.around is null then covered else list_concat(covered, nn.around) end,
+    not list_contains(covered, nn.node), nn.around from fold join nn on nn.doc_id = fold.doc_id and nn.page_no = fold.page_no and nn.n = fold.n + 1),
+led as (
+  select doc_id, page_no, member as node, min(node) as leader
+  from (select doc_id, page_no, node, unnest(list_concat([node], coalesce(around, cast([] as bigint[])))) as member from fold where leads) group by all)"""
 
 
 def _view(spark: SparkSession, sf_dir: str, select: str, *tables: str) -> DataFrame:

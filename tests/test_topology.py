@@ -241,7 +241,10 @@ def test_leaders_and_components(spark):
 
 
 def test_common_area():
-    ring = lambda x, y, w: [{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w, "y": y + w}, {"x": x, "y": y + w}]
+    ring = lambda x, y, w: [x, y, x + w, y, x + w, y + w, x, y + w]
+    # A star and a bar across two of its arms share two pieces.
+    fork = [0, 0, 10, 0, 10, 10, 8, 10, 8, 2, 2, 2, 2, 10, 0, 10]
+    assert detect.common_area(fork, ring(-5, 4, 30)) == 24 and detect.common_area(fork, [5, -5, 15, 5, 5, 15, -5, 5]) == detect.common_area([5, -5, 15, 5, 5, 15, -5, 5], fork)
     assert detect.common_area(ring(0, 0, 10), ring(5, 5, 10)) == 25 and detect.common_area(ring(0, 0, 10), ring(20, 0, 5)) == 0
 
 
