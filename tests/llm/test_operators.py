@@ -250,6 +250,32 @@ def test_a_hot_group_of_variants(spark):
     found = {r.doc_id: r.class_id for r in minhash_dedup.report(spark.createDataFrame(rows, TEXTS)).collect()}
     hit = [found[rows[i][0]] == found[rows[j][0]] for i, j in links]
     assert len(links) > 50 and sum(hit) >= 0.95 * len(links)
+    # The exact mode finds every link, here and among texts of repeated words, whatever bands and estimates leave out.
+    rows += [(5000 + i, " ".join(random.choices(["la", "li"], weights=[9, 1], k=random.randint(1, 60)))) for i in range(150)]
+    exact = minhash_dedup.report(spark.createDataFrame(rows, TEXTS), exact=True).collect()
+    assert {r.doc_id: r.class_id for r in exact} == brute_classes(rows)
+
+
+def test_exact_pairs_without_any_band(spark):
+    """With no components found before, the exact step alone finds all links."""
+    random.seed(12)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(random.choices(words[: random.choice([1, 2, 40])], k=random.randint(1, 30))) for _ in range(150)]
+    texts += [t + " more" for t in texts[:60]]
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(bytes(f"{i:04d}", "ascii"), t) for i, t in enumerate(texts)], "row binary, text string")
+    label = rows.selectExpr("row", "row as root")
+    found = minhash_dedup.similar(minhash_dedup.untested(rows, label, 0.8), rows, 0.8).collect()
+    assert {(int(r.a), int(r.b)) for r in found} == set(brute_links(texts)) and len(found) > 30
+
+
+def test_classes_of_string_ids_and_clashing_names(spark):
+    d = spark.createDataFrame([("b", "x y z", "own"), ("a", "X y z", "own"), ("c", "other", "own")], "doc_id string, text string, row string")
+    d = d.withColumns({c: F.col("row") for c in ("digest", "kept_id", "kept_row", "nth", "class_id", "keep")})
+    for exact in (False, True):
+        got = minhash_dedup.one_each(d, exact=exact)
+        assert got.columns == d.columns and sorted((r.doc_id, r.nth) for r in got.collect()) == [("a", "own"), ("c", "own")]
+        assert sorted((r.doc_id, r.class_id, r.keep) for r in minhash_dedup.report(d, exact=exact).collect()) == [("a", "a", True), ("b", "a", False), ("c", "c", True)]
 
 
 def test_one_of_each_class_where_ids_repeat(spark):
