@@ -1,7 +1,8 @@
 """Spark-first analytics over tables extracted from construction drawings.
 
-Functions that run on executors travel with the job (pickled by value), so the
-package need not be installed on the cluster's machines.
+Functions that run on executors travel with the job, pickled by value. What is broadcast (tables
+of decontamination and of token encoding) is pickled by name, so executors need the package as
+well: install it there, or ship it once with spark.sparkContext.addPyFile.
 """
 
 import sys

@@ -37,21 +37,26 @@ def number(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")).try_cast("double"), F.lit(0.0))
 
 
+def rule_matches(name: str, pattern: str, per: float, metric: bool) -> Column:
+    """All matches of a rule in `text` as an array of (rule, nth, matched, a, b, c, per, is_metric)."""
+    groups = ("matched", "a", "b", "c") if name == "feet_inches" else ("matched", "a")
+    zipped = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(i)).alias(g) for i, g in enumerate(groups)))
+
+    def row(m: Column, nth: Column) -> Column:
+        found = [(m[g] if g in groups else F.lit(None).cast("string")).alias(g) for g in ("matched", "a", "b", "c")]
+        return F.struct(F.lit(name).alias("rule"), nth.alias("nth"), *found, F.lit(per).alias("per"), F.lit(metric).alias("is_metric"))
+
+    return F.transform(zipped, row)
+
+
 def dimension_mentions(blocks: DataFrame) -> DataFrame:
-    """One row per match: K, block_idx, rule, nth, matched, inches, is_metric. Overlapping rules all report."""
-    found = None
-    for name, pattern, per, metric in DIMENSIONS:
-        group = lambda g, p=pattern: F.regexp_extract_all("text", F.lit(p), F.lit(g))
-        zipped = F.arrays_zip(group(0).alias("matched"), group(1).alias("a"), *((group(2).alias("b"), group(3).alias("c")) if name == "feet_inches" else ()))
-        rows = blocks.select(*K, "block_idx", F.posexplode(zipped).alias("nth", "m"))
-        value = number(F.col("m.a")) * per
-        if name == "feet_inches":
-            part = F.split(F.col("m.c"), "/")
-            value = value + number(F.col("m.b")) + F.coalesce(ratio(number(F.get(part, F.lit(0))), number(F.get(part, F.lit(1)))), F.lit(0.0))
-        got = rows.select(*K, "block_idx", F.lit(name).alias("rule"), "nth", F.col("m.matched").alias("matched"), value.alias("inches"), F.lit(metric).alias("is_metric"))
-        got = got.where("inches > 0") if name == "feet_inches" else got
-        found = got if found is None else found.unionByName(got)
-    return found
+    """One row per match: K, block_idx, rule, nth, matched, inches, is_metric. Overlapping rules all report, from one reading of the blocks."""
+    rows = blocks.select(*K, "block_idx", F.inline(F.concat(*(rule_matches(*rule) for rule in DIMENSIONS))))
+    part = F.split("c", "/")
+    # Inches and fractions of an inch stand beside feet; other rules have none.
+    beside = number(F.col("b")) + F.coalesce(ratio(number(F.get(part, F.lit(0))), number(F.get(part, F.lit(1)))), F.lit(0.0))
+    got = rows.select(*K, "block_idx", "rule", "nth", "matched", (number(F.col("a")) * F.col("per") + beside).alias("inches"), "is_metric")
+    return got.where((F.col("rule") != "feet_inches") | (F.col("inches") > 0))
 
 
 def scale_of(text: Column, convention: str = "reference") -> Column:

@@ -175,12 +175,13 @@ def dimension_lines(segments: DataFrame, widest: float = 0.5, cell: float = 5.0,
     e = ends(g.select(*ID, "x1", "y1", "x2", "y2", "length", "angle", "width"), cell)
     mine = around(e.where(thin).select(*ID, "side", "cx", "cy", F.col("length").alias("own"), F.col("angle").alias("own_angle")))
     other = e.select(*K, F.col("seg_idx").alias("other"), F.col("side").alias("other_side"), "cx", "cy", "length", "angle")
-    near = mine.join(other, [*K, "cx", "cy"]).where("other <> seg_idx")
     turn = F.abs(F.col("angle") - F.col("own_angle"))
     slant = F.least(turn, 180 - turn).between(30, 60) & (F.col("length") < part * F.col("own"))
-    lines = near.where(slant).groupBy(*ID, "side").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    heads = near.where(slant & (F.col("length") < arrow)).join(lines.select(*ID, "side"), [*ID, "side"], "left_semi").select(*K, F.col("other").alias("seg_idx"))
-    return lines.select(*ID).unionByName(heads).distinct()
+    near = mine.join(other, [*K, "cx", "cy"]).where((F.col("other") != F.col("seg_idx")) & slant)
+    # The slanted ends at one end of a line are counted beside the rows themselves, so that lines and heads come from one join.
+    marked = near.withColumn("n", F.count("*").over(Window.partitionBy(*ID, "side"))).where(F.col("n") >= least)
+    both = F.array(F.col("seg_idx"), F.when(F.col("length") < arrow, F.col("other")))
+    return marked.select(*K, F.explode(both).alias("seg_idx")).where("seg_idx is not null").distinct()
 
 
 def annotation_lines(widest: float = 0.3) -> Column:

@@ -118,11 +118,18 @@ def clusters(spark, d):
     return L.label_clusters(kept)
 
 
-@query("label_clusters", f"""with {LB}, {led("lb", "block_idx", "abs(x.cx - y.cx) <= 50 and abs(x.cy - y.cy) <= 50")},
-ow as (select lb.*, leader from lb join led on led.doc_id = lb.doc_id and led.page_no = lb.page_no and led.node = lb.block_idx),
-rk as (select *, row_number() over (partition by doc_id, page_no, leader order by case label_type when 'ROOM_NUMBER' then 0 when 'AREA_TAG' then 1 else 2 end, -confidence, block_idx) as nth from ow)
-select doc_id, page_no, leader as cluster_idx, max(label) filter (nth = 1) as primary_label, string_agg(label, ' ' order by cy, cx, block_idx) as label_text, max(label_type) filter (nth = 1) as label_type,
-  round(max(confidence) filter (nth = 1), 4) as confidence, round(avg(cx), 4) as cx, round(avg(cy), 4) as cy, count(*) as n from rk group by doc_id, page_no, leader""", *TB)
+#: The same labels, clustered: lb has a cluster by its leader's index, with its primary label.
+CLUSTERED = f"""{LB.replace("lb as (", "l0 as (")}, {led("l0", "block_idx", "abs(x.cx - y.cx) <= 50 and abs(x.cy - y.cy) <= 50")},
+ow as (select l0.*, leader from l0 join led on led.doc_id = l0.doc_id and led.page_no = l0.page_no and led.node = l0.block_idx),
+rk as (
+  select *, row_number() over (partition by doc_id, page_no, leader order by case label_type when 'ROOM_NUMBER' then 0 when 'AREA_TAG' then 1 else 2 end, -confidence, block_idx) as nth from ow),
+lb as (
+  select doc_id, page_no, leader as block_idx, max(label) filter (nth = 1) as label, string_agg(label, ' ' order by cy, cx, block_idx) as label_text, max(label_type) filter (nth = 1) as label_type,
+    max(confidence) filter (nth = 1) as confidence, avg(cx) as cx, avg(cy) as cy, count(*) as n, max(page_width) as page_width, max(page_height) as page_height from rk group by doc_id, page_no, leader)"""
+
+
+@query("label_clusters", f"""with {CLUSTERED}
+select doc_id, page_no, block_idx as cluster_idx, label as primary_label, label_text, label_type, round(confidence, 4) as confidence, round(cx, 4) as cx, round(cy, 4) as cy, n from lb""", *TB)
 def label_clusters(spark, d):
     return clusters(spark, d).withColumns({c: F.round(c, 4) for c in ("cx", "cy", "confidence")})
 
@@ -174,16 +181,18 @@ def cast(spark, d, c):
     return D.ray_hits(c, S.wall_segments(views.segments(spark, d), sheets), sheets)
 
 
-WALLS = "walls as (select s.* from (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as len from v_segments) s where len >= 5 and len <= 0.9 * sqrt(1000.0 * 1000 + 840 * 840) and (width = 0 or (width >= 0.25 and width < 2)))"
+WALLS = """walls as (
+  select * from (select v_segments.*, page_width, page_height, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as len from v_segments join v_sheets using (doc_id, page_no))
+  where len >= 5 and len <= 0.9 * sqrt(page_width * page_width + page_height * page_height) and (width = 0 or (width >= 0.25 and width < 2)))"""
 HITS = f"""{LB}, {WALLS},
 rays as (select n as ray, cos(n * pi() / 8) as dx, sin(n * pi() / 8) as dy from range(16) t(n)),
 lr as (select lb.*, ray, dx, dy from lb, rays),
-tu as (select lr.doc_id, lr.page_no, lr.block_idx, ray, ((x1 - cx) * (y2 - y1) - (y1 - cy) * (x2 - x1)) / det as t, ((x1 - cx) * dy - (y1 - cy) * dx) / det as u from (select *, dx * (y2 - y1) - dy * (x2 - x1) as det0, case when abs(dx * (y2 - y1) - dy * (x2 - x1)) > 1e-9 then dx * (y2 - y1) - dy * (x2 - x1) end as det from lr join walls using (doc_id, page_no)) lr),
+tu as (select lr.doc_id, lr.page_no, lr.block_idx, ray, ((x1 - cx) * (y2 - y1) - (y1 - cy) * (x2 - x1)) / det as t, ((x1 - cx) * dy - (y1 - cy) * dx) / det as u from (select *, dx * (y2 - y1) - dy * (x2 - x1) as det0, case when abs(dx * (y2 - y1) - dy * (x2 - x1)) > 1e-9 then dx * (y2 - y1) - dy * (x2 - x1) end as det from lr join (select doc_id, page_no, x1, y1, x2, y2 from walls) using (doc_id, page_no)) lr),
 wl as (select doc_id, page_no, block_idx, ray, min(t) as wall from tu where u between -1e-9 and 1 + 1e-9 and t > 10 and t <= 2000 group by all),
 md as (select a.doc_id, a.page_no, a.block_idx, a.ray, a.cx, a.cy, a.dx, a.dy, a.cx / 2 + b.cx / 2 as mx, a.cy / 2 + b.cy / 2 as my from lr a join lb b on a.doc_id = b.doc_id and a.page_no = b.page_no and a.block_idx <> b.block_idx),
 mb as (select doc_id, page_no, block_idx, ray, arg_min({{'far': sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)), 'mx': mx, 'my': my}}, [round(sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)), 6), mx, my]) as m from md
   where sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)) > 10 and (mx - cx) * dx + (my - cy) * dy > 0 and abs((mx - cx) * dy - (my - cy) * dx) <= 50 group by all),
-hx as (select lr.*, wall, m, least(greatest(coalesce(least(case when dx > 1e-9 then (850 - cx) / dx when dx < -1e-9 then cx / -dx end, case when dy > 1e-9 then (840 - cy) / dy when dy < -1e-9 then cy / -dy end), 2000), 0), 2000) as ending from lr left join wl using (doc_id, page_no, block_idx, ray) left join mb using (doc_id, page_no, block_idx, ray)),
+hx as (select lr.*, wall, m, least(greatest(coalesce(least(case when dx > 1e-9 then (page_width * 0.85 - cx) / dx when dx < -1e-9 then cx / -dx end, case when dy > 1e-9 then (page_height - cy) / dy when dy < -1e-9 then cy / -dy end), 2000), 0), 2000) as ending from lr left join wl using (doc_id, page_no, block_idx, ray) left join mb using (doc_id, page_no, block_idx, ray)),
 hits as (select *, coalesce(wall, m.far, ending) as distance, case when wall is null and m is not null then m.mx else cx + dx * coalesce(wall, ending) end as hx, case when wall is null and m is not null then m.my else cy + dy * coalesce(wall, ending) end as hy from hx)"""
 LW = ("v_sheets", "v_text_blocks", "v_segments")
 
@@ -256,7 +265,9 @@ def boundary_methods(spark, d):
     return D.boundary_methods(single_rooms(spark, d)).select(*K, F.col("CLOSED").alias("closed"), F.col("PARTIAL").alias("partial_"), F.col("RAY_CAST").alias("ray_cast"))
 
 
-@query("detected_rooms", None)
+@query("detected_rooms", f"""with {ROOMS.replace(LB, CLUSTERED)}
+select doc_id, page_no, format('room_{{:03d}}_{{:03d}}', page_no, row_number() over (partition by doc_id, page_no order by block_idx, name) - 1) as room_id, name, method,
+  case when confidence >= 0.85 then 'HIGH' when confidence >= 0.6 then 'MEDIUM' else 'LOW' end as level, round(area_sqft, 2) as area_sqft from rooms""", *LW)
 def detected_rooms(spark, d):
     """The flagship: clustered labels, rays, boundaries and measured rooms."""
     # A room goes by its cluster's primary label.

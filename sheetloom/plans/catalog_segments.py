@@ -103,11 +103,11 @@ def doc_bounds(sheets):
     return sheets.where("doc_id % 3 = 0").select("doc_id").distinct().selectExpr("doc_id", "0.1 as x_min", "0.7 as x_max", "0.1 as y_min", "0.8 as y_max").withColumns({c: F.col(c).cast("double") for c in ("x_min", "x_max", "y_min", "y_max")})
 
 
-IN = "{x} between (case when doc_id % 3 = 0 then 100.0 else 0 end) and (case when doc_id % 3 = 0 then 700.0 else 850.0 end) and {y} between (case when doc_id % 3 = 0 then 84.0 else 0 end) and (case when doc_id % 3 = 0 then 672.0 else 840.0 end)"
+IN = "{x} between (case when doc_id % 3 = 0 then 0.1 else 0 end) * pw and (case when doc_id % 3 = 0 then 0.7 else 0.85 end) * pw and {y} between (case when doc_id % 3 = 0 then 0.1 else 0 end) * ph and (case when doc_id % 3 = 0 then 0.8 else 1.0 end) * ph"
 IN1, IN2 = IN.format(x="x1", y="y1"), IN.format(x="x2", y="y2")
 
 
-@query("clip_endpoints", f"select doc_id, page_no, count(*) filter ({IN1} and {IN2}) as kept_both, count(*) filter (({IN1}) or ({IN2})) as kept_either from geo group by all having count(*) filter (({IN1}) or ({IN2})) > 0")
+@query("clip_endpoints", f"select doc_id, page_no, count(*) filter ({IN1} and {IN2}) as kept_both, count(*) filter (({IN1}) or ({IN2})) as kept_either from gp group by all having count(*) filter (({IN1}) or ({IN2})) > 0")
 def clip_endpoints(spark, d):
     s, p = both(spark, d)
     b = doc_bounds(p)
@@ -115,7 +115,7 @@ def clip_endpoints(spark, d):
     return count(True, "kept_either").join(count(False, "kept_both"), K, "left").select(*K, F.coalesce("kept_both", F.lit(0)).alias("kept_both"), "kept_either")
 
 
-@query("clip_polygons", f"with c as (select *, case when notch = 1 then (x0 + w / 2) * 4 / 3 - (x0 + w * 0.75) / 3 else x0 + w / 2 end as cx, case when notch = 1 then (y0 + h / 2) * 4 / 3 - (y0 + h * 0.75) / 3 else y0 + h / 2 end as cy from v_polygons) select doc_id, page_no, poly_idx from c where {IN.format(x='cx', y='cy')}", "v_polygons")
+@query("clip_polygons", f"with c as (select *, case when notch = 1 then (x0 + w / 2) * 4 / 3 - (x0 + w * 0.75) / 3 else x0 + w / 2 end as cx, case when notch = 1 then (y0 + h / 2) * 4 / 3 - (y0 + h * 0.75) / 3 else y0 + h / 2 end as cy, page_width as pw, page_height as ph from v_polygons join v_sheets using (doc_id, page_no)) select doc_id, page_no, poly_idx from c where {IN.format(x='cx', y='cy')}", "v_polygons")
 def clip_polygons(spark, d):
     p = views.sheets(spark, d)
     return S.clip_polygons(views.polygons(spark, d), p, doc_bounds(p)).select(*K, "poly_idx")

@@ -137,12 +137,12 @@ def sheets_to_measure(spark, d):
 
 
 @query("image_coverage", """
-with r as (select doc_id, page_no, poly_idx % 3 as image_id, w * h as a from v_polygons where poly_idx % 2 = 0),
+with r as (select doc_id, page_no, poly_idx % 3 as image_id, w * h as a from v_polygons),
 c as (select doc_id, page_no, count(distinct image_id) as images, sum(a) as covered from r group by all)
 select doc_id, page_no, coalesce(images, 0) as images, round(coalesce(least(100.0, covered * 100 / (page_width * page_height)), 0.0), 4) as coverage from v_sheets left join c using (doc_id, page_no)
 """, "v_sheets", "v_polygons")
 def image_coverage(spark, d):
-    rects = measure.boxes(views.polygons(spark, d)).where("poly_idx % 2 = 0").select(*K, (F.col("poly_idx") % 3).alias("image_id"), "box.*")
+    rects = measure.boxes(views.polygons(spark, d)).select(*K, (F.col("poly_idx") % 3).alias("image_id"), "box.*")
     return classify.image_coverage(rects, views.sheets(spark, d)).withColumn("coverage", F.round("coverage", 4))
 
 

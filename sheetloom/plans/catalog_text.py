@@ -230,7 +230,8 @@ def fill_phase(spark, d):
     return f.select(*K, "seg_idx", "f.pattern", "f.phase", "is_gray")
 
 
-GRAYS = """hd as (select doc_id, page_no, seg_idx // 4 as path_idx, min_by(fill_gray, seg_idx) as g, min(least(x1, x2)) as x0, min(least(y1, y2)) as y0, max(greatest(x1, x2)) as xx, max(greatest(y1, y2)) as yy from v_segments where (doc_id, page_no, seg_idx // 4) in (select (doc_id, page_no, seg_idx // 4) from v_segments where seg_idx % 4 = 0) group by all),
+GRAYS = """hd as (
+  select doc_id, page_no, seg_idx // 4 as path_idx, min_by(fill_gray, seg_idx) as g, min(least(x1, x2)) as x0, min(least(y1, y2)) as y0, max(greatest(x1, x2)) as xx, max(greatest(y1, y2)) as yy from v_segments group by all),
 fg as (select doc_id, page_no, seg_idx // 4 as path_idx, fill_gray as g0 from v_segments where seg_idx % 4 = 0),
 grays as (select doc_id, page_no, path_idx as region_idx, x0, y0, xx as x1, yy as y1, 'gray' as kind, 0.85 as confidence from hd join fg using (doc_id, page_no, path_idx) where g0 between 0.25 and 0.75 and (xx - x0) * (yy - y0) >= 100 and (least(xx - x0, yy - y0) = 0 or (greatest(xx - x0, yy - y0) >= 3 * least(xx - x0, yy - y0) and greatest(xx - x0, yy - y0) >= 20))),
 hatched as (select doc_id, page_no, poly_idx + 1000 as region_idx, x0, y0, x0 + w as x1, y0 + h as y1, 'hatched' as kind, 0.75 as confidence from v_polygons where poly_idx % 8 = 3),

@@ -1,4 +1,4 @@
-"""Queries over wall topology. Iterative ones have no SQL; tests hold them against sequential loops."""
+"""Queries over wall topology. Greedy ones and components have recursive SQL; faces have none, and tests hold them against known cases and Euler's formula."""
 
 from __future__ import annotations
 
@@ -118,7 +118,7 @@ def polygonize(spark, d):
     return T.faces(T.node_segments(walls(spark, d))).select(*K, "poly_idx", F.round("area", 4).alias("area"), F.round("hole_area", 4).alias("hole_area"), F.size("vertices").alias("corners"), "dangles", "cuts")
 
 
-@query("filter_polygons", "select doc_id, page_no, poly_idx from v_polygons where case when notch = 1 then w * h * 0.75 else w * h end between 10000 and 0.85 * 840000", "v_polygons")
+@query("filter_polygons", "select doc_id, page_no, poly_idx from v_polygons join v_sheets using (doc_id, page_no) where case when notch = 1 then w * h * 0.75 else w * h end between 10000 and 0.85 * page_width * page_height", "v_polygons")
 def filter_polygons(spark, d):
     return T.filter_polygons(views.polygons(spark, d), views.sheets(spark, d)).select(*K, "poly_idx")
 
@@ -179,7 +179,27 @@ def wall_network(spark, d):
     return judged.groupBy(*K, F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("door_swings")
+@query("door_swings", """with sh as (
+  select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as len, (x1 + x2) / 2 as mx, (y1 + y2) / 2 as my from v_segments
+  where sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) <= 100),
+en as (select distinct doc_id, page_no, seg_idx, round_even(case n when 0 then x1 else x2 end / 15, 0) as cx, round_even(case n when 0 then y1 else y2 end / 15, 0) as cy from sh, range(2) t(n)),
+ld as (select doc_id, page_no, cx, cy, min(seg_idx) as lead from en group by all),
+lk as (select distinct doc_id, page_no, unnest([seg_idx, lead]) as u, unnest([lead, seg_idx]) as v from en join ld using (doc_id, page_no, cx, cy) where seg_idx <> lead),
+ fold as (
+  select doc_id, page_no, seg_idx, seg_idx as root from sh
+  union select lk.doc_id, lk.page_no, lk.v, fold.root from fold join lk on lk.doc_id = fold.doc_id and lk.page_no = fold.page_no and lk.u = fold.seg_idx and fold.root < lk.v),
+rt as (select doc_id, page_no, seg_idx, min(root) as root from fold group by all),
+chained as (select doc_id, page_no, seg_idx from (select *, count(*) over (partition by doc_id, page_no, root) as size from rt) where size >= 3),
+full_ as (
+  select * from (select *, count(*) over (partition by doc_id, page_no, gx, gy) as m from (select *, cast(trunc(mx / 50) as bigint) as gx, cast(trunc(my / 50) as bigint) as gy from sh where len >= 5)) where m > 3),
+pv as (select doc_id, page_no, seg_idx, gx, gy, n as side, case n when 0 then x1 else x2 end as px, case n when 0 then y1 else y2 end as py from full_, range(2) t(n)),
+fa as (
+  select pv.doc_id, pv.page_no, pv.seg_idx, side, o.seg_idx as o, sqrt((o.mx - px) * (o.mx - px) + (o.my - py) * (o.my - py)) as far
+  from pv join full_ o on o.doc_id = pv.doc_id and o.page_no = pv.page_no and o.gx = pv.gx and o.gy = pv.gy and o.seg_idx <> pv.seg_idx),
+nr as (select * from fa where far > 20 and far < 120),
+ev as (select doc_id, page_no, seg_idx, side from nr group by all having count(*) >= 3 and var_pop(far) < 100),
+hit as (select distinct doc_id, page_no, unnest([seg_idx, o]) as seg_idx from nr join ev using (doc_id, page_no, seg_idx, side))
+select * from chained union select * from hit""")
 def door_swings(spark, d):
     return T.door_swings(views.segments(spark, d))
 

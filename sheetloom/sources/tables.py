@@ -22,17 +22,18 @@ def scan(spark: SparkSession, root: str, kind: str = "parquet") -> dict[str, Dat
     Of JSON lines, those that do not parse are no rows of a table; bad_rows has them whole, with the table's name and the document, where that could be read.
     """
 
-    def read(name: str, schema: str) -> DataFrame:
-        if kind != "json":
-            return spark.read.schema(schema).format(kind).load(f"{root}/{name}")
-        return spark.read.schema(f"{schema}, {BAD} string").option("columnNameOfCorruptRecord", BAD).json(f"{root}/{name}")
-
-    found = {name: read(name, schema) for name, schema in (("sheets", SHEETS), ("paths", PATHS), ("text_blocks", TEXT_BLOCKS))}
+    schemas = {"sheets": SHEETS, "paths": PATHS, "text_blocks": TEXT_BLOCKS}
     bad = spark.createDataFrame([], f"table string, doc_id string, {BAD} string")
-    if kind == "json":
-        for name, df in found.items():
-            bad = bad.unionByName(df.where(F.col(BAD).isNotNull()).select(F.lit(name).alias("table"), "doc_id", BAD))
-        found = {name: df.where(F.col(BAD).isNull()).drop(BAD) for name, df in found.items()}
+    if kind != "json":
+        found = {name: spark.read.schema(schema).format(kind).load(f"{root}/{name}") for name, schema in schemas.items()}
+    else:
+        found = {}
+        for name, schema in schemas.items():
+            # Lines are parsed after they are read: a JSON scan can't be asked for its bad lines alone.
+            lines = spark.read.text(f"{root}/{name}").where(F.trim("value") != "")
+            parsed = lines.select(F.from_json("value", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD}).alias("row"))
+            found[name] = parsed.where(F.col(f"row.{BAD}").isNull()).select("row.*").drop(BAD)
+            bad = bad.unionByName(parsed.where(F.col(f"row.{BAD}").isNotNull()).select(F.lit(name).alias("table"), "row.doc_id", f"row.{BAD}"))
     return found | {"text_blocks": with_text(found["text_blocks"]), "bad_rows": bad}
 
 

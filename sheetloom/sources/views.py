@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 K = ["doc_id", "page_no"]
 
+#: Sheets of three sizes, by page: letter, one in between, and D.
+WIDE = "cast(case cast(floor(o_orderkey / 32.0) as bigint) % 3 when 0 then 612 when 1 then 1000 else 2592 end as double)"
+HIGH = "cast(case cast(floor(o_orderkey / 32.0) as bigint) % 3 when 0 then 792 when 1 then 840 else 1728 end as double)"
 SHEETS = """
 select cast(floor(o_orderkey / 32.0) as bigint) as page_no,
- cast(floor(o_orderkey / 320.0) as bigint) as doc_id, cast(1000.0 as double) as page_width, cast(840.0 as double) as page_height,
+ cast(floor(o_orderkey / 320.0) as bigint) as doc_id, {wide} as page_width, {high} as page_height,
  cast(sum(o_custkey) % 120 as bigint) as drawing_count, cast(sum(o_custkey) % 6 as bigint) as image_count,
  cast(sum(o_custkey) % 45 as double) as image_coverage_percent
- from orders group by 1, 2
-"""
+ from orders group by 1, 2, 3, 4
+""".format(wide=WIDE, high=HIGH)
 
 SEGMENTS = """
 with base as (

@@ -1,8 +1,14 @@
 """Joins by grid cells against loops over all pairs, and the queries that have no SQL, on small cases."""
 
+import math
 import random
 
-from sheetloom.operators import detect, labels, phases, topology
+from pyspark.sql import functions as F
+
+from sheetloom.functions import geom, greedy
+from sheetloom.operators import detect, labels, phases, scale, topology
+from sheetloom.operators.segments import with_geometry
+from sheetloom.sources import tables
 
 RING = "doc_id long, page_no long, poly_idx long, vertices array<struct<x:double,y:double>>"
 
@@ -110,3 +116,92 @@ def test_a_hatch(spark):
     s = spark.createDataFrame(rows, "doc_id long, page_no long, seg_idx long, x1 double, y1 double, x2 double, y2 double, fill array<double>, fill_type string, dashes array<double>")
     got = phases.hatched_regions(s).collect()
     assert [(r.x0, r.y0, r.x1, r.y1, r.kind) for r in got] == [(300.0, 100.0, 360.0, 130.0, "hatched")]
+
+
+def test_a_walk_covers_a_segment(spark):
+    random.seed(24)
+    found = [tuple(random.uniform(-300, 300) for _ in range(4)) for _ in range(80)] + [(0.0, 0.0, 128.0, 128.0), (64.0, -50.0, 64.0, 90.0), (10.0, 64.0, 200.0, 64.0), (5.0, 5.0, 5.0, 5.0), (1.0, 0.0, 1.0000001, 300.0)]
+    lines = spark.createDataFrame([(i, *s) for i, s in enumerate(found)], "i long, x1 double, y1 double, x2 double, y2 double")
+    cells = {}
+    for r in geom.walked(lines, 64.0, *(F.col(c) for c in ("x1", "y1", "x2", "y2"))).collect():
+        cells.setdefault(r.i, []).append((r.gx, r.gy))
+    for i, (x1, y1, x2, y2) in enumerate(found):
+        met = {(math.floor((x1 + t / 500 * (x2 - x1)) / 64), math.floor((y1 + t / 500 * (y2 - y1)) / 64)) for t in range(501)}
+        assert met <= set(cells[i]) and len(cells[i]) == len(set(cells[i]))
+        # No cell beyond those beside the segment.
+        assert all(min(max(abs(gx - x), abs(gy - y)) for x, y in met) <= 1 for gx, gy in cells[i])
+
+
+def test_rays_in_bands_equal_the_loop(spark):
+    random.seed(25)
+    walls = [(x := random.uniform(-200, 1800), y := random.uniform(-200, 1800), x + random.uniform(-200, 200), y + random.uniform(-200, 200)) for _ in range(25)]
+    at = [(random.uniform(0, 1500), random.uniform(0, 1500)) for _ in range(20)]
+    c = spark.createDataFrame([(1, 1, i, *p) for i, p in enumerate(at)], "doc_id long, page_no long, cluster_idx long, cx double, cy double")
+    w = spark.createDataFrame([(1, 1, i, *s) for i, s in enumerate(walls)], "doc_id long, page_no long, seg_idx long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.cluster_idx, r.ray): r.wall for r in detect.wall_hits(c, w).collect()}
+    want = {}
+    for i, (cx, cy) in enumerate(at):
+        for ray in range(16):
+            dx, dy = math.cos(2 * math.pi * ray / 16), math.sin(2 * math.pi * ray / 16)
+            for x1, y1, x2, y2 in walls:
+                det = dx * (y2 - y1) - dy * (x2 - x1)
+                t, u = ((x1 - cx) * (y2 - y1) - (y1 - cy) * (x2 - x1)) / det, ((x1 - cx) * dy - (y1 - cy) * dx) / det
+                if 0 <= u <= 1 and 10 < t <= 2000:
+                    want[i, ray] = min(t, want.get((i, ray), t))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert min(want.values()) < 256 < max(want.values())
+
+
+def test_a_ring_that_crosses_itself(spark):
+    ring = [(200 + 100 * math.cos(math.pi * i / 8), 200 + 100 * math.sin(math.pi * i / 8)) for i in range(16)]
+    bent = list(ring)
+    bent[4], bent[6] = ring[6], ring[4]
+    for points, repaired in ((ring, False), (bent, True)):
+        hits = spark.createDataFrame([(1, 1, 0, 200.0, 200.0, i, *p, True) for i, p in enumerate(points)], "doc_id long, page_no long, cluster_idx long, cx double, cy double, ray int, hx double, hy double, is_wall boolean")
+        (b,) = detect.label_boundaries(hits).collect()
+        assert b.repaired is repaired and abs(b.area - 8 * 100 * 100 * math.sin(math.pi / 8)) < 1e-6
+
+
+def test_lines_beside_points_equal_the_loop(spark):
+    random.seed(26)
+    found = [(x := random.uniform(0, 2500), y := random.uniform(0, 1700), x + random.choice((0, 60, random.uniform(-9, 9))), y + random.choice((0, 60, random.uniform(-9, 9)))) for _ in range(120)]
+    points = [(random.uniform(0, 2500), random.uniform(0, 1700), random.choice((0.0, 90.0))) for _ in range(60)]
+    s = spark.createDataFrame([(1, 1, i, *p, "s") for i, p in enumerate(found)], "doc_id long, page_no long, seg_idx long, x1 double, y1 double, x2 double, y2 double, fill_type string")
+    g = with_geometry(s.selectExpr("*", "cast(null as array<double>) as dashes", "cast(null as array<double>) as fill")).select("doc_id", "page_no", "seg_idx", "x1", "y1", "x2", "y2", "length", "angle")
+    p = spark.createDataFrame([(1, 1, i, *x) for i, x in enumerate(points)], "doc_id long, page_no long, block_idx long, px double, py double, turn double")
+    got = [(r.block_idx, r.seg_idx) for r in scale.beside_lines(p, g, 50.0, 15.0).collect()]
+    want = set()
+    for i, (px, py, turn) in enumerate(points):
+        for j, (x1, y1, x2, y2) in enumerate(found):
+            size = math.hypot(x2 - x1, y2 - y1)
+            far = abs((y2 - y1) * px - (x2 - x1) * py + x2 * y1 - y2 * x1) / size if size else math.hypot(px - x1, py - y1)
+            off = abs(math.degrees(math.atan2(y2 - y1, x2 - x1)) % 180 - turn)
+            if min(off, 180 - off) <= 15 and far < 50:
+                want.add((i, j))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_leaders_and_components_equal_the_loops(spark):
+    random.seed(27)
+    n = 150
+    pairs = {tuple(sorted(random.sample(range(n), 2))) for _ in range(170)} | {(i, i + 1) for i in range(100, 140)}
+    nodes = spark.createDataFrame([(1, 1, i) for i in range(n)], "doc_id long, page_no long, n long")
+    edges = spark.createDataFrame([(1, 1, a, b) for p in pairs for a, b in (p, p[::-1])], "doc_id long, page_no long, u long, v long")
+    owner, root = {}, list(range(n))
+    for x in range(n):
+        if x not in owner:
+            owner |= {y: x for y in [x, *(b for a, b in [*pairs, *(p[::-1] for p in pairs)] if a == x)] if y not in owner}
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert {r.n: r.leader for r in greedy.leader_clusters(nodes, edges, "n").collect()} == owner
+    assert {r.n: r.root for r in greedy.components(nodes, edges, "n").collect()} == dict(enumerate(root))
+
+
+def test_lines_that_do_not_parse(spark, tmp_path):
+    good = '{"doc_id":"1","page_no":0,"page_width":612.0,"page_height":792.0}'
+    for name, lines in (("sheets", [good, good[:-9]]), ("paths", []), ("text_blocks", ['{"doc_id":"1","page_no":0,"block_idx":3,"text":" A "}', '{"doc_id":"1","text":"  "}', "no JSON at all"])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.json").write_text("".join(f"{x}\n" for x in lines))
+    t = tables.scan(spark, str(tmp_path), "json")
+    assert t["sheets"].count() == 1 and t["paths"].count() == 0 and [r.text for r in t["text_blocks"].collect()] == [" A "]
+    assert sorted((r["table"], r.bad_row) for r in t["bad_rows"].collect()) == [("sheets", good[:-9]), ("text_blocks", "no JSON at all")]
