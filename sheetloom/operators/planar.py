@@ -20,6 +20,8 @@ from sheetloom.functions.lineage import written
 from sheetloom.sources.views import K
 
 CELL = 128.0
+#: Layers of loose ends that are taken off before what is left is written.
+PEELED = 5
 RING = "array<struct<x:double,y:double>>"
 
 
@@ -81,15 +83,15 @@ def pruned_counts(marked: DataFrame) -> DataFrame:
     node = Window.partitionBy(*K, "ax", "ay")
     tree = written(marked.withColumn("ring", F.max(~F.col("bridge")).over(node)).where("bridge").select(*K, "id", "ax", "ay", "ring"))
     total = tree.groupBy(*K).agg((F.count("*") / 2).cast("long").alias("bridges"))
-    left, more = tree, not tree.isEmpty()
-    while more:
+    left, before, now = tree, None, tree.count()
+    while now and now != before:
         after = left
-        for _ in range(3):
+        for _ in range(PEELED):
             edge = Window.partitionBy(F.least(F.col("id"), twin(F.col("id"))))
             loose = ~F.col("ring") & (F.count("*").over(node) == 1)
             after = after.withColumn("loose", loose).withColumn("gone", F.max("loose").over(edge)).where(~F.col("gone")).drop("loose", "gone")
-        before, left = left, written(after)
-        more = left.count() < before.count()
+        left = written(after)
+        before, now = now, left.count()
     cuts = left.groupBy(*K).agg((F.count("*") / 2).cast("long").alias("cuts"))
     both = total.join(cuts, K, "left").withColumn("cuts", F.coalesce("cuts", F.lit(0)))
     return both.select(*K, (F.col("bridges") - F.col("cuts")).alias("dangles"), "cuts")
