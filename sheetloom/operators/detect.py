@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetloom.functions.geom import area, box, celled, centroid, common_corner, covered, following, in_ring, ratio, ring_distance, walked
-from sheetloom.functions.lineage import written
+from sheetloom.functions.lineage import bound, unsent, written
 from sheetloom.sources.views import K
 
 RAYS, REACH, LEAST_HIT, EPS = 16, 2000.0, 10.0, 1e-9
@@ -34,7 +34,7 @@ def direction(ray: Column, axis: str) -> Column:
 def rays_of(labels: DataFrame) -> DataFrame:
     """CLUSTER, cx, cy, ray, dx, dy: all rays of all labels."""
     each = labels.select(*CLUSTER, "cx", "cy", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1))).alias("ray"))
-    return each.withColumns({"dx": direction(F.col("ray"), "x"), "dy": direction(F.col("ray"), "y")})
+    return unsent(each.withColumns({"dx": direction(F.col("ray"), "x"), "dy": direction(F.col("ray"), "y")}))
 
 
 def within(low_x: Column, low_y: Column, high_x: Column, high_y: Column) -> tuple[Column, Column]:
@@ -73,7 +73,7 @@ def wall_hits(labels: DataFrame, walls: DataFrame) -> DataFrame:
         # A wall that is met behind the band can have others before it.
         found = written(met.groupBy(*CLUSTER, "ray").agg(F.min("t").alias("wall")).where(F.col("wall") <= far))
         done = found if done is None else done.unionByName(found)
-    return done
+    return unsent(done)
 
 
 def crossings(pairs: DataFrame) -> DataFrame:
@@ -164,9 +164,9 @@ def boundaries_by_text(boundaries: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def containing_polygon(clusters: DataFrame, polygons: DataFrame, least: float = 50000.0, near: float = 5.0) -> DataFrame:
     """CLUSTER, poly_idx, area, method, confidence: the largest polygon that holds the label, else the closest within reach."""
-    big = polygons.withColumns({"area": area(F.col("vertices")), "c": centroid(F.col("vertices"))}).where(F.col("area") >= least)
+    big = bound(polygons.withColumns({"area": area(F.col("vertices")), "c": centroid(F.col("vertices")), "bx": box(F.col("vertices"))}), "area", "c", "bx").where(F.col("area") >= least)
     reach = max(near, 0.0)
-    spread = covered(big.withColumn("bx", box(F.col("vertices"))), CELL, F.col("bx.x0") - reach, F.col("bx.y0") - reach, F.col("bx.x1") + reach, F.col("bx.y1") + reach)
+    spread = covered(big, CELL, F.col("bx.x0") - reach, F.col("bx.y0") - reach, F.col("bx.x1") + reach, F.col("bx.y1") + reach)
     pair = celled(clusters.select(*CLUSTER, "cx", "cy"), CELL, F.col("cx"), F.col("cy")).join(spread, [*K, "gx", "gy"]).withColumns({"inside": in_ring(F.col("cx"), F.col("cy"), F.col("vertices")), "off": ring_distance(F.col("cx"), F.col("cy"), F.col("vertices")), "far": F.hypot(F.col("cx") - F.col("c.x"), F.col("cy") - F.col("c.y"))})
     some = pair.where(F.col("inside") | (F.col("off") <= near))
     best = some.groupBy(*CLUSTER).agg(F.min_by(F.struct("poly_idx", "area"), F.struct(~F.col("inside"), F.when(F.col("inside"), -F.col("area")).otherwise(F.round("far", 6)), "poly_idx")).alias("best"))
