@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetloom.operators.scale import number
+from sheetloom.functions.lineage import unsent
 from sheetloom.sources.views import K
 
 DEFAULT_HEIGHT, LOWEST, HIGHEST = 10.0, 7.0, 60.0
@@ -62,7 +63,7 @@ def match_heights(rooms: DataFrame, heights: DataFrame, share: float = 0.1) -> D
     cell = lambda x: F.floor(F.col(x) / F.col("cell"))
     step = F.sequence(F.lit(-1), F.lit(1))
     near = open_.withColumns({"gx": cell("cx"), "gy": cell("cy")}).withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).withColumns({"gx": F.col("gx") + F.col("i"), "gy": F.col("gy") + F.col("j")})
-    met = near.drop("cell").join(at.withColumns({"gx": cell("hx"), "gy": cell("hy")}), ["doc_id", "gx", "gy"]).withColumn("far", far).where(F.col("far") < share * F.col("page_width"))
+    met = unsent(near.drop("cell")).join(at.withColumns({"gx": cell("hx"), "gy": cell("hy")}), ["doc_id", "gx", "gy"]).withColumn("far", far).where(F.col("far") < share * F.col("page_width"))
     best = met.groupBy("doc_id", "page_no", "poly_idx").agg(F.min_by("h3", F.struct(F.round("far", 6), "note_page", "block_idx")).alias("h3"))
     full = two.join(best, ["doc_id", "page_no", "poly_idx"], "left")
     pick = lambda *v: reduce(lambda c, x: c.when(F.col(x[0]).isNotNull(), x[1]), v[1:-1], F.when(F.col(v[0][0]).isNotNull(), v[0][1])).otherwise(v[-1])

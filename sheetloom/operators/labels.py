@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions.geom import box, celled, centroid, covered, in_ring
 from sheetloom.functions.greedy import leader_clusters, priority_matching
+from sheetloom.functions.lineage import bound, unsent
 from sheetloom.sources.views import K
 
 #: Words that make a room label, and shapes of room numbers.
@@ -178,8 +179,8 @@ def merge_text(embedded: DataFrame, ocr: DataFrame, overlap: float = 0.5, cell:
     e = cells(embedded.select(*K, *(F.col(c).alias(c) for c in ("x0", "y0", "x1", "y1")))).select(*K, "gx", "gy", *(F.col(c).alias(f"e_{c}") for c in ("x0", "y0", "x1", "y1")))
     w, h = F.least("x1", "e_x1") - F.greatest("x0", "e_x0"), F.least("y1", "e_y1") - F.greatest("y0", "e_y0")
     smaller = F.least((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), (F.col("e_x1") - F.col("e_x0")) * (F.col("e_y1") - F.col("e_y0")))
-    hit = cells(ocr).join(e, [*K, "gx", "gy"]).where((w > 0) & (h > 0) & (smaller > 0) & (w * h > overlap * smaller)).select(*K, "block_idx").distinct()
-    return embedded.unionByName(ocr.join(hit, [*K, "block_idx"], "left_anti"))
+    hit = unsent(cells(ocr)).join(e, [*K, "gx", "gy"]).where((w > 0) & (h > 0) & (smaller > 0) & (w * h > overlap * smaller)).select(*K, "block_idx").distinct()
+    return embedded.unionByName(unsent(ocr).join(hit, [*K, "block_idx"], "left_anti"))
 
 
 def image_to_page(x0: Column, y0: Column, x1: Column, y1: Column, iw: Column, ih: Column, pw: Column, ph: Column) -> Column:
@@ -242,8 +243,8 @@ def label_clusters(labels: DataFrame, reach: float = 50.0) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / reach)
     mine = labels.select(*K, F.col("block_idx").alias("u"), F.col("cx").alias("ux"), F.col("cy").alias("uy")).withColumns({"gx": cell("ux"), "gy": cell("uy")}).withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).withColumns({"gx": F.col("gx") + F.col("i"), "gy": F.col("gy") + F.col("j")})
     theirs = labels.select(*K, F.col("block_idx").alias("v"), "cx", "cy").withColumns({"gx": cell("cx"), "gy": cell("cy")})
-    near = mine.join(theirs, [*K, "gx", "gy"]).where((F.col("u") != F.col("v")) & (F.abs(F.col("ux") - F.col("cx")) <= reach) & (F.abs(F.col("uy") - F.col("cy")) <= reach))
-    owned = labels.join(leader_clusters(labels, near, "block_idx"), [*K, "block_idx"])
+    near = unsent(mine).join(theirs, [*K, "gx", "gy"]).where((F.col("u") != F.col("v")) & (F.abs(F.col("ux") - F.col("cx")) <= reach) & (F.abs(F.col("uy") - F.col("cy")) <= reach))
+    owned = unsent(labels).join(leader_clusters(labels, near, "block_idx"), [*K, "block_idx"])
     order = F.when(F.col("label_type") == "ROOM_NUMBER", 0).when(F.col("label_type") == "AREA_TAG", 1).otherwise(2)
     first = F.min_by(F.struct("label", "label_type", "confidence"), F.struct(order, -F.col("confidence"), "block_idx"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "block_idx", "label"))), lambda s: s["label"]), " ")
@@ -257,7 +258,7 @@ def match_labels(labels: DataFrame, polygons: DataFrame, grow: float = 0.15) ->
     A label inside the ring is HIGH, one inside the grown box MEDIUM, the nearest within
     half the box's diagonal LOW; the nth polygon without one is named ROOM_n, NONE.
     """
-    p = polygons.withColumns({"bx": box(F.col("vertices")), "c": centroid(F.col("vertices"))})
+    p = bound(polygons.withColumns({"bx": box(F.col("vertices")), "c": centroid(F.col("vertices"))}), "bx", "c")
     w, h = F.col("bx.x1") - F.col("bx.x0"), F.col("bx.y1") - F.col("bx.y0")
     # Cells that a ring's grown box or the circle about its center meets; a label lies in one.
     cell, half = 128.0, F.hypot(w, h) / 2
@@ -274,14 +275,14 @@ def match_labels(labels: DataFrame, polygons: DataFrame, grow: float = 0.15) ->
     rank = F.format_string("%06d-%d-%014.6f-%06d", F.col("poly_idx"), F.col("tier"), F.when(F.col("tier") == 2, F.col("far")).otherwise(0.0), F.col("block_idx"))
     edges = pair.withColumns({"tier": tier, "far": far}).where("tier is not null").select(*K, "poly_idx", "block_idx", "text", "tier", rank.alias("rank"))
     taken = priority_matching(edges, "poly_idx", "block_idx", "rank", shared=False)
-    full = polygons.select(*K, "poly_idx").join(taken, [*K, "poly_idx"], "left")
+    full = unsent(polygons.select(*K, "poly_idx")).join(taken, [*K, "poly_idx"], "left")
     nth = F.row_number().over(Window.partitionBy(*K, F.col("tier").isNull()).orderBy("poly_idx"))
     level = F.when(F.col("tier") == 0, "HIGH").when(F.col("tier") == 1, "MEDIUM").when(F.col("tier") == 2, "LOW")
     return full.select(*K, "poly_idx", "block_idx", F.coalesce("text", F.format_string("ROOM_%d", nth)).alias("room_name"), F.coalesce(level, F.lit("NONE")).alias("name_confidence"))
 
 
 def apply_labels(polygons: DataFrame, matches: DataFrame) -> DataFrame:
-    return polygons.join(matches.select(*K, "poly_idx", "room_name", "name_confidence"), [*K, "poly_idx"], "left").withColumns({"room_name": F.coalesce("room_name", F.lit("ROOM_UNKNOWN")), "name_confidence": F.coalesce("name_confidence", F.lit("NONE"))})
+    return unsent(polygons).join(matches.select(*K, "poly_idx", "room_name", "name_confidence"), [*K, "poly_idx"], "left").withColumns({"room_name": F.coalesce("room_name", F.lit("ROOM_UNKNOWN")), "name_confidence": F.coalesce("name_confidence", F.lit("NONE"))})
 
 
 def label_stats(labels: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheetloom.functions.geom import angle_between, celled, covered, line_distance, ratio
 from sheetloom.operators.classify import sheet_text
 from sheetloom.operators.segments import with_geometry
+from sheetloom.functions.lineage import unsent
 from sheetloom.sources.views import K
 
 #: Dimension patterns in order: name, pattern, inches per unit, metric.
@@ -127,7 +128,7 @@ def placed_dimensions(blocks: DataFrame) -> DataFrame:
     first = dimension_mentions(blocks).withColumn("order", F.when(F.col("rule") == "feet_inches", 0).otherwise(1))
     one = first.groupBy(*K, "block_idx").agg(F.min_by("inches", F.struct("order", "rule", "nth")).alias("inches"))
     upright = (F.col("y1") - F.col("y0")) > (F.col("x1") - F.col("x0"))
-    return blocks.join(one, [*K, "block_idx"]).select(*K, "block_idx", "inches", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"), F.when(upright, 90.0).otherwise(0.0).alias("turn"))
+    return unsent(blocks).join(one, [*K, "block_idx"]).select(*K, "block_idx", "inches", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"), F.when(upright, 90.0).otherwise(0.0).alias("turn"))
 
 
 def tick_marks(dimensions: DataFrame, segments: DataFrame, longest: float = 20.0, reach: float = 50.0, tolerance: float = 15.0) -> DataFrame:
@@ -144,7 +145,7 @@ def cell_pairs(dimensions: DataFrame, midpoints: DataFrame, reach: float) -> Dat
     step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     mine = dimensions.withColumns({"cx": F.floor(F.col("px") / reach), "cy": F.floor(F.col("py") / reach)}).withColumn("i", step).withColumn("j", step).withColumns({"cx": F.col("cx") + F.col("i"), "cy": F.col("cy") + F.col("j")}).drop("i", "j")
     theirs = midpoints.withColumns({"cx": F.floor(F.col("mid_x") / reach), "cy": F.floor(F.col("mid_y") / reach)})
-    return mine.join(theirs, [*K, "cx", "cy"]).drop("cx", "cy")
+    return unsent(mine).join(theirs, [*K, "cx", "cy"]).drop("cx", "cy")
 
 
 def beside_lines(points: DataFrame, lines: DataFrame, reach: float, tolerance: float, wide: float = 3.0) -> DataFrame:
@@ -161,7 +162,7 @@ def beside_lines(points: DataFrame, lines: DataFrame, reach: float, tolerance: f
     # Within a cell of angles, the distance changes by the point's own distance from the origin times half the cell.
     near = turned.withColumns({"off": F.col("py") * F.cos("way") - F.col("px") * F.sin("way"), "half": F.hypot("px", "py") * math.radians(wide) / 2 + reach + 1e-6})
     cells = near.withColumn("off_cell", F.explode(F.sequence(F.floor((F.col("off") - F.col("half")) / reach), F.floor((F.col("off") + F.col("half")) / reach))))
-    pair = cells.drop("a", "way", "off", "half").join(placed, [*K, "turn_cell", "off_cell"]).drop("turn_cell", "off_cell")
+    pair = unsent(cells.drop("a", "way", "off", "half")).join(placed, [*K, "turn_cell", "off_cell"]).drop("turn_cell", "off_cell")
     far = line_distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return pair.where(angle_between(F.col("angle"), F.col("turn")) <= tolerance).withColumn("far", far).where(F.col("far") < reach)
 
