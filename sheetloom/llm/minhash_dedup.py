@@ -16,18 +16,14 @@ Equal bands of a signature make candidates, and no band is expanded into its pai
 1. Each text is compared with the foremost of its bands' leads; a band's lead is the text
    that meets the most others over all bands. Links make components.
 2. Bands that still hold several components compare each text with the band's lead.
-3. What is left is an LSH forest: a band's texts in the order of all further coordinates.
-   Each text is compared with the WINDOW texts before it that are of other components, and
-   this is repeated with the new components until no link is found.
-
-A comparison is first an estimate from the two signatures (pairs that are MARGIN standard
-deviations under the threshold go), then the exact weighted Jaccard similarity of the
-shingle counts. So the rows are proportional to the band memberships, however large a
-group is; pairs of step 3 that are far apart in all of their bands' orders stay untested,
-and so do the few that share no band or that the estimate rules out. exact=True goes on to all of
-these: every pair of texts of different components is compared that shares one of the shingles that
-two texts at the threshold must share (the rarest of each, by global counts). Then no link is
-missing, at the price of a global count of all shingles.
+3. Every pair of texts of different components is compared that shares one of the elements that two
+   texts at the threshold must share: the rarest of each, in one order for all texts. This step alone is
+   complete, and 1 and 2 leave little for it. Groups of many texts are compared in tiles (untested).
+
+In 1 and 2, a comparison is first an estimate from the two signatures (pairs that are MARGIN standard
+deviations under the threshold go), then the exact weighted Jaccard similarity of the shingle counts; 3 has no
+estimate, so no link is missing. exact=False leaves 3 out. A large group of texts that are all just under the
+threshold from each other has to be compared in full: n * n / TILE rows, in tasks of bounded memory.
 Exact copies share one text from the start. The result is one row per document.
 
 Defined results: ids can be of any type with an order; a null id ranks last; of ids that tie
@@ -44,7 +40,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +53,12 @@ COORDS = BANDS * ROWS
 DARTS = int(COORDS * (np.log(COORDS) + 2))
 #: Standard deviations under the threshold at which an estimate rules a pair out: 0.5 % of pairs at the threshold.
 MARGIN = 2.6
-#: Texts of the forest's order that one is compared with.
-WINDOW = 16
+#: Texts that a sample has at least before it takes only a part of them, and elements that it ranks at most.
+SAMPLED, RANKED = 16384, 1 << 18
+#: Texts of a group that are paired by a join; texts in a block of a larger group, where each LOAD elements of a text count once more.
+PAIRED, TILE, LOAD = 16, 256, 4096
+#: Texts of a tile that gives all its links, and elements that are compared at once.
+FEW, STRIPE = 64, 4096
 #: Pairs of one lead that a task compares; the text of a lead with more is copied.
 SHARE = 256
 
@@ -259,96 +258,134 @@ def open_bands(led: DataFrame, label: DataFrame) -> DataFrame:
     return written(rooted.join(mixed, "band"))
 
 
-def forest(left: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): texts of different components near each other in the order of one band's further coordinates, if their signatures agree."""
-    least, start = least_agreement(similarity), 2 * ROWS * F.col("band").bitwiseAND(31)
-    path = F.concat(F.substring("sig", start + 1, F.lit(2 * COORDS)), F.substring("sig", F.lit(1), start))
-    ordered = written(left.join(sigs.select("row", "scale", "sig"), ["row", "scale"]).select("band", path.alias("path"), "row", "root"))
-    schema = "a binary, b binary, edge long, band long, path binary, row binary, root binary"
+def elements(text: bytes) -> np.ndarray:
+    """A document's shingles as a set of sorted 64-bit values, where the n-th occurrence of a shingle is one of its own.
+
+    Weighted Jaccard similarity of the counts is the plain one of these sets.
+    """
+    shingle, count = shingles(text)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.sort(mix(np.repeat(shingle, count) + nth.astype(np.uint64) * np.uint64(ODD)))
+
+
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that several texts of a sample hold (at most RANKED, sorted), with the logarithm of how many.
+
+    They only order the elements of a text, so that groups are small; pairs are complete in any order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            yield pairs_of(now)
-            # A partition's ends go to a second pass, where neighbouring partitions meet.
-            if first:
-                yield ends(now.slice(0, WINDOW), part - 1)
-                first = False
-            held = now.slice(max(0, now.num_rows - WINDOW))
-        if held is not None:
-            yield ends(held, part)
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if now.num_rows:
-                yield pairs_of(now).select(["a", "b"])
-                held = now.slice(max(0, now.num_rows - WINDOW))
-
-    def ends(rows: pa.RecordBatch, edge: int) -> pa.RecordBatch:
-        nothing = pa.nulls(rows.num_rows, pa.binary())
-        return pa.RecordBatch.from_arrays([nothing, nothing, pa.array([edge] * rows.num_rows, pa.int64()), *rows.columns], names=["a", "b", "edge", *rows.schema.names])
-
-    def pairs_of(rows: pa.RecordBatch) -> pa.RecordBatch:
-        band, row, root = rows.column("band").to_numpy(zero_copy_only=False), rows.column("row"), rows.column("root").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        sig, found = coordinates(rows.column("path")), []
-        for back in range(1, min(WINDOW, len(band) - 1) + 1):
-            i = np.flatnonzero((band[back:] == band[:-back]) & (root[back:] != root[:-back]))
-            i = i[(sig[i] == sig[i + back]).sum(axis=1) >= least]
-            found.append(np.stack([i, i + back]))
-        at = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        x, y = row.take(pa.array(at[0])), row.take(pa.array(at[1]))
-        swap = pa.compute.greater(x, y)
-        a, b = pa.compute.if_else(swap, y, x), pa.compute.if_else(swap, x, y)
-        rest = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
-        return pa.RecordBatch.from_arrays([a, b, *rest], names=["a", "b", "edge", "band", "path", "row", "root"])
-
-    found = written(ordered.repartitionByRange("band", "path", "row").sortWithinPartitions("band", "path", "row").mapInArrow(run, schema))
-    met = found.where("edge is not null").drop("a", "b").repartition("edge").sortWithinPartitions("edge", "band", "path", "row").drop("edge")
-    return found.where("a is not null").select("a", "b").unionByName(met.mapInArrow(again, "a binary, b binary")).distinct()
-
-
-def weights(texts: DataFrame) -> DataFrame:
-    """(row, shingle, n, total): each text's shingles with their counts, and the sum of these."""
+            col = batch.column(0).cast(pa.binary())
+            sizes, at = np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            for end in cuts(sizes, CHUNK):
+                value, n = np.unique(np.concatenate([elements(t) for t in col.slice(at, end - at).to_pylist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+                at = end
+
+    one_in = max(1, min(16, texts.count() // SAMPLED))
+    counted = texts.where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counted.where("n > 2").orderBy(F.col("n").desc(), "key").limit(RANKED).toArrow()
+    key, n = np.asarray(top["key"]).view(np.uint64), np.asarray(top["n"])
+    order = np.argsort(key)
+    return key[order], (np.log2(np.maximum(n[order], 1)) + 1).astype(np.int8)
+
+
+def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """(key, row, total): the rarest elements of each text, as many as it takes for two texts at the threshold to share one, and how many it has."""
+    listed, level = frequent(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-                shingle, count = shingles(text.as_py())
-                n = len(shingle)
-                cols = [pa.array([row.as_py()] * n, pa.binary()), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(np.full(n, count.sum(), np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "shingle", "n", "total"])
-
-    return texts.select("row", "text").mapInArrow(run, "row binary, shingle long, n long, total long")
+            rows, col = batch.column(0), batch.column(1).cast(pa.binary())
+            sizes, start = np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            for end in cuts(sizes, CHUNK):
+                keys, totals = [], []
+                for text in col.slice(start, end - start).to_pylist():
+                    e = elements(text)
+                    if len(listed):
+                        place = np.minimum(np.searchsorted(listed, e), len(listed) - 1)
+                        e = e[np.argsort(np.where(listed[place] == e, level[place], 0), kind="stable")]
+                    totals.append(len(e))
+                    keys.append(e[: len(e) - int(np.ceil(similarity * len(e) - 1e-9)) + 1])
+                n = np.array([len(k) for k in keys])
+                who = np.repeat(np.arange(len(n)), n)
+                cols = [pa.array(np.concatenate(keys).view(np.int64)), rows.slice(start, end - start).take(pa.array(who)), pa.array(np.array(totals)[who])]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "row", "total"])
+                start = end
+
+    return texts.select("row", "text").mapInArrow(run, "key long, row binary, total long")
+
+
+def tile_links(tile: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): links between components of one tile (i, j, block, row, root, text); of a large tile, as many as join them."""
+    sets = [elements(t) for t in tile["text"].cast(pa.binary()).to_pylist()]
+    rows, roots, block, n = tile["row"].to_pylist(), tile["root"].to_pylist(), np.asarray(tile["block"]), len(sets)
+    size, owner = np.array([len(s) for s in sets]), np.repeat(np.arange(n), [len(s) for s in sets])
+    _, number, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, number = owner[held[number] > 1], number[held[number] > 1]
+    by = np.argsort(number, kind="stable")
+    owner, number = owner[by], np.unique(number[by], return_inverse=True)[1]
+    shared = np.zeros((n, n))
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, STRIPE):
+        lo, hi = np.searchsorted(number, [low, low + STRIPE])
+        part = np.zeros((n, STRIPE), np.float32)
+        part[owner[lo:hi], number[lo:hi] - low] = 1
+        shared += part @ part.T
+    near = np.triu(shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9, 1)
+    if tile["i"][0].as_py() != tile["j"][0].as_py():
+        near &= block[:, None] != block[None, :]
+    found, root = [], {r: r for r in roots}
+
+    def top(r: bytes) -> bytes:
+        while root[r] != r:
+            root[r] = r = root[root[r]]
+        return r
+
+    for x, y in zip(*(i.tolist() for i in np.nonzero(near)), strict=True):
+        if roots[x] == roots[y]:
+            continue
+        if n > FEW:
+            p, q = top(roots[x]), top(roots[y])
+            if p == q:
+                continue
+            root[p] = q
+        found.append((min(rows[x], rows[y]), max(rows[x], rows[y])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
 
 def untested(texts: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of texts of different components that can still reach the threshold.
 
-    Two texts that do share more than all but a part of either's weight; so they share a shingle among the
-    rarest of that part, taken in one order for all texts. Shingles whose texts are of one component give no pair.
+    Two texts that do share an element among the rarest of each, taken in one order for all texts. Elements
+    whose texts are of one component give no pair. Groups of PAIRED texts or fewer are paired by a join; larger ones
+    are cut into blocks, and each two blocks are compared as a tile, which gives only the links in it, so that
+    a group of n texts makes n * n / TILE rows.
     """
-    each = written(weights(texts))
-    held = each.groupBy("shingle").agg(F.count("*").alias("held"))
-    rarest = Window.partitionBy("row").orderBy("held", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(rarest), F.lit(0))
-    part = F.col("total") - F.ceil(similarity * F.col("total") - 1e-9) + 1
-    first = each.join(held, "shingle").withColumn("before", before).where((F.col("before") < part) & (F.col("held") > 1)).join(label, "row").select("shingle", "row", "total", "root")
-    mixed = first.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("shingle")
-    left = written(first.join(mixed, "shingle"))
-    other = left.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("row", "total", "root")))
-    near = F.least("total", "o_total") >= similarity * F.greatest("total", "o_total") - 1e-9
-    return left.join(other, "shingle").where((F.col("row") < F.col("o_row")) & (F.col("root") != F.col("o_root")) & near).select(F.col("row").alias("a"), F.col("o_row").alias("b")).distinct()
-
-
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+    held = Window.partitionBy("key")
+    many = written(prefixes(texts, similarity).withColumn("n", F.count("*").over(held)).where("n > 1").drop("n"))
+    rooted = many.join(label.select("row", "root"), "row").withColumns({"lo": F.min("root").over(held), "hi": F.max("root").over(held), "n": F.count("*").over(held)})
+    left = written(rooted.where("lo != hi").drop("lo", "hi"))
+    # Elements of a text whose groups are cut into tiles: a pair can share these too.
+    tiled = left.groupBy("row").agg(F.count_if(F.col("n") > PAIRED).alias("tiled"))
+    few = left.where(F.col("n") <= PAIRED).join(tiled, "row").select("key", "row", "total", "root", "tiled")
+    other = few.select("key", *(F.col(c).alias(f"o_{c}") for c in ("row", "total", "root", "tiled")))
+    least = similarity * (F.col("total") + F.col("o_total")) / (1 + similarity) - 1e-6
+    met = few.join(other, "key").where((F.col("row") < F.col("o_row")) & (F.col("root") != F.col("o_root")) & (F.least("total", "o_total") >= least))
+    # The text whose rarest elements end first has all else that the two share among its others.
+    after = F.ceil(similarity * F.greatest("total", "o_total") - 1e-9) - 1
+    pairs = met.groupBy(F.col("row").alias("a"), F.col("o_row").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("tiled", "o_tiled")).alias("t"), F.first(after).alias("after"), F.first(least).alias("least")).where("c + t + after >= least").select("a", "b")
+    load = F.sum(1 + F.floor(F.col("total") / LOAD)).over(held.orderBy("total", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = left.where(F.col("n") > PAIRED).withColumn("block", F.floor((load - 1) / TILE)).withColumn("last", F.max("block").over(held))
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "root")
+    tiles = dealt.join(texts.select("row", "text"), "row").groupBy("key", "i", "j").applyInArrow(lambda t: tile_links(t, similarity), "a binary, b binary")
+    return pairs.unionByName(tiles).distinct()
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, exact: bool = True) -> DataFrame:
     """(doc, row, class_id, n_texts, first): each document's class, how many different texts it holds, and whether this is its first (id, text).
 
-    exact: pairs that the bands and their orders leave untested are tested too.
+    exact: pairs that the bands leave untested are tested too; without it, they stay untested.
     """
     members, texts = distinct_texts(docs, doc_id, text)
     # Dealt out by row once: comparisons move pairs to the texts, and then only the texts that are compared.
@@ -372,14 +409,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     star = left.join(leads, "lead").where("root != lead_root").select(*pair).distinct()
     fresh = written(alike(star, sigs, similarity).join(tried, ["a", "b"], "left_anti"))
     found = written(similar(fresh, texts, similarity))
-    while True:
-        tried = tried.unionByName(fresh)
-        label = relabelled(label, found)
-        left = open_bands(left.where("size > 2"), label)
-        fresh = written(forest(left, sigs, similarity).join(tried, ["a", "b"], "left_anti"))
-        found = written(similar(fresh, texts, similarity))
-        if found.isEmpty():
-            break
+    label = relabelled(label, found)
     if exact:
         label = written(texts.select("row").join(label, "row", "left").withColumn("root", F.coalesce("root", "row")))
         label = relabelled(label, written(similar(written(untested(texts, label, similarity)), texts, similarity)))
@@ -391,13 +421,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     return members.join(by_row, "row").select("doc", "row", "class_id", "n_texts", first.alias("first"))
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, exact: bool = True) -> DataFrame:
     """One row per document: its class, the number of different texts there, and whether it is the one to keep."""
     found = classes(docs, doc_id, text, similarity, exact)
     return found.select(F.col("doc").alias(doc_id), "class_id", "n_texts", F.when(F.col("doc") == F.col("class_id"), F.col("first")).otherwise(F.col("doc") == F.col("class_id")).alias("keep"))
 
 
-def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, exact: bool = True) -> DataFrame:
     """docs with one document of each class: the smallest id and, of its texts there, the one of the smallest digest; of equal rows, one. Rows without id stay."""
     id_key, row_key, one = (spare(docs.columns, c) for c in ("kept_id", "kept_row", "nth"))
     kept = classes(docs, doc_id, text, similarity, exact).where("first").select(F.col("doc").alias(id_key), F.col("row").alias(row_key)).distinct()

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +277,28 @@ def test_exact_pairs_without_any_band(spark):
     assert {(int(r.a), int(r.b)) for r in found} == set(brute_links(texts)) and len(found) > 30
 
 
+def test_groups_beyond_any_window(spark):
+    """Links between texts far apart in every band's order, in groups that are compared in tiles: brute force on every pair."""
+    random.seed(13)
+    base = [f"w{i}" for i in range(100)]
+    texts = set()
+    for family in range(90):
+        mine = list(base)
+        for k in random.sample(range(100), 4):
+            mine[k] = f"f{family}x{k}"
+        texts.add(" ".join(mine))
+    texts = sorted(texts | {f"{t} more" for t in sorted(texts)[:10]})
+    rows = spark.createDataFrame([(bytes(f"{i:04d}", "ascii"), t) for i, t in enumerate(texts)], "row binary, text string")
+    links = brute_links(texts)
+    found = minhash_dedup.untested(rows, rows.selectExpr("row", "row as root"), 0.8).collect()
+    assert {(int(r.a), int(r.b)) for r in found} >= {(i, j) for i, j in links if texts[j] == texts[i] + " more"}
+    table = lambda n: pa.table({"i": [0] * n, "j": [0] * n, "block": [0] * n, "row": [b"%04d" % i for i in range(n)], "root": [b"%04d" % i for i in range(n)], "text": [t.encode() for t in texts[:n]]})
+    few = minhash_dedup.tile_links(table(60), 0.8)
+    assert {(int(a), int(b)) for a, b in zip(few["a"].to_pylist(), few["b"].to_pylist())} == {(i, j) for i, j in links if j < 60}
+    same = minhash_dedup.report(spark.createDataFrame([(int(i), t) for i, t in enumerate(texts)], TEXTS)).collect()
+    assert {r.doc_id: r.class_id for r in same} == brute_classes(list(enumerate(texts)))
+
+
 def test_classes_of_string_ids_and_clashing_names(spark):
     d = spark.createDataFrame([("b", "x y z", "own"), ("a", "X y z", "own"), ("c", "other", "own")], "doc_id string, text string, row string")
     d = d.withColumns({c: F.col("row") for c in ("digest", "kept_id", "kept_row", "nth", "class_id", "keep")})
