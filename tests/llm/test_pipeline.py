@@ -57,3 +57,16 @@ def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_of_each_leaves_no_link(spark):
+    """Families of variants around one text: what the stage keeps is one of each class of all pairs, however many texts share a band."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for family in range(50):
+        mine = list(base)
+        for k in rng.choice(60, 4, replace=False):
+            mine[k] = f"f{family}x{k}"
+        rows += [(len(rows), " ".join(mine)), (len(rows) + 1, " ".join([*mine, "more"]))]
+    got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == first_of_classes(rows)
