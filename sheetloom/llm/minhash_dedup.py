@@ -57,6 +57,8 @@ MARGIN = 2.6
 SAMPLED, RANKED = 16384, 1 << 18
 #: Texts of a group that are paired by a join; texts in a block of a larger group, where each LOAD elements of a text count once more.
 PAIRED, TILE, LOAD = 16, 256, 4096
+#: Slots that a text's elements are counted by, for a bound on what two texts share.
+SLOTS = 512
 #: Texts of a tile that gives all its links, and elements that are compared at once.
 FEW, STRIPE = 64, 4096
 #: Pairs of one lead that a task compares; the text of a lead with more is copied.
@@ -317,6 +319,54 @@ def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "key long, row binary, total long")
 
 
+def slot_counts(texts: DataFrame) -> DataFrame:
+    """(row, slots): how many of a text's elements fall into each slot; one byte each where that is enough, else four."""
+
+    def counts(text: bytes) -> bytes:
+        n = np.bincount((elements(text) >> np.uint64(55)).astype(np.int64), minlength=SLOTS)
+        return n.astype("u1" if n.max() < 256 else "<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = pa.array([counts(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), slots], names=["row", "slots"])
+
+    return texts.select("row", "text").mapInArrow(run, "row binary, slots binary")
+
+
+def tile_near(tile: pa.Table, similarity: float) -> pa.Table:
+    """(a, b) rows that join what can be linked in one tile (i, j, block, row, root, slots): two texts share no more than their slots do."""
+    slots = np.stack([np.frombuffer(s, "u1" if len(s) == SLOTS else "<u4").astype(np.uint32) for s in tile["slots"].to_pylist()])
+    rows, size, block = tile["row"].to_pylist(), slots.sum(axis=1, dtype=np.int64), np.asarray(tile["block"])
+    root = np.unique(np.array(tile["root"].to_pylist(), object), return_inverse=True)[1]
+    two, part, found = tile["i"][0].as_py() != tile["j"][0].as_py(), np.arange(len(rows)), []
+    for x in range(len(rows) - 1):
+        y = np.arange(x + 1, len(rows))
+        y = y[(part[y] != part[x]) & (root[y] != root[x]) & (np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-6)]
+        y = y[block[y] != block[x]] if two else y
+        shared = np.minimum(slots[x], slots[y]).sum(axis=1, dtype=np.int64)
+        for z in y[shared >= similarity * (size[x] + size[y] - shared) - 1e-9].tolist():
+            if part[z] != part[x]:
+                part[part == part[z]] = part[x]
+                found.append((rows[x], rows[z]))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
+def families(near: DataFrame, members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(family, i, j, block, row, root, text): tiles of the texts (row, root, total) that near joins, in which every two of a family that can be linked meet once.
+
+    Texts of one family share many elements; a family's tiles have each text once, and not once for each of these.
+    """
+    held = Window.partitionBy("family")
+    load = F.sum(1 + F.floor(F.col("total") / LOAD)).over(held.orderBy("total", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = written(members.join(components(near).select("row", F.col("root").alias("family")), "row").withColumn("block", F.floor((load - 1) / TILE)).withColumn("last", F.max("block").over(held)))
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    # Blocks go by size: a text is not sent to those that hold only smaller or larger ones than it can be linked with.
+    spans = blocks.groupBy("family", F.col("block").alias("other")).agg(F.min("total").alias("lo"), F.max("total").alias("hi"))
+    sent = dealt.join(spans, ["family", "other"]).where(F.col("total") >= similarity * F.col("lo") - 1e-6).where(similarity * F.col("total") <= F.col("hi") + 1e-6)
+    return sent.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "root").join(texts.select("row", "text"), "row")
+
+
 def tile_links(tile: pa.Table, similarity: float) -> pa.Table:
     """(a, b): links between components of one tile (i, j, block, row, root, text); of a large tile, as many as join them."""
     sets = [elements(t) for t in tile["text"].cast(pa.binary()).to_pylist()]
@@ -359,8 +409,9 @@ def untested(texts: DataFrame, label: DataFrame, similarity: float) -> DataFrame
 
     Two texts that do share an element among the rarest of each, taken in one order for all texts. Elements
     whose texts are of one component give no pair. Groups of PAIRED texts or fewer are paired by a join; larger ones
-    are cut into blocks, and each two blocks are compared as a tile, which gives only the links in it, so that
-    a group of n texts makes n * n / TILE rows.
+    are cut into blocks, and each two blocks are compared as a tile, by counts of elements in slots alone. What these
+    leave possible makes families, which are cut and compared in the same way by their texts. A tile gives only the
+    links in it, so that a group or family of n texts makes n * n / TILE rows.
     """
     held = Window.partitionBy("key")
     many = written(prefixes(texts, similarity).withColumn("n", F.count("*").over(held)).where("n > 1").drop("n"))
@@ -378,7 +429,9 @@ def untested(texts: DataFrame, label: DataFrame, similarity: float) -> DataFrame
     load = F.sum(1 + F.floor(F.col("total") / LOAD)).over(held.orderBy("total", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     blocks = left.where(F.col("n") > PAIRED).withColumn("block", F.floor((load - 1) / TILE)).withColumn("last", F.max("block").over(held))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "root")
-    tiles = dealt.join(texts.select("row", "text"), "row").groupBy("key", "i", "j").applyInArrow(lambda t: tile_links(t, similarity), "a binary, b binary")
+    counts = slot_counts(texts.join(blocks.select("row").distinct(), "row", "left_semi"))
+    near = written(dealt.join(counts, "row").groupBy("key", "i", "j").applyInArrow(lambda t: tile_near(t, similarity), "a binary, b binary").distinct())
+    tiles = families(near, blocks.select("row", "root", "total").distinct(), texts, similarity).groupBy("family", "i", "j").applyInArrow(lambda t: tile_links(t, similarity), "a binary, b binary")
     return pairs.unionByName(tiles).distinct()
 
 

@@ -299,6 +299,42 @@ def test_groups_beyond_any_window(spark):
     assert {r.doc_id: r.class_id for r in same} == brute_classes(list(enumerate(texts)))
 
 
+def test_families_of_many_blocks(spark, monkeypatch):
+    """With small groups and blocks, families take several tiles, and still all links are found."""
+    monkeypatch.setattr(minhash_dedup, "TILE", 8)
+    monkeypatch.setattr(minhash_dedup, "PAIRED", 2)
+    random.seed(15)
+    base = [f"w{i}" for i in range(100)]
+    texts = set()
+    for _ in range(60):
+        mine = base[: random.randint(70, 100)]
+        mine[random.randrange(70)] = random.choice("abcdefgh")
+        texts.add(" ".join(mine))
+    texts = sorted(texts)
+    rows = spark.createDataFrame([(bytes(f"{i:04d}", "ascii"), t) for i, t in enumerate(texts)], "row binary, text string")
+    links = brute_links(texts)
+    found = [(int(r.a), int(r.b)) for r in minhash_dedup.untested(rows, rows.selectExpr("row", "row as root"), 0.8).collect()]
+    assert len(links) > 100 and set(links) <= {(min(p), max(p)) for p in found}
+
+
+def test_tiles_get_texts_that_can_be_linked(spark):
+    """Of texts that share a passage, those whose counts by slots rule out any link are left out, no text of a link is, and each is sent once, however many elements it shares."""
+    random.seed(14)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *random.choices([f"w{i}" for i in range(5000)], k=60)]) for _ in range(120)]
+    texts += [f"{t} more" for t in texts[:3]] + [" ".join(["la"] * 200_000), " ".join(["la"] * 190_000)]
+    rows = [b"%04d" % i for i in range(len(texts))]
+    d = spark.createDataFrame([(r, r, t, len(minhash_dedup.elements(t.encode()))) for r, t in zip(rows, texts, strict=True)], "row binary, root binary, text string, total long")
+    slots = {bytes(r.row): bytes(r.slots) for r in minhash_dedup.slot_counts(d).collect()}
+    table = lambda j, block: pa.table({"i": [0] * len(rows), "j": [j] * len(rows), "block": block, "row": rows, "root": rows, "slots": [slots[r] for r in rows]})
+    met = lambda t: {(int(a), int(b)) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)}
+    near = minhash_dedup.tile_near(table(0, [0] * len(rows)), 0.8)
+    assert met(near) == {(0, 120), (1, 121), (2, 122), (123, 124)}
+    assert met(minhash_dedup.tile_near(table(1, [int(i > 119) for i in range(len(rows))]), 0.8)) == {(0, 120), (1, 121), (2, 122)}
+    sent = minhash_dedup.families(spark.createDataFrame(near.to_pylist(), "a binary, b binary"), d.select("row", "root", "total"), d, 0.8)
+    assert sorted(int(r.row) for r in sent.where("i = j").collect()) == [0, 1, 2, 120, 121, 122, 123, 124]
+
+
 def test_classes_of_string_ids_and_clashing_names(spark):
     d = spark.createDataFrame([("b", "x y z", "own"), ("a", "X y z", "own"), ("c", "other", "own")], "doc_id string, text string, row string")
     d = d.withColumns({c: F.col("row") for c in ("digest", "kept_id", "kept_row", "nth", "class_id", "keep")})
