@@ -2,10 +2,10 @@
 
 Each edge is two half-edges, numbered 2n and 2n + 1. The successor of a half-edge is the one
 that leaves its end next before its twin, by angle. Cycles of successors are the faces; all
-half-edges learn the smallest number on their cycle, and how many steps it is away, in as many
-rounds of one self-join as the longest cycle has binary digits. An edge with both its
+half-edges learn the smallest number on their cycle, and how many steps it is away, in about as many
+rounds of one window as the longest cycle has binary digits. An edge with both its
 sides on one face is a bridge; without the bridges, the cycles are the rings of the faces.
-Sheets need no group of their own: rows go by half-edge, node or face.
+Rows are dealt out by sheet, but windows and groups go by half-edge, node or face.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from sheetloom.sources.views import K
 CELL = 128.0
 #: Layers of loose ends that are taken off before what is left is written.
 PEELED = 5
+#: Doublings between two writings: cycles of up to half of 2**DOUBLED edges are settled by the first.
+DOUBLED = 4
 RING = "array<struct<x:double,y:double>>"
 
 
@@ -43,29 +45,42 @@ def twin(half: Column) -> Column:
 
 
 def successors(half: DataFrame) -> DataFrame:
-    """id, next: of each half-edge the one that follows it around its face."""
+    """K, id, next: of each half-edge the one that follows it around its face."""
     turn = F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
     at = Window.partitionBy(*K, "ax", "ay").orderBy("turn", "id")
     before = F.coalesce(F.lag("id").over(at), F.last("id").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return half.withColumn("turn", turn).select(twin(F.col("id")).alias("id"), before.alias("next"))
+    return half.repartition(*K).withColumn("turn", turn).select(*K, twin(F.col("id")).alias("id"), before.alias("next"))
+
+
+def doubled(state: DataFrame, step: int) -> DataFrame:
+    """state (K, id, face, away, jump) after one doubling, and whether a row changed. Each half-edge is asked by one other: both meet in a window."""
+    asks = F.struct("id", "face", "away")
+    met = F.array(
+        F.struct(F.col("id").alias("at"), F.lit(None).cast("struct<id:bigint,face:bigint,away:bigint>").alias("asks"), F.struct("face", "away", "jump").alias("told")),
+        F.struct(F.col("jump").alias("at"), asks.alias("asks"), F.lit(None).cast("struct<face:bigint,away:bigint,jump:bigint>").alias("told")),
+    )
+    both = state.select(*K, F.inline(met)).withColumn("told", F.max("told").over(Window.partitionBy(*K, "at"))).where("asks is not null")
+    better = F.col("told.face") < F.col("asks.face")
+    away = F.when(better, F.col("told.away") + step).otherwise(F.col("asks.away"))
+    return both.select(*K, F.col("asks.id").alias("id"), F.least("asks.face", "told.face").alias("face"), away.alias("away"), F.col("told.jump").alias("jump"), better.alias("changed"))
 
 
 def cycles(follows: DataFrame) -> DataFrame:
     """id, face, away: the smallest id on each half-edge's cycle, and the steps to it.
 
     After r rounds a half-edge knows the smallest of the 2**r that follow; when no one learns more, all know their cycle's.
+    DOUBLED rounds are done on rows that are dealt out by sheet once, and then written.
     """
-    state = written(follows.select("id", F.col("id").alias("face"), F.lit(0).cast("long").alias("away"), F.col("next").alias("jump"), F.lit(True).alias("changed")))
-    step = 1
-    while not state.where("changed").isEmpty():
-        ahead = state.select(F.col("id").alias("jump"), F.col("face").alias("their"), F.col("away").alias("more"), F.col("jump").alias("on"))
-        better = F.col("their") < F.col("face")
-        state = written(
-            state.drop("changed").join(ahead, "jump").select(
-                "id", F.least("face", "their").alias("face"), F.when(better, F.col("more") + step).otherwise(F.col("away")).alias("away"), F.col("on").alias("jump"), better.alias("changed"),
-            )
-        )
-        step *= 2
+    state = follows.select(*K, "id", F.col("id").alias("face"), F.lit(0).cast("long").alias("away"), F.col("next").alias("jump"))
+    step, changed = 1, True
+    while changed:
+        state = state if step == 1 else state.repartition(*K)
+        for _ in range(DOUBLED):
+            state = doubled(state, step)
+            step *= 2
+        after = written(state)
+        changed = not after.where("changed").isEmpty()
+        state = after.drop("changed")
     return state.select("id", "face", "away")
 
 

@@ -264,3 +264,21 @@ def test_label_matches(spark):
     labs = spark.createDataFrame([(0, 0, 0, "A", 160.0, 150.0), (0, 0, 1, "B", 300.5, 150.0)], "doc_id long, page_no long, block_idx long, text string, cx double, cy double")
     got = labels.match_labels(labs, polys).orderBy("poly_idx").collect()
     assert [(r.room_name, r.name_confidence) for r in got] == [("A", "HIGH"), ("B", "HIGH"), ("ROOM_1", "NONE")]
+
+
+def test_doublings_of_cycles_move_no_rows(spark):
+    """Rows that are dealt out by sheet stay where they are; cycles longer than one writing's doublings are found whole."""
+    from sheetloom.operators import planar
+
+    rows = [(0, 1, i, (i + 7) % 100) for i in range(100)] + [(0, 2, 200 + i, 200 + (i + 1) % 3) for i in range(3)] + [(0, 2, 300, 300)]
+    follows = spark.createDataFrame(rows, "doc_id long, page_no long, id long, next long")
+    want, after = {}, {i: n for *_, i, n in rows}
+    for i in after:
+        walk = [i]
+        while after[walk[-1]] != i:
+            walk.append(after[walk[-1]])
+        want[i] = (min(walk), walk.index(min(walk)))
+    assert {r.id: (r.face, r.away) for r in planar.cycles(follows).collect()} == want
+    state = follows.selectExpr("doc_id", "page_no", "id", "id as face", "0L as away", "next as jump").repartition("doc_id", "page_no")
+    plan = planar.doubled(planar.doubled(state, 1), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
