@@ -43,7 +43,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import CHUNK, ODD, bucketed, cuts, distinct_texts, mix, named, spare, text_row, word_hashes, words_of, written
+from sheetloom.llm.common import CHUNK, ODD, STEP, TO_WORDS, bucketed, cuts, distinct_texts, mix, named, spare, text_row, word_hashes, written
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Bands and coordinates per band: a pair at 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
@@ -65,15 +65,43 @@ FEW, STRIPE = 64, 4096
 SHARE = 256
 
 
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' distinct shingles, as 64-bit values that are sorted in each, their counts, and where each document's begin, and the end.
+
+    All texts are worked out at once: most are short, and a step for each would cost more than its words.
+    """
+    h, start, _ = word_hashes(b" ".join(texts).translate(TO_WORDS))
+    first = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    words = np.diff(first)
+    g, short = np.zeros(len(h), np.uint64), np.flatnonzero(words < width)
+    few = np.zeros(len(short), np.uint64)
+    for i in range(width):
+        m = max(0, len(h) - i)
+        g[:m] = mix(g[:m] + h[i:])
+        has = words[short] > i
+        few[has] = mix(few[has] + h[first[short[has]] + i])
+    n = np.maximum(1, words - width + 1)
+    at = np.cumsum(n) - n
+    place = np.arange(n.sum()) + np.repeat(first[:-1] - at, n)
+    place[at[short]] = len(h) + np.arange(len(short))
+    value = np.concatenate([g, few])[place]
+    ends = sorted_parts(value, np.r_[at, len(value)])
+    fresh = np.r_[True, value[1:] != value[:-1]]
+    fresh[at] = True
+    new = np.flatnonzero(fresh)
+    return value[new], np.diff(np.r_[new, len(value)]), np.searchsorted(new, ends)
+
+
+def sorted_parts(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sorts the parts of value between ends in place; gives ends."""
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        value[lo:hi].sort()
+    return ends
+
+
 def shingles(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """A document's distinct shingles, as sorted 64-bit values, and their counts."""
-    words = words_of(text)
-    h, _, _ = word_hashes(b" ".join(words) + b" ")
-    n = max(1, len(h) - width + 1)
-    g = np.zeros(n, np.uint64)
-    for i in range(min(width, len(h))):
-        g = mix(g + h[i : i + n])
-    return np.unique(g, return_counts=True)
+    return shingle_sets([text], width)[:2]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -152,11 +180,10 @@ def signed(texts: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             rows, col = batch.column(0), batch.column(1).cast(pa.binary())
             sizes, at = np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-            for end in cuts(sizes, CHUNK):
-                parts = [shingles(t) for t in col.slice(at, end - at).to_pylist()]
-                n, total = end - at, np.array([c.sum() for _, c in parts])
-                shingle, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-                doc = np.repeat(np.arange(n), [len(c) for _, c in parts])
+            for end in cuts(sizes, STEP):
+                shingle, count, begins = shingle_sets(col.slice(at, end - at).to_pylist())
+                n, total = end - at, np.add.reduceat(count, begins[:-1])
+                doc = np.repeat(np.arange(n), np.diff(begins))
                 for which, exponent in scales(total, similarity):
                     if not len(which):
                         continue
@@ -206,11 +233,14 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
         for batch in batches:
-            ok = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                if a != last:
-                    last, mine = a, shingles(ta)
-                ok.append(likeness(mine, shingles(tb)) >= similarity - 1e-9)
+            ok, at, col = [], 0, batch.column(3).cast(pa.binary())
+            for end in cuts(np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64), STEP):
+                shingle, count, begins = shingle_sets(col.slice(at, end - at).to_pylist())
+                for i, (a, lo, hi) in enumerate(zip(batch.column(0).slice(at, end - at).to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True), at):
+                    if a != last:
+                        last, mine = a, shingles(batch.column(2).slice(i, 1).cast(pa.binary())[0].as_py())
+                    ok.append(likeness(mine, (shingle[lo:hi], count[lo:hi])) >= similarity - 1e-9)
+                at = end
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -260,14 +290,31 @@ def open_bands(led: DataFrame, label: DataFrame) -> DataFrame:
     return written(rooted.join(mixed, "band"))
 
 
-def elements(text: bytes) -> np.ndarray:
-    """A document's shingles as a set of sorted 64-bit values, where the n-th occurrence of a shingle is one of its own.
+def element_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' shingles as sets of 64-bit values, sorted in each, where the n-th occurrence of a shingle is one of its own; where each document's begin, and the end.
 
     Weighted Jaccard similarity of the counts is the plain one of these sets.
     """
-    shingle, count = shingles(text)
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.sort(mix(np.repeat(shingle, count) + nth.astype(np.uint64) * np.uint64(ODD)))
+    shingle, count, begins = shingle_sets(texts)
+    before = np.r_[0, np.cumsum(count)]
+    nth = np.arange(before[-1]) - np.repeat(before[:-1], count)
+    value = mix(np.repeat(shingle, count) + nth.astype(np.uint64) * np.uint64(ODD))
+    return value, sorted_parts(value, before[begins])
+
+
+def elements(text: bytes) -> np.ndarray:
+    """One document's set."""
+    return element_sets([text])[0]
+
+
+def element_lists(texts: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The set of each text."""
+    texts, at, found = texts.cast(pa.binary()).to_pylist(), 0, []
+    for end in cuts(np.array([len(t) for t in texts]), STEP):
+        value, begins = element_sets(texts[at:end])
+        found += [value[lo:hi] for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+        at = end
+    return found
 
 
 def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +328,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             col = batch.column(0).cast(pa.binary())
             sizes, at = np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64), 0
             for end in cuts(sizes, CHUNK):
-                value, n = np.unique(np.concatenate([elements(t) for t in col.slice(at, end - at).to_pylist()]), return_counts=True)
+                value, n = np.unique(element_sets(col.slice(at, end - at).to_pylist())[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
                 at = end
 
@@ -301,18 +348,18 @@ def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             rows, col = batch.column(0), batch.column(1).cast(pa.binary())
             sizes, start = np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-            for end in cuts(sizes, CHUNK):
-                keys, totals = [], []
-                for text in col.slice(start, end - start).to_pylist():
-                    e = elements(text)
-                    if len(listed):
-                        place = np.minimum(np.searchsorted(listed, e), len(listed) - 1)
-                        e = e[np.argsort(np.where(listed[place] == e, level[place], 0), kind="stable")]
-                    totals.append(len(e))
-                    keys.append(e[: len(e) - int(np.ceil(similarity * len(e) - 1e-9)) + 1])
-                n = np.array([len(k) for k in keys])
+            for end in cuts(sizes, STEP):
+                value, begins = element_sets(col.slice(start, end - start).to_pylist())
+                totals = np.diff(begins)
+                n = totals - np.ceil(similarity * totals - 1e-9).astype(np.int64) + 1
                 who = np.repeat(np.arange(len(n)), n)
-                cols = [pa.array(np.concatenate(keys).view(np.int64)), rows.slice(start, end - start).take(pa.array(who)), pa.array(np.array(totals)[who])]
+                if len(listed):
+                    place = np.minimum(np.searchsorted(listed, value), len(listed) - 1)
+                    rarity = np.where(listed[place] == value, level[place], 0)
+                    first = [lo + np.argsort(rarity[lo : lo + of], kind="stable")[:k] for lo, of, k in zip(begins[:-1].tolist(), totals.tolist(), n.tolist(), strict=True)]
+                else:
+                    first = [np.arange(len(who)) + np.repeat(begins[:-1] - np.cumsum(n) + n, n)]
+                cols = [pa.array(value[np.concatenate(first)].view(np.int64)), rows.slice(start, end - start).take(pa.array(who)), pa.array(totals[who])]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "row", "total"])
                 start = end
 
@@ -322,13 +369,13 @@ def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
 def slot_counts(texts: DataFrame) -> DataFrame:
     """(row, slots): how many of a text's elements fall into each slot; one byte each where that is enough, else four."""
 
-    def counts(text: bytes) -> bytes:
-        n = np.bincount((elements(text) >> np.uint64(55)).astype(np.int64), minlength=SLOTS)
+    def counts(held: np.ndarray) -> bytes:
+        n = np.bincount((held >> np.uint64(55)).astype(np.int64), minlength=SLOTS)
         return n.astype("u1" if n.max() < 256 else "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = pa.array([counts(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())
+            slots = pa.array([counts(e) for e in element_lists(batch.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), slots], names=["row", "slots"])
 
     return texts.select("row", "text").mapInArrow(run, "row binary, slots binary")
@@ -369,7 +416,7 @@ def families(near: DataFrame, members: DataFrame, texts: DataFrame, similarity:
 
 def tile_links(tile: pa.Table, similarity: float) -> pa.Table:
     """(a, b): links between components of one tile (i, j, block, row, root, text); of a large tile, as many as join them."""
-    sets = [elements(t) for t in tile["text"].cast(pa.binary()).to_pylist()]
+    sets = element_lists(tile["text"])
     rows, roots, block, n = tile["row"].to_pylist(), tile["root"].to_pylist(), np.asarray(tile["block"]), len(sets)
     size, owner = np.array([len(s) for s in sets]), np.repeat(np.arange(n), [len(s) for s in sets])
     _, number, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetloom.llm.common import ODD, map_texts, mix, named, spare, word_hashes
+from sheetloom.llm.common import ODD, STEP, map_texts, mix, named, spare, word_hashes
 
 #: Labeller -> (measure, reject above, keep below); keep below 0 means that it never votes keep.
 LABELLERS = (
@@ -189,14 +189,14 @@ def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> tu
     The sample holds the distinct texts whose hash falls under a bound set from the number
     of documents; at most twice train_docs rows, by hash, reach the driver.
     """
-    voted = map_texts(docs, text, VOTES, voter, [])
+    voted = map_texts(docs, text, VOTES, voter, [], STEP)
     counts = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_labels(counts)
     total = max(sum(counts.values()), 1)
     bound = int(min(1.0, train_docs / total) * (1 << 30))
     body = F.coalesce(named(text).cast("string"), F.lit(""))
     some = docs.select(body.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < bound).distinct().orderBy(F.xxhash64("text"), "text").limit(2 * train_docs)
-    rows = sorted(map(tuple, map_texts(some, "text", SAMPLE, sampler, []).collect()))
+    rows = sorted(map(tuple, map_texts(some, "text", SAMPLE, sampler, [], STEP).collect()))
     x, y = np.zeros((len(rows), WIDTH)), np.zeros(len(rows))
     for i, (votes, buckets, shares) in enumerate(rows):
         x[i, buckets] = shares
@@ -224,7 +224,7 @@ def classify(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     """keep's columns with votes, weak (the posterior of the votes), score and keep (score >= threshold)."""
     model, w = fit(docs, text, train_docs)
     fitted = docs.sparkSession.sparkContext.broadcast((model.posterior, w))
-    return map_texts(docs, text, SCORED, scorer(fitted, threshold), keep)
+    return map_texts(docs, text, SCORED, scorer(fitted, threshold), keep, STEP)
 
 
 def good(docs: DataFrame, text: str = "text") -> DataFrame:

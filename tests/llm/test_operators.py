@@ -414,3 +414,17 @@ def test_unit_dedup_takes_every_repeated_run_of_sentences():
                 gone[lo:hi] = True
         if len(words_of(" ".join(passage).encode())) >= unit_dedup.SENTENCE_WORDS:
             assert all(gone[i] or chr(texts[1][i]).isspace() for i in range(len(before), len(before) + len(" ".join(passage))))
+
+
+def test_shingles_of_many_texts_at_once():
+    """Sets of many texts equal those of each alone: short and empty texts beside long ones, no shingle across two texts."""
+    texts = [b"", b"a", b"a b", b"...", b"a b c d", b"a b c d e", b"A a\na  a a a a a", b"", "\u00e9 x \u00fc y z w".encode(), b"x y " * 900]
+    value, count, begins = minhash_dedup.shingle_sets(texts)
+    held, ends = minhash_dedup.element_sets(texts)
+    assert begins[-1] == len(value) == len(count) and ends[-1] == len(held)
+    for i, t in enumerate(texts):
+        words = minhash_dedup.shingle_sets([t])
+        assert (value[begins[i] : begins[i + 1]] == words[0]).all() and (count[begins[i] : begins[i + 1]] == words[1]).all()
+        assert count[begins[i] : begins[i + 1]].sum() == ends[i + 1] - ends[i] == max(1, len(t.split()) - 4)
+        assert (held[ends[i] : ends[i + 1]] == minhash_dedup.elements(t)).all()
+    assert minhash_dedup.likeness(minhash_dedup.shingles(b"a b c d e f"), minhash_dedup.shingles(b"a b c d e g")) == 1 / 3
