@@ -205,3 +205,17 @@ def test_lines_that_do_not_parse(spark, tmp_path):
     t = tables.scan(spark, str(tmp_path), "json")
     assert t["sheets"].count() == 1 and t["paths"].count() == 0 and [r.text for r in t["text_blocks"].collect()] == [" A "]
     assert sorted((r["table"], r.bad_row) for r in t["bad_rows"].collect()) == [("sheets", good[:-9]), ("text_blocks", "no JSON at all")]
+
+
+def test_with_region_keeps_the_rows_and_joins_nothing_back(spark):
+    """Each point once, with its own columns: gray before hatched, edges count, points without a place are new; the same as phase_at."""
+    points = spark.createDataFrame([(1, 1, 0, 10.0, 10.0, "a"), (1, 1, 1, 200.0, 10.0, "b"), (1, 1, 2, 900.0, 900.0, "c"), (1, 1, 3, None, 5.0, "d"), (1, 2, 0, 10.0, 10.0, "e")], "doc_id long, page_no long, seg_idx long, px double, py double, own string")
+    regions = spark.createDataFrame(
+        [(1, 1, 0.0, 0.0, 20.0, 20.0, "hatched", 0.75), (1, 1, 0.0, 0.0, 300.0, 300.0, "gray", 0.85), (1, 1, 10.0, 10.0, 10.0, 10.0, "gray", 0.85), (1, 1, 890.0, 890.0, 900.0, 900.0, "hatched", 0.75)],
+        "doc_id long, page_no long, x0 double, y0 double, x1 double, y1 double, kind string, confidence double",
+    )
+    found = phases.with_region(points, regions, ["seg_idx"])
+    rows = sorted((r.page_no, r.seg_idx, r.own, r.phase, r.confidence) for r in found.collect())
+    assert rows == [(1, 0, "a", "EXISTING", 0.85), (1, 1, "b", "EXISTING", 0.85), (1, 2, "c", "NOT_IN_CONTRACT", 0.75), (1, 3, "d", "NEW", 0.75), (2, 0, "e", "NEW", 0.75)]
+    at = phases.phase_at(points.select("doc_id", "page_no", "seg_idx", "px", "py"), regions, ["doc_id", "page_no", "seg_idx"])
+    assert sorted((r.page_no, r.seg_idx, r.phase, r.confidence) for r in at.collect()) == [(p, i, ph, c) for p, i, _, ph, c in rows]
