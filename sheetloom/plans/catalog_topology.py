@@ -9,7 +9,7 @@ from sheetloom.functions.lineage import written
 from sheetloom.operators import detect as D
 from sheetloom.operators import segments as S
 from sheetloom.operators import topology as T
-from sheetloom.plans.catalog_segments import GEO, REASON
+from sheetloom.plans.catalog_segments import GEO, REASON, whole_walls_only
 from sheetloom.sources import views
 from sheetloom.sources.views import K, matched, sql
 
@@ -174,9 +174,7 @@ def isolated_components(spark, d):
 
 @query("wall_network")
 def wall_network(spark, d):
-    s, p = views.segments(spark, d), views.sheets(spark, d)
-    judged = T.wall_network(s, p, S.grid_positions(s, p))
-    return judged.groupBy(*K, F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return whole_walls_only(spark, d)
 
 
 @query("door_swings", """with sh as (

@@ -3,9 +3,11 @@
 import math
 import random
 
+from pyspark.sql import functions as F
 
 from sheetloom.functions.greedy import components, leader_clusters, priority_matching
-from sheetloom.operators import detect, labels, topology
+from sheetloom.operators import detect, labels, segments, topology
+from sheetloom.plans import registry
 
 SEG = "doc_id long, page_no long, seg_idx long, x1 double, y1 double, x2 double, y2 double, width double, dashes array<double>, fill array<double>, fill_type string"
 
@@ -177,6 +179,26 @@ def test_wall_network(spark):
     assert got == {**dict.fromkeys(range(5)), 5: "chain", **dict.fromkeys(range(6, 10), "box"), 10: "isolated", 11: "angled"}
 
 
+def test_walls_only_is_the_whole_flow(spark, sf_dir):
+    """The query's reasons have those of the steps after the ten rules, and its rules take both ends, the title block's edge and grid lines under 8 points."""
+    got = {r.reason for r in registry.queries()["walls_only"](spark, sf_dir).select("reason").distinct().collect()}
+    assert {"outside", "kept", "isolated"} <= got
+    lines = [(700, 10, 800, 10), (765, 20, 900, 20), (100, 308, 300, 308), (100, 307, 300, 307), (650, 100, 650, 600)]
+    s = segs(spark, lines).selectExpr("*", "cast(null as array<double>) as color")
+    sheets = spark.createDataFrame([(0, 0, 1000.0, 800.0)], "doc_id long, page_no long, page_width double, page_height double")
+    grid = spark.createDataFrame([(0, 0, "H", 300)], "doc_id long, page_no long, axis string, pos long")
+    edges = segments.drawing_edges(s, sheets)
+    assert [r.edge for r in edges.collect()] == [0.78 - 0.02]
+    reasons = lambda e: [r.reason for r in segments.walls_only(s, sheets, grid, e).orderBy("seg_idx").collect()]
+    assert reasons(edges) == [None, "outside", None, "grid", None]
+    # Two sheets with one upright are a title block.
+    two = segs(spark, lines[4:]).crossJoin(spark.range(2).withColumnRenamed("id", "p")).withColumn("page_no", F.col("p")).drop("p")
+    pages = spark.createDataFrame([(0, 0, 1000.0, 800.0), (0, 1, 1000.0, 800.0)], sheets.schema)
+    block = segments.drawing_edges(two, pages)
+    assert [round(r.edge, 6) for r in block.collect()] == [0.63]
+    assert reasons(block) == ["outside", "outside", None, "grid", "outside"]
+
+
 def ring(x, y, w):
     return [(x, y, x + w, y), (x + w, y, x + w, y + w), (x + w, y + w, x, y + w), (x, y + w, x, y)]
 
