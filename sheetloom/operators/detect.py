@@ -57,7 +57,8 @@ def wall_hits(labels: DataFrame, walls: DataFrame) -> DataFrame:
     band at a time; those that hit a wall within the band are done, the others go on to the
     next, up to where the walls of their sheet end. Bands grow, so there are few of them.
     """
-    w = written(walls.select(*K, "x1", "y1", "x2", "y2"))
+    # Walls and labels are dealt out by sheet; what follows from them meets without being moved again.
+    w = written(walls.select(*K, "x1", "y1", "x2", "y2")).repartition(*K)
     slack = 1.0
     bounds = w.groupBy(*K).agg((F.min(F.least("x1", "x2")) - slack).alias("x0"), (F.min(F.least("y1", "y2")) - slack).alias("y0"), (F.max(F.greatest("x1", "x2")) + slack).alias("x9"), (F.max(F.greatest("y1", "y2")) + slack).alias("y9"))
     enter, leave = within(*(F.col(c) for c in ("x0", "y0", "x9", "y9")))
@@ -112,7 +113,7 @@ def ray_hits(labels: DataFrame, walls: DataFrame, sheets: DataFrame, edge: float
     The nearest wall farther than 10 points; else the nearest midpoint to another label
     within 50 points of the ray; else the drawing area's edge.
     """
-    own = labels.select(*CLUSTER, "cx", "cy")
+    own = labels.select(*CLUSTER, "cx", "cy").repartition(*K)
     wall = wall_hits(own, walls)
     rays = rays_of(own)
     half = midpoint_hits(rays.join(wall, [*CLUSTER, "ray"], "left_anti"), own)
@@ -124,9 +125,8 @@ def ray_hits(labels: DataFrame, walls: DataFrame, sheets: DataFrame, edge: float
     return at.select(*CLUSTER, "cx", "cy", "ray", "distance", point("x").alias("hx"), point("y").alias("hy"), F.col("wall").isNotNull().alias("is_wall"))
 
 
-def crossed(ring: Column) -> Column:
-    """Whether two edges of a ring cross each other in their middles."""
-    sides = F.zip_with(ring, following(ring), lambda p, q: F.struct(p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
+def crossed(sides: Column, some: Column) -> Column:
+    """Whether two of a ring's sides cross each other in their middles, one of them of `some`."""
 
     def turn(s: Column, x: Column, y: Column) -> Column:
         return (s["qx"] - s["px"]) * (y - s["py"]) - (s["qy"] - s["py"]) * (x - s["px"])
@@ -134,22 +134,31 @@ def crossed(ring: Column) -> Column:
     def cross(s: Column, o: Column) -> Column:
         return (turn(s, o["px"], o["py"]) * turn(s, o["qx"], o["qy"]) < -EPS) & (turn(o, s["px"], s["py"]) * turn(o, s["qx"], s["qy"]) < -EPS)
 
-    return F.exists(sides, lambda s: F.exists(sides, lambda o: cross(s, o)))
+    return F.exists(some, lambda s: F.exists(sides, lambda o: cross(s, o)))
 
 
 def label_boundaries(hits: DataFrame, least: float = 0.5) -> DataFrame:
     """CLUSTER, vertices, wall_hits, completeness, area, repaired, method, confidence of the ring of a label's hits.
 
     The ring takes the hits in the order of the rays. A midpoint lies off its ray, and can make the ring
-    cross itself: then its points are put in the order of their angles, and repaired says so.
+    cross itself: then its points are put in the order of their angles, and repaired says so. Sides between
+    points on their own rays lie in sectors of their own and never cross, so only sides with an end off its ray are tested.
     """
     turn = F.round(F.pmod(F.atan2(F.col("hy") - F.col("cy"), F.col("hx") - F.col("cx")), F.lit(2 * math.pi)), 9)
-    point = F.struct("ray", F.col("hx").alias("x"), F.col("hy").alias("y"), turn.alias("turn"))
+    # A point on its ray that is the label itself has no angle, and counts as off.
+    aside = F.abs((F.col("hx") - F.col("cx")) * direction(F.col("ray"), "y") - (F.col("hy") - F.col("cy")) * direction(F.col("ray"), "x"))
+    along = (F.col("hx") - F.col("cx")) * direction(F.col("ray"), "x") + (F.col("hy") - F.col("cy")) * direction(F.col("ray"), "y")
+    off = ~((along > 1e-3) & (aside <= 1e-6))
+    point = F.struct("ray", F.col("hx").alias("x"), F.col("hy").alias("y"), turn.alias("turn"), off.alias("off"))
     got = hits.groupBy(*CLUSTER).agg(F.array_sort(F.collect_list(point)).alias("p"), F.count_if("is_wall").alias("wall_hits"))
     xy = lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))
-    drawn = got.withColumn("ring", F.transform("p", xy)).withColumn("repaired", crossed(F.col("ring")))
+    side = lambda p, q: F.struct(p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy"), (p["off"] | q["off"] | (F.pmod(q["ray"] - p["ray"], F.lit(RAYS)) >= RAYS // 2)).alias("off"))
+    # What later columns and filters are made from is worked out once a row, step by step.
+    drawn = bound(got.withColumn("sides", F.zip_with("p", following(F.col("p")), side)), "sides")
+    tested = bound(drawn.withColumn("repaired", crossed(F.col("sides"), F.filter("sides", lambda s: s["off"]))), "repaired")
     by_angle = F.transform(F.array_sort(F.transform("p", lambda s: F.struct(s["turn"].alias("turn"), s["ray"].alias("ray"), s["x"].alias("x"), s["y"].alias("y")))), xy)
-    ring = drawn.withColumn("vertices", F.when(F.col("repaired"), by_angle).otherwise(F.col("ring"))).withColumns({"completeness": F.col("wall_hits") / RAYS, "area": area(F.col("vertices"))})
+    shaped = bound(tested.withColumn("vertices", F.when(F.col("repaired"), by_angle).otherwise(F.transform("p", xy))), "vertices")
+    ring = bound(shaped.withColumns({"completeness": F.col("wall_hits") / RAYS, "area": area(F.col("vertices"))}), "area")
     c, has = F.col("completeness"), F.col("area") >= 100
     method = F.when(~has, "ESTIMATED").when(c >= 0.9, "CLOSED").when(c >= least, "PARTIAL").otherwise("RAY_CAST")
     sure = F.when(~has, 0.2).when(c >= 0.9, 0.95).when(c >= least, 0.6 + (c - least) * 0.5).otherwise(0.3 + 0.4 * c)
@@ -182,30 +191,56 @@ def boundaries_combined(contained: DataFrame, cast: DataFrame) -> DataFrame:
     return both.select(*CLUSTER, F.when(hit, F.col("area")).otherwise(F.col("r_area")).alias("area"), F.when(hit, F.col("method")).otherwise(F.coalesce("r_method", "method")).alias("method"), F.when(hit, F.col("confidence")).otherwise(F.coalesce("r_conf", "confidence")).alias("confidence"))
 
 
-def common_area(p: np.ndarray, q: np.ndarray) -> float:
-    """Area that two rings (x, y, x, y, ...) share: horizontal slabs between all corners and crossings, exact for straight edges."""
-    a, b = (np.asarray(r, float).reshape(-1, 2) for r in (p, q))
-    an, bn = np.roll(a, -1, 0), np.roll(b, -1, 0)
-    d, e = (an - a)[:, None], (bn - b)[None]
-    gap = b[None] - a[:, None]
+#: Pairs of rings that are compared at once.
+AT_ONCE = 256
+
+
+def common_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas that rings a[i] and b[i] (pairs, points, x and y) share: horizontal slabs between all corners and crossings, exact for straight edges."""
+    an, bn = np.roll(a, -1, 1), np.roll(b, -1, 1)
+    d, e = (an - a)[:, :, None], (bn - b)[:, None]
+    gap = b[:, None] - a[:, :, None]
     det = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
-    t = (gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / np.where(np.abs(det) > EPS, det, np.nan)
-    met = (t > 0) & (t < 1)
-    ys = np.unique(np.concatenate([a[:, 1], b[:, 1], (a[:, None, 1] + t * d[..., 1])[met]]))
-    mid, high = (ys[1:] + ys[:-1]) / 2, np.diff(ys)
+    safe = np.where(np.abs(det) > EPS, det, np.nan)
+    t, u = ((gap[..., 0] * v[..., 1] - gap[..., 1] * v[..., 0]) / safe for v in (e, d))
+    met = (t > 0) & (t < 1) & (u > -EPS) & (u < 1 + EPS)
+    ys = np.sort(np.concatenate([a[..., 1], b[..., 1], np.where(met, a[:, :, None, 1] + t * d[..., 1], np.inf).reshape(len(a), -1)], axis=1), axis=1)
+    ys = ys[:, : int(np.isfinite(ys).sum(1).max(initial=0))]
+    # Pairs with fewer slabs than others have empty ones behind.
+    real = np.isfinite(ys[:, 1:])
+    low, top = np.where(real, ys[:, :-1], 0.0), np.where(real, ys[:, 1:], 0.0)
+    mid, high = ((low + top) / 2)[..., None], top - low
 
     def spans(r: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where a ring begins and ends in each slab, slabs by stretches; those that are missing are infinite."""
-        cut = (r[:, 1] > mid[:, None]) != (n[:, 1] > mid[:, None])
-        rise = np.where(cut, n[:, 1] - r[:, 1], 1.0)
-        x = np.sort(np.where(cut, r[:, 0] + (mid[:, None] - r[:, 1]) * (n[:, 0] - r[:, 0]) / rise, np.inf), axis=1)
-        x = x[:, : x.shape[1] // 2 * 2]
-        return x[:, ::2], x[:, 1::2]
+        y, x, ny, nx = r[:, None, :, 1], r[:, None, :, 0], n[:, None, :, 1], n[:, None, :, 0]
+        cut = (y > mid) != (ny > mid)
+        at = np.sort(np.where(cut, x + (mid - y) * (nx - x) / np.where(cut, ny - y, 1.0), np.inf), axis=2)
+        at = at[..., : int(cut.sum(2).max(initial=0)) // 2 * 2]
+        return at[..., ::2], at[..., 1::2]
 
     (a0, a1), (b0, b1) = spans(a, an), spans(b, bn)
     with np.errstate(invalid="ignore"):
-        wide = np.minimum(a1[:, :, None], b1[:, None]) - np.maximum(a0[:, :, None], b0[:, None])
-    return float((np.fmax(wide, 0).sum(axis=(1, 2)) * high).sum())
+        wide = np.minimum(a1[..., None], b1[..., None, :]) - np.maximum(a0[..., None], b0[..., None, :])
+    return (np.fmax(wide, 0).sum(axis=(2, 3)) * high).sum(axis=1)
+
+
+def common_area(p: np.ndarray, q: np.ndarray) -> float:
+    """Area that two rings (x, y, x, y, ...) share."""
+    return float(common_areas(*(np.asarray(r, float).reshape(1, -1, 2) for r in (p, q)))[0])
+
+
+def shared_areas(p: pd.Series, q: pd.Series) -> pd.Series:
+    """Areas that pairs of rings (x, y, x, y, ...) share; pairs with as many points each are compared together."""
+    out = np.zeros(len(p))
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(p, q, strict=True)):
+        sizes.setdefault((len(x), len(y)), []).append(i)
+    for some in sizes.values():
+        for at in range(0, len(some), AT_ONCE):
+            part = some[at : at + AT_ONCE]
+            out[part] = common_areas(*(np.stack([np.asarray(r[i], float).reshape(-1, 2) for i in part]) for r in (p, q)))
+    return pd.Series(out, dtype=float)
 
 
 def overlaps(shapes: DataFrame, idx: str, enough: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -214,10 +249,7 @@ def overlaps(shapes: DataFrame, idx: str, enough: Callable[[Column, Column], Col
     enough(area_a, area_b): the least shared area of interest; pairs whose boxes share no more than that are left out before rings are compared.
     """
 
-    def shared_of(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([common_area(x, y) for x, y in zip(p, q, strict=True)], dtype=float)
-
-    shared = F.pandas_udf(shared_of, "double")
+    shared = F.pandas_udf(shared_areas, "double")
     flat = F.flatten(F.transform("vertices", lambda v: F.array(v["x"], v["y"])))
     s = shapes.select(*K, F.col(idx).alias("id"), box(F.col("vertices")).alias("box"), area(F.col("vertices")).alias("area"), flat.alias("flat"))
     # Boxes meet by grid cells; the rings themselves follow only for the pairs that are left.
@@ -235,7 +267,9 @@ def overlaps(shapes: DataFrame, idx: str, enough: Callable[[Column, Column], Col
 
 def boundary_overlaps(boundaries: DataFrame, most: float = 0.3) -> DataFrame:
     """CLUSTER, warnings: what overlaps a boundary by more than a share of the smaller one, noted on the earlier."""
-    bad = overlaps(boundaries.where("method <> 'ESTIMATED'"), "cluster_idx", lambda a, b: most * F.least(a, b)).where(F.col("shared") > most * F.least("area_a", "area_b"))
+    # Rings are met by their boxes first and follow for the pairs that are left: they are worked out once.
+    rings = written(boundaries.where("method <> 'ESTIMATED'").select(*CLUSTER, "vertices"))
+    bad = overlaps(rings, "cluster_idx", lambda a, b: most * F.least(a, b)).where(F.col("shared") > most * F.least("area_a", "area_b"))
     return bad.groupBy(*K, F.col("a").alias("cluster_idx")).agg(F.array_sort(F.collect_list(F.format_string("Overlaps boundary %d", F.col("b")))).alias("warnings"))
 
 
