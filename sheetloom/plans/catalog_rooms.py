@@ -176,9 +176,17 @@ def singles(spark, d):
     return kept.withColumnsRenamed({"block_idx": "cluster_idx", "label": "label_text"})
 
 
-def cast(spark, d, c):
-    sheets = views.sheets(spark, d)
-    return D.ray_hits(c, S.wall_segments(views.segments(spark, d), sheets), sheets)
+def wall_rows(spark, d):
+    return S.wall_segments(views.segments(spark, d), views.sheets(spark, d)).select(*K, "x1", "y1", "x2", "y2")
+
+
+def cast(spark, d, c, walls=None):
+    return D.ray_hits(c, wall_rows(spark, d) if walls is None else walls, views.sheets(spark, d))
+
+
+def boundaries(spark, d, c, walls=None):
+    """The boundary of each label; rings are written, the hits that they come from are not."""
+    return written(D.label_boundaries(cast(spark, d, c, walls)))
 
 
 WALLS = """walls as (
@@ -199,7 +207,7 @@ LW = ("v_sheets", "v_text_blocks", "v_segments")
 
 @query("ray_hits", f"with {HITS} select doc_id, page_no, block_idx as cluster_idx, cast(ray as int) as ray, round(distance, 4) as distance, wall is not null as is_wall from hits", *LW)
 def ray_hits(spark, d):
-    return cast(spark, d, singles(spark, d)).select(*K, "cluster_idx", "ray", F.round("distance", 4).alias("distance"), "is_wall")
+    return written(cast(spark, d, singles(spark, d)).select(*K, "cluster_idx", "ray", "distance", "is_wall")).select(*K, "cluster_idx", "ray", F.round("distance", 4).alias("distance"), "is_wall")
 
 
 BOUNDS = f"""{HITS},
@@ -227,11 +235,11 @@ bounds as (
 
 @query("label_boundaries", f"with {BOUNDS} select doc_id, page_no, block_idx as cluster_idx, wall_hits, round(area, 1) as area, repaired, method, round(b, 4) as confidence from bounds", *LW)
 def label_boundaries(spark, d):
-    return D.label_boundaries(cast(spark, d, singles(spark, d))).select(*K, "cluster_idx", "wall_hits", F.round("area", 1).alias("area"), "repaired", "method", F.round("confidence", 4).alias("confidence"))
+    return boundaries(spark, d, singles(spark, d)).select(*K, "cluster_idx", "wall_hits", F.round("area", 1).alias("area"), "repaired", "method", F.round("confidence", 4).alias("confidence"))
 
 
-def keyed(spark, d, c):
-    b = D.label_boundaries(cast(spark, d, c))
+def keyed(spark, d, c, walls=None):
+    b = boundaries(spark, d, c, walls)
     return b, D.boundaries_by_text(b, c)
 
 
@@ -280,8 +288,8 @@ def detected_rooms(spark, d):
 select doc_id, page_no, labels, labels as clusters, coalesce(walls, 0) as walls, coalesce(boundaries, 0) as boundaries, round(coalesce(total_area, 0), 1) as total_area from n1 left join n2 using (doc_id, page_no) left join n3 using (doc_id, page_no) left join n4 using (doc_id, page_no)""", *LW)
 def detection_totals(spark, d):
     c = singles(spark, d)
-    b, k = keyed(spark, d, c)
-    walls = S.wall_segments(views.segments(spark, d), views.sheets(spark, d))
+    walls = written(wall_rows(spark, d))
+    b, k = keyed(spark, d, c, walls)
     return D.detection_totals(c, c, walls, b, D.detected_rooms(c, k, F.lit(9.0))).withColumn("total_area", F.round("total_area", 1))
 
 
@@ -299,13 +307,13 @@ def containing_polygon(spark, d):
 @query("boundaries_combined", f"with {BOUNDS}, {INSIDE} select doc_id, page_no, block_idx as cluster_idx, round(case when poly_idx is null then bounds.area else cp.area end, 1) as area, case when poly_idx is null then method else 'CLOSED' end as method from bounds left join cp using (doc_id, page_no, block_idx)", *LW, "v_polygons")
 def boundaries_combined(spark, d):
     c = singles(spark, d)
-    found = D.boundaries_combined(D.containing_polygon(c, views.polygons(spark, d), least=8000.0, near=-1.0), D.label_boundaries(cast(spark, d, c)))
+    found = D.boundaries_combined(D.containing_polygon(c, views.polygons(spark, d), least=8000.0, near=-1.0), boundaries(spark, d, c))
     return found.select(*K, "cluster_idx", F.round("area", 1).alias("area"), "method")
 
 
 @query("boundary_overlaps", None)
 def boundary_overlaps(spark, d):
-    return D.boundary_overlaps(D.label_boundaries(cast(spark, d, singles(spark, d))))
+    return D.boundary_overlaps(boundaries(spark, d, singles(spark, d)))
 
 
 @query("detection_fallback", f"""with {ROOMS}, fb as (select doc_id, page_no, concat('ROOM ', cast(poly_idx + 1 as varchar)) as name, 'GEOMETRY' as method from v_polygons)

@@ -3,9 +3,10 @@
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from sheetloom.functions import geom, greedy
+from sheetloom.functions import geom, greedy, lineage
 from sheetloom.operators import detect, labels, phases, scale, topology
 from sheetloom.operators.segments import with_geometry
 from sheetloom.sources import tables
@@ -219,3 +220,35 @@ def test_with_region_keeps_the_rows_and_joins_nothing_back(spark):
     assert rows == [(1, 0, "a", "EXISTING", 0.85), (1, 1, "b", "EXISTING", 0.85), (1, 2, "c", "NOT_IN_CONTRACT", 0.75), (1, 3, "d", "NEW", 0.75), (2, 0, "e", "NEW", 0.75)]
     at = phases.phase_at(points.select("doc_id", "page_no", "seg_idx", "px", "py"), regions, ["doc_id", "page_no", "seg_idx"])
     assert sorted((r.page_no, r.seg_idx, r.phase, r.confidence) for r in at.collect()) == [(p, i, ph, c) for p, i, _, ph, c in rows]
+
+
+def test_crossings_of_a_ring_are_worked_out_once(spark):
+    """Filters on what follows from a ring don't copy the test of its sides; sides off their rays are tested, whatever the others."""
+    hits = spark.createDataFrame([(1, 1, 0, 200.0, 200.0, i, 300.0, 200.0 + i, True) for i in range(16)], "doc_id long, page_no long, cluster_idx long, cx double, cy double, ray int, hx double, hy double, is_wall boolean")
+    plan = detect.label_boundaries(hits).where("method <> 'ESTIMATED'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("exists(") == 2
+
+
+def test_areas_of_many_pairs_equal_those_of_each(spark):
+    random.seed(31)
+
+    def star(n):
+        turns, x, y = sorted(random.uniform(0, 2 * math.pi) for _ in range(n)), random.uniform(0, 300), random.uniform(0, 300)
+        return [c for t in turns for r in (random.uniform(20, 400),) for c in (x + r * math.cos(t), y + r * math.sin(t))]
+
+    box = lambda x, y, w, h: [x, y, x + w, y, x + w, y + h, x, y + h]
+    pairs = [(star(random.choice((5, 16))), star(random.choice((3, 16)))) for _ in range(600)] + [(box(0, 0, 10, 10), box(5, 5, 10, 10)), (box(0, 0, 10, 10), box(20, 0, 5, 5)), (box(0, 0, 10, 10), box(0, 0, 10, 10))]
+    got = detect.shared_areas(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))
+    assert list(got[-3:]) == [25, 0, 100] and all(abs(g - detect.common_area(a, b)) < 1e-6 for g, (a, b) in zip(got, pairs, strict=True))
+
+
+def test_dealt_rows_meet_where_they_are(spark):
+    """Rows dealt out by sheet are not moved for a join by sheet and cell while they are written, and the session's setting is kept."""
+    left, right = (spark.range(1000).selectExpr("id % 7 as doc_id", "id % 7 as page_no", "id % 50 as gx", f"id as {n}").repartition("doc_id", "page_no").hint("merge") for n in "ab")
+    joined = lambda: left.join(right, ["doc_id", "page_no", "gx"])
+    moved = lambda: sum("gx" in key.split(")")[0] for key in joined()._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:])
+    before = spark.conf.get(lineage.ALL_KEYS)
+    with lineage.as_dealt(spark):
+        assert moved() == 0
+    assert spark.conf.get(lineage.ALL_KEYS) == before and moved() == 2
+    assert lineage.written(joined()).count() == joined().count() and spark.conf.get(lineage.ALL_KEYS) == before
