@@ -252,3 +252,11 @@ def test_dealt_rows_meet_where_they_are(spark):
         assert moved() == 0
     assert spark.conf.get(lineage.ALL_KEYS) == before and moved() == 2
     assert lineage.written(joined()).count() == joined().count() and spark.conf.get(lineage.ALL_KEYS) == before
+
+
+def test_edges_are_worked_out_once(spark):
+    """Rounds of matching and the join after them read edges that were written, whatever made them."""
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: (seen.add(1), x)[1], "long")
+    edges = spark.range(20).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page_no"), count("id").alias("u"), (F.col("id") + 1).alias("v"), F.format_string("%03d", "id").alias("rank"))
+    assert sorted(r.v for r in greedy.priority_matching(edges).collect()) == list(range(1, 21, 2)) and seen.value == 20
