@@ -1,17 +1,22 @@
 """Faces of noded drawings: half-edges, their successors, and cycles by pointer doubling.
 
-Each edge is two half-edges, numbered 2n and 2n + 1. The successor of a half-edge is the one
+Each edge is two half-edges, numbered 2n and 2n + 1 on its sheet. The successor of a half-edge is the one
 that leaves its end next before its twin, by angle. Cycles of successors are the faces; all
 half-edges learn the smallest number on their cycle, and how many steps it is away, in about as many
-rounds of one window as the longest cycle has binary digits. An edge with both its
+doublings as the longest cycle has binary digits. An edge with both its
 sides on one face is a bridge; without the bridges, the cycles are the rings of the faces.
-Rows are dealt out by sheet, but windows and groups go by half-edge, node or face.
+Rows are dealt out by sheet, windows and groups go by half-edge, node or face. Doublings are done for many
+sheets at once as arrays; sheets of more than LARGE half-edges double by windows over their rows instead, and are no single group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +29,14 @@ CELL = 128.0
 PEELED = 5
 #: Doublings between two writings: cycles of up to half of 2**DOUBLED edges are settled by the first.
 DOUBLED = 4
+#: Half-edges of whole sheets that are doubled at once as arrays, and those of one sheet beyond which it goes by windows.
+AT_ONCE, LARGE = 1 << 17, 1 << 20
 RING = "array<struct<x:double,y:double>>"
 
 
 def half_edges(edges: DataFrame) -> DataFrame:
-    """K, id, ax, ay, bx, by: both directions of each edge; twins differ in the lowest bit of id.
-
-    Numbers follow from where a row happens to be computed, so the rows must be written before they are used.
-    """
-    n = F.monotonically_increasing_id() * 2
+    """K, id, ax, ay, bx, by: both directions of each edge, numbered by their sheet; twins differ in the lowest bit of id."""
+    n = (F.row_number().over(Window.partitionBy(*K).orderBy("x1", "y1", "x2", "y2")) - 1).cast("long") * 2
     both = F.array(
         F.struct(F.col("n").alias("id"), F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by")),
         F.struct((F.col("n") + 1).alias("id"), F.col("x2").alias("ax"), F.col("y2").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by")),
@@ -44,12 +48,13 @@ def twin(half: Column) -> Column:
     return half.bitwiseXOR(F.lit(1).cast("long"))
 
 
-def successors(half: DataFrame) -> DataFrame:
-    """K, id, next: of each half-edge the one that follows it around its face."""
-    turn = F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
-    at = Window.partitionBy(*K, "ax", "ay").orderBy("turn", "id")
-    before = F.coalesce(F.lag("id").over(at), F.last("id").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return half.repartition(*K).withColumn("turn", turn).select(*K, twin(F.col("id")).alias("id"), before.alias("next"))
+def successors(half: DataFrame, *apart: str) -> DataFrame:
+    """half + next: of each half-edge the one that follows it around its face, among those alike in the columns apart."""
+    # The half-edges that leave a node are the twins of those that arrive.
+    turned = half.withColumns({"turn": F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")), "leaves": twin(F.col("id"))})
+    at = Window.partitionBy(*K, "bx", "by", *apart).orderBy("turn", "leaves")
+    before = F.coalesce(F.lag("leaves").over(at), F.last("leaves").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return turned.withColumn("next", before).drop("turn", "leaves")
 
 
 def doubled(state: DataFrame, step: int) -> DataFrame:
@@ -65,13 +70,13 @@ def doubled(state: DataFrame, step: int) -> DataFrame:
     return both.select(*K, F.col("asks.id").alias("id"), F.least("asks.face", "told.face").alias("face"), away.alias("away"), F.col("told.jump").alias("jump"), better.alias("changed"))
 
 
-def cycles(follows: DataFrame) -> DataFrame:
-    """id, face, away: the smallest id on each half-edge's cycle, and the steps to it.
+def cycles_by_windows(follows: DataFrame) -> DataFrame:
+    """K, id, face, away: the smallest id on each half-edge's cycle, and the steps to it.
 
     After r rounds a half-edge knows the smallest of the 2**r that follow; when no one learns more, all know their cycle's.
     DOUBLED rounds are done on rows that are dealt out by sheet once, and then written.
     """
-    state = follows.select(*K, "id", F.col("id").alias("face"), F.lit(0).cast("long").alias("away"), F.col("next").alias("jump"))
+    state = follows.select(*K, "id", F.col("id").alias("face"), F.lit(0).cast("long").alias("away"), F.col("next").alias("jump")).repartition(*K)
     step, changed = 1, True
     while changed:
         state = state if step == 1 else state.repartition(*K)
@@ -81,28 +86,93 @@ def cycles(follows: DataFrame) -> DataFrame:
         after = written(state)
         changed = not after.where("changed").isEmpty()
         state = after.drop("changed")
-    return state.select("id", "face", "away")
+    return state.select(*K, "id", "face", "away")
+
+
+def last_sheet(rows: pa.Table) -> int:
+    """Where the last sheet of the rows begins."""
+    news = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in (rows.column(k).combine_chunks() for k in K)]
+    return int(np.flatnonzero(np.logical_or(*news))[-1]) + 1 if len(rows) > 1 and np.logical_or(*news).any() else 0
+
+
+def whole_sheets(batches: Iterator[pa.RecordBatch], at_once: int, large: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by sheet, by whole sheets, and whether these are: those of a sheet of more than large rows come in pieces."""
+    held, big = None, None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows, held = pa.concat_tables([held, rows]), None
+        if big is not None and rows.num_rows:
+            same = np.logical_and(*(pc.equal(rows.column(k), v).to_numpy() for k, v in zip(K, big, strict=True)))
+            n = rows.num_rows if same.all() else int(np.argmin(same))
+            yield rows.slice(0, n), False
+            rows, big = rows.slice(n), big if n == rows.num_rows else None
+        if rows.num_rows < at_once:
+            held = rows
+            continue
+        start = last_sheet(rows)
+        if start:
+            yield rows.slice(0, start), True
+            rows = rows.slice(start)
+        if rows.num_rows > large:
+            big = [rows.column(k)[0] for k in K]
+            yield rows, False
+        else:
+            held = rows
+    if held is not None and held.num_rows:
+        yield held, held.num_rows <= large or last_sheet(held) > 0
+
+
+def settled(rows: pa.Table) -> list[np.ndarray]:
+    """face, away, other of the half-edges of whole sheets, by doublings of all their cycles at once; other is the twin's face, or -1 without a twin."""
+    news = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in (rows.column(k).combine_chunks() for k in K)]
+    base, follows = rows.column("id").to_numpy(), rows.column("next").to_numpy()
+    sheet = np.concatenate([[0], np.cumsum(np.logical_or(*news))]) * (int(base.max()) + 2)
+    key = sheet + base
+    face, away, jump, step = np.arange(len(key)), np.zeros(len(key), np.int64), np.searchsorted(key, sheet + follows), 1
+    while (better := face[jump] < face).any():
+        away = np.where(better, away[jump] + step, away)
+        face, jump, step = np.where(better, face[jump], face), jump[jump], step * 2
+    across = np.searchsorted(key, sheet + (base ^ 1)) % len(key)
+    return [base[face], away, np.where(key[across] == sheet + (base ^ 1), base[face[across]], -1)]
+
+
+def cycles(follows: DataFrame, dealt: bool = False, at_once: int = AT_ONCE, large: int = LARGE) -> DataFrame:
+    """follows (K, id, next, ...) + face, away, other: the smallest id on each half-edge's cycle, the steps to it, and the twin's face (-1: no twin).
+
+    dealt: whether the rows are dealt out by sheet already.
+    """
 
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, whole in whole_sheets(batches, at_once, large):
+            found = settled(rows) if whole and rows.num_rows else [pa.nulls(rows.num_rows, pa.int64())] * 3
+            for name, values in zip(("face", "away", "other"), found, strict=True):
+                rows = rows.append_column(name, pa.array(values, pa.int64()) if isinstance(values, np.ndarray) else values)
+            yield from rows.to_batches()
 
-def bridges(half: DataFrame, labelled: DataFrame) -> DataFrame:
-    """half + bridge: whether both sides of the edge lie on one face."""
-    pair = Window.partitionBy(F.least(F.col("id"), twin(F.col("id"))))
-    return half.join(labelled.select("id", "face"), "id").withColumn("bridge", F.min("face").over(pair) == F.max("face").over(pair)).drop("face")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in follows.schema) + ", face long, away long, other long"
+    rows = (follows if dealt else follows.repartition(*K)).sortWithinPartitions(*K, "id")
+    out = written(rows.mapInArrow(label, kind))
+    rest = out.where("face is null")
+    if rest.isEmpty():
+        return out
+    found = written(cycles_by_windows(rest.select(*K, "id", "next"))).repartition(*K)
+    across = found.select(*K, twin(F.col("id")).alias("id"), F.col("face").alias("other"))
+    full = rest.drop("face", "away", "other").repartition(*K).join(found, [*K, "id"]).join(across, [*K, "id"], "left").withColumn("other", F.coalesce("other", F.lit(-1).cast("long")))
+    return written(out.where("face is not null").unionByName(full))
 
 
-def pruned_counts(marked: DataFrame) -> DataFrame:
-    """K, dangles, cuts: bridges that hang loose at one end, end after end, and those that link rings.
+def pruned_counts(tree: DataFrame) -> DataFrame:
+    """K, dangles, cuts: bridges that hang loose at one end, end after end, and those that link rings. tree: K, id, bx, by of the bridges, and ring: whether the end lies at one.
 
     Loose ends are taken off until none is left; only bridges are touched, and a node at a ring is never loose.
     """
-    node = Window.partitionBy(*K, "ax", "ay")
-    tree = written(marked.withColumn("ring", F.max(~F.col("bridge")).over(node)).where("bridge").select(*K, "id", "ax", "ay", "ring"))
+    node, edge = Window.partitionBy(*K, "bx", "by"), Window.partitionBy(*K, F.least(F.col("id"), twin(F.col("id"))))
     total = tree.groupBy(*K).agg((F.count("*") / 2).cast("long").alias("bridges"))
     left, before, now = tree, None, tree.count()
     while now and now != before:
-        after = left
+        after = left.repartition(*K)
         for _ in range(PEELED):
-            edge = Window.partitionBy(F.least(F.col("id"), twin(F.col("id"))))
             loose = ~F.col("ring") & (F.count("*").over(node) == 1)
             after = after.withColumn("loose", loose).withColumn("gone", F.max("loose").over(edge)).where(~F.col("gone")).drop("loose", "gone")
         left = written(after)
@@ -150,10 +220,10 @@ def from_lowest(ring: Column) -> Column:
     return F.concat(F.slice(ring, at, F.size(ring) - at + 1), F.slice(ring, F.lit(1), at - 1))
 
 
-def ring_rows(half: DataFrame, labelled: DataFrame) -> DataFrame:
+def ring_rows(labelled: DataFrame) -> DataFrame:
     """K, face, ring, signed: the points of each cycle in order, and its signed area."""
     point = F.struct((-F.col("away")).alias("n"), F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("p"))
-    got = half.join(labelled, "id").groupBy(*K, "face").agg(F.array_sort(F.collect_list(point)).alias("s"))
+    got = labelled.groupBy(*K, "face").agg(F.array_sort(F.collect_list(point)).alias("s"))
     # The leader is no step away and stands last; the others come from the farthest on.
     ring = F.transform("s", lambda s: s["p"])
     return got.select(*K, "face", ring.alias("ring")).withColumn("signed", signed_area(F.col("ring")))
@@ -177,21 +247,23 @@ def faces(edges: DataFrame) -> DataFrame:
     vertices is the outer ring, hole_area that of the holes (whole parts of the graph that lie in the face, or touch its ring
     from within at one point), and area is without them.
     """
-    half = written(half_edges(edges))
-    marked = written(bridges(half, cycles(successors(half))))
-    counts = pruned_counts(marked)
-    sides = marked.where("not bridge").drop("bridge")
-    walks = written(ring_rows(sides, cycles(successors(sides))))
+    first = cycles(successors(half_edges(edges.repartition(*K))), dealt=True)
+    # With both its sides on one face an edge is a bridge; bridges follow no one in the second walk.
+    marked = first.select(*K, "id", "ax", "ay", "bx", "by", (F.col("face") == F.col("other")).alias("bridge")).repartition(*K)
+    again = successors(marked, "bridge").withColumn("next", F.when(F.col("bridge"), F.col("id")).otherwise(F.col("next")))
+    labelled = cycles(again.withColumn("ring", F.max(~F.col("bridge")).over(Window.partitionBy(*K, "bx", "by"))), dealt=True)
+    counts = pruned_counts(labelled.where("bridge").select(*K, "id", "bx", "by", "ring"))
+    walks = written(ring_rows(labelled.where("not bridge")))
     bounded = walks.where("signed > 0")
     again = F.size(F.array_distinct("ring")) < F.size("ring")
     plain = bounded.where(~again).withColumn("touching", F.lit(0.0))
     touching = bounded.where(again).withColumn("s", split_ring(F.col("ring"))).select(*K, "face", F.col("s.ring").alias("ring"), F.col("signed"), F.col("s.touching").alias("touching"))
     # A walk's signed area lacks what touches it from within; the ring's has it.
-    shells = written(plain.select(*K, "face", "ring", "signed", "touching").unionByName(touching.withColumn("signed", F.col("signed") + F.col("touching"))))
-    within = holes(shells, walks.where("signed <= 0"))
+    shells = written(plain.select(*K, "face", "ring", "signed", "touching").unionByName(touching.withColumn("signed", F.col("signed") + F.col("touching")))).repartition(*K)
+    within = holes(shells, walks.where("signed <= 0").repartition(*K))
     full = shells.join(within, [*K, "face"], "left").withColumn("hole_area", F.col("touching") + F.coalesce("inner", F.lit(0.0)))
     made = full.select(*K, from_lowest(F.col("ring")).alias("vertices"), (F.col("signed") - F.col("hole_area")).alias("area"), "hole_area")
     first = F.col("vertices")[0]
     nth = F.row_number().over(Window.partitionBy(*K).orderBy(first["x"], first["y"], F.round("area", 4), "vertices")) - 1
     out = made.withColumn("poly_idx", nth.cast("long")).join(counts, K, "left")
-    return out.select(*K, "poly_idx", "vertices", "area", "hole_area", F.coalesce("dangles", F.lit(0).cast("long")).alias("dangles"), F.coalesce("cuts", F.lit(0).cast("long")).alias("cuts"))
+    return written(out.select(*K, "poly_idx", "vertices", "area", "hole_area", F.coalesce("dangles", F.lit(0).cast("long")).alias("dangles"), F.coalesce("cuts", F.lit(0).cast("long")).alias("cuts")))

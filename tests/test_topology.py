@@ -304,3 +304,36 @@ def test_doublings_of_cycles_move_no_rows(spark):
     state = follows.selectExpr("doc_id", "page_no", "id", "id as face", "0L as away", "next as jump").repartition("doc_id", "page_no")
     plan = planar.doubled(planar.doubled(state, 1), 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_cycles_as_arrays_equal_those_by_windows(spark):
+    """Sheets of any size: many at once as arrays, the largest by windows; twins' faces are told alike."""
+    from sheetloom.operators import planar
+
+    random.seed(41)
+    rows = []
+    for page, n in enumerate((2, 40, 6, 120, 8)):
+        after = list(range(n))
+        random.shuffle(after)
+        rows += [(0, page, i, j, f"{page}.{i}") for i, j in enumerate(after)]
+    follows = spark.createDataFrame(rows, "doc_id long, page_no long, id long, next long, name string")
+    whole, none, some = (sorted(planar.cycles(follows, at_once=8, large=n).collect()) for n in (1000, 0, 50))
+    assert whole == none == some and len(whole) == len(rows) and all(r.name == f"{r.page_no}.{r.id}" for r in whole)
+    face = {(r.page_no, r.id): r.face for r in whole}
+    assert all(r.other == face[r.page_no, r.id ^ 1] for r in whole)
+
+
+def test_sheets_come_whole_or_in_pieces():
+    """Batches that end within sheets: small sheets are handed on whole, once, and large ones in pieces."""
+    import pyarrow as pa
+
+    from sheetloom.operators import planar
+
+    sizes = {0: 3, 1: 30, 2: 1, 3: 9, 4: 25, 5: 2}
+    pages = [p for p, n in sizes.items() for _ in range(n)]
+    batches = [pa.record_batch({"doc_id": [0] * len(part), "page_no": part, "n": list(range(i, i + len(part)))}) for i in range(0, len(pages), 7) for part in (pages[i : i + 7],)]
+    got = [(t.column("page_no").to_pylist(), t.column("n").to_pylist(), whole) for t, whole in planar.whole_sheets(iter(batches), 5, 10)]
+    assert [n for _, ns, _ in got for n in ns] == list(range(len(pages)))
+    for p, n in sizes.items():
+        parts = [(pages.count(p), whole) for pages, _, whole in got if p in pages]
+        assert {whole for _, whole in parts} == {n <= 10} and (len(parts) == 1 if n <= 10 else sum(c for c, _ in parts) == n)
