@@ -223,7 +223,7 @@ def from_lowest(ring: Column) -> Column:
 def ring_rows(labelled: DataFrame) -> DataFrame:
     """K, face, ring, signed: the points of each cycle in order, and its signed area."""
     point = F.struct((-F.col("away")).alias("n"), F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("p"))
-    got = labelled.groupBy(*K, "face").agg(F.array_sort(F.collect_list(point)).alias("s"))
+    got = labelled.groupBy(*K, "face").agg(F.sort_array(F.collect_list(point)).alias("s"))
     # The leader is no step away and stands last; the others come from the farthest on.
     ring = F.transform("s", lambda s: s["p"])
     return got.select(*K, "face", ring.alias("ring")).withColumn("signed", signed_area(F.col("ring")))
